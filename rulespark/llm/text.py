@@ -173,3 +173,24 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(a) for a in arrays], out=offs[1:])
     flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, type=kind))
+
+
+class Lookup:
+    """Which of many hashes are in a fixed set: a bitmap of the low bits first, then binary search."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.seen = np.zeros(1 << self.BITS, dtype=bool)
+        self.seen[(self.keys & U64((1 << self.BITS) - 1)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h, positions in keys) of the hits; the first key for keys that repeat."""
+        at = np.flatnonzero(self.seen[(h & U64((1 << self.BITS) - 1)).astype(np.int64)])
+        if not len(at):
+            return at, at
+        i = np.searchsorted(self.keys, h[at])
+        i[i == len(self.keys)] = 0
+        ok = self.keys[i] == h[at]
+        return at[ok], i[ok]

@@ -11,9 +11,11 @@ all levels: a run with an equal (h, c) in an earlier document is repeated as a w
 only h may share a part. The batch then becomes a level of its own, and levels of equal size merge,
 so b batches leave at most log2(b) + 1 levels and an entry is rewritten log2(b) times.
 
-*Parts.* Of the runs that share only h, the first of each (h, c) lists the fingerprints of its single
-windows; a window is repeated if an earlier document has it. Later runs with the same (h, c) need no
-look: all of their windows are repeated.
+*Parts.* Runs that share only h are looked at again in two finer steps, of each (h, c) only the first:
+the windows of its later copies are repeated anyway. Windows at offsets 8 j to 8 j + 7 from the picked
+gram form a *block*; its core, the bytes that all its windows have in common, and the picked gram are
+its key. Blocks are then judged as runs were: an equal block in an earlier document repeats it as a
+whole, and only blocks that share their core alone list their single windows.
 
 Repeats inside a document are found in the last pass, which recomputes the document's runs. Strings
 are compared by two 64-bit fingerprints, h and c or h and the window's.
@@ -36,7 +38,8 @@ from .scratch import Scratch
 LENGTH = 100
 GRAM = 32
 BATCHES = 4
-#: Lists of partly repeated runs are broadcast up to so many rows (16 bytes each), else joined by shuffle.
+BLOCK = 8
+#: Lists of partly repeated runs or blocks are broadcast up to so many rows (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 TOP = T.U64(0xFFFFFFFFFFFFFFFF)
 
@@ -57,14 +60,14 @@ class Runs:
     """The runs of the texts of a slice: h, c, start, n (number of window starts), doc (index of the text)."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
-        self.sums, self.length, self.offs = T.prefix(buf), length, offs
+        self.sums, self.length, self.offs, self.reach = T.prefix(buf), length, offs, length - gram
         n = len(buf) - length + 1
         empty = np.zeros(0, np.int64)
         self.h, self.c, self.start, self.n, self.doc = empty.view(T.U64), empty.view(T.U64), empty, empty, empty
         if n <= 0:
             return
         at = np.arange(len(buf) - gram + 1)
-        grams = T.spans_hash(self.sums, at, at + gram)
+        self.grams = grams = T.spans_hash(self.sums, at, at + gram)
         pick = sliding_min(grams, length - gram + 1)
         valid = np.zeros(len(buf) + 1, dtype=np.int8)
         ok = offs[1:] - offs[:-1] >= length
@@ -86,12 +89,20 @@ class Runs:
         self.h = pick[self.start]
         self.c = T.spans_hash(self.sums, self.start, self.start + self.n - 1 + length)
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(run index, start) of every window of the given runs."""
-        n = self.n[which]
-        run = np.repeat(which, n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return run, self.start[run] + step
+    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(run index, key, fingerprint, first window start, windows) of every block of the given runs."""
+        start, n, h = self.start[which], self.n[which], self.h[which]
+        place = np.minimum(start[:, None] + np.arange(self.reach + 1), len(self.grams) - 1)
+        picked = start + (self.grams[place] == h[:, None]).argmax(axis=1)
+        zero = picked - self.reach  # a window that starts here has offset 0
+        low, high = (start - zero) // BLOCK, (start + n - 1 - zero) // BLOCK
+        many = high - low + 1
+        of = np.repeat(np.arange(len(which)), many)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+        core = zero[of] + BLOCK * j
+        first, last = np.maximum(start[of], core), np.minimum((start + n - 1)[of], core + BLOCK - 1)
+        key = T.mix(T.spans_hash(self.sums, np.minimum(core + BLOCK - 1, core + self.length), core + self.length) + h[of] * T.U64(T.BASE) + j.astype(T.U64))
+        return which[of], key, T.mix(T.spans_hash(self.sums, first, last + self.length) + key), first, last - first + 1
 
     def window_hash(self, starts: np.ndarray) -> np.ndarray:
         return T.spans_hash(self.sums, starts, starts + self.length)
@@ -112,52 +123,87 @@ def _entries(length: int, gram: int):
     return run
 
 
+def _spread(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, start) of every window of the stretches of n windows."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _listed(part: pa.RecordBatch, column: int, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in the list of its text; ``doc`` is sorted."""
+    bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    take = np.zeros(len(doc), dtype=bool)
+    cells = part.column(column)
+    for i in range(part.num_rows):
+        if cells[i].is_valid:
+            a, b = bounds[i], bounds[i + 1]
+            take[a:b] = np.isin(values[a:b], np.asarray(cells[i].values).view(T.U64))
+    return take
+
+
+def _rows(part: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """(h, c, did), once for each text."""
+    ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, one = np.unique(c ^ T.mix(doc.astype(T.U64)), return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(T.signed(key[one])), pa.array(T.signed(c[one])), pa.array(ids[doc[one]])], names=["h", "c", "did"])
+
+
+def _part_blocks(length: int, gram: int):
+    """Rows (did, text, runs): (key, fingerprint, did) of each distinct block of the listed runs."""
+
+    def run(batches):
+        for part in T.slices(batches):
+            r = Runs(*T.packed(part.column(1)), length, gram)
+            which = np.flatnonzero(_listed(part, 2, r.doc, r.c))
+            if len(which):
+                of, key, c, _, _ = r.blocks(which)
+                yield _rows(part, r.doc[of], key, c)
+
+    return run
+
+
 def _part_windows(length: int, gram: int):
-    """Rows (did, text, cs): (h, w, did) of each distinct window of the runs listed in cs."""
+    """Rows (did, text, blocks): (key of the block, fingerprint, did) of each distinct window of the listed blocks."""
 
     def run(batches):
         for part in T.slices(batches):
             r = Runs(*T.packed(part.column(1)), length, gram)
             if not len(r.start):
                 continue
-            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = part.column(2)
-            bounds = np.searchsorted(r.doc, np.arange(part.num_rows + 1))
-            take = np.zeros(len(r.start), dtype=bool)
-            for i in range(part.num_rows):
-                a, b = bounds[i], bounds[i + 1]
-                take[a:b] = np.isin(r.c[a:b], np.asarray(wanted[i].values).view(T.U64))
-            if take.any():
-                run_of, starts = r.windows(np.flatnonzero(take))
-                w = r.window_hash(starts)
-                _, one = np.unique(w ^ T.mix(r.doc[run_of].astype(T.U64)), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(r.h[run_of[one]])), pa.array(T.signed(w[one])), pa.array(ids[r.doc[run_of[one]]])], names=["h", "w", "did"])
+            of, key, c, first, n = r.blocks(np.arange(len(r.start)))
+            which = np.flatnonzero(_listed(part, 2, r.doc[of], c))
+            if len(which):
+                block, starts = _spread(first[which], n[which])
+                yield _rows(part, r.doc[of[which[block]]], key[which[block]], r.window_hash(starts))
 
     return run
 
 
-def _marked(r: Runs, i: int, a: int, b: int, cs: np.ndarray, ws: np.ndarray) -> np.ndarray | None:
+def _marked(r: Runs, i: int, a: int, b: int, runs: np.ndarray, blocks: np.ndarray, windows: np.ndarray) -> np.ndarray | None:
     """Starts of the repeated windows of text i, whose runs are a to b."""
     found = []
-    if len(cs):
-        whole = np.flatnonzero(np.isin(r.c[a:b], cs)) + a
-        if len(whole):
-            found.append(r.windows(whole)[1])
-    if len(ws):
+    if len(runs):
+        whole = np.flatnonzero(np.isin(r.c[a:b], runs)) + a
+        found.append(_spread(r.start[whole], r.n[whole])[1])
+    if len(blocks):
+        _, _, c, first, n = r.blocks(np.arange(a, b))
+        whole = np.isin(c, blocks)
+        found.append(_spread(first[whole], n[whole])[1])
+    if len(windows):
         starts = np.arange(r.offs[i], r.offs[i + 1] - r.length + 1)
-        found.append(starts[np.isin(r.window_hash(starts), ws)])
+        found.append(starts[np.isin(r.window_hash(starts), windows)])
     h = r.h[a:b]
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     if same.any():
         twice = np.zeros(len(h), dtype=bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        _, starts = r.windows(np.flatnonzero(twice) + a)
+        which = np.flatnonzero(twice) + a
+        starts = _spread(r.start[which], r.n[which])[1]
         _, first = np.unique(r.window_hash(starts), return_index=True)
         later = np.ones(len(starts), dtype=bool)
         later[first] = False
-        if later.any():
-            found.append(starts[later])
+        found.append(starts[later])
     return np.concatenate(found) if found else None
 
 
@@ -183,19 +229,19 @@ def whole_characters(data: np.ndarray, keep: np.ndarray) -> str:
 
 
 def _cut(length: int, gram: int, with_text: bool):
-    """Rows (row, text, cs, ws): the row and what is left of its text."""
+    """Rows (row, text, runs, blocks, windows): the row and what is left of its text."""
 
     def run(batches):
         for part in T.slices(batches):
             buf, offs = T.packed(part.column(1))
             r = Runs(buf, offs, length, gram)
             bounds = np.searchsorted(r.doc, np.arange(part.num_rows + 1))
-            lists = part.column(2), part.column(3)
+            lists = part.column(2), part.column(3), part.column(4)
             out = ([], [], [], [], [])
             for i in range(part.num_rows):
                 data = buf[offs[i] : offs[i + 1]]
-                cs, ws = (np.asarray(x[i].values).view(T.U64) if x[i].is_valid else np.zeros(0, T.U64) for x in lists)
-                starts = _marked(r, i, bounds[i], bounds[i + 1], cs, ws) if len(data) >= length else None
+                known = [np.asarray(x[i].values).view(T.U64) if x[i].is_valid else np.zeros(0, T.U64) for x in lists]
+                starts = _marked(r, i, bounds[i], bounds[i + 1], *known) if len(data) >= length else None
                 keep, gone, spans = kept_pieces(data, None if starts is None else starts - offs[i], length)
                 out[0].append(len(data))
                 out[1].append(gone)
@@ -279,16 +325,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         repeated.append(whole)
         part.append(some)
     tmp.drop(*[level for _, level in index.levels])
-    listed = tmp.save(reduce(DataFrame.union, part).distinct().groupBy("did").agg(F.collect_list("c").alias("cs")))
-    few = (listed.agg(F.sum(F.size("cs"))).first()[0] or 0) <= BROADCAST_ROWS
-    texts = src.select("did", "text").join(F.broadcast(listed) if few else listed, "did").select("did", "text", "cs")
-    windows = tmp.save(texts.mapInArrow(_part_windows(length, gram), "h long, w long, did long"))
-    tmp.drop(*part, listed)
-    firsts = windows.groupBy("h", "w").agg(F.min("did").alias("first"), F.max("did").alias("newest")).filter("newest > first").select("h", "w", "first")
-    late = tmp.save(windows.join(firsts, ["h", "w"]).filter("did > first").groupBy("did").agg(F.collect_list("w").alias("ws")))
-    tmp.drop(windows)
-    whole = reduce(DataFrame.union, repeated).groupBy("did").agg(F.collect_list("c").alias("cs"))
-    lists = tmp.save(whole.join(late, "did", "full"))
-    tmp.drop(*repeated, late)
+    finer = _finer(src, reduce(DataFrame.union, part), tmp, _part_blocks(length, gram))
+    tmp.drop(*part)
+    block_repeats, block_part = _repeats(finer, tmp)
+    tmp.drop(finer)
+    finest = _finer(src, block_part, tmp, _part_windows(length, gram))
+    tmp.drop(block_part)
+    window_repeats, window_part = _repeats(finest, tmp)
+    tmp.drop(finest, window_part)
+    listed = lambda df, name: df.groupBy("did").agg(F.collect_list("c").alias(name))
+    lists = listed(reduce(DataFrame.union, repeated), "runs").join(listed(block_repeats, "blocks"), "did", "full").join(listed(window_repeats, "windows"), "did", "full")
+    lists = tmp.save(lists)
+    tmp.drop(*repeated, block_repeats, window_repeats)
     kind = f"row {src.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return src.join(lists, "did", "left").select("row", "text", "cs", "ws").mapInArrow(_cut(length, gram, with_text), kind)
+    return src.join(lists, "did", "left").select("row", "text", "runs", "blocks", "windows").mapInArrow(_cut(length, gram, with_text), kind)
+
+
+def _finer(src: DataFrame, part: DataFrame, tmp: Scratch, cut) -> DataFrame:
+    """(h, c, did) of what ``cut`` makes of the texts that hold a listed (did, c)."""
+    part = tmp.save(part.groupBy("did").agg(F.collect_set("c").alias("cs")))
+    few = (part.agg(F.sum(F.size("cs"))).first()[0] or 0) <= BROADCAST_ROWS
+    texts = src.select("did", "text").join(F.broadcast(part) if few else part, "did").select("did", "text", "cs")
+    out = tmp.save(texts.mapInArrow(cut, "h long, c long, did long"))
+    tmp.drop(part)
+    return out
+
+
+def _repeats(entries: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(did, c) of entries that an earlier document has too, and of firsts that share only their h."""
+    by = Window.partitionBy("h")
+    scanned = tmp.save(
+        entries.groupBy("h", "c").agg(F.min("did").alias("first"), F.max("did").alias("newest")).repartition("h")
+        .withColumn("shared", F.min("c").over(by) != F.max("c").over(by)).filter("shared or newest > first")
+    )
+    whole = scanned.filter("newest > first").select("h", "c", "first")
+    repeated = tmp.save(entries.join(whole, ["h", "c"]).filter("did > first").select("did", "c"))
+    part = tmp.save(scanned.filter("shared").select(F.col("first").alias("did"), "c"))
+    tmp.drop(scanned)
+    return repeated, part

@@ -4,11 +4,12 @@ Templates and texts are token sequences (lower-cased runs of letters and digits)
 ``GRAM``-token runs each window of ``WINDOW`` keeps the least; the templates' kept hashes form an
 inverted index. Hits of a text in the index give (template, diagonal) candidates; near diagonals are
 one candidate, aligned within a band. An alignment that covers enough of its template is reported
-with the bytes it spans.
+with the bytes it spans, unless a better one overlaps it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -92,6 +93,16 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
     return best[0], best[2], best[3]
 
 
+def best_apart(matches: list[tuple]) -> list[tuple]:
+    """Of (minus coverage, minus matched, first, last, template) those that no better match overlaps, by place."""
+    kept: list[tuple] = []
+    for m in sorted(matches):
+        i = bisect_left([k[2] for k in kept], m[2])
+        if not (i and kept[i - 1][3] >= m[2]) and not (i < len(kept) and kept[i][2] <= m[3]):
+            kept.insert(i, m)
+    return kept
+
+
 def _index(templates: dict[str, str], gram: int, window: int):
     names = list(templates)
     hashes, _, _, first = tokenized(pa.array([templates[n] for n in names], pa.string()))
@@ -122,7 +133,7 @@ def _scanner(templates: dict[str, str], gram: int, window: int, band: int, cover
                     seen[d][t].add(p - int(first[d]) - q)
             rows = []
             for d in sorted(seen):
-                words = hashes[first[d] : first[d + 1]]
+                words, matches = hashes[first[d] : first[d + 1]], []
                 for t in sorted(seen[d]):
                     last, found = None, set()
                     for diagonal in sorted(seen[d][t]):
@@ -132,7 +143,9 @@ def _scanner(templates: dict[str, str], gram: int, window: int, band: int, cover
                         matched, a, b = align(parts[t], words, diagonal, band)
                         if matched >= coverage * len(parts[t]) - 1e-9 and (a, b) not in found:
                             found.add((a, b))
-                            rows.append((d, names[t], matched, len(parts[t]), int(starts[first[d] + a] - offs[d]), int(ends[first[d] + b] - offs[d])))
+                            matches.append((-matched / len(parts[t]), -matched, a, b, t))
+                for _, matched, a, b, t in best_apart(matches):
+                    rows.append((d, names[t], -matched, len(parts[t]), int(starts[first[d] + a] - offs[d]), int(ends[first[d] + b] - offs[d])))
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(

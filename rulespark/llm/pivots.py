@@ -115,15 +115,20 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     splits = F.broadcast(spark.createDataFrame(both, "pivot int, blocks int, chunks int"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = posted(index, posts).join(splits, "pivot").select("pivot", F.pmod(F.xxhash64("vid"), F.col("blocks").cast("long")).cast("int").alias("block"), spread("chunks").alias("chunk"), "vid", "x", "o")
-    asks = posted(index.filter("asks"), probes).join(splits, "pivot").select("pivot", spread("blocks").alias("block"), F.pmod(F.xxhash64("vid", F.lit(1)), F.col("chunks").cast("long")).cast("int").alias("chunk"), "vid", "x", "o")
+    # its own column names: both sides of the cogroup stem from the same table
+    queries = index.filter("asks").select(F.col("vid").alias("qid"), F.col("x").alias("qx"), F.col("o").alias("qo"))
+    asks = (
+        queries.withColumn("qpivot", F.explode(F.slice("qo", 1, probes))).join(splits.withColumnsRenamed({"pivot": "qpivot", "blocks": "qblocks", "chunks": "qchunks"}), "qpivot")
+        .select("qpivot", spread("qblocks").alias("qblock"), F.pmod(F.xxhash64("qid", F.lit(1)), F.col("qchunks").cast("long")).cast("int").alias("qchunk"), "qid", "qx", "qo")
+    )
     count = len(axes)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            qid, xid = left["vid"].to_numpy(), right["vid"].to_numpy()
-            q, x = _matrix(left["x"], dim), _matrix(right["x"], dim)
-            rq = ranks(_matrix(left["o"], length).astype(np.int64), count).astype(np.int16)
+            qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
+            q, x = _matrix(left["qx"], dim), _matrix(right["x"], dim)
+            rq = ranks(_matrix(left["qo"], length).astype(np.int64), count).astype(np.int16)
             rx = ranks(_matrix(right["o"], length).astype(np.int64), count).astype(np.int16)
             order = np.argsort(xid, kind="stable")
             xid, x, rx = xid[order], x[order], rx[order]
@@ -139,7 +144,6 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
 
-    keys = ["pivot", "block", "chunk"]
-    found = asks.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
+    found = asks.groupBy("qpivot", "qblock", "qchunk").cogroup(data.groupBy("pivot", "block", "chunk")).applyInArrow(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,8 +3,8 @@
 Pivots are chosen far apart from a bounded sample. A vector is represented by the order of its
 ``length`` nearest pivots, and posted in the inverted files of the first ``posts`` of them. A query
 reads the files of its first ``probes`` pivots, ranks what it finds by the footrule distance of the
-orders (a missing pivot counts as rank ``length``), and the best by footrule, ties included, are
-reranked by their exact inner products. Files are split into blocks, so no file has to fit a task.
+orders (a missing pivot counts as rank ``length``), and the best share by footrule, ties included, is
+reranked by exact inner products. Files are split into blocks, so no file has to fit a task.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from .scratch import Scratch
 
 PIVOTS = 64
 SAMPLE = 4096
-LENGTH = 12
-POSTS = 2
-PROBES = 12
-RERANK = 400
+LENGTH = 32
+POSTS = 4
+PROBES = 24
+#: The share of a block that is reranked for a query, with all ties of the last; never under LEAST.
+RERANK = 0.25
+LEAST = 200
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 
 
 def usable(vector: Column) -> Column:
@@ -76,7 +78,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, length: int = LENGTH, posts: int = POSTS, probes: int = PROBES, rerank: int = RERANK, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, length: int = LENGTH, posts: int = POSTS, probes: int = PROBES, rerank: float = RERANK, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its ``k`` nearest found among the other rows.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Rows with a
@@ -87,7 +89,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     spark = table.sparkSession
     tmp = Scratch(spark, "pivots")
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = table.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("x"), is_query.alias("asks"))
+    rows = table.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).alias("x"), is_query.alias("asks"))
     common = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return spark.createDataFrame([], schema)
@@ -100,11 +102,11 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     def ordered(batches):
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                o = orders(x, axes, length).astype(np.int32)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                o = orders(x, axes, length).astype(np.int16)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(o) + 1, dtype=np.int32) * length), pa.array(o.ravel()))], names=["vid", "x", "asks", "o"])
 
-    index = tmp.save(rows.mapInArrow(ordered, "vid long, x array<double>, asks boolean, o array<int>").select("vid", F.col("x").cast("array<double>"), "asks", "o"))
+    index = tmp.save(rows.mapInArrow(ordered, f"vid long, x {rows.schema['x'].dataType.simpleString()}, asks boolean, o array<smallint>"))
     posted = lambda df, n: df.withColumn("pivot", F.explode(F.slice("o", 1, n)))
     # one row for each pivot at most
     files = {r.pivot: r["count"] for r in posted(index.select("o"), posts).groupBy("pivot").count().collect()}
@@ -112,7 +114,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     both = [(p, math.ceil(files[p] / block), math.ceil(asked[p] / QUERY_BLOCK)) for p in files if p in asked]
     if not both:
         return spark.createDataFrame([], schema)
-    splits = F.broadcast(spark.createDataFrame(both, "pivot int, blocks int, chunks int"))
+    splits = F.broadcast(spark.createDataFrame(both, "pivot smallint, blocks int, chunks int"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = posted(index, posts).join(splits, "pivot").select("pivot", F.pmod(F.xxhash64("vid"), F.col("blocks").cast("long")).cast("int").alias("block"), spread("chunks").alias("chunk"), "vid", "x", "o")
     # its own column names: both sides of the cogroup stem from the same table
@@ -128,13 +130,14 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         if left.num_rows and right.num_rows:
             qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
             q, x = _matrix(left["qx"], dim), _matrix(right["x"], dim)
-            rq = ranks(_matrix(left["qo"], length).astype(np.int64), count).astype(np.int16)
-            rx = ranks(_matrix(right["o"], length).astype(np.int64), count).astype(np.int16)
+            rq = ranks(_matrix(left["qo"], length).astype(np.int64), count)
+            rx = ranks(_matrix(right["o"], length).astype(np.int64), count)
             order = np.argsort(xid, kind="stable")
             xid, x, rx = xid[order], x[order], rx[order]
+            take = max(LEAST, math.ceil(rerank * len(xid)))
             for i in range(len(qid)):
-                foot = np.abs(rx - rq[i]).sum(axis=1)
-                pick = np.flatnonzero(foot <= np.partition(foot, rerank)[rerank]) if len(foot) > rerank else np.arange(len(foot))
+                foot = np.abs(rx - rq[i]).sum(axis=1, dtype=np.int32)
+                pick = np.flatnonzero(foot <= np.partition(foot, take)[take]) if len(foot) > take else np.arange(len(foot))
                 pick = pick[xid[pick] != qid[i]]
                 s = inner(q[i], x[pick])
                 best = np.lexsort((xid[pick], -s))[:k]

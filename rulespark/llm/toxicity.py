@@ -96,9 +96,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     other share one vote.
     """
     rows, n = votes.shape
-    weights = np.ones(n)
     fired = votes.mean(axis=0)
-    posterior = np.clip(prior * (votes.sum(axis=1) / max(1e-9, votes.sum(axis=1).mean())), 0.01, 0.99)
+    centred = votes - fired
+    spread = np.sqrt((centred**2).mean(axis=0)) + 1e-9
+    copies = (centred.T @ centred) / rows / np.outer(spread, spread) > 0.8
+    np.fill_diagonal(copies, False)
+    weights = 1 / (1.0 + copies.sum(axis=1))
+    total = votes @ weights
+    posterior = np.clip(prior * total / max(1e-9, total.mean()), 0.01, 0.99)
     rates = np.zeros((2, n))
     for step in range(rounds):
         for c, p in enumerate((1 - posterior, posterior)):

@@ -86,9 +86,10 @@ _kept: dict = {}
 def _counter(shared):
     def run(batches):
         score = shared.value
-        if _kept.get("key") != id(score):
+        key = hash(tuple(score.items()))
+        if _kept.get("key") != key:
             _kept.clear()
-            _kept["key"], _kept["of"] = id(score), {}
+            _kept["key"], _kept["of"] = key, {}
         for part in T.slices(batches):
             words, counts = [], []
             known: dict[str, int] = _kept["of"]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -181,9 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lift = F.log(share[1] / (sizes[1] + 1)) - F.log(share[0] / (sizes[0] + 1))
             counted = sample.mapInArrow(_mine, "term long, kind int, label int").groupBy("kind", "term").agg(lift.alias("lift"), F.count_if(F.col("label") == 1).alias("seen")).filter(f"seen >= {SUPPORT} and lift > 2.5")
             counted = counted.withColumn("gain", F.col("lift") * F.sqrt("seen"))
-            for kind in range(len(BEGINNINGS)):
-                for r in counted.filter(F.col("kind") == kind).orderBy(F.desc("gain"), "term").limit(MINED).collect():
-                    pairs.setdefault(r.term & 0xFFFFFFFFFFFFFFFF, len(set(pairs.values())))
+            best = Window.partitionBy("kind").orderBy(F.desc("gain"), "term")
+            mined = counted.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= MINED).select("kind", "n", "term")
+            # at most MINED of each kind
+            for r in sorted(mined.collect()):
+                pairs.setdefault(r.term & 0xFFFFFFFFFFFFFFFF, len(set(pairs.values())))
         terms = np.array(sorted(pairs), dtype=T.U64)
         voters = np.array([pairs[t] for t in sorted(pairs)], dtype=np.int64)
         width = int(voters.max()) + 1

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -409,19 +408,25 @@ def list_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that stand verbatim in documents: candidates share the first word trigram, the test is exact."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    # an item starts inside a word of the document in general, so the key leaves out the item's first and last word
-    inner = lambda w: F.slice(w, 2, 3)
+    """Items that stand verbatim in documents.
+
+    An item of five words or more shares its second to fourth word with the document as a run of whole
+    words, which is the join key; texts come in only for candidates. Shorter items are tested as
+    literals, a thousand at a time.
+    """
     split = lambda c: F.split(c, " ")
-    b = b.withColumn("w", split(F.col("needle"))).withColumn("key", F.when(F.size("w") >= 5, F.array_join(inner(F.col("w")), " ")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", split(F.col("text")))
-    keys = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " ")))).alias("key"))
-    hits = keys.join(b.filter("key is not null").select("item_id", "needle", "key"), "key").filter(F.contains("text", "needle")).select("doc_id", "item_id")
-    short = b.filter("key is null").select("item_id", "needle")
-    if short.isEmpty():
-        return hits.distinct()
-    return hits.union(d.select("doc_id", "text").join(short, F.contains("text", "needle")).select("doc_id", "item_id")).distinct()
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("w", split(F.col("needle")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
+    keys = d.select("doc_id", split(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    wanted = b.filter(F.size("w") >= 5).select("item_id", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    pairs = keys.join(wanted, "key").select("doc_id", "item_id").distinct()
+    hits = pairs.join(d, "doc_id").join(b.select("item_id", "needle"), "item_id").filter(F.contains("text", "needle")).select("doc_id", "item_id")
+    short = [(r.item_id, r.needle) for r in b.filter(F.size("w") < 5).select("item_id", "needle").toLocalIterator()]
+    for i in range(0, len(short), 1000):
+        found = F.array_compact(F.array(*[F.when(F.col("text").contains(n), F.lit(k)) for k, n in short[i : i + 1000]]))
+        hits = hits.union(d.select("doc_id", F.explode(found).alias("item_id")))
+    return hits
 
 
 @query(f"""

@@ -10,7 +10,7 @@ from rulespark.sources import files
 from rulespark.sources.sinks import Store, eval_report
 from rulespark.streaming import mirror
 
-RULES = "# Travel policy\nIf a trip costs more than 1,200 per year, staff must ask for approval; keep receipts.\n\n# Company holidays\n- New Year\n- May Day\n- Harvest Day\n- Founders Day\n\n# Chat\nthanks, bye\n"
+RULES = "# Travel policy\nIf a trip costs more than 1,200 per year, staff must ask for approval; keep receipts.\n\n# Days off\nCompany holidays:\n- New Year\n- May Day\n- Harvest Day\n- Founders Day\n\n# Chat\nthanks, bye\n"
 
 
 def inputs(spark, text=RULES, uri="file:///p.txt"):

@@ -87,7 +87,8 @@ def test_repeats_equal_brute_force(spark, length, gram):
 
 
 def test_kept_text_keeps_characters_whole(spark):
-    p = "".join(random.Random(1).choice("éñüöàç") for _ in range(60))
+    r = random.Random(1)
+    p = "".join(r.choice("éñüöàç") for _ in range(60))
     rows = [(1, "a" + p), (2, "bb" + p + "tail")]
     got = {x.row.doc_id: x.kept_text for x in remove_repeats(spark.createDataFrame([(d, t, "s") for d, t in rows], DOCS), with_text=True).collect()}
     assert got[1] == "a" + p and got[2].startswith("bb") and got[2].endswith("tail") and "�" not in got[2]

@@ -35,12 +35,11 @@ class Trie:
 
     def __init__(self, score: dict[str, float]):
         self.score = score
-        self.longest = max(map(len, score))
-        # pieces by their last character bound how far back a piece can start
-        self.back: dict[str, tuple[int, ...]] = {}
+        # the last two characters say how long a piece that ends there can be
         lengths: dict[str, set[int]] = {}
         for p in score:
-            lengths.setdefault(p[-1], set()).add(len(p))
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], set()).add(len(p))
         self.back = {c: tuple(sorted(n)) for c, n in lengths.items()}
         self.unknown = min(score.values()) - 10.0
         self.word = ""
@@ -55,25 +54,26 @@ class Trie:
                 break
             same += 1
         del path[same + 1 :]
-        score = self.score
+        score_of, back, unknown = self.score.get, self.back.get, self.unknown
         for end in range(same + 1, len(word) + 1):
             last = word[end - 1]
-            best = None
-            for n in self.back.get(last, ()):
-                if n > end:
-                    break
-                s = score.get(word[end - n : end])
-                if s is not None:
-                    before = path[end - n]
-                    now = (before[0] + s, before[1] - 1)
-                    if best is None or now > best:
-                        best = now
-            if best is None or last not in score:
+            before = path[end - 1]
+            s = score_of(last)
+            if s is None:
                 size = len(last.encode())
-                before = path[end - 1]
-                alone = (before[0] + self.unknown * size, before[1] - size)
-                if best is None or alone > best:
-                    best = alone
+                best = (before[0] + unknown * size, before[1] - size)
+            else:
+                best = (before[0] + s, before[1] - 1)
+            if end > 1:
+                for n in back(word[end - 2 : end], ()):
+                    if n > end:
+                        break
+                    s = score_of(word[end - n : end])
+                    if s is not None:
+                        before = path[end - n]
+                        now = (before[0] + s, before[1] - 1)
+                        if now > best:
+                            best = now
             path.append(best)
             self.computed += 1
         self.word = word

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,4 +43,5 @@ class Scratch:
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files of finished jobs

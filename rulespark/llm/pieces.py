@@ -2,11 +2,12 @@
 
 A text is cut before every space into pre-tokens that start with the space mark; no merge of the
 vocabulary crosses such a cut. In a pre-token the adjacent pair whose piece has the lowest id merges
-first, taken from an agenda; a candidate merge is skipped for good if a keyed hash of (seed, variant,
-place, piece) falls below the dropout rate. The variant of an occurrence is a keyed hash of document
-and place in it, one of ``VARIANTS``, so one word is cut in several ways while each way is computed
-once per task. Characters without a piece, and space marks that stand in the text, become bytes, so
-every segmentation decodes to the text it came from.
+first, taken from an agenda; a candidate merge is skipped for good if a keyed hash of (seed,
+occurrence, place, piece) falls below the dropout rate. An occurrence is a pre-token's place in its
+document, so each is cut by its own draws. Which merge comes next depends on the draws before it
+only: the ways a word was cut so far form a tree of draws, which all occurrences of a batch walk at
+once, and the agenda runs for ways that are not in it yet. Characters without a piece, and space
+marks that stand in the text, become bytes, so every segmentation decodes to the text it came from.
 """
 
 from __future__ import annotations
@@ -25,32 +26,44 @@ from .vocabulary import SPACE, Vocabulary
 
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 2
-#: Pre-tokens whose segmentations a worker keeps; when full it starts anew, with equal results.
+#: Segmentations that a worker keeps; when full it starts anew, with equal results.
 KEPT = 600_000
 _M = (1 << 64) - 1
 #: Stands for a space mark that is part of the text; no piece holds it, so it never merges.
 TEXT_MARK = "\udfff"
 
 
-def lane(seed: int, variant: int) -> int:
-    """The key of one variant."""
-    h = (seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F + 1) & _M
+_PLACE, _PIECE = 0x165667B19E3779F9, 0x27D4EB2F165667C5
+
+
+def lane(seed: int, occurrence: int) -> int:
+    """The key of one occurrence."""
+    h = (seed * 0x9E3779B97F4A7C15 + occurrence * 0xC2B2AE3D27D4EB4F + 1) & _M
     h ^= h >> 31
     return h * 0xFF51AFD7ED558CCD & _M
 
 
-def keyed(key: int, place: int, piece: int) -> int:
-    """32 bits from the key and the candidate merge."""
-    h = (key + place * 0x165667B19E3779F9 + piece * 0x27D4EB2F165667C5) & _M
+def lanes(seed: int, occurrences: np.ndarray) -> np.ndarray:
+    """``lane`` of many occurrences."""
+    h = occurrences * T.U64(0xC2B2AE3D27D4EB4F) + T.U64((seed * 0x9E3779B97F4A7C15 + 1) & _M)
+    h ^= h >> T.U64(31)
+    return h * T.U64(0xFF51AFD7ED558CCD)
+
+
+def keyed(key: int, term: int) -> int:
+    """32 bits from the key and the term of a candidate merge."""
+    h = (key + term) & _M
     h ^= h >> 32
     h = h * 0xC4CEB9FE1A85EC53 & _M
     return (h ^ h >> 29) >> 32 & 0xFFFFFFFF
 
 
-def segment(token: str, vocabulary: Vocabulary, dropout: float, seed: int, variant: int) -> list[int]:
-    """Ids of one pre-token; ``token`` starts with a space that stands for the mark."""
-    rank_of, limit, key = vocabulary.ranks.get, int(dropout * (1 << 32)), lane(seed, variant)
+def segment(token: str, vocabulary: Vocabulary, dropout: float, seed: int, occurrence: int, drawn: list[tuple[int, bool]] | None = None) -> list[int]:
+    """Ids of one pre-token; ``token`` starts with a space that stands for the mark.
+
+    The draws, as (term, skipped), are appended to ``drawn``.
+    """
+    rank_of, limit, key = vocabulary.ranks.get, int(dropout * (1 << 32)), lane(seed, occurrence)
     symbols = [SPACE, *(token[1:] if SPACE not in token else token[1:].replace(SPACE, TEXT_MARK))]
     n = len(symbols)
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -65,8 +78,13 @@ def segment(token: str, vocabulary: Vocabulary, dropout: float, seed: int, varia
         rank, a, b, joined = heappop(agenda)
         if right[a] != b or symbols[a] + symbols[b] != joined:
             continue
-        if limit and keyed(key, a << 20 | b - a, rank) < limit:
-            continue
+        if limit:
+            term = ((a << 20 | b - a) * _PLACE + rank * _PIECE) & _M
+            skipped = keyed(key, term) < limit
+            if drawn is not None:
+                drawn.append((term, skipped))
+            if skipped:
+                continue
         symbols[a], symbols[b] = joined, ""
         right[a] = c = right[b]
         right[b] = -2
@@ -100,50 +118,133 @@ def decode(ids: np.ndarray, table: list[bytes]) -> str:
     return data[1:].decode("utf-8", "replace")
 
 
+class Cuts:
+    """The segmentations met so far, as a tree of draws for each word.
+
+    A child is a draw from 0 on, ``UNMET``, or the segmentation ``ids[UNMET - child]``.
+    """
+
+    UNMET = -1
+
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
+        self.vocabulary, self.dropout, self.seed, self.limit = vocabulary, dropout, seed, int(dropout * (1 << 32))
+        self.clear()
+
+    def clear(self) -> None:
+        self.word_at: dict[str, int] = {}
+        self.roots = np.full(1 << 10, self.UNMET, np.int64)
+        self.terms = np.zeros(1 << 10, T.U64)
+        #: Of draw n the child if it merges at 2n, the child if it is skipped at 2n + 1.
+        self.children = np.full(1 << 11, self.UNMET, np.int64)
+        self.draws = 0
+        #: The first has no code of its own; the second stands for words that are not kept.
+        self.ids: list[bytes] = [b"", b""]
+
+    def size(self) -> int:
+        return len(self.ids) + self.draws // 4
+
+    def _fresh(self, word: str, occurrence: int, drawn: list | None) -> bytes:
+        return array("i", segment(" " + word, self.vocabulary, self.dropout, self.seed, occurrence, drawn)).tobytes()
+
+    def _grow(self, path: list[tuple[int, bool]], w: int, ids: bytes) -> int:
+        """Adds one path of draws; the code of its segmentation."""
+        if self.draws + len(path) > len(self.terms):
+            more = len(self.terms) + len(path)
+            self.terms = np.concatenate([self.terms, np.zeros(more, T.U64)])
+            self.children = np.concatenate([self.children, np.full(2 * more, self.UNMET, np.int64)])
+        table, edge = self.roots, w
+        for term, skipped in path:
+            n = int(table[edge])
+            if n == self.UNMET:
+                n = self.draws
+                self.draws += 1
+                self.terms[n] = term
+                table[edge] = n
+            table, edge = self.children, 2 * n + skipped
+        self.ids.append(ids)
+        code = self.UNMET - (len(self.ids) - 1)
+        table[edge] = code
+        return code
+
+    def cut(self, words: list[str], occurrences: np.ndarray) -> list[bytes]:
+        """The ids of each word under the draws of its occurrence."""
+        long = {i: self._fresh(w, int(occurrences[i]), None) for i, w in enumerate(words) if len(w) > 64}
+        known = self.word_at
+        which = list(map(known.get, words))
+        if None in which:
+            for i, w in enumerate(which):
+                if w is None:
+                    which[i] = 0 if i in long else known.setdefault(words[i], len(known))
+        which = np.array(which, np.int64)
+        if len(known) > len(self.roots):
+            self.roots = np.concatenate([self.roots, np.full(len(known), self.UNMET, np.int64)])
+        keys = lanes(self.seed, occurrences)
+        at = self.roots[which]
+        edge = -1 - which
+        if long:
+            at[list(long)] = self.UNMET - 1
+        live = np.flatnonzero(at >= 0)
+        while True:
+            while len(live):
+                n = at[live]
+                h = keys[live] + self.terms[n]
+                h ^= h >> T.U64(32)
+                h *= T.U64(0xC4CEB9FE1A85EC53)
+                h ^= h >> T.U64(29)
+                to = 2 * n + ((h >> T.U64(32)) < T.U64(self.limit))
+                edge[live] = to
+                at[live] = to = self.children[to]
+                live = live[to >= 0]
+            unmet = np.flatnonzero(at == self.UNMET)
+            if not len(unmet):
+                break
+            # one occurrence for each missing child finds it, the others go on from there
+            for i in unmet[np.unique(edge[unmet], return_index=True)[1]].tolist():
+                path: list[tuple[int, bool]] = []
+                ids = self._fresh(words[i], int(occurrences[i]), path)
+                at[i] = self._grow(path, int(which[i]), ids)
+            unmet = unmet[at[unmet] == self.UNMET]
+            e = edge[unmet]
+            at[unmet] = np.where(e < 0, self.roots[np.maximum(-1 - e, 0)], self.children[np.maximum(e, 0)])
+            live = unmet[at[unmet] >= 0]
+        out = list(map(self.ids.__getitem__, (self.UNMET - at).tolist()))
+        for i, ids in long.items():
+            out[i] = ids
+        return out
+
+
 _kept: dict = {}
 
 
-def _encoder(shared, dropout: float, seed: int, variants: int, check: bool):
+def _encoder(shared, dropout: float, seed: int, with_ids: bool, digests: bool, lossless: bool):
     def run(batches):
         vocabulary: Vocabulary = shared.value
         table = vocabulary.as_bytes()
-        key = (hash(vocabulary.pieces), dropout, seed, variants)
+        key = (hash(vocabulary.pieces), dropout, seed)
         if _kept.get("key") != key:
             _kept.clear()
             _kept["key"] = key
-            _kept["of"] = [{} for _ in range(variants)]
+            _kept["cuts"] = Cuts(vocabulary, dropout, seed)
+        cuts: Cuts = _kept["cuts"]
         for part in T.slices(batches):
             keys = T.mix(part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(T.U64) + T.U64(seed & _M))
-            arrays, good, sums, back = [], [], [], []
-            for own, text in zip(keys, part.column(2).to_pylist(), strict=True):
-                if not text:
-                    arrays.append(np.zeros(0, np.int32))
-                else:
-                    words = text.split(" ")
-                    which = (T.mix(own + np.arange(len(words), dtype=T.U64)) % T.U64(variants)).tolist() if dropout else [0] * len(words)
-                    caches = _kept["of"]
-                    out = [c.get(w) for c, w in zip(map(caches.__getitem__, which), words, strict=True)]
-                    if None in out:
-                        for i, got in enumerate(out):
-                            if got is None:
-                                word, own_cache = words[i], caches[which[i]]
-                                got = own_cache.get(word)
-                                if got is None:
-                                    got = array("i", segment(" " + word, vocabulary, dropout, seed, which[i])).tobytes()
-                                    if len(word) <= 64:
-                                        own_cache[word] = got
-                                out[i] = got
-                        if sum(map(len, caches)) > KEPT:
-                            for c in caches:
-                                c.clear()
-                    arrays.append(np.frombuffer(b"".join(out), dtype=np.int32))
-                if check:
-                    plain = decode(arrays[-1], table) if text else ""
-                    good.append(plain == (text or ""))
-                    sums.append(hashlib.sha256(arrays[-1].tobytes()).hexdigest())
-                    back.append(hashlib.sha256(plain.encode()).hexdigest())
+            texts = part.column(2).to_pylist()
+            words = [t.split(" ") if t else [] for t in texts]
+            ends = np.cumsum([len(w) for w in words])
+            places = np.arange(ends[-1], dtype=T.U64) - np.repeat(ends - [len(w) for w in words], [len(w) for w in words]).astype(T.U64)
+            cut = cuts.cut([w for own in words for w in own], T.mix(np.repeat(keys, [len(w) for w in words]) + places))
+            if cuts.size() > KEPT:
+                cuts.clear()
+            arrays = [np.frombuffer(b"".join(cut[b - len(w) : b]), dtype=np.int32) for w, b in zip(words, ends.tolist(), strict=True)]
             cols = {"row": part.column(0), "n_tokens": pa.array([len(a) for a in arrays], pa.int64())}
-            cols |= {"ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(back, pa.string()), "lossless": pa.array(good, pa.bool_())} if check else {"ids": T.lists(arrays, pa.int32())}
+            if with_ids:
+                cols["ids"] = T.lists(arrays, pa.int32())
+            plain = [decode(a, table) if len(a) else "" for a in arrays] if digests or lossless else []
+            if digests:
+                cols["ids_sha256"] = pa.array([hashlib.sha256(a.tobytes()).hexdigest() for a in arrays], pa.string())
+                cols["decoded_sha256"] = pa.array([hashlib.sha256(p.encode()).hexdigest() for p in plain], pa.string())
+            if lossless:
+                cols["lossless"] = pa.array([p == (t or "") for p, t in zip(plain, texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
@@ -153,8 +254,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """(row, n_tokens, ids) for every row; ``row`` is the input row.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, decoded: bool = False) -> DataFrame:
+    """(row, n_tokens, ids) for every row; ``row`` is the input row. ``decoded`` decodes again and adds ``lossless``.
 
     A null or empty text has no ids. The segmentation depends on seed, id and text only: repeated
     rows are cut alike, and a null id counts as -1. Texts of any length are encoded whole. Extra
@@ -162,14 +263,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     src = _source(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    return src.mapInArrow(_encoder(shared, dropout, seed, variants, False), f"row {src.schema['row'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return src.mapInArrow(_encoder(shared, dropout, seed, True, False, decoded), f"row {src.schema['row'].dataType.simpleString()}, n_tokens long, ids array<int>" + ", lossless boolean" * decoded)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(row, n_tokens, ids_sha256, decoded_sha256, lossless): ``encode`` then ``decode``, as digests."""
     src = _source(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    return src.mapInArrow(_encoder(shared, dropout, seed, variants, True), f"row {src.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return src.mapInArrow(_encoder(shared, dropout, seed, False, True, True), f"row {src.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
 
 def decode_table(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -> DataFrame:

@@ -38,6 +38,17 @@ def test_round_trip_is_lossless_and_varies(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(TEXTS))
 
 
+def test_each_occurrence_is_cut_by_its_own_draws(spark, vocabulary):
+    words = ["winterwonderland", "the", "naïveté", "", "q" * 70]
+    text = " ".join(words * 200)
+    row = pieces.encode(frame(spark, ["first", text]), dropout=0.3, decoded=True).collect()[1]
+    own = pieces.T.mix(np.array([1 + pieces.SEED], np.uint64))
+    keys = pieces.T.mix(own + np.arange(len(words) * 200, dtype=np.uint64)).tolist()
+    cuts = [pieces.segment(" " + words[i % 5], vocabulary, 0.3, pieces.SEED, k) for i, k in enumerate(keys)]
+    assert row.ids == [x for c in cuts for x in c] and row.lossless
+    assert len(set(map(tuple, cuts[::5]))) > 10
+
+
 def test_without_dropout_equals_the_library(spark, vocabulary):
     import sentencepiece
     from rulespark.llm.vocabulary import default_path

@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are lower-cased runs of letters and digits. A text becomes a candidate for an item if they
-share a run of ``SEED`` tokens (the whole item, if it is shorter); the running Karp-Rabin hashes of
-the items' runs are the join table. For each candidate pair the longest common runs of unmarked
+Tokens are lower-cased runs of letters and digits. The running Karp-Rabin hashes of the items' runs
+of ``MIN_MATCH`` tokens (the whole item, if it is shorter) are the join table. A tile consists of such
+runs, so no tiling marks more of an item than its shared runs cover; a pair whose cover is below
+``COVERAGE`` is left out. For each other pair the longest common runs of unmarked
 tokens are marked again and again, longest first, until none has ``MIN_MATCH`` tokens, so passages
 whose sentences were moved are still covered. The share of the item's tokens that is marked is its
 coverage.
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-SEED = 5
 MIN_MATCH = 3
 COVERAGE = 0.8
+#: Places of shared runs that are sorted at once; one text's places are never cut.
+PLACES = 2_000_000
 #: Characters of benchmark text that are sent to the tasks at once; a larger benchmark takes several passes.
 BROADCAST_CHARS = 16_000_000
 
@@ -82,35 +84,61 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list[
     return tiles
 
 
-def _pairs(items: list[tuple[int, str]], seed: int, min_match: int, coverage: float):
-    flat, first = tokens(pa.array([t for _, t in items], pa.string()))
-    parts = [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    # each seed length needs its own pass over the grams: SEED, and shorter ones for shorter items
+def _covered(doc: np.ndarray, at: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, tokens) that runs of k tokens from places ``at`` of the joined items cover; rows may repeat."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    item = owner[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    size = np.full(len(at), k)
+    size[:-1] = np.where(new[1:], k, np.minimum(k, at[1:] - at[:-1]))
+    first = np.flatnonzero(new)
+    return doc[first], item[first], np.add.reduceat(size, first)
+
+
+def _pairs(items: list[tuple[int, str]], min_match: int, coverage: float):
+    flat, bounds = tokens(pa.array([t for _, t in items], pa.string()))
+    lengths = np.diff(bounds)
+    parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    owner = np.repeat(np.arange(len(parts)), lengths)
+    # each run length needs its own pass over the grams: min_match, and shorter ones for shorter items
+    run_length = np.minimum(max(1, min_match), lengths)
     tables = {}
-    for k in sorted({min(seed, len(p)) for p in parts if len(p)}):
-        keys, owners = [], []
-        for n, p in enumerate(parts):
-            if len(p) and min(seed, len(p)) == k:
-                g = T.grams(p, k)
-                keys.append(g)
-                owners.append(np.full(len(g), n))
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
+    for k in np.unique(run_length[lengths > 0]).tolist():
+        g = T.grams(flat, k)
+        of = owner[: len(g)]
+        places = np.flatnonzero((run_length[of] == k) & (np.arange(len(g)) + k <= bounds[1:][of]))
+        keys = g[places]
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
         one, start = np.unique(keys, return_index=True)
-        tables[k] = (T.Lookup(one), start, np.append(start[1:], len(keys)), owners)
+        tables[k] = (T.Lookup(one), start, np.append(start[1:], len(keys)), places)
 
     def run(batches):
         for part in T.slices(batches):
             words, first = tokens(part.column(1))
             ends = first[1:]
-            found: set[tuple[int, int]] = set()
-            for k, (lookup, low, high, owners) in tables.items():
+            found: list[tuple[int, int]] = []
+            for k, (lookup, low, high, places) in tables.items():
                 at, key = lookup.find(T.grams(words, k))
                 doc = np.searchsorted(first, at, side="right") - 1
                 inside = at + k <= ends[doc]
-                for d, j in set(zip(doc[inside].tolist(), key[inside].tolist(), strict=True)):
-                    found.update((d, n) for n in set(owners[low[j] : high[j]].tolist()))
+                shared = np.unique(doc[inside] * len(low) + key[inside])
+                doc, key = shared // len(low), shared % len(low)
+                many = high[key] - low[key]
+                # whole texts, about PLACES places at a time
+                total = np.cumsum(many)
+                a = 0
+                while a < len(doc):
+                    b = int(np.searchsorted(total, (total[a - 1] if a else 0) + PLACES, side="right"))
+                    b = int(np.searchsorted(doc, doc[max(a, b - 1)], side="right"))
+                    n = many[a:b]
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    d, i, covered = _covered(np.repeat(doc[a:b], n), places[np.repeat(low[key[a:b]], n) + step], owner, k)
+                    enough = covered >= coverage * lengths[i] - 1e-9
+                    found.extend(zip(d[enough].tolist(), i[enough].tolist(), strict=True))
+                    a = b
             rows = []
             for d, n in sorted(found):
                 tiles = tile(words[first[d] : first[d + 1]], parts[n], min_match)
@@ -128,7 +156,7 @@ def _pairs(items: list[tuple[int, str]], seed: int, min_match: int, coverage: fl
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, item_tokens, matched_tokens, coverage, tiles) of every pair that reaches ``coverage``.
 
     Null or tokenless texts and items match nothing; null ids stay null in the result. Repeated rows
@@ -145,6 +173,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for i in range(passes):
         mine = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
         rows = [(r.item_id, r.text) for r in mine.collect()]
-        found = src.mapInArrow(_pairs(rows, seed, min_match, coverage), kind)
+        found = src.mapInArrow(_pairs(rows, min_match, coverage), kind)
         out = found if i == 0 else out.union(found)
     return out

@@ -98,6 +98,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == []
 
 
+def test_contaminated_equals_tiling_of_all_pairs(spark):
+    r = random.Random(5)
+    w = [f"w{i}" for i in range(20)]
+    moved = [x for i in (16, 8, 0, 12, 4) for x in w[i : i + 4]]
+    edited = [f"x{i}" if i in (5, 10, 15) else x for i, x in enumerate(w[:19])]
+    items = [" ".join(w), " ".join(w[:19]), "", "w1 w2", "w7"]
+    texts = [" ".join(moved), " ".join(edited), "w2 w1", "w1 w2", None]
+    for _ in range(40):
+        items.append(" ".join(r.choice("abcde") for _ in range(r.randrange(1, 16))))
+        texts.append(" ".join(r.choice("abcde") for _ in range(r.randrange(0, 40))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.matched_tokens for x in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    hashed = lambda t: decontaminate.tokens(decontaminate.pa.array([t]))[0]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            whole, part = hashed(text or ""), hashed(item)
+            n = sum(t[2] for t in decontaminate.tile(whole, part)) if len(part) else 0
+            if len(part) and n >= 0.8 * len(part) - 1e-9:
+                want[d, i] = n
+    assert got == want and want[0, 0] == 20 and want[1, 1] == 16
+
+
 def test_tiles_equal_plain_greedy_tiling():
     r = random.Random(3)
 

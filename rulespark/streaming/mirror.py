@@ -13,7 +13,7 @@ EVENT = "event_id string, policy_id string, batch_id string, event_type string,
 
 
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events once by id; state older than the watermark is dropped."""
+    """Events once by id; state older than the watermark is dropped, and so are events that are."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -21,11 +21,14 @@ def counts(events: DataFrame, window: str = "1 hour", delay: str = "1 hour") ->
     return events.withWatermark("event_time", delay).groupBy(F.window("event_time", window), "event_type").agg(F.count("*").alias("n"))
 
 
-def start(events: DataFrame, store: Store, checkpoint: str, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
-    """Append events and rewrite the latest state of each policy; a batch that comes twice changes nothing."""
+def start(events: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append events and rewrite the latest state of each policy; a batch that comes twice changes nothing.
+
+    An event is never too late: repeats go within a batch and by the ids the store has, without a watermark.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        df = df.persist()
+        df = df.dropDuplicates(["event_id"]).persist()
         store.insert_absent("policy_events", df, "event_id")
         have = store.read("policies_current")
         seen = current_state(df)
@@ -36,5 +39,5 @@ def start(events: DataFrame, store: Store, checkpoint: str, delay: str = "1 hour
             store.rewrite("policies_current", seen)
         df.unpersist()
 
-    writer = deduplicated(events, delay).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

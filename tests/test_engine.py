@@ -146,6 +146,15 @@ def test_mirror(spark, tmp_path):
     assert [(r.policy_id, r.payload_json) for r in store.read("policies_current").collect()] == [("p", "{2}")]
 
 
+def test_mirror_keeps_late_events(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/out")
+    for i, (event, hour) in enumerate([("1", 9), ("2", 10), ("3", 4), ("3", 4)]):
+        spark.createDataFrame([(event, "p", "b", "changed", f"2024-01-01 {hour:02d}:00:00", "{%s}" % event)], "event_id string, policy_id string, batch_id string, event_type string, event_time string, payload_json string").withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        mirror.start(spark.readStream.schema(mirror.EVENT).parquet(f"file://{tmp_path}/in"), store, f"file://{tmp_path}/cp").awaitTermination(120)
+    assert sorted(r.event_id for r in store.read("policy_events").collect()) == ["1", "2", "3"]
+    assert [r.payload_json for r in store.read("policies_current").collect()] == ["{2}"]
+
+
 def test_rename_is_atomic(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "topic string")
     out, changed = ingest.renamed(df, "topic", spark.createDataFrame([("a", "b"), ("b", "c")], "original string, canonical string"))

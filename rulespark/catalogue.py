@@ -450,10 +450,10 @@ def admin_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'invalid candidate contract: publishable is missing' WHEN l.quality = 0 THEN 'chunk flagged non-publishable'
   WHEN d.n_chars / 4000 < 0.5 THEN 'confidence below threshold (' || printf('%.2f', least(1.0, d.n_chars / 4000)) || ')' WHEN l.toxic = 1 THEN 'missing meaningful structured fields' END AS reason
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars % 20 = 0
+FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("n_chars % 20 = 0").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     none = F.lit(None).cast("string")
     topic = F.when(F.coalesce("toxic", F.lit(0)) == 0, "x")
     c = F.struct(F.col("doc_id").cast("string").alias("candidate_id"), (F.col("quality") == 1).alias("publishable"), F.least(F.lit(1.0), F.col("n_chars") / 4000).alias("confidence"), topic.alias("topic"), none.alias("subtopic"), none.alias("condition_text"), none.alias("action_text"), none.alias("recommendation_text"), none.alias("summary"), none.alias("reason_if_not_publishable"))

@@ -39,3 +39,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["char_chunks", "entity_extract", "list_extract", "ocr_merge_lines", "gap_examples"])
 def test_others_have_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() >= (0 if name == "entity_extract" else 1)
+
+
+def test_publish_gate_judges_every_document(spark):
+    got, docs = entry.queries()["publish_gate"](spark, SF), spark.read.parquet(f"{SF}/documents.parquet")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())

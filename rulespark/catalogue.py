@@ -475,11 +475,15 @@ def page_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) >= 2))::INT AS solid,
-  len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) >= 2 AND contains(trim(regexp_replace(left(text, 600), '\\s+', ' ', 'g')), trim(regexp_replace(x, '\\s+', ' ', 'g')))))::INT AS covered FROM documents
+SELECT doc_id, len(solid)::INT AS solid, len(list_filter(solid, lambda x: contains(merged, x)))::INT AS covered FROM (
+  SELECT doc_id, list_filter(lines, lambda x: length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) >= 2) AS solid,
+    trim(regexp_replace(array_to_string(list_filter(lines, lambda x: NOT (x = '' OR regexp_matches(x, '(?i)^page\\s+\\d+\\s*(\\|\\s*\\d+)?$') OR regexp_matches(x, '^[\\d\\s|/:.-]+$') OR len(string_split(x, ' ')) < 4)), ' '), '\\s+', ' ', 'g')) AS merged
+  FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS lines FROM documents))
 """)
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.solid_lines(F.col("text"))).alias("solid"), X.covered_lines(F.col("text"), F.substring("text", 1, 600)).alias("covered"))
+    """Solid lines of each text, and how many its whole text holds after the noise lines went."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.quiet_lines(F.col("text")).alias("merged"))
+    return d.select("doc_id", F.size(X.solid_lines(F.col("text"))).alias("solid"), X.covered_lines(F.col("text"), F.col("merged")).alias("covered"))
 
 
 _OCR = [(1, "alpha line\nbeta line", "alpha line\nnew line"), (2, "", "only ocr"), (3, "only page", None), (4, "same", "same"), (5, "a b", "\nc d\n\n a b \ne")]

@@ -230,8 +230,8 @@ def solid_lines(text: Column) -> Column:
 
 
 def covered_lines(source: Column, merged: Column) -> Column:
-    flat = collapse(merged)
-    return F.size(F.filter(solid_lines(source), lambda x: flat.contains(x)))
+    # an element of an array is computed once, not for each line
+    return F.get(F.transform(F.array(collapse(merged)), lambda flat: F.size(F.filter(solid_lines(source), lambda x: flat.contains(x)))), F.lit(0))
 
 
 def required_tokens(text: Column) -> Column:

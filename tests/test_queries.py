@@ -44,3 +44,10 @@ def test_others_have_rows(spark, name):
 def test_publish_gate_judges_every_document(spark):
     got, docs = entry.queries()["publish_gate"](spark, SF), spark.read.parquet(f"{SF}/documents.parquet")
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_line_coverage_holds_lines_against_the_whole_text(spark):
+    got = {r.doc_id: r for r in entry.queries()["line_coverage"](spark, SF).collect()}
+    texts = {r.doc_id: [" ".join(x.split()) for x in r.text.split("\n")] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text.isascii()}
+    solid = {i: [x for x in t if sum(c.isalnum() for c in x) >= 2 and len(x.split(" ")) >= 4] for i, t in texts.items()}
+    assert solid and all(got[i].covered >= len([x for x in s if not set(x) <= set("0123456789 |/:.-") and not x.lower().startswith("page")]) for i, s in solid.items())

@@ -64,3 +64,36 @@ def best_count(word, score, unknown):
             options.append((best[e - 1][0] + unknown * n, best[e - 1][1] - n))
         best[e] = max(options)
     return -best[-1][1]
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & M64
+    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & M64
+    return h ^ h >> 33
+
+
+def plain_cut(word, ranks, dropout, seed, doc_id, place):
+    """Pieces of one pre-token: of all adjacent pairs not yet skipped the lowest id merges, unless its draw skips it."""
+    occurrence = mixed(mixed((doc_id + seed) & M64) + place & M64)
+    key = (seed * 0x9E3779B97F4A7C15 + occurrence * 0xC2B2AE3D27D4EB4F + 1) & M64
+    key = (key ^ key >> 31) * 0xFF51AFD7ED558CCD & M64
+    # a space mark of the text has no piece
+    parts = [(i, c if i else "\u2581") for i, c in enumerate([" ", *word.replace("\u2581", "\ue000")])]
+    skipped = set()
+    while True:
+        options = []
+        for (a, x), (b, y) in zip(parts, parts[1:]):
+            if x + y in ranks and (a, b, x, y) not in skipped:
+                options.append((ranks[x + y], a, b, x, y))
+        if not options:
+            return [x.replace("\ue000", "\u2581") if "\ue000" in x else x for _, x in parts]
+        rank, a, b, x, y = min(options)
+        h = (key + (a << 20 | b - a) * 0x165667B19E3779F9 + rank * 0x27D4EB2F165667C5) & M64
+        h = (h ^ h >> 32) * 0xC4CEB9FE1A85EC53 & M64
+        if (h ^ h >> 29) >> 32 < int(dropout * (1 << 32)):
+            skipped.add((a, b, x, y))
+            continue
+        parts = [(i, x + y if i == a else t) for i, t in parts if i != b]

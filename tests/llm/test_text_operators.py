@@ -38,15 +38,35 @@ def test_round_trip_is_lossless_and_varies(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(TEXTS))
 
 
-def test_each_occurrence_is_cut_by_its_own_draws(spark, vocabulary):
-    words = ["winterwonderland", "the", "naïveté", "", "q" * 70]
-    text = " ".join(words * 200)
-    row = pieces.encode(frame(spark, ["first", text]), dropout=0.3, decoded=True).collect()[1]
-    own = pieces.T.mix(np.array([1 + pieces.SEED], np.uint64))
-    keys = pieces.T.mix(own + np.arange(len(words) * 200, dtype=np.uint64)).tolist()
-    cuts = [pieces.segment(" " + words[i % 5], vocabulary, 0.3, pieces.SEED, k) for i, k in enumerate(keys)]
-    assert row.ids == [x for c in cuts for x in c] and row.lossless
-    assert len(set(map(tuple, cuts[::5]))) > 10
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.4, 1.0])
+def test_cuts_equal_a_plain_agenda(spark, vocabulary, dropout):
+    r = random.Random(4)
+    words = ["winterwonderland", "the", "naïveté", "", "q" * 70, "abc" * 40, "x▁y", "日本語", "\x00", "😀" * 3, "unbelievable"]
+    texts = TEXTS[:-2] + [" ".join(r.choice(words) for _ in range(r.randrange(1, 30))) for _ in range(30)] + ["the " * 50 + "z" * 64 + " " + "y" * 65]
+    texts = [t if t is None else t[:900] for t in texts]
+    got = {x.row.doc_id: x for x in pieces.encode(frame(spark, texts), dropout=dropout, decoded=True).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for place, w in enumerate(t.split(" ") if t else []):
+            for j, p in enumerate(B.plain_cut(w, vocabulary.ranks, dropout, pieces.SEED, i, place)):
+                if p in vocabulary.ranks and not (j and p == "▁"):
+                    want.append(vocabulary.ranks[p])
+                else:
+                    want.extend(vocabulary.bytes_at[x] for x in p.encode())
+        assert got[i].ids == want and got[i].lossless, t
+
+
+def test_each_occurrence_has_its_own_draws(spark):
+    row = pieces.encode(frame(spark, ["winterwonderland"] * 200 + [" ".join(["winterwonderland"] * 200)]), dropout=0.3).collect()
+    assert len({tuple(x.ids) for x in row[:200]}) > 10
+    assert len(row[200].ids) > 200 and row[0].ids == row[0].ids
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "some words here", "r", 1.0), (1, "some words here", "r", 1.0), (None, "some words", "r", 1.0), (None, None, "r", 1.0)], DOCS)
+    got = pieces.encode(docs, dropout=0.5).collect()
+    assert got[0].ids == got[1].ids and len(got) == 4 and got[3].ids == []
+    assert pieces.encode(docs.limit(0)).collect() == [] and pieces.round_trip(docs.limit(0)).collect() == []
 
 
 def test_without_dropout_equals_the_library(spark, vocabulary):

@@ -89,9 +89,32 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 ALNUM[128:] = True
 
 
-def word_bounds(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte bounds of the words, and per text the index of its first word."""
-    inside = table[buf]
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Which UTF-8 bytes belong to letters or digits: ``ALNUM`` without the punctuation outside ASCII.
+
+    That is U+0080 to U+00BF but for the three letters there, U+00D7, U+00F7, U+2000 to U+206F,
+    U+3000 to U+303F and U+FF00 to U+FF0F.
+    """
+    inside = ALNUM[buf]
+    lead = np.flatnonzero(buf >= 0xC2)
+    lead = lead[lead + 1 < len(buf)]
+    a, b = buf[lead], buf[lead + 1]
+    two = lead[((a == 0xC2) & (b != 0xAA) & (b != 0xB5) & (b != 0xBA)) | ((a == 0xC3) & ((b == 0x97) | (b == 0xB7)))]
+    inside[two] = inside[two + 1] = False
+    rest = lead[((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)) | ((a == 0xEF) & (b == 0xBC))]
+    rest = rest[rest + 2 < len(buf)]
+    three = rest[(buf[rest] != 0xE2) | (buf[rest + 1] == 0x80) | (buf[rest + 2] < 0xB0)]
+    three = three[(buf[three] != 0xEF) | (buf[three + 2] < 0x90)]
+    inside[three] = inside[three + 1] = inside[three + 2] = False
+    return inside
+
+
+def word_bounds(buf: np.ndarray, offs: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte bounds of the words, and per text the index of its first word.
+
+    Word bytes are those of ``table``, or by default ``letters``.
+    """
+    inside = letters(buf) if table is None else table[buf]
     edges = offs[(offs > 0) & (offs < len(buf))]
     before = np.empty_like(inside)
     before[:1] = False

@@ -141,6 +141,45 @@ def test_contaminated_equals_tiling_of_all_pairs(spark):
     assert got == want and want[0, 0] == 20 and want[1, 1] == 16
 
 
+def test_clean_judges_rows_not_ids(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, "x " + item, "a", 1.0), (None, "clean text", "b", 1.0), (7, item, "c", 1.0), (7, "also clean", "d", 1.0), (8, None, "e", 1.0), (8, "", "f", 1.0), (7, "also clean", "d", 1.0)]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = decontaminate.clean(spark.createDataFrame(rows, DOCS), bench)
+    assert got.columns == ["doc_id", "text", "row", "score"]
+    assert sorted((str(r.doc_id), r.row) for r in got.collect()) == [("7", "d"), ("7", "d"), ("8", "e"), ("8", "f"), ("None", "b")]
+    assert decontaminate.clean(spark.createDataFrame(rows, DOCS), bench.limit(0)).count() == 7
+    assert decontaminate.clean(spark.createDataFrame([], DOCS), bench).collect() == []
+
+
+def test_repeated_and_null_items_and_rows(spark):
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "alpha beta gamma delta", "r", 1.0)] * 2, DOCS)
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert len(got) == 6 and all(r.doc_id is None and r.coverage == 1.0 for r in got) and {r.item_id for r in got} == {None, 1}
+
+
+def test_typographic_marks_part_tokens(spark):
+    item = "the quick brown fox jumps over the lazy dog"
+    docs = frame(spark, ["“" + item.replace(" ", "” – “") + "”", "the\u00a0quick—brown…fox\u2009jumps over «the» lazy dog", "thé quick brôwn fóx jümps över"])
+    assert {r.doc_id for r in decontaminate.contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()} == {0, 1}
+    words = lambda t: len(decontaminate.tokens(decontaminate.pa.array([t]))[0])
+    assert [words(x) for x in ("naïve café", "ªµº", "a×b", "日本、語", "a\u2071b", "ａ！ｂ", "", "—", "x\u206fy")] == [2, 1, 2, 2, 1, 2, 0, 0, 2]
+
+
+def test_repetitive_texts_tile_in_little_memory():
+    n = 800
+    assert decontaminate.tile(np.full(10 * n, 7, np.uint64), np.full(n, 7, np.uint64)) == [(0, 0, n)]
+    item = np.tile(np.array([1, 2], np.uint64), 300)
+    assert sum(t[2] for t in decontaminate.tile(np.concatenate([item[:200], [9], item[:250]]).astype(np.uint64), item)) == 450
+
+
+def test_runs_join_across_blocks(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PLACES", 3)
+    item, doc = np.arange(40, dtype=np.uint64), np.concatenate([np.arange(5, 30), np.arange(0, 9)]).astype(np.uint64)
+    assert decontaminate.common_runs(doc, item, 3).tolist() == [[25, 5, 0], [9, 0, 25]]
+
+
 def test_tiles_equal_plain_greedy_tiling():
     r = random.Random(3)
 

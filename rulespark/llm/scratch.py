@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: str | None = None
+_roots: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, as in local tests, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``. Only a local master, as in tests, may do without: a temporary folder."""
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="rulespark-")
+        atexit.register(shutil.rmtree, _fallback, ignore_errors=True)
     return f"file://{_fallback}"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Shuffle files of a job go when it ends: what it wrote is all that is read again."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete the tables of all runs so far, once their results have been written or collected."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
 class Scratch:
     """Parquet tables of one run. ``save`` writes and rereads, so executors lost later cost no recomputation."""
 
@@ -31,9 +61,12 @@ class Scratch:
         self.made = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        if not self.made:
+            _roots.append(self.root)
         self.made += 1
         path = f"{self.root}/t{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        with _shuffles_go(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
@@ -41,7 +74,4 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files of finished jobs
+            _delete(self.spark, df._scratch_path)

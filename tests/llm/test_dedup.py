@@ -51,7 +51,7 @@ def test_long_lists_and_blocks_stay_exact(spark):
         for _ in range(r.randrange(0, 6)):
             w[r.randrange(60)] = "m%d" % r.randrange(10_000)
         rows.append((i, " ".join(w)))
-    got = near_duplicates(spark.createDataFrame([(d, t, "s") for d, t in rows], DOCS), shingle=3, per_cent=85, short_list=4, block=8)
+    got = near_duplicates(spark.createDataFrame([(d, t, "s") for d, t in rows], DOCS), shingle=3, per_cent=85, short_list=4, block=500)
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == sorted(B.near(rows, 3, 85))
 
 

@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are chosen far apart from a bounded sample. A vector is represented by the order of its
-``length`` nearest pivots, and posted in the inverted files of the first ``posts`` of them. A query
-reads the files of its first ``probes`` pivots, ranks what it finds by the footrule distance of the
-orders (a missing pivot counts as rank ``length``), and the best share by footrule, ties included, is
-reranked by exact inner products. Files are split into blocks, so no file has to fit a task.
+Pivots are directions of a bounded sample; their number grows with the root of the table. A vector is
+represented by the order of its ``length`` nearest pivots and posted, with the place, in the inverted
+files of those pivots. A query reads the files of its own nearest pivots. Of two orders that lack a
+pivot at place ``length``, the footrule distance is a constant less twice the sum of
+``length - max(place, place')`` over the pivots they share, so the files alone give it.
+
+Footrule sees directions only. A line fitted on the sample turns it into an expected cosine, which
+times the row's length is the expected inner product; with rows of one length the order is that of
+the footrule. One cut for a query is taken over all files: the files are read once to count rows by
+expected product, and once more for the rows above the cut, which are reranked by exact inner
+products. Rows are dealt into blocks with files of their own, so that no file has to fit a task.
 """
 
 from __future__ import annotations
@@ -18,16 +24,18 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-PIVOTS = 64
-SAMPLE = 4096
-LENGTH = 32
-POSTS = 4
-PROBES = 24
-#: The share of a block that is reranked for a query, with all ties of the last; never under LEAST.
-RERANK = 0.25
-LEAST = 200
-BLOCK = 4096
-QUERY_BLOCK = 2048
+#: Pivots: PER_ROOT times the root of the number of rows, between the two others.
+PER_ROOT, FEWEST, MOST = 8, 256, 4096
+SAMPLE = 8192
+LENGTH = 64
+#: The share of the rows that is reranked for a query, with all ties of the last; never under LEAST.
+RERANK = 0.05
+LEAST = 1000
+#: Rows of a block and queries of a chunk, about.
+BLOCK = 8192
+CHUNK = 512
+#: Bins for a doubling of the expected product; rows with none are in the last bin.
+BINS, LAST = 64, -(1 << 30)
 
 
 def usable(vector: Column) -> Column:
@@ -36,31 +44,67 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Farthest-first by cosine: spread over the sample, deterministic."""
-    unit = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
-    picked = [0]
-    near = unit @ unit[0]
-    while len(picked) < min(count, len(unit)):
-        i = int(near.argmin())
-        if near[i] > 1 - 1e-9:
-            break
-        picked.append(i)
-        near = np.maximum(near, unit @ unit[i])
-    return unit[picked]
+    """The first ``count`` different directions of the sample."""
+    unit = directions(sample)
+    _, first = np.unique(np.round(unit, 9), axis=0, return_index=True)
+    return unit[np.sort(first)[:count]]
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The ``length`` nearest pivots of each vector, nearest first, ties to the lower number."""
-    like = (vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))) @ pivots.T
-    return np.argsort(-np.round(like, 12), axis=1, kind="stable")[:, :length]
+    like = np.round(directions(vectors) @ pivots.T, 9)
+    return np.argsort(-like, axis=1, kind="stable")[:, :length].astype(np.int16)
+
+
+class Files:
+    """The inverted files of some orders: per pivot the rows that have it, and what their place is worth."""
+
+    def __init__(self, order: np.ndarray):
+        rows, length = order.shape
+        flat = order.ravel()
+        by = np.argsort(flat, kind="stable")
+        self.rows, self.length = rows, length
+        self.pivots, start = np.unique(flat[by], return_index=True)
+        self.bounds = np.append(start, len(flat))
+        self.row = by // length
+        self.worth = (length - by % length).astype(np.int16)
+
+    def file(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.bounds[i], self.bounds[i + 1]
+        return self.row[a:b], self.worth[a:b]
+
+
+def shared_worth(queries: np.ndarray, files: Files) -> np.ndarray:
+    """queries x rows: the sum over shared pivots of the lesser worth; footrule is a constant less twice that."""
+    out = np.zeros((len(queries), files.rows), dtype=np.int16)
+    asked = Files(queries)
+    for i, j in zip(*np.intersect1d(asked.pivots, files.pivots, assume_unique=True, return_indices=True)[1:], strict=True):
+        q, a = asked.file(i)
+        x, b = files.file(j)
+        out[q[:, None], x] += np.minimum(a[:, None], b)
+    return out
 
 
-def ranks(order: np.ndarray, pivots: int) -> np.ndarray:
-    length = order.shape[1]
-    out = np.full((len(order), pivots), length, dtype=np.int8)
-    np.put_along_axis(out, order, np.arange(length, dtype=np.int8)[None, :], axis=1)
-    return out
+def fitted(sample: np.ndarray, pivots: np.ndarray, length: int) -> tuple[float, float]:
+    """(a, b): a + b * worth is the expected cosine, by least squares over pairs of the sample."""
+    some = sample[: min(len(sample), 2048)]
+    order, unit = orders(some, pivots, length), directions(some)
+    asks = np.arange(0, len(some), max(1, len(some) // 128))
+    worth = shared_worth(order[asks], Files(order)).astype(np.float64)
+    worth[np.arange(len(asks)), asks] = 0
+    cosine = unit[asks] @ unit.T
+    cosine[np.arange(len(asks)), asks] = 0
+    x, y = worth.ravel(), cosine.ravel()
+    spread = ((x - x.mean()) ** 2).mean()
+    b = max(1e-9, ((x - x.mean()) * (y - y.mean())).mean() / spread) if spread > 0 else 1e-9
+    return float(y.mean() - b * x.mean()), float(b)
 
 
 def inner(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -71,82 +115,119 @@ def inner(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
+    return pa.chunked_array([c.flatten() for c in column.chunks], column.type.value_type).to_numpy().astype(kind).reshape(-1, width)
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, length: int = LENGTH, posts: int = POSTS, probes: int = PROBES, rerank: float = RERANK, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, length: int = LENGTH, rerank: float = RERANK, least: int = LEAST, block: int = BLOCK, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its ``k`` nearest found among the other rows.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Rows with a
     null id, and vectors that are null, zero, of another dimension than most, or hold null or
     non-finite components take no part. Rows are other rows if their id differs; a repeated id
-    counts once for each different vector. Extra columns are ignored; an empty table gives no rows.
+    counts once for each different vector. A query has ``k`` rows if there are as many others. The
+    candidates of a query do not depend on ``block`` and ``chunk``. Extra columns are ignored; an
+    empty table gives no rows.
     """
     spark = table.sparkSession
     tmp = Scratch(spark, "pivots")
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = table.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).alias("x"), is_query.alias("asks"))
-    common = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
+    rows = table.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("x"), is_query.alias("asks"))
+    sizes = {r.d: r.n for r in rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return spark.createDataFrame([], schema)
-    dim = common.d
+    dim = min(sizes, key=lambda d: (-sizes[d], d))
     rows = rows.filter(F.size("x") == dim)
-    first = np.array([r.x for r in rows.orderBy(F.xxhash64("vid"), "vid").limit(sample).collect()])
-    axes = choose_pivots(first, pivots)
-    length, posts, probes = min(length, len(axes)), min(posts, len(axes)), min(probes, len(axes))
+    first = np.array([r.x for r in rows.orderBy(F.xxhash64("vid"), "vid", "x").limit(sample).collect()])
+    axes = choose_pivots(first, pivots or min(MOST, max(FEWEST, math.ceil(PER_ROOT * math.sqrt(sizes[dim])))))
+    length = min(length, len(axes))
+    base, slope = fitted(first, axes, length)
+    shared = spark.sparkContext.broadcast(axes)  # MOST directions at most
 
     def ordered(batches):
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                o = orders(x, axes, length).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(o) + 1, dtype=np.int32) * length), pa.array(o.ravel()))], names=["vid", "x", "asks", "o"])
-
-    index = tmp.save(rows.mapInArrow(ordered, f"vid long, x {rows.schema['x'].dataType.simpleString()}, asks boolean, o array<smallint>"))
-    posted = lambda df, n: df.withColumn("pivot", F.explode(F.slice("o", 1, n)))
-    # one row for each pivot at most
-    files = {r.pivot: r["count"] for r in posted(index.select("o"), posts).groupBy("pivot").count().collect()}
-    asked = {r.pivot: r["count"] for r in posted(index.filter("asks").select("o"), probes).groupBy("pivot").count().collect()}
-    both = [(p, math.ceil(files[p] / block), math.ceil(asked[p] / QUERY_BLOCK)) for p in files if p in asked]
-    if not both:
+                o = orders(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), shared.value, length)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(o) + 1, dtype=np.int32) * length), pa.array(o.ravel()))], names=["vid", "x", "asks", "o"])
+
+    # equal rows once: aggregated before they are dealt out
+    one = rows.groupBy("vid", "x").agg(F.max("asks").alias("asks"))
+    index = tmp.save(one.mapInArrow(ordered, "vid long, x array<double>, asks boolean, o array<smallint>"))
+    counts = index.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    if not counts.q:
         return spark.createDataFrame([], schema)
-    splits = F.broadcast(spark.createDataFrame(both, "pivot smallint, blocks int, chunks int"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = posted(index, posts).join(splits, "pivot").select("pivot", F.pmod(F.xxhash64("vid"), F.col("blocks").cast("long")).cast("int").alias("block"), spread("chunks").alias("chunk"), "vid", "x", "o")
+    blocks, chunks = math.ceil(counts.n / block), math.ceil(counts.q / chunk)
+    wanted = max(least, math.ceil(rerank * counts.n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("vid", F.hash("x"), F.lit(seed)), F.lit(n)).cast("int")
+    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    data = index.select("vid", "x", "o", size.alias("size"), dealt(blocks, 1).alias("block"))
     # its own column names: both sides of the cogroup stem from the same table
-    queries = index.filter("asks").select(F.col("vid").alias("qid"), F.col("x").alias("qx"), F.col("o").alias("qo"))
-    asks = (
-        queries.withColumn("qpivot", F.explode(F.slice("qo", 1, probes))).join(splits.withColumnsRenamed({"pivot": "qpivot", "blocks": "qblocks", "chunks": "qchunks"}), "qpivot")
-        .select("qpivot", spread("qblocks").alias("qblock"), F.pmod(F.xxhash64("qid", F.lit(1)), F.col("qchunks").cast("long")).cast("int").alias("qchunk"), "qid", "qx", "qo")
-    )
-    count = len(axes)
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+    asks = index.filter("asks").select(F.col("vid").alias("qid"), F.xxhash64("vid", "x").alias("qkey"), F.col("x").alias("qx"), F.col("o").alias("qo"), dealt(chunks, 2).alias("qchunk"))
+
+    def expected(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, row ids, queries x rows: bins of the expected products; a query's own rows are far below)."""
+        qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
+        worth = shared_worth(_matrix(left["qo"], length, np.int16), Files(_matrix(right["o"], length, np.int16)))
+        most = int(worth.max(initial=0)) + 1
+        cosine = base + slope * np.arange(most)
+        log = np.where(cosine > 0, np.log2(np.maximum(cosine, 1e-300)), -np.inf).astype(np.float32)
+        raw = log[worth] + np.log2(right["size"].to_numpy()).astype(np.float32)
+        bins = np.where(np.isfinite(raw), np.floor(raw * BINS), LAST).astype(np.int32)
+        bins[qid[:, None] == xid] = LAST - 1
+        return qid, xid, bins
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        """(qkey, bin, n) of the best rows, enough of them for any cut."""
+        keys, found, many = [], [], []
+        if left.num_rows and right.num_rows:
+            _, _, bins = expected(left, right)
+            for key, row in zip(left["qkey"].to_pylist(), bins, strict=True):
+                seen = row[row > LAST]
+                low = int(seen.min(initial=0))
+                n = np.bincount(seen - low)
+                b = np.flatnonzero(n)
+                n = n[b]
+                b += low
+                if rest := int((row == LAST).sum()):
+                    b, n = np.append(LAST, b), np.append(rest, n)
+                enough = np.searchsorted(np.cumsum(n[::-1]), wanted) + 1
+                b, n = b[-enough:], n[-enough:]
+                keys.append(np.full(len(b), key, np.int64))
+                found.append(b)
+                many.append(n)
+        joined = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        return pa.table({"qkey": joined(keys), "bin": joined(found), "n": joined(many)})
+
+    def reranked(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
-            q, x = _matrix(left["qx"], dim), _matrix(right["x"], dim)
-            rq = ranks(_matrix(left["qo"], length).astype(np.int64), count)
-            rx = ranks(_matrix(right["o"], length).astype(np.int64), count)
-            order = np.argsort(xid, kind="stable")
-            xid, x, rx = xid[order], x[order], rx[order]
-            take = max(LEAST, math.ceil(rerank * len(xid)))
+            qid, xid, bins = expected(left, right)
+            q, x, cut = _matrix(left["qx"], dim, np.float64), _matrix(right["x"], dim, np.float64), left["cut"].to_numpy()
             for i in range(len(qid)):
-                foot = np.abs(rx - rq[i]).sum(axis=1, dtype=np.int32)
-                pick = np.flatnonzero(foot <= np.partition(foot, take)[take]) if len(foot) > take else np.arange(len(foot))
-                pick = pick[xid[pick] != qid[i]]
+                pick = np.flatnonzero(bins[i] >= cut[i])
                 s = inner(q[i], x[pick])
-                best = np.lexsort((xid[pick], -s))[:k]
-                out[0].append(np.full(len(best), qid[i]))
-                out[1].append(xid[pick[best]])
-                out[2].append(s[best])
+                best = np.lexsort((xid[pick], -s))
+                # an id with several vectors of one product counts once
+                ids, s = xid[pick][best], s[best]
+                new = np.ones(len(ids), bool)
+                new[1:] = (ids[1:] != ids[:-1]) | (s[1:] != s[:-1])
+                ids, s = ids[new][:k], s[new][:k]
+                out[0].append(np.full(len(ids), qid[i]))
+                out[1].append(ids)
+                out[2].append(s)
         flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
 
-    found = asks.groupBy("qpivot", "qblock", "qchunk").cogroup(data.groupBy("pivot", "block", "chunk")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    def cells(queries: DataFrame, columns: list[str]):
+        """Every chunk of queries with every block of rows."""
+        left = queries.withColumn("qblock", each(blocks)).groupBy("qblock", "qchunk")
+        return left.cogroup(data.select("block", *columns, each(chunks).alias("chunk")).groupBy("block", "chunk"))
+
+    bins = cells(asks.select("qid", "qkey", "qo", "qchunk"), ["vid", "o", "size"]).applyInArrow(counted, "qkey long, bin long, n long").groupBy("qkey", "bin").agg(F.sum("n").alias("n"))
+    down = Window.partitionBy("qkey").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    # the bin in which the wanted number is reached; the last one if there are fewer rows
+    cuts = tmp.save(bins.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).filter(F.col("before") < wanted).groupBy("qkey").agg(F.min("bin").alias("cut")))
+    found = cells(asks.join(cuts, "qkey"), ["vid", "x", "o", "size"]).applyInArrow(reranked, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,6 +18,45 @@ def test_stages(spark):
     assert {r.doc_id for r in last.select("doc_id").collect()} == ids
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, kept boolean, row string, score double"
+
+
+def rows_of(spark, *pairs):
+    return spark.createDataFrame([(d, t, "en", f"s{i}", len(t or ""), 5, False, "r", 9.0) for i, (d, t) in enumerate(pairs)], COLUMNS)
+
+
+def named(df):
+    return sorted(r.source for r in df.collect())
+
+
+def test_decontamination_drops_rows_not_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = rows_of(spark, (None, item), (None, "a clean text"), (7, "before " + item), (7, "another clean text"), (8, "clean"), (9, None))
+    got = corpus_pipeline.decontamination(spark, docs, SF)
+    assert named(got) == ["s1", "s3", "s4", "s5"] and got.columns == docs.columns
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = rows_of(spark, (7, text), (7, text), (7, other), (3, near), (None, "lone words that stand here alone"), (None, "lone words that stand here alone"), (9, None), (9, None), (10, ""), (None, other + " x"), (7, near))
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    kept = named(got)
+    assert got.columns == docs.columns
+    assert {"s3", "s6", "s7", "s8", "s9"} <= set(kept) and len(kept) == 6 and len({"s4", "s5"} & set(kept)) == 1
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).collect() == []
+
+
+def test_stages_take_odd_rows(spark):
+    docs = rows_of(spark, (None, None), (1, ""), (1, "plain words " * 2000), (1, "plain words " * 2000), (2, "some other text"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and len(out.collect()) == (5 if name != "near_dedup" else 4), name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    assert all(r.lossless for r in corpus_pipeline.tokenize(spark, docs, SF).collect())
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)

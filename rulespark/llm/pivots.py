@@ -6,7 +6,7 @@ files of those pivots. A query reads the files of its own nearest pivots. Of two
 pivot at place ``length``, the footrule distance is a constant less twice the sum of
 ``length - max(place, place')`` over the pivots they share, so the files alone give it.
 
-Footrule sees directions only. A line fitted on the sample turns it into an expected cosine, which
+Footrule sees directions only. Means over the sample turn it into an expected cosine, which
 times the row's length is the expected inner product; with rows of one length the order is that of
 the footrule. One cut for a query is taken over all files: the files are read once to count rows by
 expected product, and once more for the rows above the cut, which are reranked by exact inner
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Pivots: PER_ROOT times the root of the number of rows, between the two others.
-PER_ROOT, FEWEST, MOST = 8, 256, 4096
+PER_ROOT, FEWEST, MOST = 12, 256, 4096
 SAMPLE = 8192
-LENGTH = 64
+LENGTH = 80
 #: The share of the rows that is reranked for a query, with all ties of the last; never under LEAST.
-RERANK = 0.05
+RERANK = 0.06
 LEAST = 1000
 #: Rows of a block and queries of a chunk, about.
 BLOCK = 8192
@@ -92,19 +92,28 @@ def shared_worth(queries: np.ndarray, files: Files) -> np.ndarray:
     return out
 
 
-def fitted(sample: np.ndarray, pivots: np.ndarray, length: int) -> tuple[float, float]:
-    """(a, b): a + b * worth is the expected cosine, by least squares over pairs of the sample."""
-    some = sample[: min(len(sample), 2048)]
+def fitted(sample: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
+    """The expected cosine for each shared worth: means over pairs of the sample, rising, and joined by lines."""
+    some = sample[: min(len(sample), 4096)]
     order, unit = orders(some, pivots, length), directions(some)
-    asks = np.arange(0, len(some), max(1, len(some) // 128))
-    worth = shared_worth(order[asks], Files(order)).astype(np.float64)
-    worth[np.arange(len(asks)), asks] = 0
+    asks = np.arange(0, len(some), max(1, len(some) // 256))
+    worth = shared_worth(order[asks], Files(order)).astype(np.int64)
     cosine = unit[asks] @ unit.T
-    cosine[np.arange(len(asks)), asks] = 0
-    x, y = worth.ravel(), cosine.ravel()
-    spread = ((x - x.mean()) ** 2).mean()
-    b = max(1e-9, ((x - x.mean()) * (y - y.mean())).mean() / spread) if spread > 0 else 1e-9
-    return float(y.mean() - b * x.mean()), float(b)
+    other = np.ones(worth.shape, bool)
+    other[np.arange(len(asks)), asks] = False
+    most = length * (length + 1) // 2
+    every, x, y = np.arange(most + 1), worth[other], cosine[other]
+    if len(x) < 2:
+        return every / most
+    # bins of equal numbers of pairs; a pivot order shared whole has cosine 1
+    by = np.argsort(x, kind="stable")
+    parts = np.array_split(by, min(64, len(by)))
+    at, mean = np.array([x[i].mean() for i in parts]), np.maximum.accumulate([y[i].mean() for i in parts])
+    last = np.append(at[1:] > at[:-1], True)
+    at, mean = at[last], mean[last]
+    if at[-1] < most:
+        at, mean = np.append(at, most), np.append(mean, 1.0)
+    return np.interp(every, at, mean) + every * 1e-9
 
 
 def inner(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -141,7 +150,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     first = np.array([r.x for r in rows.orderBy(F.xxhash64("vid"), "vid", "x").limit(sample).collect()])
     axes = choose_pivots(first, pivots or min(MOST, max(FEWEST, math.ceil(PER_ROOT * math.sqrt(sizes[dim])))))
     length = min(length, len(axes))
-    base, slope = fitted(first, axes, length)
+    cosine = fitted(first, axes, length)
     shared = spark.sparkContext.broadcast(axes)  # MOST directions at most
 
     def ordered(batches):
@@ -169,8 +178,6 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         """(query ids, row ids, queries x rows: bins of the expected products; a query's own rows are far below)."""
         qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
         worth = shared_worth(_matrix(left["qo"], length, np.int16), Files(_matrix(right["o"], length, np.int16)))
-        most = int(worth.max(initial=0)) + 1
-        cosine = base + slope * np.arange(most)
         log = np.where(cosine > 0, np.log2(np.maximum(cosine, 1e-300)), -np.inf).astype(np.float32)
         raw = log[worth] + np.log2(right["size"].to_numpy()).astype(np.float32)
         bins = np.where(np.isfinite(raw), np.floor(raw * BINS), LAST).astype(np.int32)

@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pandas
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -257,6 +258,40 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).collect() == []
 
 
+def plain_nearest(ids, x, q, k):
+    s = x @ x[q]
+    s[ids == ids[q]] = -np.inf
+    return ids[np.lexsort((ids, -s))[:k]].tolist()
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_recall_of_the_shipped_search(spark, spread):
+    """The registered query's parameters on vectors without structure, the hardest case, of equal and of unequal lengths."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    x = rng.normal(size=(n, 64))
+    x *= np.exp(spread * rng.normal(size=(n, 1))) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    ids = np.arange(n)
+    table = spark.createDataFrame(pandas.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    by = {}
+    for r in pivots.search(table, F.col("vec_id") % 20 == 0, k=20).collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(by) == n // 20 and all(sorted(r for r, _ in v) == list(range(1, 21)) for v in by.values())
+    some = range(0, n, 100)
+    assert sum(len({v for _, v in by[q]} & set(plain_nearest(ids, x, q, 20))) for q in some) >= 0.9 * 20 * len(some)
+
+
+def test_candidates_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[100:140] = x[100]
+    table = spark.createDataFrame(pandas.DataFrame({"vec_id": np.arange(3000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, pivots.search(table, F.col("vec_id") % 60 == 0, k=10, least=100, rerank=0.03, block=b, chunk=c).collect())) for b, c in ((3000, 100), (500, 7))]
+    assert found[0] == found[1] and len(found[0]) == 500
+    twice = table.union(table.filter("vec_id < 1000"))
+    assert sorted(map(tuple, pivots.search(twice, F.col("vec_id") % 60 == 0, k=10, least=100, rerank=0.03).collect())) == found[0]
+
+
 def test_pivots(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))

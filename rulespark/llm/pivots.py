@@ -31,11 +31,12 @@ LENGTH = 80
 #: The share of the rows that is reranked for a query, with all ties of the last; never under LEAST.
 RERANK = 0.06
 LEAST = 1000
-#: Rows of a block and queries of a chunk, about.
-BLOCK = 8192
+#: Rows of a block and queries of a chunk, about; rows that are worked on at once.
+BLOCK = 32_768
 CHUNK = 512
-#: Bins for a doubling of the expected product; rows with none are in the last bin.
-BINS, LAST = 64, -(1 << 30)
+SLICE = 4096
+#: Bins for a doubling of the expected product, and on either side of 1; rows that expect none are in bin 0.
+BINS, SIDE = 16, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -174,45 +175,40 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     # its own column names: both sides of the cogroup stem from the same table
     asks = index.filter("asks").select(F.col("vid").alias("qid"), F.xxhash64("vid", "x").alias("qkey"), F.col("x").alias("qx"), F.col("o").alias("qo"), dealt(chunks, 2).alias("qchunk"))
 
-    def expected(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query ids, row ids, queries x rows: bins of the expected products; a query's own rows are far below)."""
-        qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
-        worth = shared_worth(_matrix(left["qo"], length, np.int16), Files(_matrix(right["o"], length, np.int16)))
-        log = np.where(cosine > 0, np.log2(np.maximum(cosine, 1e-300)), -np.inf).astype(np.float32)
-        raw = log[worth] + np.log2(right["size"].to_numpy()).astype(np.float32)
-        bins = np.where(np.isfinite(raw), np.floor(raw * BINS), LAST).astype(np.int32)
-        bins[qid[:, None] == xid] = LAST - 1
-        return qid, xid, bins
+    def expected(left: pa.Table, right: pa.Table):
+        """(places of some rows, queries x rows: bins of their expected products); a query's own rows have -1."""
+        qid, xid, qo = left["qid"].to_numpy(), right["vid"].to_numpy(), _matrix(left["qo"], length, np.int16)
+        o, size = _matrix(right["o"], length, np.int16), np.log2(right["size"].to_numpy())
+        log = np.where(cosine > 0, np.log2(np.maximum(cosine, 1e-300)), -np.inf)
+        for at in range(0, len(xid), SLICE):
+            some = slice(at, at + SLICE)
+            raw = log[shared_worth(qo, Files(o[some]))] + size[some]
+            bins = np.where(np.isneginf(raw), 0, np.clip(np.floor(raw * BINS) + SIDE, 1, 2 * SIDE - 1)).astype(np.int16)
+            bins[qid[:, None] == xid[some]] = -1
+            yield at, bins
 
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
         """(qkey, bin, n) of the best rows, enough of them for any cut."""
-        keys, found, many = [], [], []
+        total = np.zeros((left.num_rows, 2 * SIDE), np.int64)
         if left.num_rows and right.num_rows:
-            _, _, bins = expected(left, right)
-            for key, row in zip(left["qkey"].to_pylist(), bins, strict=True):
-                seen = row[row > LAST]
-                low = int(seen.min(initial=0))
-                n = np.bincount(seen - low)
-                b = np.flatnonzero(n)
-                n = n[b]
-                b += low
-                if rest := int((row == LAST).sum()):
-                    b, n = np.append(LAST, b), np.append(rest, n)
-                enough = np.searchsorted(np.cumsum(n[::-1]), wanted) + 1
-                b, n = b[-enough:], n[-enough:]
-                keys.append(np.full(len(b), key, np.int64))
-                found.append(b)
-                many.append(n)
-        joined = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.table({"qkey": joined(keys), "bin": joined(found), "n": joined(many)})
+            for _, bins in expected(left, right):
+                for i, row in enumerate(bins):
+                    total[i] += np.bincount(row[row >= 0], minlength=2 * SIDE)
+        above = total[:, ::-1].cumsum(axis=1)[:, ::-1] - total
+        i, b = np.nonzero((total > 0) & (above < wanted))
+        return pa.table({"qkey": left["qkey"].to_numpy()[i] if len(i) else np.zeros(0, np.int64), "bin": b, "n": total[i, b]})
 
     def reranked(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            qid, xid, bins = expected(left, right)
+            qid, xid = left["qid"].to_numpy(), right["vid"].to_numpy()
             q, x, cut = _matrix(left["qx"], dim, np.float64), _matrix(right["x"], dim, np.float64), left["cut"].to_numpy()
+            picked: list[list[np.ndarray]] = [[] for _ in qid]
+            for at, bins in expected(left, right):
+                for i, row in enumerate(bins):
+                    picked[i].append(at + np.flatnonzero(row >= cut[i]))
             for i in range(len(qid)):
-                pick = np.flatnonzero(bins[i] >= cut[i])
+                pick = np.concatenate(picked[i])
                 s = inner(q[i], x[pick])
                 best = np.lexsort((xid[pick], -s))
                 # an id with several vectors of one product counts once

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions import text as X
-from rulespark.operators import evolve, ingest, profile, publish, vector
+from rulespark.operators import admin, evolve, ingest, profile, publish, vector
 from rulespark.plans import search, spec
-from rulespark.schema import dictionary
+from rulespark.schema import ALIASES, RESERVED, TYPE_HINTS, dictionary
+from rulespark.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TALK_SQL = "UNION ALL SELECT 1000 + conv_id * 100 + turn, text FROM conversations"
+
+
+def with_talk(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    """(id, t): literal texts, and those of all conversations."""
+    talk = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("t"))
+    return values(spark, rows, "id long, t string").union(talk)
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -68,37 +78,59 @@ _SPEC = spec.SearchSpec({"topic": "1-urgent", "policy_category": "BUILDING", "st
 @query(f"""
 SELECT policy_id, topic, action_text, condition_text, policy_category FROM ({_RESOLVED_SQL})
 WHERE status IN ('O', 'F') AND lower(topic) = '1-urgent' AND (policy_category = 'BUILDING' OR policy_category IS NULL)
-ORDER BY CASE WHEN coalesce(condition_text <> '', false) AND coalesce(action_text <> '', false) THEN 0 WHEN coalesce(action_text <> '', false) THEN 1 WHEN coalesce(condition_text <> '', false) THEN 2 ELSE 3 END, policy_id LIMIT 20
+ORDER BY CASE WHEN condition_text IS NOT NULL AND action_text IS NOT NULL THEN 0 WHEN action_text IS NOT NULL THEN 1 WHEN condition_text IS NOT NULL THEN 2 ELSE 3 END, policy_id LIMIT 20
 """)
 def spec_search_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.standard(resolved_orders(spark, sf_dir), _SPEC)
 
 
-@query("""
-SELECT o.o_orderkey, o.o_custkey, c.c_name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING'
-""")
+_RULES_SQL = """
+WITH p AS (SELECT o_orderkey AS policy_id, o_custkey::VARCHAR AS section_id, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderpriority END AS topic, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus END AS condition_text, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS action_text FROM orders),
+  a AS (SELECT l_orderkey::VARCHAR AS policy_id, 'e' || l_partkey AS extraction_id, CASE l_linestatus WHEN 'O' THEN 'published' ELSE 'failed' END AS publish_status FROM lineitem WHERE l_linenumber <= 2),
+  s AS (SELECT 'e' || p_partkey AS extraction_id, CASE WHEN p_size > 25 THEN 'd' || p_size END AS document_id, p_type AS batch_id, p_name AS summary, p_brand AS topic, p_type AS subtopic FROM part),
+  resolved AS (
+    SELECT p.policy_id, p.section_id, coalesce(s.document_id, n.n_nationkey::VARCHAR) AS document_id, coalesce(s.batch_id, n.n_name) AS batch_id, coalesce(s.summary, p.condition_text, p.action_text) AS summary,
+      coalesce(nullif(p.topic, ''), s.topic) AS topic, s.subtopic AS subtopic, coalesce(nullif(p.condition_text, ''), NULL) AS condition_text, coalesce(nullif(p.action_text, ''), s.topic) AS action_text, s.summary AS source_quote,
+      CASE WHEN p.condition_text IS NOT NULL AND p.action_text IS NOT NULL THEN 0 WHEN p.action_text IS NOT NULL THEN 1 WHEN p.condition_text IS NOT NULL THEN 2 ELSE 3 END AS rank
+    FROM p LEFT JOIN a ON a.policy_id = p.policy_id::VARCHAR AND a.publish_status = 'published' LEFT JOIN s ON s.extraction_id = a.extraction_id
+    LEFT JOIN customer c ON c.c_custkey::VARCHAR = p.section_id LEFT JOIN nation n ON n.n_nationkey::VARCHAR = c.c_nationkey::VARCHAR)
+"""
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rules, line items as audits, parts as staged candidates, customers as sections and nations as documents, resolved."""
+    t = lambda name: table(spark, sf_dir, name)
+    none = F.lit(None).cast("string")
+    policies = t("orders").select(F.col("o_orderkey").alias("policy_id"), F.col("o_custkey").alias("section_id"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderpriority")).alias("topic"), none.alias("subtopic"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).alias("condition_text"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("action_text"), none.alias("source_quote"))
+    audits = t("lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").cast("string").alias("policy_id"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("extraction_id"), F.when(F.col("l_linestatus") == "O", "published").otherwise("failed").alias("publish_status"))
+    candidate = F.struct(F.col("p_name").alias("summary"), F.col("p_brand").alias("topic"), F.col("p_type").alias("subtopic"), none.alias("condition_text"), F.col("p_brand").alias("action_text"), F.col("p_name").alias("source_quote"))
+    staged = t("part").select(F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("extraction_id"), F.when(F.col("p_size") > 25, F.concat(F.lit("d"), F.col("p_size").cast("string"))).alias("document_id"), F.col("p_type").alias("batch_id"), candidate.alias("candidate"))
+    sections = t("customer").select(F.col("c_custkey").alias("section_id"), F.col("c_nationkey").alias("document_id"))
+    documents = t("nation").select(F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("batch_id"))
+    return search.resolved_policies(policies, audits, staged, sections, documents)
+
+
+@query(_RULES_SQL + "SELECT policy_id, summary, source_quote FROM resolved")
 def left_join_literal_on(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    o = table(spark, sf_dir, "orders")
-    return o.join(c, o["o_custkey"] == c["c_custkey"], "left").select("o_orderkey", "o_custkey", "c_name")
+    """Rules without a published audit stay, with nothing from staging."""
+    return rules(spark, sf_dir).select("policy_id", "summary", "source_quote")
 
 
-@query("""
-SELECT c.c_custkey, n.n_name, r.r_name FROM customer c
-LEFT JOIN nation n ON n.n_nationkey::VARCHAR = c.c_nationkey::VARCHAR LEFT JOIN region r ON r.r_regionkey::VARCHAR = n.n_regionkey::VARCHAR
-""")
+@query(_RULES_SQL + "SELECT policy_id, document_id, batch_id FROM resolved")
 def left_join_cast_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = lambda c: F.col(c).cast("string")
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    return c.join(n, key("n_nationkey") == key("c_nationkey"), "left").join(r, key("r_regionkey") == key("n_regionkey"), "left").select("c_custkey", "n_name", "r_name")
+    return rules(spark, sf_dir).select("policy_id", "document_id", "batch_id")
 
 
-@query("""
-SELECT event_id, coalesce(nullif(event_type, 'view'), props->>'k') AS topic, coalesce(props->>'missing', event_type) AS summary, user_id::VARCHAR AS document_id FROM events
-""")
+@query(_RULES_SQL + "SELECT policy_id, topic, subtopic, condition_text, action_text, summary FROM resolved")
 def resolved_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = lambda k: F.get_json_object("props", f"$.{k}")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.nullif("event_type", F.lit("view")), j("k")).alias("topic"), F.coalesce(j("missing"), "event_type").alias("summary"), F.col("user_id").cast("string").alias("document_id"))
+    return rules(spark, sf_dir).select("policy_id", "topic", "subtopic", "condition_text", "action_text", "summary")
+
+
+@query(_RULES_SQL + "SELECT policy_id, topic, action_text, condition_text, document_id FROM resolved WHERE lower(topic) IN ('1-urgent', 'brand#11') ORDER BY rank, policy_id, document_id LIMIT 20")
+def resolved_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spec.SearchSpec({"topic": ["1-URGENT", "Brand#11"]}, ("policy_id", "topic", "action_text", "condition_text", "document_id"))
+    found = rules(spark, sf_dir).filter(search.conjunction(wanted.filters)).orderBy(search.RANK, "policy_id", "document_id").limit(search.LIMIT)
+    return search.project(found, wanted)
 
 
 @query("SELECT props->>'k' AS k, count(*) AS n FROM events GROUP BY 1")
@@ -158,8 +190,8 @@ _QUESTION = "What should the invoice say about the tion reports and where_is dat
 SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%invoice%' OR lower(text) LIKE '%about%' OR lower(text) LIKE '%tion%' OR lower(text) LIKE '%reports%' OR lower(text) LIKE '%where_is%' OR lower(text) LIKE '%data%' ORDER BY doc_id LIMIT 20
 """)
 def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spec.keywords(_QUESTION)
-    return table(spark, sf_dir, "documents").filter(search.contains_any(F.lower("text"), words)).orderBy("doc_id").limit(20).select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").withColumn("policy_id", F.col("doc_id"))
+    return search.keyword_fallback(docs, spec.SearchSpec({}, ("doc_id", "source")), _QUESTION, columns=("text",))
 
 
 _TOKENS = ("tion", "their", "with", "from", "ither", "thered")
@@ -171,7 +203,7 @@ def keyword_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LADDER = spec.SearchSpec({"activity_type": "none", "policy_category": "BUILDING", "topic": "1-URGENT", "status": "F"}, ("policy_id", "topic", "policy_category"))
-_RANK_SQL = "CASE WHEN coalesce(condition_text <> '', false) AND coalesce(action_text <> '', false) THEN 0 WHEN coalesce(action_text <> '', false) THEN 1 WHEN coalesce(condition_text <> '', false) THEN 2 ELSE 3 END"
+_RANK_SQL = "CASE WHEN condition_text IS NOT NULL AND action_text IS NOT NULL THEN 0 WHEN action_text IS NOT NULL THEN 1 WHEN condition_text IS NOT NULL THEN 2 ELSE 3 END"
 
 
 def _relaxed(step: int) -> Query:
@@ -205,10 +237,9 @@ def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.breakdown(table(spark, sf_dir, "documents"), "source", non_blank=True)
 
 
-@query("SELECT o_orderpriority, count(*) AS total, " + ", ".join(f"coalesce(sum(CASE WHEN o_orderstatus = '{s}' THEN 1 ELSE 0 END), 0)::BIGINT AS n_{s.lower()}" for s in "OFP") + " FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) AS total, " + ", ".join(f"coalesce(sum(CASE WHEN o_orderstatus = '{s}' THEN 1 ELSE 0 END), 0)::BIGINT AS \"{s}\"" for s in "OFP") + " FROM orders GROUP BY 1")
 def batch_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = [F.coalesce(F.sum(F.when(F.col("o_orderstatus") == s, 1).otherwise(0)), F.lit(0)).alias(f"n_{s.lower()}") for s in "OFP"]
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"), *n)
+    return publish.batch_counters(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ("O", "F", "P"))
 
 
 @query("SELECT DISTINCT c_mktsegment FROM customer ORDER BY 1 LIMIT 30")
@@ -235,13 +266,44 @@ def first_non_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.first_non_blank(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("""
-SELECT d.source, count(*) AS docs, round(avg(length(d.text)), 4) AS avg_chars, sum(CASE WHEN regexp_matches(d.text, '[!?]{2,}') THEN 1 ELSE 0 END)::BIGINT AS noisy, sum(coalesce(l.quality, 0))::BIGINT AS good
-FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1
-""")
+@query("SELECT source, count(*) AS rows, round(avg(length(text)), 4) AS avg_chars, (count(*) FILTER (WHERE regexp_matches(text, '[!?]{2,}')))::BIGINT AS noisy FROM documents GROUP BY 1")
 def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return d.join(l, "doc_id", "left").groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg(F.length("text")), 4).alias("avg_chars"), F.sum(F.when(F.col("text").rlike("[!?]{2,}"), 1).otherwise(0)).alias("noisy"), F.sum(F.coalesce("quality", F.lit(0))).alias("good"))
+    return profile.quality(table(spark, sf_dir, "documents"), "source", "text").withColumn("avg_chars", F.round("avg_chars", 4))
+
+
+@query("SELECT col, array_to_string(list_sort(list(val)), '|') AS vals FROM (SELECT 'o_orderstatus' AS col, o_orderstatus AS val FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders GROUP BY 2) GROUP BY 1")
+def value_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = profile.snapshot(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return profile.grouped_values(shown).select("col", F.array_join("values", "|").alias("vals"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
+def sample_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sample_rows(table(spark, sf_dir, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query("SELECT event_id, event_type, ts::VARCHAR AS ts FROM events ORDER BY ts, event_id LIMIT 50")
+def fifo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending rows, first come first; times as DuckDB prints them."""
+    staged = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("extraction_id"), F.col("ts").alias("created_at"), F.lit("pending").alias("status"))
+    return publish.pending(staged).limit(50).select(F.col("extraction_id").alias("event_id"), "event_type", F.col("created_at").cast("string").alias("ts"))
+
+
+@query("SELECT doc_id, left(text, 100) AS text, len(string_split(source, 'r')) AS source FROM documents")
+def preview_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("source", "r").alias("source"))
+    return profile.preview(docs, "text", "source").withColumn("source", F.col("source").cast("long"))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example') AND contains(lower(html), '<p')")
+def metadata_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.metadata_contains(table(spark, sf_dir, "pages"), {"url": "EXAMPLE", "html": "<p", "page_id": ""}).select("page_id", "url")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 2, 3) THEN 'approved' ELSE o_orderstatus END AS decision_status, CASE WHEN o_orderkey IN (1, 2, 3) THEN 'ann' END AS reviewer FROM orders")
+def change_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderstatus").alias("decision_status"))
+    return admin.decided(requests, ["1", "2", "3"], "approved", "ann").select("o_orderkey", "decision_status", "reviewer")
 
 
 @query("""
@@ -297,10 +359,25 @@ def anti_join_new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, ordinal, sha256(line) AS chunk_hash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal FROM documents)
+WITH parts AS (SELECT doc_id, list_filter(list_transform(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS ps FROM documents)
+SELECT doc_id, ordinal, 'Section ' || ordinal AS heading, sha256(ps[ordinal]) AS chunk_hash FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS ordinal FROM parts)
 """)
 def section_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("long").alias("ordinal"), F.sha2("line", 256).alias("chunk_hash"))
+    """Every line of a document as a paragraph."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("b").alias("batch_id"), F.regexp_replace("text", r"\n", "\n\n").alias("raw_content"))
+    return ingest.sectioned(docs).select(F.col("document_id").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "heading", "chunk_hash")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '^#+', '', 'g')) AS body FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, role || ' ' || turn AS heading, sha256(body) AS chunk_hash FROM t WHERE body <> ''
+""")
+def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose turns stand under headings; turns are one line each."""
+    turn = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.trim(F.regexp_replace("text", r"^#+", "")))
+    talks = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", turn.alias("part")).alias("s")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["part"]), "\n").alias("raw_content"))
+    docs = talks.select(F.col("conv_id").alias("document_id"), F.lit("b").alias("batch_id"), "raw_content")
+    return ingest.sectioned(docs).select(F.col("document_id").alias("conv_id"), F.col("ordinal").cast("long").alias("ordinal"), "heading", "chunk_hash")
 
 
 @query("""
@@ -310,9 +387,7 @@ SELECT doc_id, ordinal, start, coalesce(lead(start) OVER (PARTITION BY doc_id OR
 """)
 def section_boundaries_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("total"), F.posexplode(F.transform(F.split("text", "\n"), F.length)).alias("pos", "n"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    start = F.sum(F.col("n") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - 1
-    return rows.withColumn("start", start).select("doc_id", (F.col("pos") + 1).cast("long").alias("ordinal"), "start", F.coalesce(F.lead("start").over(w), F.col("total") + 1).alias("next_start"))
+    return ingest.boundaries(rows, "doc_id", "pos", "n", "total").select("doc_id", (F.col("pos") + 1).cast("long").alias("ordinal"), "start", "next_start")
 
 
 @query()
@@ -344,9 +419,15 @@ def whitespace_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.collapse(F.col("text"))).alias("flat"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,2})\\b', 1), lambda x: NOT (string_split_regex(x, '\\s+')[1] IN ('So', 'All', 'That', 'This', 'And', 'But', 'If', 'Then', 'OK', 'Yep', 'Yeah', 'Thanks', 'Thank'))) AS names FROM (SELECT doc_id, regexp_replace(text, '[\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]', '_', 'g') AS text FROM documents)),
+  e AS (SELECT doc_id, list_concat(names, list_filter(['Bitwarden', 'Microsoft Edge', 'OneLogin', 'MFA', 'CSV'], lambda p: regexp_matches(text, '\\b' || p || '\\b'))) AS l FROM n),
+  u AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS d FROM e)
+SELECT doc_id, array_to_string(d[1:6], '|') AS entities FROM u WHERE len(d) > 0
+""")
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.entities(F.col("text")).alias("entities")).filter("size(entities) > 0")
+    """Words end where letters of any language do; DuckDB's know ASCII only, so it sees the others as underscores."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.entities(F.col("text")).alias("e")).filter("size(e) > 0").select("doc_id", F.array_join("e", "|").alias("entities"))
 
 
 _QUESTIONS = [(1, "Do I need approval for travel?"), (2, "Which activity do I select in my timesheet?"), (3, "Which category is a client dinner"), (4, "What are all the holidays"), (5, "How do I submit a claim?"), (6, "What is a retainer"), (7, "Can I bring a guest"), (8, "hello"), (9, ""), (10, "How do I charge a meal"), (11, "What are the options")]
@@ -360,32 +441,46 @@ SELECT id, CASE WHEN contains(q, 'approval') THEN 'approval_requirement' WHEN co
  WHEN contains(q, 'how do i') OR contains(q, 'steps') OR contains(q, 'submit') THEN 'procedure_steps' WHEN contains(q, 'what is') OR contains(q, 'define') THEN 'definition'
  WHEN contains(q, 'can i') OR contains(q, 'allowed') THEN 'eligibility' ELSE 'fallback' END AS intent
 FROM (SELECT id, ' ' || lower(trim(t)) || ' ' AS p, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS q FROM (
-  SELECT id::BIGINT AS id, t FROM {sql_values(_QUESTIONS, "id, t")} UNION ALL SELECT 1000 + conv_id * 100 + turn, text FROM conversations))
+  SELECT id::BIGINT AS id, t FROM {sql_values(_QUESTIONS, "id, t")} {_TALK_SQL}))
 """)
 def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("t"))
-    return values(spark, _QUESTIONS, "id long, t string").union(talk).select("id", X.intent(F.col("t")).alias("intent"))
+    return with_talk(spark, sf_dir, _QUESTIONS).select("id", X.intent(F.col("t")).alias("intent"))
 
 
 @query(f"""
+SELECT id, CASE WHEN contains(q, 'marketing') THEN 'marketing' WHEN contains(q, 'bill') OR contains(q, 'charge') THEN 'billing' WHEN contains(q, 'payday') OR contains(q, 'payroll') THEN 'payroll'
+  WHEN contains(q, 'overtime') THEN 'overtime' WHEN contains(q, 'travel') OR contains(q, 'expense') THEN 'travel' ELSE 'billing' END AS policy_category,
+  CASE WHEN contains(q, 'internal marketing') THEN 'internal marketing' WHEN contains(q, 'campaign') THEN 'client campaign' WHEN contains(q, 'weekend') THEN 'weekend overtime' END AS activity_type
+FROM (SELECT id, lower(t) AS q FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_QUESTIONS, "id, t")} {_TALK_SQL}))
+""")
+def question_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_talk(spark, sf_dir, _QUESTIONS).select("id", X.question_class(F.col("t")).alias("c")).select("id", "c.policy_category", "c.activity_type")
+
+
+_CHUNK_SQL = f"""
 SELECT id, CASE WHEN low = '' THEN 'filler' WHEN contains(low, 'started transcription') OR contains(low, 'stopped transcription') OR regexp_matches(low, '^[a-z]+\\s+\\d{{1,2}}:\\d{{2}}$') THEN 'transcript_metadata'
- WHEN regexp_matches(low, '\\b(thank you|thanks|bye|hmm|okay|ok)\\b') AND len(string_split(low, ' ')) <= 12 THEN 'filler' WHEN regexp_matches(low, '\\b(action item|follow up|owner|todo)\\b') THEN 'action_item'
+ WHEN regexp_matches(low, '\\b(thank you|thanks|bye|hmm|okay|ok)\\b') AND len(string_split(trim(regexp_replace(low, '\\s+', ' ', 'g')), ' ')) <= 12 THEN 'filler' WHEN regexp_matches(low, '\\b(action item|follow up|owner|todo)\\b') THEN 'action_item'
  WHEN regexp_matches(low, '\\b(recommend|suggest|best practice)\\b') THEN 'recommendation' WHEN regexp_matches(low, '\\b(defined as|definition|means)\\b') THEN 'definition'
  WHEN regexp_matches(low, '\\b(if|when)\\b') AND regexp_matches(low, '\\b(should|must|required|need to|cannot|can''t)\\b') THEN 'policy_rule'
  WHEN regexp_matches(low, '\\b(first|next|then|go to|click|set up|enable|open)\\b') THEN 'procedure' WHEN contains(low, '?') AND regexp_matches(low, '\\b(how|what|why|where|when)\\b') THEN 'faq' ELSE 'discussion' END AS chunk_type
-FROM (SELECT id, lower(trim(t)) AS low FROM {sql_values(_CHUNKS, "id, t")})
-""")
+FROM (SELECT id, lower(trim(t)) AS low FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_CHUNKS, "id, t")} {_TALK_SQL}))
+"""
+
+
+@query(_CHUNK_SQL)
 def chunk_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _CHUNKS, "id int, t string").select("id", X.chunk_type(F.col("t")).alias("chunk_type"))
+    return with_talk(spark, sf_dir, _CHUNKS).select("id", X.chunk_type(F.col("t")).alias("chunk_type"))
 
 
 @query(f"""
 SELECT id, nullif(upper(left(c, 1)) || lower(substr(c, 2)) || trim(regexp_extract(t, '(?i)\\b(if|when)\\b(.+?)(,|;)', 2)), '') AS condition_text,
-  nullif(upper(left(a, 1)) || lower(substr(a, 2)) || trim(regexp_extract(t, '(?i)\\b(should|must|required|need to|cannot|recommend)\\b(.+?)(;|$)', 2)), '') AS action_text
-FROM (SELECT id, t, regexp_extract(t, '(?i)\\b(if|when)\\b(.+?)(,|;)', 1) AS c, regexp_extract(t, '(?i)\\b(should|must|required|need to|cannot|recommend)\\b(.+?)(;|$)', 1) AS a FROM {sql_values(_CHUNKS, "id, t")})
+  nullif(upper(left(a, 1)) || lower(substr(a, 2)) || trim(regexp_extract(t, '(?i)\\b(should|must|required|need to|cannot|can''t|recommend(?:ed)?)\\b(.+?)(;|$)', 2)), '') AS action_text
+FROM (SELECT id, t, regexp_extract(t, '(?i)\\b(if|when)\\b(.+?)(,|;)', 1) AS c, regexp_extract(t, '(?i)\\b(should|must|required|need to|cannot|can''t|recommend(?:ed)?)\\b(.+?)(;|$)', 1) AS a
+  FROM (SELECT id, regexp_replace(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^[A-Z][a-z]+(\\s+[A-Z][a-z]+){{0,2}}\\s+\\d{{1,2}}:\\d{{2}}$') AND NOT lower(x) IN ('ok', 'okay', 'yeah', 'yep', 'hmm', 'bye', 'thanks', 'thank you')), ' '), '\\s+', ' ', 'g')), '(?i)^(so|well|okay|ok|alright|all right)[,\\s]+', '') AS t
+    FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_CHUNKS, "id, t")} {_TALK_SQL})))
 """)
 def condition_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _CHUNKS, "id int, t string").select("id", X.condition(F.col("t")).alias("condition_text"), X.action(F.col("t")).alias("action_text"))
+    return with_talk(spark, sf_dir, _CHUNKS).select("id", X.condition(F.col("t")).alias("condition_text"), X.action(F.col("t")).alias("action_text"))
 
 
 @query("""
@@ -400,43 +495,74 @@ def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTS = [(1, "Company holidays:\n- New Year\n- May Day\n- Harvest Day\n- Founders Day"), (2, "Approved tools\n1. Editor\n2) Compiler\na. Linter"), (3, "A plain note"), (4, "Leave categories: sick leave"), (5, "holiday one e holiday two e labor day e may day"), (6, None)]
 
 
-@query()
+_ITEM_SQL = "'^([-*•]|\\d+[.)]|[A-Za-z][.)])\\s+(.+)$'"
+
+
+@query(f"""
+WITH a AS (SELECT id, regexp_replace(coalesce(t, ''), '[•◦▪▫]\\s*', chr(10) || '- ', 'g') AS t FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_LISTS, "id, t")} {_TALK_SQL})),
+  b AS (SELECT id, t, list_filter(list_transform(string_split_regex(t, '\\s+e\\s+'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS parts, len(regexp_extract_all(t, '\\s+e\\s+')) AS seps FROM a),
+  c AS (SELECT id, CASE WHEN seps >= 2 AND len(list_filter(parts, lambda p: regexp_matches(p, '(?i)\\b(day|holiday|category|activity|requirement|tool|approval|time)\\b'))) >= 3 THEN array_to_string(parts, chr(10) || '- ') ELSE t END AS t FROM b),
+  d AS (SELECT id, regexp_replace(t, '(?im)^([^:\\n]*(?:holidays?|categor(?:y|ies)|tools?|requirements?|activities|activity codes?)[^:\\n]*):[ \\t]+([^-*\\n].+)$', '\\1:' || chr(10) || '- \\2', 'g') AS t FROM c),
+  e AS (SELECT id, list_transform(string_split(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM d),
+  f AS (SELECT id, list_filter(ls, lambda x: x <> '') AS rows, list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, {_ITEM_SQL})), lambda x: regexp_replace(regexp_replace(regexp_extract(x, {_ITEM_SQL}, 2), '^[ ;,]+|[ ;,]+$', '', 'g'), '\\s+', ' ', 'g')), lambda x: x <> '') AS items FROM e),
+  g AS (SELECT id, list_filter(items, lambda x, i: list_position(items, x) = i) AS items, list_filter(rows, lambda x, i: regexp_matches(x, '(?i)(holidays?|categor(y|ies)|tools?|requirements?|activities|activity codes?)') AND (contains(x, ':') OR regexp_matches(coalesce(rows[i + 1], ''), '^([-*•]|\\d+[.)]|[A-Za-z][.)])\\s+')))[1] AS head FROM f)
+SELECT id, CASE WHEN contains(head, ':') THEN trim(string_split(head, ':')[1]) ELSE trim(head) END AS heading, array_to_string(items, '|') AS items FROM g
+""")
 def list_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.list_text(F.col("t"))
-    return values(spark, _LISTS, "id int, t string").select("id", X.list_heading(t).alias("heading"), X.list_items(t).alias("items"), X.list_topic(X.list_heading(t)).alias("topic"))
+    return with_talk(spark, sf_dir, _LISTS).select("id", X.list_heading(t).alias("heading"), F.array_join(X.list_items(t), "|").alias("items"))
+
+
+@query()
+def list_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of the lists of all conversations and of the literal ones; title case differs between engines."""
+    return with_talk(spark, sf_dir, _LISTS).select("id", X.list_topic(X.list_heading(X.list_text(F.col("t")))).alias("topic")).filter("topic is not null")
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that stand verbatim in documents.
 
-    An item of five words or more shares its second to fourth word with the document as a run of whole
-    words, which is the join key; texts come in only for candidates. Shorter items are tested as
-    literals, a thousand at a time.
+    The longest inner word of an item is a whole word of any document that holds the item, which is the
+    join key; texts come in only for candidates. Items of one or two words have no such word: they are
+    tested as they are, in broadcasts of at most ``_SHORT_ITEMS``.
     """
-    split = lambda c: F.split(c, " ")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("w", split(F.col("needle")))
+    words = lambda c: F.split(c, " ")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle")))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
-    keys = d.select("doc_id", split(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    wanted = b.filter(F.size("w") >= 5).select("item_id", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
-    pairs = keys.join(wanted, "key").select("doc_id", "item_id").distinct()
+    inner = F.slice("w", 2, F.size("w") - 2)
+    longest = F.aggregate(inner, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    wanted = b.filter(F.size("w") >= 3).select("item_id", longest.alias("key"))
+    keys = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
+    pairs = keys.join(wanted, "key").select("doc_id", "item_id")
     hits = pairs.join(d, "doc_id").join(b.select("item_id", "needle"), "item_id").filter(F.contains("text", "needle")).select("doc_id", "item_id")
-    short = [(r.item_id, r.needle) for r in b.filter(F.size("w") < 5).select("item_id", "needle").toLocalIterator()]
-    for i in range(0, len(short), 1000):
-        found = F.array_compact(F.array(*[F.when(F.col("text").contains(n), F.lit(k)) for k, n in short[i : i + 1000]]))
-        hits = hits.union(d.select("doc_id", F.explode(found).alias("item_id")))
+    short = b.filter(F.size("w") < 3).select("item_id", "needle")
+    passes = -(-short.count() // _SHORT_ITEMS)
+    for i in range(passes):
+        some = F.broadcast(short.filter(F.pmod(F.xxhash64("item_id", "needle"), F.lit(passes)) == i))
+        hits = hits.union(d.join(some, F.contains("text", "needle")).select("doc_id", "item_id"))
     return hits
 
 
+_SHORT_ITEMS = 1000
+
+
 @query(f"""
-SELECT id, kind, round(least(0.95, greatest(0.05, CASE kind WHEN 'policy_rule' THEN 0.72 WHEN 'procedure' THEN 0.68 WHEN 'filler' THEN 0.2 ELSE 0.45 END + 0.04 * mapped)), 6) AS confidence
-FROM {sql_values([(i, k, m) for i, (k, m) in enumerate([("policy_rule", 2), ("procedure", 0), ("filler", 1), ("discussion", 20)])], "id, kind, mapped")}
+SELECT id, round(least(0.95, greatest(0.05, CASE chunk_type WHEN 'policy_rule' THEN 0.72 WHEN 'procedure' THEN 0.68 WHEN 'recommendation' THEN 0.66 WHEN 'action_item' THEN 0.64 WHEN 'definition' THEN 0.62 WHEN 'faq' THEN 0.58
+  WHEN 'discussion' THEN 0.45 WHEN 'transcript_metadata' THEN 0.35 WHEN 'filler' THEN 0.2 ELSE 0.4 END + 0.04 * (id % 20))), 6) AS confidence FROM ({_CHUNK_SQL})
 """)
 def extraction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, k, m) for i, (k, m) in enumerate([("policy_rule", 2), ("procedure", 0), ("filler", 1), ("discussion", 20)])]
-    base = F.create_map(*[F.lit(x) for p in X.BASE_CONFIDENCE.items() for x in p])
-    return values(spark, rows, "id int, kind string, mapped int").select("id", "kind", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), base[F.col("kind")] + 0.04 * F.col("mapped"))), 6).alias("confidence"))
+    rows = with_talk(spark, sf_dir, _CHUNKS)
+    return rows.select("id", F.round(ingest.extraction_confidence(X.chunk_type(F.col("t")), F.col("id") % 20), 6).alias("confidence"))
+
+
+@query()
+def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns through the whole rule extraction; its parts have SQL of their own above."""
+    turns = with_talk(spark, sf_dir, [*_CHUNKS, *[(100 + i, t) for i, t in _LISTS]])
+    sections = turns.select(F.col("id").cast("string").alias("section_id"), F.lit("d").alias("document_id"), F.lit("b").alias("batch_id"), F.coalesce("t", F.lit("")).alias("section_text"))
+    staged = ingest.extracted(sections, set(TYPE_HINTS), ALIASES, RESERVED)
+    return staged.select("section_id", "candidate.chunk_type", "candidate.publishable", F.round("confidence", 6).alias("confidence"), F.size("mapped_fields").alias("mapped"), F.size("unmapped_concepts").alias("unmapped"))
 
 
 @query("""
@@ -468,10 +594,28 @@ def topic_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.renamed(table(spark, sf_dir, "customer"), "c_mktsegment", values(spark, _RENAMES, "original string, canonical string"))[0].select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT page_id, doc_id, coalesce(url, '') AS url, coalesce(source, '') AS source FROM pages FULL OUTER JOIN documents ON page_id = doc_id + 100")
+@query("""
+SELECT coalesce(p.page_id, d.doc_id + 100) AS page, coalesce(url, '') AS text, coalesce(source, '') AS ocr_text,
+  CASE WHEN coalesce(url, '') = '' THEN coalesce(source, '') WHEN coalesce(source, '') = '' OR url = source THEN url ELSE url || chr(10) || chr(10) || '[OCR Merge]' || chr(10) || source END AS merged
+FROM pages p FULL OUTER JOIN documents d ON p.page_id = d.doc_id + 100
+""")
 def page_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, d = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
-    return p.join(d, p["page_id"] == d["doc_id"] + 100, "full_outer").select("page_id", "doc_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("source", F.lit("")).alias("source"))
+    one = F.lit("file").alias("source")
+    texts = table(spark, sf_dir, "pages").select(one, F.col("page_id").alias("page"), F.col("url").alias("text"))
+    ocr = table(spark, sf_dir, "documents").select(one, (F.col("doc_id") + 100).alias("page"), F.col("source").alias("ocr_text"))
+    return pages.merged_pages(texts, ocr).select("page", "text", "ocr_text", "merged")
+
+
+@query("""
+SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id, pos)) - 1 AS chunk_id, len(string_split(chunk, ' '))::BIGINT AS tokens FROM (
+  SELECT source, doc_id, i AS pos, ws[i + 1] AS chunk FROM (SELECT source, doc_id, ws, unnest(range(0, len(ws))) AS i FROM (
+    SELECT source, doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents)))
+""")
+def global_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source, in chunks of one word, numbered through the source."""
+    paged = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), F.col("text").alias("merged"))
+    chunks = pages.page_chunks(paged, size=1)
+    return chunks.select("source", F.col("page").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("tokens").cast("long").alias("tokens"))
 
 
 @query("""
@@ -489,9 +633,18 @@ def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OCR = [(1, "alpha line\nbeta line", "alpha line\nnew line"), (2, "", "only ocr"), (3, "only page", None), (4, "same", "same"), (5, "a b", "\nc d\n\n a b \ne")]
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT page::BIGINT AS page, trim(coalesce(t, ''), chr(10) || ' ') AS p, trim(coalesce(o, ''), chr(10) || ' ') AS o FROM (
+    SELECT page, t, o FROM {sql_values(_OCR, "page, t, o")} UNION ALL SELECT 1000 + doc_id, string_split(text, chr(10))[1], text FROM documents)),
+  l AS (SELECT page, p, o, list_transform(string_split(o, chr(10)), lambda x: rtrim(x)) AS ol, list_transform(string_split(p, chr(10)), lambda x: trim(x)) AS pl FROM r),
+  m AS (SELECT page, p, array_to_string(ol, chr(10)) AS o, list_filter(ol, lambda x: x = '' OR NOT list_contains(pl, trim(x))) AS more FROM l)
+SELECT page, md5(CASE WHEN p = '' THEN o WHEN o = '' OR len(more) = 0 THEN p ELSE p || chr(10) || chr(10) || '[OCR Merge]' || chr(10) || array_to_string(more, chr(10)) END) AS merged FROM m
+""")
 def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _OCR, "page int, t string, o string").select("page", X.merged_lines(F.col("t"), F.col("o")).alias("merged"))
+    """The literal pages, and every document with its first line as the text that is there already."""
+    docs = table(spark, sf_dir, "documents").select((1000 + F.col("doc_id")).alias("page"), F.element_at(F.split("text", "\n"), 1).alias("t"), F.col("text").alias("o"))
+    rows = values(spark, _OCR, "page long, t string, o string").union(docs)
+    return rows.select("page", F.md5(X.merged_lines(F.col("t"), F.col("o"))).alias("merged"))
 
 
 _TERMS = list(spec.SYNONYMS.items())
@@ -499,11 +652,10 @@ _TERMS = list(spec.SYNONYMS.items())
 
 @query(f"""
 SELECT q.id, q.t || coalesce(' ' || string_agg(s.v, ' ' ORDER BY s.n), '') AS expanded
-FROM (SELECT id, t FROM {sql_values(_QUESTIONS, "id, t")}) q LEFT JOIN (SELECT * FROM {sql_values([(i, k, v) for i, (k, v) in enumerate(_TERMS)], "n, k, v")}) s ON contains(lower(q.t), s.k) GROUP BY q.id, q.t
+FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_QUESTIONS, "id, t")} {_TALK_SQL}) q LEFT JOIN (SELECT * FROM {sql_values([(i, k, v) for i, (k, v) in enumerate(_TERMS)], "n, k, v")}) s ON contains(lower(q.t), s.k) GROUP BY q.id, q.t
 """)
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(F.lower("t").contains(k), F.lit(v)) for k, v in _TERMS]))
-    return values(spark, _QUESTIONS, "id int, t string").select("id", F.array_join(F.concat(F.array("t"), found), " ").alias("expanded"))
+    return with_talk(spark, sf_dir, _QUESTIONS).select("id", X.expanded(F.col("t")).alias("expanded"))
 
 
 # --- evolution -------------------------------------------------------------------------------
@@ -530,9 +682,14 @@ def gap_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.gaps(_staged(spark, sf_dir), dictionary(spark), ["is_billable", "topic"]).select("concept", "gap_type", "frequency")
 
 
-@query()
+@query("""
+WITH i AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'amount_threshold' WHEN 1 THEN 'region_code' WHEN 2 THEN 'exception_text' WHEN 3 THEN 'is_billable' ELSE 'custom_required' END AS concept, [event_type, props->>'k'] AS seen FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY lpad(event_id::VARCHAR, 12, '0')) AS n FROM i)
+SELECT concept, string_agg(array_to_string(seen, '|'), '|' ORDER BY n) AS examples FROM r WHERE n <= 2 GROUP BY 1
+""")
 def gap_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.gaps(_staged(spark, sf_dir), dictionary(spark), ["is_billable", "topic"]).select("concept", "examples")
+    """Every item shows two values, so the first two items fill the list."""
+    return evolve.gaps(_staged(spark, sf_dir), dictionary(spark), ["is_billable", "topic"]).select("concept", F.array_join("examples", "|").alias("examples"))
 
 
 @query(f"""
@@ -577,4 +734,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.run(resolved_orders(spark, sf_dir), _SPEC)[0]
 
 
-QUERIES["flagship"] = flagship
+QUERIES["flagship"], ORACLES["flagship"] = flagship, ORACLES["spec_search_standard"]

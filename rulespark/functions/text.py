@@ -6,6 +6,7 @@ function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -35,6 +36,7 @@ SPEAKER = r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){0,2}\s+\d{1,2}:\d{2}$"
 NOT_NAMES = ("So", "All", "That", "This", "And", "But", "If", "Then", "OK", "Yep", "Yeah", "Thanks", "Thank")
 ENTITY_NAMES = ("Bitwarden", "Microsoft Edge", "OneLogin", "MFA", "CSV")
 RAW_LABELS = ("annual_cap", "yearly_cap", "annual_limit", "receipt_required")
+OBLIGATION = r"(?i)\b(should|must|required|need to|cannot|can't|recommend(?:ed)?)\b"
 NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b"
 
 
@@ -56,6 +58,16 @@ def words(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there: an array's element is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    """Words parted by white space."""
+    return F.size(words(text))
+
+
 def sections(text: Column, keep_preamble: bool = False) -> Column:
     """array<struct<heading, body>>: parts under #, ## or ### headings, else paragraphs ``Section n``.
 
@@ -71,19 +83,43 @@ def sections(text: Column, keep_preamble: bool = False) -> Column:
     return F.when(whole.rlike(r"(?m)^#{1,3}[ \t]+\S"), kept).otherwise(numbered)
 
 
+def packed(items: Column, sizes: Column, size: int, joint: str) -> Column:
+    """Items packed greedily, in order, while the sum of their sizes stays within ``size``; each pack joined.
+
+    Only the places of the cuts are carried along, so the work is linear in the items.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("used"), F.lit(0).alias("i"))
+    step = lambda a, n: F.when((a["used"] > 0) & (a["used"] + n > size), F.struct(F.concat(a["cuts"], F.array(a["i"])).alias("cuts"), n.cast("int").alias("used"), (a["i"] + 1).alias("i"))).otherwise(F.struct(a["cuts"].alias("cuts"), (a["used"] + n).cast("int").alias("used"), (a["i"] + 1).alias("i")))
+    cut = lambda s: F.aggregate(s["n"], start, step, lambda a: F.concat(F.array(F.lit(0)), a["cuts"], F.array(F.size(s["w"]))))
+    joined = lambda s: bound(F.struct(s["w"].alias("w"), cut(s).alias("c")), lambda t: F.transform(F.slice(t["c"], 1, F.size(t["c"]) - 1), lambda at, i: F.array_join(F.slice(t["w"], at + 1, F.element_at(t["c"], i + 2) - at), joint)))
+    return F.when(F.size(items) > 0, bound(F.struct(items.alias("w"), sizes.alias("n")), joined)).otherwise(F.array().cast("array<string>"))
+
+
 def char_chunks(text: Column, size: int) -> Column:
     """Words packed greedily while the sum of their lengths plus one each stays within ``size`` characters."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("used"))
-    step = lambda a, w: F.when((a["now"] != "") & (a["used"] + F.length(w) + 1 > size), F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), w.alias("now"), (F.length(w) + 1).alias("used"))).otherwise(F.struct(a["done"].alias("done"), F.when(a["now"] == "", w).otherwise(F.concat(a["now"], F.lit(" "), w)).alias("now"), (a["used"] + F.length(w) + 1).alias("used")))
-    return F.aggregate(words(text), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    return bound(words(text), lambda w: packed(w, F.transform(w, lambda x: F.length(x) + 1), size, " "))
+
+
+def paragraphs(text: Column) -> Column:
+    """Parts between blank lines, stripped, without empty ones."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.filter(F.transform(F.split(strip(F.regexp_replace(present(text), r"\r\n?", "\n")), r"\n\s*\n"), strip), lambda p: p != "")
 
 
-def word_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Windows of ``size`` words, each starting ``size - overlap`` words after the one before."""
+def paragraph_chunks(text: Column, least: int = 120, most: int = 180) -> Column:
+    """Whole paragraphs packed up to ``most`` words; a last pack under ``least`` joins the one before if both fit in ``least + most``."""
+    packs = lambda p: packed(p, F.transform(p, token_count), most, "\n\n")
+    n = lambda c, i: token_count(F.element_at(c, i))
+    tail = lambda c: F.when((F.size(c) > 1) & (n(c, -1) < least) & (n(c, -1) + n(c, -2) <= least + most), F.concat(F.slice(c, 1, F.size(c) - 2), F.array(F.concat(F.element_at(c, -2), F.lit("\n\n"), F.element_at(c, -1))))).otherwise(c)
+    return bound(bound(paragraphs(text), packs), tail)
+
+
+def word_chunks(text: Column, size: int, overlap: int, least: int = 0) -> Column:
+    """Windows of ``size`` words, each starting ``size - overlap`` words after the one before; those under ``least`` words go."""
     step = size - max(0, min(overlap, size - 1))
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+    starts = lambda w: F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    kept = lambda w: F.filter(starts(w), lambda i: F.size(w) - i >= least) if least else starts(w)
+    return bound(words(text), lambda w: F.transform(kept(w), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " ")))
 
 
 def quiet_lines(text: Column, least_words: int = 4) -> Column:
@@ -130,23 +166,45 @@ def chunk_type(text: Column) -> Column:
     return out.when(low.rlike(RULE_IF) & low.rlike(RULE_MUST), "policy_rule").when(low.rlike(PROCEDURE), "procedure").when(low.contains("?") & low.rlike(ASKS), "faq").otherwise("discussion")
 
 
+def by_rules(rules: tuple, texts: dict[str, Column], otherwise: str | None) -> Column:
+    """The first name of ``plans.spec`` rules whose alternatives hold; a rule's alternatives are lists of groups, all of which need one term."""
+    has = lambda where, terms: reduce(lambda a, b: a | b, [texts[where].contains(t) for t in terms])
+    holds = lambda groups: reduce(lambda a, b: a & b, [reduce(lambda x, y: x | y, [has(where, terms) for where, terms in group]) for group in groups])
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, groups in rules:
+        out = out.when(holds(groups), name)
+    return out.otherwise(F.lit(otherwise).cast("string"))
+
+
 def intent(question: Column) -> Column:
-    """The intent of a question, as ``plans.spec.intent_of`` gives it."""
-    from rulespark.plans.spec import EXPENSE_TERMS, LIST_TERMS
+    """The intent of a question, by the rules of ``plans.spec``."""
+    from rulespark.plans.spec import INTENTS
 
     padded = F.concat(F.lit(" "), F.lower(F.trim(present(question))), F.lit(" "))
-    q = collapse(padded)
-    any_of = lambda terms: reduce(lambda a, b: a | b, [q.contains(t) for t in terms])
-    return (
-        F.when(q.contains("approval"), "approval_requirement")
-        .when(q.contains("timesheet") & any_of(("activity", "select")), "timesheet_activity")
-        .when(any_of(("category", "categorize")) | (q.contains("how do i charge") & any_of(EXPENSE_TERMS)), "expense_category")
-        .when(q.contains("what are") & (padded.contains(" all ") | any_of(LIST_TERMS)), "complete_list")
-        .when(any_of(("how do i", "steps", "submit")), "procedure_steps")
-        .when(any_of(("what is", "define")), "definition")
-        .when(any_of(("can i", "allowed")), "eligibility")
-        .otherwise("fallback")
-    )
+    return by_rules(INTENTS, {"compact": collapse(padded), "padded": padded}, "fallback")
+
+
+def expanded(question: Column) -> Column:
+    """The question with the expansions of the terms it contains, in vocabulary order."""
+    from rulespark.plans.spec import SYNONYMS
+
+    found = F.array_compact(F.array(*[F.when(F.lower(question).contains(k), F.lit(v)) for k, v in SYNONYMS.items()]))
+    return F.array_join(F.concat(F.array(question), found), " ")
+
+
+def question_class(question: Column) -> Column:
+    """struct<policy_category, activity_type> of a question by plain substring rules; billing and null without a match."""
+    from rulespark.plans.spec import QUESTION_ACTIVITIES, QUESTION_CATEGORIES
+
+    low = {"low": F.lower(present(question))}
+    return F.struct(by_rules(QUESTION_CATEGORIES, low, "billing").alias("policy_category"), by_rules(QUESTION_ACTIVITIES, low, None).alias("activity_type"))
+
+
+def fence_stripped(text: Column) -> Column:
+    """A reply without its Markdown code fence: the first line, and the last if it is a fence too."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    t = strip(present(text))
+    return F.when(t.startswith("```"), strip(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*(\n|$)", ""), r"(^|\n)[ \t]*```\s*$", ""))).otherwise(t)
 
 
 def _first_upper(c: Column) -> Column:
@@ -163,7 +221,7 @@ def condition(text: Column, strict_sentence: bool = False) -> Column:
 def action(text: Column, strict_sentence: bool = False) -> Column:
     """From the first obligation word to the next semicolon or the end."""
     t = transcript(text)
-    pattern = r"(?i)\b(should|must|required|need to|cannot|can't|recommended|recommend)\b(.+?)(;|$" + (r"|\.\s|\.$)" if strict_sentence else ")")
+    pattern = OBLIGATION + r"(.+?)(;|$" + (r"|\.\s|\.$)" if strict_sentence else ")")
     return F.nullif(F.concat(_first_upper(F.regexp_extract(t, pattern, 1)), F.trim(F.regexp_extract(t, pattern, 2))), F.lit(""))
 
 
@@ -218,10 +276,12 @@ def list_topic(heading: Column) -> Column:
 def merged_lines(page: Column, ocr: Column) -> Column:
     """The page's text, then the OCR lines that it does not hold verbatim; blank OCR lines stay."""
     strip = lambda c: F.regexp_replace(present(c), r"^\s+|\s+$", "")
-    p, o = strip(page), strip(ocr)
-    have = F.filter(F.transform(lines(p), strip), lambda x: x != "")
-    more = F.filter(F.transform(lines(o), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: (x == "") | ~F.array_contains(have, strip(x)))
-    return F.when(p == "", o).when((o == "") | (F.size(more) == 0), p).otherwise(F.concat(p, F.lit("\n\n[OCR Merge]\n"), F.array_join(more, "\n")))
+    right = F.transform(lines(strip(ocr)), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    # a hashed difference finds the new lines; lists of lines are computed once
+    fresh = lambda s: F.array_except(F.transform(s["o"], strip), F.transform(lines(s["p"]), strip))
+    more = lambda s: bound(fresh(s), lambda new: F.filter(s["o"], lambda x: (x == "") | F.array_contains(new, strip(x))))
+    whole = lambda s: bound(more(s), lambda m: F.when(s["p"] == "", F.array_join(s["o"], "\n")).when((F.array_join(s["o"], "") == "") | (F.size(m) == 0), s["p"]).otherwise(F.concat(s["p"], F.lit("\n\n[OCR Merge]\n"), F.array_join(m, "\n"))))
+    return bound(F.struct(strip(page).alias("p"), right.alias("o")), whole)
 
 
 def solid_lines(text: Column) -> Column:
@@ -229,9 +289,37 @@ def solid_lines(text: Column) -> Column:
     return F.filter(F.transform(lines(text), collapse), lambda x: F.length(F.regexp_replace(x, "[^A-Za-z0-9]", "")) >= 2)
 
 
+def uncovered_lines(source: Column, merged: Column) -> Column:
+    """The solid lines of a source that its merged text does not hold, repeats included.
+
+    Lines that are lines of the merged text go by a hashed difference; only the others are searched for.
+    """
+    lost = lambda s: F.filter(F.array_except(s["solid"], s["have"]), lambda x: ~s["flat"].contains(x))
+    value = F.struct(solid_lines(source).alias("solid"), F.transform(lines(merged), collapse).alias("have"), collapse(merged).alias("flat"))
+    return bound(value, lambda s: bound(lost(s), lambda gone: F.when(F.size(gone) == 0, F.slice(s["solid"], 1, 0)).otherwise(F.filter(s["solid"], lambda x: F.array_contains(gone, x)))))
+
+
 def covered_lines(source: Column, merged: Column) -> Column:
-    # an element of an array is computed once, not for each line
-    return F.get(F.transform(F.array(collapse(merged)), lambda flat: F.size(F.filter(solid_lines(source), lambda x: flat.contains(x)))), F.lit(0))
+    return F.size(solid_lines(source)) - F.size(uncovered_lines(source, merged))
+
+
+def page_statistics(text: Column, ocr: Column, merged: Column) -> dict[str, Column]:
+    """Lengths, table marks, and solid lines of the text and of the OCR that the merged text holds or lacks."""
+    out = {"chars_text": F.length(present(text)), "chars_ocr": F.length(present(ocr)), "chars_merged": F.length(present(merged))}
+    out |= {"tables_detected": F.regexp_count(present(text), F.lit(r"\[Detected Table ")), "ocr_used": present(merged).contains("[OCR Merge]")}
+    for name, source in (("text", text), ("ocr", ocr)):
+        n, lost = F.size(solid_lines(source)), F.size(uncovered_lines(source, merged))
+        out |= {f"{name}_lines": n, f"{name}_lines_covered": n - lost, f"{name}_lines_missing": lost}
+    return out
+
+
+def markdown_table(cells: Column, number: Column) -> Column:
+    """A detected table (rows of cells) as Markdown, its first row the header; empty without rows."""
+    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.trim(present(c))), " | "), F.lit(" |"))
+    rule = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.lit("---")), " | "), F.lit(" |"))
+    head = F.concat(F.lit("[Detected Table "), number.cast("string"), F.lit("]"))
+    body = lambda t: F.array_join(F.concat(F.array(head, F.lit(""), row(F.element_at(t, 1)), rule(F.element_at(t, 1))), F.transform(F.slice(t, 2, F.greatest(F.lit(1), F.size(t))), row)), "\n")
+    return F.when(F.size(F.coalesce(cells, F.array().cast("array<array<string>>"))) > 0, bound(cells, body)).otherwise(F.lit(""))
 
 
 def required_tokens(text: Column) -> Column:

@@ -15,19 +15,22 @@ def gaps(staged: DataFrame, dictionary: DataFrame, columns: list[str]) -> DataFr
     """(concept, gap_type, reason, frequency, examples) of unmapped concepts, most frequent first.
 
     ``staged``: extraction_id, unmapped_concepts. Examples are up to two observed values an item,
-    taken in order while fewer than three are held, so four at most; they are numbered before they
-    are gathered, and only the first three items of a concept are.
+    taken in order while fewer than three are held, so four at most. Items without values show
+    nothing, and every other one shows a value, so the first three of a concept are enough: the rank
+    limit drops the rest before they are dealt out.
     """
     item = staged.select("extraction_id", F.posexplode("unmapped_concepts").alias("pos", "u"))
     raw = F.lower(F.trim(F.coalesce(F.nullif("u.normalized_label", F.lit("")), "u.raw_label")))
     named = item.select("extraction_id", "pos", raw.alias("raw"), F.coalesce("u.frequency_in_batch", F.lit(1)).alias("n"), F.slice(F.coalesce("u.observed_values", F.array().cast("array<string>")), 1, 2).alias("seen")).filter("raw <> ''")
     named = named.join(dictionary, named["raw"] == dictionary["alias"], "left").withColumn("concept", F.coalesce("canonical", "raw"))
     counts = named.groupBy("concept").agg(F.sum("n").alias("frequency"), F.first("type_hint", ignorenulls=True).alias("hint"))
-    held = F.sum(F.size("seen")).over(Window.partitionBy("concept").orderBy("extraction_id", "pos").rowsBetween(Window.unboundedPreceding, -1))
-    shown = named.withColumn("held", F.coalesce(held, F.lit(0))).filter("held < 3").groupBy("concept").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("extraction_id", "pos", "seen"))), lambda s: s["seen"])).alias("examples"))
+    first = named.filter(F.size("seen") > 0).withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy("extraction_id", "pos"))).filter("rank <= 3")
+    lists = first.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "seen"))), lambda s: s["seen"]).alias("lists"))
+    taken = F.aggregate("lists", F.array().cast("array<string>"), lambda have, seen: F.when(F.size(have) < 3, F.concat(have, seen)).otherwise(have))
+    shown = lists.select("concept", taken.alias("examples"))
     kind = gap_type(F.col("concept"), F.coalesce("hint", F.lit("text")), columns)
     why = F.when(kind == "new_value", "an existing field has new values").when(kind == "new_relationship", "several values belong in a child table").when(kind == "new_scalar", "a queryable scalar is missing").otherwise("little structure; keep as text")
-    return counts.join(shown, "concept").select("concept", kind.alias("gap_type"), why.alias("reason"), "frequency", "examples").orderBy(F.desc("frequency"), "concept")
+    return counts.join(shown, "concept", "left").select("concept", kind.alias("gap_type"), why.alias("reason"), "frequency", F.coalesce("examples", F.array().cast("array<string>")).alias("examples")).orderBy(F.desc("frequency"), "concept")
 
 
 def gap_type(concept: Column, hint: Column, columns: list[str]) -> Column:
@@ -59,10 +62,14 @@ def may_apply(migration: str, decision: str) -> str | None:
     return None
 
 
+def identifiers(names: list[str]) -> None:
+    if bad := [c for c in names if not re.fullmatch(r"[a-z_][a-z0-9_]*", c)]:
+        raise ValueError(f"not identifiers: {bad}")
+
+
 def added(df: DataFrame, concepts: list[str]) -> DataFrame:
     """The table with a null string column for each concept it lacks; concepts must be plain identifiers."""
-    if bad := [c for c in concepts if not re.fullmatch(r"[a-z_][a-z0-9_]*", c)]:
-        raise ValueError(f"not identifiers: {bad}")
+    identifiers(concepts)
     return df.withColumns({c: F.lit(None).cast("string") for c in dict.fromkeys(concepts) if c not in df.columns})
 
 
@@ -72,13 +79,29 @@ def child_table(df: DataFrame, key: str, values: str) -> DataFrame:
     return rows.select(F.sha2(F.concat_ws("\x1f", key, "pos", "value_text"), 256).alias("id"), key, "value_text")
 
 
-def apply(df: DataFrame, requests: list[dict]) -> tuple[DataFrame, list[dict]]:
-    """The evolved table and a log row for each request; a refused request is logged and skipped."""
-    log = []
+CHILD = "id string, policy_id string, value_text string, created_at timestamp"
+
+
+def apply(df: DataFrame, requests: list[dict]) -> tuple[DataFrame, list[str], list[dict]]:
+    """(the evolved table, names of child tables to create, a log row for each request).
+
+    Scalars become columns; a relationship becomes a child table ``policy_<concept>`` of ``CHILD``. A
+    request is applied as a whole or not at all: one that may not be is logged as skipped, one that
+    fails as failed, and both leave the table as it was.
+    """
+    log, children = [], []
     for r in requests:
-        reason = may_apply(r["migration_class"], r["decision_status"])
-        fresh = [i["concept"] for i in r["items"] if i["gap_type"] == "new_scalar"]
-        if reason is None:
-            df = added(df, fresh)
-        log.append({"request_id": r["request_id"], "status": "skipped" if reason else "applied", "error_text": reason, "columns": [] if reason else fresh})
-    return df, log
+        of = lambda kind: [i["concept"] for i in r["items"] if i["gap_type"] == kind]  # noqa: E731, B023
+        scalars, relations = of("new_scalar"), of("new_relationship")
+        status, error = "applied", may_apply(r["migration_class"], r["decision_status"])
+        if error is not None:
+            status = "skipped"
+        else:
+            try:
+                identifiers(relations)
+                df = added(df, scalars)
+                children += [f"policy_{c}" for c in relations if f"policy_{c}" not in children]
+            except ValueError as e:
+                status, error = "failed", str(e)
+        log.append({"request_id": r["request_id"], "status": status, "error_text": error, "columns": scalars if status == "applied" else [], "tables": [f"policy_{c}" for c in relations] if status == "applied" else []})
+    return df, children, log

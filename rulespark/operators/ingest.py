@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions import text as X
 
 
+def new_id(prefix: str) -> str:
+    """A random id, for batches and other things without a natural key."""
+    return f"{prefix}_{uuid.uuid4().hex}"
+
+
 def key_id(prefix: str, *parts: Column) -> Column:
     """A deterministic id: prefix and SHA-256 of the natural key, so that reruns are idempotent."""
     return F.concat(F.lit(f"{prefix}_"), F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256).substr(1, 32))
@@ -42,6 +49,16 @@ def upsert(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFram
     return existing.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def boundaries(rows: DataFrame, key: str, order: str, length: str, total: str) -> DataFrame:
+    """The rows with ``start`` and ``next_start``: where each part begins, and where the one after it does or the text ends.
+
+    Parts are one separator apart; places count from 0.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    start = F.sum(F.col(length) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length) - 1
+    return rows.withColumn("start", start).withColumn("next_start", F.coalesce(F.lead("start").over(w), F.col(total) + 1))
+
+
 def new_only(chunks: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return chunks.join(existing.select(key), key, "left_anti")
 
@@ -65,7 +82,13 @@ def _mapped(entries: list[tuple[str, Column, str, float, str, Column]]) -> Colum
     return F.map_from_entries(last)
 
 
-def extracted(sections: DataFrame, canonical: set[str], aliases: dict[str, str], reserved: set[str], version: str = "rules-1") -> DataFrame:
+def extraction_confidence(kind: Column, mapped: Column) -> Column:
+    """The base of the chunk type and 0.04 for each mapped field, within 0.05 and 0.95."""
+    base = F.create_map(*[F.lit(x) for pair in X.BASE_CONFIDENCE.items() for x in pair])[kind]
+    return F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.coalesce(base, F.lit(0.4)) + 0.04 * mapped))
+
+
+def extracted(sections: DataFrame, canonical: set[str], aliases: dict[str, str], reserved: set[str], version: str = "rules-1", now: Column | None = None) -> DataFrame:
     """Staging rows: candidate struct, mapped fields and unmapped concepts of each section, by rules alone.
 
     A complete list (a list heading and three items) is kept whole; all else goes through chunk type,
@@ -108,8 +131,7 @@ def extracted(sections: DataFrame, canonical: set[str], aliases: dict[str, str],
     alias_map = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
     tokens = F.transform(F.filter(X.required_tokens(F.col("_norm")), lambda t: ~F.array_contains(known, t)), lambda t: gap(t, F.coalesce(alias_map[t], t)))
     df = df.withColumn("mapped_fields", _mapped(entries)).withColumn("unmapped_concepts", F.when(plain, F.concat(scanned, tokens)).otherwise(F.slice(scanned, 1, 0)))
-    base = F.create_map(*[F.lit(x) for pair in X.BASE_CONFIDENCE.items() for x in pair])[F.col("chunk_type")]
-    score = F.when(F.col("_is_list"), F.lit(0.9)).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.coalesce(base, F.lit(0.4)) + 0.04 * F.size("mapped_fields"))))
+    score = F.when(F.col("_is_list"), F.lit(0.9)).otherwise(extraction_confidence(F.col("chunk_type"), F.size("mapped_fields")))
     acted = F.coalesce("_act", "_do")
     shaped = F.coalesce("_topic", "_sub", "_cond", "_act", "_do", "_rec").isNotNull()
     df = df.withColumn("confidence", score)
@@ -124,7 +146,7 @@ def extracted(sections: DataFrame, canonical: set[str], aliases: dict[str, str],
         X.entities(of_list(F.col("_list"), F.col("_norm"))).alias("entities"), of_list(kept, quote).alias("source_quote"), why.alias("reason_if_not_publishable"),
         of_list(kept, F.substring(F.when(F.col("_norm") != "", F.col("_norm")).otherwise(body), 1, 1200)).alias("rule_text"), F.col("confidence"), F.lit(version).alias("extractor_version"),
     )
-    return df.select(key_id("ext", F.col("section_id")).alias("extraction_id"), "batch_id", "document_id", "section_id", candidate.alias("candidate"), "mapped_fields", "unmapped_concepts", "confidence", F.lit("pending").alias("status"))
+    return df.select(key_id("ext", F.col("section_id")).alias("extraction_id"), "batch_id", "document_id", "section_id", candidate.alias("candidate"), "mapped_fields", "unmapped_concepts", "confidence", F.lit("pending").alias("status"), *[(F.current_timestamp() if now is None else now).alias(c) for c in ("created_at", "updated_at")])
 
 
 def renamed(df: DataFrame, column: str, mapping: DataFrame, old: str = "original", new: str = "canonical") -> tuple[DataFrame, DataFrame]:

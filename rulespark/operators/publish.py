@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ingest import key_id, latest_per_key
@@ -10,6 +10,18 @@ from .ingest import key_id, latest_per_key
 STRUCTURE = ("topic", "subtopic", "condition_text", "action_text", "recommendation_text", "summary")
 
 
+def payload_error(mapped: str = "mapped_fields", unmapped: str = "unmapped_concepts") -> Column:
+    """Why a staged payload breaks its contract, or null: blank keys, confidences outside 0 to 1, frequencies under 1."""
+    keys, values = F.map_keys(mapped), F.map_values(mapped)
+    bad = lambda c: F.coalesce(F.exists(c, lambda x: ~x["confidence"].between(0, 1)), F.lit(False))
+    return (
+        F.when(F.coalesce(F.exists(keys, lambda k: F.trim(k) == ""), F.lit(False)), "a mapped field has no name")
+        .when(bad(values), "a mapped field's confidence is outside 0 to 1")
+        .when(F.coalesce(F.exists(unmapped, lambda u: F.trim(F.coalesce(u["raw_label"], F.lit(""))) == ""), F.lit(False)), "an unmapped concept has no label")
+        .when(F.coalesce(F.exists(unmapped, lambda u: u["frequency_in_batch"] < 1), F.lit(False)), "an unmapped concept's frequency is under 1")
+    )
+
+
 def contract_error(c: str = "candidate") -> Column:
     """Why a candidate breaks its contract, or null."""
     f = lambda n: F.col(f"{c}.{n}")
@@ -27,30 +39,69 @@ def skip_reason(candidate: str = "candidate", confidence: str = "confidence") ->
 
 def published(staged: DataFrame, columns: list[str]) -> DataFrame:
     """Rule rows of the rows that pass, one an extraction: known mapped columns, section, quote and status."""
-    ok = latest_per_key(staged.filter(skip_reason().isNull() & F.col("status").isin("pending", "blocked_schema")), ["extraction_id"], [F.desc("confidence"), "section_id"])
+    ok = latest_per_key(staged.filter(skip_reason().isNull() & F.col("status").isin(*OPEN)), ["extraction_id"], [F.desc("confidence"), "section_id"])
     mapped = [c for c in columns if c not in ("policy_id", "section_id", "source_quote", "status")]
     return ok.select(key_id("pol", F.col("extraction_id")).alias("policy_id"), "extraction_id", "section_id", *[F.col("mapped_fields")[c]["value"].alias(c) for c in mapped], F.coalesce("candidate.source_quote", F.lit("")).alias("source_quote"), F.lit("active").alias("status"))
 
 
-def decided(staged: DataFrame) -> DataFrame:
-    """Staged rows with their status after a publish run; others keep theirs."""
-    open_ = F.col("status").isin("pending", "blocked_schema")
+OPEN = ("pending", "blocked_schema")
+
+
+def pending(staged: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """Rows that are still to be published, first come first; ids settle equal times."""
+    rows = staged.filter(F.col("status").isin(*OPEN))
+    return (rows if batch_id is None else rows.filter(F.col("batch_id") == batch_id)).orderBy("created_at", "extraction_id")
+
+
+def decided(staged: DataFrame, batch_id: str | None = None, now: Column | None = None) -> DataFrame:
+    """Staged rows with their status after a publish run over a batch or all; others keep theirs."""
+    open_ = F.col("status").isin(*OPEN) & (F.lit(True) if batch_id is None else F.col("batch_id") == batch_id)
     why = skip_reason()
-    return staged.withColumn("publish_error", F.when(open_, why)).withColumn("status", F.when(open_ & why.isNull(), "published").when(open_, "skipped").otherwise(F.col("status")))
+    have = lambda c, kind: F.col(c) if c in staged.columns else F.lit(None).cast(kind)
+    return staged.withColumns({
+        "publish_error": F.when(open_, why).otherwise(have("publish_error", "string")),
+        "updated_at": F.when(open_, F.current_timestamp() if now is None else now).otherwise(have("updated_at", "timestamp")),
+        "status": F.when(open_ & why.isNull(), "published").when(open_, "skipped").otherwise(F.col("status")),
+    })
+
 
+def audit(rules: DataFrame, now: Column | None = None) -> DataFrame:
+    return rules.select(key_id("pub", F.col("extraction_id")).alias("publish_id"), "extraction_id", "policy_id", F.lit("published").alias("publish_status"), F.lit(None).cast("string").alias("error_text"), (F.current_timestamp() if now is None else now).alias("created_at"))
 
-def audit(rules: DataFrame) -> DataFrame:
-    return rules.select(key_id("pub", F.col("extraction_id")).alias("publish_id"), "extraction_id", "policy_id", F.lit("published").alias("publish_status"), F.lit(None).cast("string").alias("error_text"))
 
+STATES = ("pending", "published", "skipped", "failed")
 
-def batch_counters(staged: DataFrame) -> DataFrame:
+
+def batch_counters(staged: DataFrame, key: str = "batch_id", status: str = "status", states: tuple[str, ...] = STATES) -> DataFrame:
     """Per batch the rows in each status; counters are derived, never updated."""
-    n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, 1).otherwise(0)), F.lit(0)).alias(s)
-    return staged.groupBy("batch_id").agg(F.count("*").alias("total"), *[n(s) for s in ("pending", "published", "skipped", "failed")])
+    n = lambda s: F.coalesce(F.sum(F.when(F.col(status) == s, 1).otherwise(0)), F.lit(0)).alias(s)
+    return staged.groupBy(key).agg(F.count("*").alias("total"), *[n(s) for s in states])
+
+
+BATCH = "batch_id string, triggered_by string, trigger_source string, status string, documents_total long, documents_processed long, sections_total long, extractions_total long, result_summary string, started_at timestamp, finished_at timestamp"
+
+
+def batch_row(spark: SparkSession, batch_id: str, triggered_by: str, trigger_source: str = "manual", now: Column | None = None) -> DataFrame:
+    """The row of a batch that begins."""
+    empty = spark.createDataFrame([(batch_id, triggered_by, trigger_source, "running", None, None, None, None, None, None, None)], BATCH)
+    return empty.withColumn("started_at", F.current_timestamp() if now is None else now)
+
+
+def batch_totals(batches: DataFrame, documents: DataFrame, sections: DataFrame, staged: DataFrame) -> DataFrame:
+    """Batches with their numbers of documents, sections and extractions, counted from the tables."""
+    count = lambda df, name: df.groupBy("batch_id").agg(F.count("*").alias(name))
+    out = batches.drop("documents_total", "documents_processed", "sections_total", "extractions_total")
+    for df, name in ((documents, "documents_total"), (sections, "sections_total"), (staged, "extractions_total")):
+        out = out.join(count(df, name), "batch_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.withColumn("documents_processed", F.col("documents_total")).select(*batches.columns)
 
 
-def batch_completion(counters: DataFrame) -> DataFrame:
-    return counters.select("batch_id", F.lit("completed").alias("status"), F.to_json(F.struct("total", "pending", "published", "skipped", "failed")).alias("result_summary"))
+def batch_completion(batches: DataFrame, counters: DataFrame, now: Column | None = None) -> DataFrame:
+    """Batches with counters become completed, with the counters as a JSON summary; others stay."""
+    done = counters.select("batch_id", F.to_json(F.struct("total", *STATES)).alias("_summary"))
+    hit = F.col("_summary").isNotNull()
+    out = batches.join(done, "batch_id", "left").withColumns({"status": F.when(hit, "completed").otherwise(F.col("status")), "finished_at": F.when(hit, F.current_timestamp() if now is None else now).otherwise(F.col("finished_at")), "result_summary": F.coalesce("_summary", "result_summary")})
+    return out.select(*batches.columns)
 
 
 def current_state(events: DataFrame) -> DataFrame:

@@ -20,6 +20,24 @@ def topk(table: DataFrame, query: list[float], k: int, id_col: str, vector_col:
     return table.select(F.col(id_col), cosine(F.col(vector_col), q).alias("score")).filter("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: The columns of a table of vectors.
+VECTOR_ROW = (
+    "chunk_id string, content string, embedding array<float>, source_url string, source_type string, section_path string, headers array<string>, page_number bigint, title string, "
+    "mime_type string, char_count bigint, word_count bigint, content_preview string, embedding_backend string, embedding_model string, inserted_at timestamp, metadata string, created_at timestamp"
+)
+
+
+def vector_rows(chunks: DataFrame, backend: str, model: str, now: Column | None = None) -> DataFrame:
+    """Rows of a table of vectors from chunks (chunk_id, content, embedding and any of the other columns)."""
+    now = F.current_timestamp() if now is None else now
+    made = {
+        "char_count": F.length("content"), "word_count": F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")), "content_preview": F.left("content", F.lit(200)),
+        "embedding_backend": F.lit(backend), "embedding_model": F.lit(model), "inserted_at": now, "created_at": now,
+    }
+    fields = [f.split(" ", 1) for f in VECTOR_ROW.split(", ")]
+    return chunks.select(*[(made[n] if n in made else F.col(n) if n in chunks.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, key: str) -> DataFrame:
     """Hits of both kinds once each, the vector's score first."""
     both = vector_hits.select(key, "score", F.lit(0).alias("kind")).unionByName(keyword_hits.select(key, F.col("score").cast("double").alias("score"), F.lit(1).alias("kind")))

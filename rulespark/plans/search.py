@@ -13,6 +13,8 @@ from .spec import LIMIT, LIST_LIMIT, SCOPE, SearchSpec, empty, keywords, list_te
 
 BLANK_AWARE = ("topic", "subtopic", "condition_text", "action_text", "source_quote")
 CASELESS = ("topic", "subtopic")
+OFFLINE_TEXT = ("summary", "topic", "subtopic", "condition_text", "action_text", "recommendation_text", "source_quote")
+RANK = "_rank"
 LIST_TEXT = ("topic", "subtopic", "summary", "condition_text", "action_text", "source_quote", "policy_category")
 
 
@@ -38,7 +40,8 @@ def resolved_policies(policies: DataFrame, audit: DataFrame, staging: DataFrame,
     own = {"document_id": F.coalesce(text("s.document_id"), text("d.document_id")), "batch_id": F.coalesce("s.batch_id", "d.batch_id"), "summary": F.coalesce("s.candidate.summary", "p.condition_text", "p.action_text")}
     own |= {c: filled(F.col(f"p.{c}"), F.col(f"s.candidate.{c}")) for c in BLANK_AWARE}
     rest = [F.col(f"p.`{c}`") for c in policies.columns if c not in own]
-    return joined.select(*rest, *[e.alias(c) for c, e in own.items()])
+    # rules are ranked by their own columns, not by what they resolve to
+    return joined.select(*rest, *[e.alias(c) for c, e in own.items()], completeness(F.col("p.condition_text"), F.col("p.action_text")).alias(RANK))
 
 
 def predicate(key: str, value: object) -> Column | None:
@@ -69,19 +72,29 @@ def contains_any(text: Column, terms: list[str], wildcards: bool = True) -> Colu
     return reduce(or_, [text.like(f"%{t}%") if wildcards else text.contains(t) for t in low], F.lit(False)) if low else F.lit(True)
 
 
-def completeness(condition: str = "condition_text", action: str = "action_text") -> Column:
-    """0 for rules with condition and action, 1 for an action alone, 2 for a condition alone, else 3."""
-    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    return F.when(has(condition) & has(action), 0).when(has(action), 1).when(has(condition), 2).otherwise(3)
+def completeness(condition: Column, action: Column) -> Column:
+    """0 for rules with condition and action, 1 for an action alone, 2 for a condition alone, else 3; blank is not null."""
+    return F.when(condition.isNotNull() & action.isNotNull(), 0).when(action.isNotNull(), 1).when(condition.isNotNull(), 2).otherwise(3)
+
+
+def metadata_contains(df: DataFrame, filters: dict[str, str]) -> DataFrame:
+    """Rows whose columns contain the given texts, without regard to case; empty values give no test."""
+    tests = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(v.lower()) for c, v in sorted(filters.items()) if not empty(v)]
+    return df.filter(reduce(and_, tests, F.lit(True)))
 
 
 def project(df: DataFrame, spec: SearchSpec) -> DataFrame:
+    """The requested fields, each a plain identifier and a column of the table; others are errors."""
+    bad = [f for f in spec.fields if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", f) or f not in df.columns]
+    if bad:
+        raise ValueError(f"fields that cannot be selected: {bad}")
     return df.select(*spec.fields)
 
 
 def standard(resolved: DataFrame, spec: SearchSpec, limit: int = LIMIT) -> DataFrame:
     """Rows that pass all filters, the most complete rules first."""
-    return project(resolved.filter(conjunction(spec.filters)).orderBy(completeness(), "policy_id").limit(limit), spec)
+    rank = F.col(RANK) if RANK in resolved.columns else completeness(F.col("condition_text"), F.col("action_text"))
+    return project(resolved.filter(conjunction(spec.filters)).orderBy(rank, "policy_id").limit(limit), spec)
 
 
 def complete_list(resolved: DataFrame, spec: SearchSpec, limit: int = LIST_LIMIT) -> DataFrame:
@@ -98,17 +111,17 @@ def complete_list(resolved: DataFrame, spec: SearchSpec, limit: int = LIST_LIMIT
     return project(wanted.orderBy(F.col("topic").asc_nulls_last(), F.col("subtopic").asc_nulls_last(), "policy_id").limit(limit), spec)
 
 
-def keyword_fallback(resolved: DataFrame, spec: SearchSpec, question: str, limit: int = LIMIT) -> DataFrame | None:
+def keyword_fallback(resolved: DataFrame, spec: SearchSpec, question: str, limit: int = LIMIT, columns: tuple[str, ...] = ("summary", "action_text", "topic", "source_quote")) -> DataFrame | None:
     """Rows in scope whose texts contain a keyword of the question; None without keywords."""
     words = keywords(question)
     if not words:
         return None
     scope = {k: v for k, v in spec.filters.items() if k in ("status", *SCOPE)}
-    found = resolved.filter(conjunction(scope) & contains_any(blob(("summary", "action_text", "topic", "source_quote")), words))
+    found = resolved.filter(conjunction(scope) & contains_any(blob(columns), words))
     return project(found.orderBy("policy_id").limit(limit), spec)
 
 
-def overlap_topk(rows: DataFrame, question: str, columns: tuple[str, ...], order: list[str], limit: int = 10) -> DataFrame:
+def overlap_topk(rows: DataFrame, question: str, columns: tuple[str, ...] | list[str], order: list[str], limit: int = 10) -> DataFrame:
     """The rows that contain most tokens of the question (four characters at least, repeats count)."""
     tokens = [w for w in re.findall(r"[a-z0-9_]+", question.lower()) if len(w) >= 4]
     text = blob(columns)
@@ -119,9 +132,11 @@ def overlap_topk(rows: DataFrame, question: str, columns: tuple[str, ...], order
 def run(resolved: DataFrame, spec: SearchSpec, question: str = "") -> tuple[DataFrame, int]:
     """The rows of the first plan that has any, and the number of relaxations it took (-1: keywords)."""
     plan = complete_list if spec.intent == "complete_list" else standard
-    for step, wider in enumerate([spec, *relaxations(spec)]):
-        found = plan(resolved, wider)
-        if not found.isEmpty():
-            return found, step
     fallback = keyword_fallback(resolved, spec, question)
-    return (fallback, -1) if fallback is not None else (plan(resolved, spec), 0)
+    steps = [*enumerate([plan(resolved, wider) for wider in [spec, *relaxations(spec)]]), *([(-1, fallback)] if fallback is not None else [])]
+    for step, found in steps:
+        # at most 80 rows: read once, and handed over as they are
+        rows = found.collect()
+        if rows:
+            return resolved.sparkSession.createDataFrame(rows, found.schema), step
+    return steps[-1][1].limit(0), steps[-1][0]

@@ -30,7 +30,35 @@ SYNONYMS = {
 }
 EXPENSE_TERMS = ("client dinner", "dinner", "meal", "meals", "expense", "expenses", "travel")
 LIST_TERMS = ("holidays", "categories", "activity codes", "activities", "options")
-KEYWORD_STOPS = frozenset("what when where which how should would could from into with the and for that this have your".split())
+KEYWORD_STOPS = {
+    "what", "when", "where", "which", "how", "should", "could", "would", "from", "into", "with", "and", "for", "that", "this", "have", "your", "the",
+}
+
+# Rules in order, the first that holds is taken. A rule holds if each of its groups has a
+# (text, terms) whose text contains a term; "padded" is the question between two spaces, "compact" that
+# with white space collapsed.
+INTENTS = (
+    ("approval_requirement", [[("compact", ["approval"])]]),
+    ("timesheet_activity", [[("compact", ["timesheet"])], [("compact", ["activity", "select"])]]),
+    ("expense_category", [[("compact", ["category", "categorize"])]]),
+    ("expense_category", [[("compact", ["how do i charge"])], [("compact", EXPENSE_TERMS)]]),
+    ("complete_list", [[("compact", ["what are"])], [("padded", [" all "]), ("compact", LIST_TERMS)]]),
+    ("procedure_steps", [[("compact", ["how do i", "steps", "submit"])]]),
+    ("definition", [[("compact", ["what is", "define"])]]),
+    ("eligibility", [[("compact", ["can i", "allowed"])]]),
+)
+QUESTION_CATEGORIES = (
+    ("marketing", [[("low", ["marketing"])]]),
+    ("billing", [[("low", ["bill", "charge"])]]),
+    ("payroll", [[("low", ["payday", "payroll"])]]),
+    ("overtime", [[("low", ["overtime"])]]),
+    ("travel", [[("low", ["travel", "expense"])]]),
+)
+QUESTION_ACTIVITIES = (
+    ("internal marketing", [[("low", ["internal marketing"])]]),
+    ("client campaign", [[("low", ["campaign"])]]),
+    ("weekend overtime", [[("low", ["weekend"])]]),
+)
 
 
 @dataclass(frozen=True)
@@ -85,23 +113,20 @@ def validate(raw: dict) -> SearchSpec:
     return SearchSpec(kept, tuple(dict.fromkeys([*known, *CORE_FIELDS])), comparison, str(raw.get("reasoning_note") or ""))
 
 
-#: Intents in order; the first whose test holds is taken.
-_INTENTS = (
-    ("approval_requirement", lambda q, raw: "approval" in q),
-    ("timesheet_activity", lambda q, raw: "timesheet" in q and ("activity" in q or "select" in q)),
-    ("expense_category", lambda q, raw: "category" in q or "categorize" in q),
-    ("expense_category", lambda q, raw: "how do i charge" in q and any(t in q for t in EXPENSE_TERMS)),
-    ("complete_list", lambda q, raw: "what are" in q and (" all " in raw or any(t in q for t in LIST_TERMS))),
-    ("procedure_steps", lambda q, raw: any(t in q for t in ("how do i", "steps", "submit"))),
-    ("definition", lambda q, raw: "what is" in q or "define" in q),
-    ("eligibility", lambda q, raw: "can i" in q or "allowed" in q),
-)
+def first_rule(rules: tuple, texts: dict[str, str], otherwise: str | None) -> str | None:
+    """``functions.text.by_rules`` for one text on the driver."""
+    holds = lambda groups: all(any(t in texts[where] for where, terms in group for t in terms) for group in groups)
+    return next((name for name, groups in rules if holds(groups)), otherwise)
 
 
 def intent_of(question: str | None) -> str:
     padded = f" {(question or '').strip().lower()} "
-    compact = " ".join(padded.split())
-    return next((name for name, test in _INTENTS if test(compact, padded)), "fallback")
+    return first_rule(INTENTS, {"compact": " ".join(padded.split()), "padded": padded}, "fallback")
+
+
+def question_class(question: str | None) -> dict[str, str | None]:
+    low = {"low": (question or "").lower()}
+    return {"policy_category": first_rule(QUESTION_CATEGORIES, low, "billing"), "activity_type": first_rule(QUESTION_ACTIVITIES, low, None)}
 
 
 def with_intent(spec: SearchSpec, intent: str) -> SearchSpec:
@@ -130,6 +155,11 @@ def relaxations(spec: SearchSpec) -> list[SearchSpec]:
     return [replace(spec, filters=s) for s in reversed(list(unique.values()))]
 
 
+def relaxed_once(spec: SearchSpec) -> SearchSpec | None:
+    """The first broader specification, or None if there is none."""
+    return next(iter(relaxations(spec)), None)
+
+
 def expand(question: str | None, whole_words: bool = False) -> str:
     """The question with the expansions of the terms it contains, in vocabulary order."""
     original = question or ""

@@ -7,21 +7,39 @@ from pyspark.sql import functions as F
 
 # Filter keys, fields, concepts and aliases of the rule table.
 FILTER_KEYS = (
-    "policy_category topic subtopic document_id batch_id applies_to department employee_type activity_type "
-    "bill_to charge_code approval_required approver status receipt_required annual_cap region_code approval_frequency"
-).split()
+    "policy_category", "topic", "subtopic", "document_id", "batch_id", "applies_to", "department", "employee_type",
+    "activity_type", "bill_to", "charge_code", "approval_required", "approver", "status", "receipt_required",
+    "annual_cap", "region_code", "approval_frequency",
+)
 FIELDS = (
-    "document_id batch_id summary policy_category topic subtopic applies_to department employee_type activity_type "
-    "condition_text action_text bill_to charge_code is_billable approval_required approver deadline_text amount_threshold "
-    "threshold_unit exception_text consequence_text source_quote status receipt_required annual_cap region_code "
-    "approval_frequency policy_precedence override_policy_id"
-).split()
+    "document_id", "batch_id", "summary", "policy_category", "topic", "subtopic", "applies_to", "department",
+    "employee_type", "activity_type", "condition_text", "action_text", "bill_to", "charge_code", "is_billable",
+    "approval_required", "approver", "deadline_text", "amount_threshold", "threshold_unit", "exception_text",
+    "consequence_text", "source_quote", "status", "receipt_required", "annual_cap", "region_code", "approval_frequency",
+    "policy_precedence", "override_policy_id",
+)
 TYPE_HINTS = {
-    "enum_like": "policy_category applies_to department employee_type activity_type bill_to charge_code threshold_unit status".split(),
-    "text": "topic subtopic condition_text action_text deadline_text consequence_text source_quote".split(),
-    "bool": "is_billable approval_required".split(),
-    "numeric": ["amount_threshold"],
-    "relationship": "approver exception_text".split(),
+    "policy_category": "enum_like",
+    "topic": "text",
+    "subtopic": "text",
+    "applies_to": "enum_like",
+    "department": "enum_like",
+    "employee_type": "enum_like",
+    "activity_type": "enum_like",
+    "condition_text": "text",
+    "action_text": "text",
+    "bill_to": "enum_like",
+    "charge_code": "enum_like",
+    "is_billable": "bool",
+    "approval_required": "bool",
+    "approver": "relationship",
+    "deadline_text": "text",
+    "amount_threshold": "numeric",
+    "threshold_unit": "enum_like",
+    "exception_text": "relationship",
+    "consequence_text": "text",
+    "source_quote": "text",
+    "status": "enum_like",
 }
 ALIASES = {
     "annual_cap": "amount_threshold",
@@ -44,15 +62,35 @@ UNMAPPED = "array<struct<raw_label:string,normalized_label:string,observed_value
 
 
 def type_hint(concept: str) -> str:
-    return next((hint for hint, names in TYPE_HINTS.items() if concept in names), "text")
+    return TYPE_HINTS.get(concept, "text")
 
 
-def dictionary(spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
-    """(alias, canonical, type_hint): every concept under its own name and its aliases.
+def read_dictionary(text: str) -> tuple[dict[str, str], dict[str, str], set[str]]:
+    """(type hints by concept, canonical names by alias, reserved names) of a YAML dictionary.
+
+    It has ``concepts`` (name: type_hint, synonyms, reserved_names) and ``mapping_rules`` (alias: name),
+    which go over synonyms. Needs the optional YAML library on the driver.
+    """
+    import yaml
+
+    payload = yaml.safe_load(text) or {}
+    if not isinstance(payload, dict):
+        raise ValueError("a dictionary is an object with concepts and mapping_rules")
+    clean = lambda x: str(x).strip().lower()
+    concepts = {name: raw or {} for name, raw in (payload.get("concepts") or {}).items()}
+    hints = {name: str(raw.get("type_hint") or "text") for name, raw in concepts.items()}
+    aliases = {clean(s): name for name, raw in concepts.items() for s in raw.get("synonyms") or [] if clean(s)}
+    aliases |= {clean(a): str(t).strip() for a, t in (payload.get("mapping_rules") or {}).items()}
+    return hints, aliases, {clean(r) for raw in concepts.values() for r in raw.get("reserved_names") or []}
+
+
+def dictionary(spark: SparkSession, overrides: DataFrame | None = None, hints: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(alias, canonical, type_hint): every concept under its own name and its aliases, by default the built-in ones.
 
     ``overrides`` (alias, canonical, active) replace entries of the same alias; inactive rows are ignored.
     """
-    rows = [(c, c, h) for h, names in TYPE_HINTS.items() for c in names] + [(a, c, type_hint(c)) for a, c in ALIASES.items()]
+    hints, aliases = TYPE_HINTS if hints is None else hints, ALIASES if aliases is None else aliases
+    rows = [(c.lower(), c, h) for c, h in hints.items() if c.lower() not in aliases] + [(a, c, hints.get(c, "text")) for a, c in aliases.items()]
     base = spark.createDataFrame(rows, "alias string, canonical string, type_hint string")
     if overrides is None:
         return base

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import io
+import os
+import zipfile
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,42 +20,66 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_uri"), F.col("value").alias("text"))
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(source_uri, kind, text): .txt, .docx and .pdf files of a folder; other suffixes are left out.
+def documents(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(source_uri, kind, text, error): .txt, .docx and .pdf files of a folder; other suffixes are left out.
 
-    DOCX and PDF need optional libraries on the executors; without them their text is null.
+    A file that cannot be read, or whose library is missing on the executors, has a null text and the
+    reason. ``readers`` add to the readers by suffix, or replace them.
     """
-    plain = texts_of(spark, path, "*.txt", "txt", _plain)
-    return plain.union(texts_of(spark, path, "*.docx", "docx", _docx)).union(texts_of(spark, path, "*.pdf", "pdf", _pdf))
+    every = {"txt": _plain, "docx": _docx, "pdf": _pdf} | (readers or {})
+    return reduce(DataFrame.union, [texts_of(spark, path, f"*.{kind}", kind, read) for kind, read in every.items()]).orderBy("source_uri")
 
 
-def texts_of(spark: SparkSession, path: str, pattern: str, kind: str, read: Callable[[bytes], str | None]) -> DataFrame:
+def texts_of(spark: SparkSession, path: str, pattern: str, kind: str, read: Callable[[bytes], str]) -> DataFrame:
+    def attempt(data: bytes) -> tuple[str | None, str | None]:
+        try:
+            return read(bytes(data)), None
+        except Exception as e:  # a library's errors for damaged files have no common base
+            return None, f"{type(e).__name__}: {e}"
+
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"source_uri": f["path"], "kind": kind, "text": [read(bytes(b)) for b in f["content"]]})
+            got = [attempt(b) for b in f["content"]]
+            yield pd.DataFrame({"source_uri": f["path"], "kind": kind, "text": [t for t, _ in got], "error": [e for _, e in got]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(run, "source_uri string, kind string, text string")
+    return files.select("path", "content").mapInPandas(run, "source_uri string, kind string, text string, error string")
 
 
 def _plain(data: bytes) -> str:
     return data.decode("utf-8", "ignore")
 
 
-def _docx(data: bytes) -> str | None:
-    try:
-        from docx import Document
-    except ImportError:
-        return None
-    return "\n\n".join(p.text for p in Document(io.BytesIO(data)).paragraphs if (p.text or "").strip())
+def _docx(data: bytes) -> str:
+    """The paragraphs of the main part, read from the package itself: it is a ZIP of XML parts."""
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as parts:
+        body = ElementTree.fromstring(parts.read("word/document.xml"))
+    marks = {f"{space}tab": "\t", f"{space}br": "\n", f"{space}cr": "\n"}
+    texts = ["".join(x.text or "" if x.tag == f"{space}t" else marks.get(x.tag, "") for x in p.iter()).strip() for p in body.iter(f"{space}p")]
+    if not any(texts):
+        raise ValueError("the document has no text")
+    return "\n\n".join(t for t in texts if t)
+
 
+def _pdf(data: bytes) -> str:
+    from .pages import pdf_reader
 
-def _pdf(data: bytes) -> str | None:
-    try:
-        from pypdf import PdfReader
-    except ImportError:
+    return "\n\n".join(t for p in pdf_reader(data, dpi=None) if (t := "\n\n".join(b[2].strip() for b in sorted(p["blocks"]) if b[2].strip())))
+
+
+def local_path(uri: str | None) -> str | None:
+    """The file a driver-side address names: ``file://`` unquoted, or a path that exists; else None."""
+    if not (uri or "").strip():
         return None
-    return "\n\n".join((p.extract_text() or "").strip() for p in PdfReader(io.BytesIO(data)).pages)
+    if uri.startswith("file://"):
+        return unquote(uri.removeprefix("file://"))
+    return uri if os.path.exists(uri) else None
+
+
+def path_of(uri: Column) -> Column:
+    """``file://`` addresses as unquoted paths; other addresses are null, as no task can tell whether they exist."""
+    return F.when(uri.startswith("file://"), F.url_decode(F.regexp_replace(F.substring(uri, 8, 1_000_000), r"\+", "%2B")))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
@@ -68,21 +97,3 @@ def rule_tables(spark: SparkSession, path: str) -> DataFrame:
 def cached_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The ``published_rows_all`` of a batch report, for use when the rule table cannot be read."""
     return spark.read.schema(f"published_rows_all array<struct<{schema}>>").option("multiLine", "true").json(path).select(F.inline("published_rows_all"))
-
-
-def page_rows(df: DataFrame, selector: list[int] | None, page: str = "page", total: str = "total") -> DataFrame:
-    """The selected pages that exist; all pages of a document if none of them does or none are selected."""
-    if not selector:
-        return df
-    hit = F.array_contains(F.filter(F.array(*[F.lit(p) for p in selector]), lambda p: p <= F.col(total)), F.col(page))
-    some = F.exists(F.array(*[F.lit(p) for p in selector]), lambda p: (p >= 1) & (p <= F.col(total)))
-    return df.filter(hit | ~some)
-
-
-def markdown_table(rows: list[list[str | None]], number: int) -> str:
-    """A detected table as Markdown, its first row the header."""
-    cells = [["" if c is None else str(c).strip() for c in r] for r in rows]
-    if not cells:
-        return ""
-    line = lambda r: "| " + " | ".join(r) + " |"
-    return "\n".join([f"[Detected Table {number}]", line(cells[0]), line(["---"] * len(cells[0])), *map(line, cells[1:])])

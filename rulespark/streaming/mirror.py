@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,23 +23,35 @@ def counts(events: DataFrame, window: str = "1 hour", delay: str = "1 hour") ->
     return events.withWatermark("event_time", delay).groupBy(F.window("event_time", window), "event_type").agg(F.count("*").alias("n"))
 
 
-def start(events: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append events and rewrite the latest state of each policy; a batch that comes twice changes nothing.
+def current(store: Store) -> DataFrame | None:
+    """The latest state of each policy: the buckets side by side."""
+    parts = [store.read(t) for t in store.tables() if t.startswith("policies_current_")]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def start(events: DataFrame, store: Store, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
+    """Append events and bring the latest state of each policy up to date; a batch that comes twice changes nothing.
 
-    An event is never too late: repeats go within a batch and by the ids the store has, without a watermark.
+    An event is never too late: repeats go within a batch and by the ids the store has, without a
+    watermark. Policies are kept in ``buckets`` tables by hash of their id, and a batch rewrites those
+    it touches only, all in one commit.
     """
 
     def batch(df: DataFrame, _: int) -> None:
         df = df.dropDuplicates(["event_id"]).persist()
-        store.insert_absent("policy_events", df, "event_id")
-        have = store.read("policies_current")
-        seen = current_state(df)
-        if have is not None:
-            newer = seen.join(have.select("policy_id", F.col("updated_at").alias("_at")), "policy_id", "left").filter("_at is null or updated_at >= _at").drop("_at")
-            store.upsert("policies_current", newer, ["policy_id"])
-        else:
-            store.rewrite("policies_current", seen)
-        df.unpersist()
+        seen = current_state(df).withColumn("_bucket", F.pmod(F.xxhash64("policy_id"), F.lit(buckets))).persist()
+        try:
+            with store.transaction():
+                store.insert_absent("policy_events", df, "event_id")
+                for (b,) in seen.select("_bucket").distinct().orderBy("_bucket").collect():  # ``buckets`` rows at most
+                    name, mine = f"policies_current_{b:04d}", seen.filter(F.col("_bucket") == b).drop("_bucket")
+                    have = store.read(name)
+                    if have is not None:
+                        mine = mine.join(have.select("policy_id", F.col("updated_at").alias("_at")), "policy_id", "left").filter("_at is null or updated_at >= _at").drop("_at")
+                    store.upsert(name, mine, ["policy_id"])
+        finally:
+            seen.unpersist()
+            df.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,12 +1,18 @@
+import io
 import json
+import zipfile
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from rulespark import pipeline, schema
-from rulespark.operators import evolve, ingest, profile, publish, vector
-from rulespark.plans import search, spec
-from rulespark.sources import files
+from rulespark.__main__ import main as command_line
+from rulespark.functions import text
+from rulespark.operators import admin, evolve, ingest, profile, publish, vector
+from rulespark.plans import models, search, spec
+from rulespark.sources import files, pages, sinks
 from rulespark.sources.sinks import Store, eval_report
 from rulespark.streaming import mirror
 
@@ -35,7 +41,12 @@ def test_ingest_publish_ask(spark, tmp_path):
     assert got["intent"] == "complete_list" and got["rows_found"] == 2 and "May Day" in got["answer"]
     wide = pipeline.ask(store, "May I?", {"table": "policies_v2", "filters": {"topic": "nothing"}})
     assert wide["relaxations"] == 1 and wide["rows_found"] == 2
-    assert store.columns("policies")["topic"] == "string" and store.tables() == ["audit", "documents", "policies", "sections", "staging"]
+    assert store.columns("policies")["topic"] == "string"
+    assert set(store.tables()) == {"audit", "documents", "ingestion_batches", "policies", "schema_change_requests", "schema_migration_log", "sections", "staging"}
+    batch = store.read("ingestion_batches").first()
+    assert (batch.status, batch.documents_total, batch.sections_total, batch.extractions_total) == ("completed", 1, 3, 3) and '"published":2' in batch.result_summary
+    assert batch.started_at is not None and batch.finished_at >= batch.started_at
+    assert all(r.created_at is not None and r.updated_at is not None for r in store.read("staging").collect())
 
 
 def test_null_and_blank_resolution(spark):
@@ -73,8 +84,10 @@ def test_gaps_and_gate(spark):
     table = spark.range(1)
     with pytest.raises(ValueError):
         evolve.added(table, ["x; drop"])
-    out, log = evolve.apply(table, [{"request_id": "1", "migration_class": "approval_required", "decision_status": "pending", "items": [{"concept": "a", "gap_type": "new_scalar"}]}, {"request_id": "2", "migration_class": "approval_required", "decision_status": "approved", "items": [{"concept": "b", "gap_type": "new_scalar"}]}])
-    assert out.columns == ["id", "b"] and [x["status"] for x in log] == ["skipped", "applied"]
+    ask = lambda n, decision, *items: {"request_id": n, "migration_class": "approval_required", "decision_status": decision, "items": [{"concept": c, "gap_type": t} for c, t in items]}
+    out, children, log = evolve.apply(table, [ask("1", "pending", ("a", "new_scalar")), ask("2", "approved", ("b", "new_scalar"), ("approver", "new_relationship")), ask("3", "approved", ("c", "new_scalar"), ("bad name", "new_relationship"))])
+    assert out.columns == ["id", "b"] and children == ["policy_approver"]
+    assert [x["status"] for x in log] == ["skipped", "applied", "failed"] and "bad name" in log[2]["error_text"]
 
 
 def test_no_gaps_no_proposals(spark):
@@ -98,10 +111,12 @@ def test_admin_flow(spark):
 
 def test_answers():
     assert profile.answer([]) == profile.NOT_FOUND
-    text = profile.answer([{"topic": "T", "subtopic": "S", "summary": "x" * 400}])
-    assert "Relevant policy area: T / S." in text and "..." in text
+    said = profile.answer([{"topic": "T", "subtopic": "S", "summary": "x" * 400}])
+    assert "T / S" in said and "..." in said and len(said.splitlines()[1]) <= 260
     full = profile.answer([{"action_text": "Do it", "condition_text": "late", "approval_required": True, "approver": "Kim", "exception_text": "never", "bill_to": "B", "charge_code": "C"}, {"action_text": "do  IT"}])
-    assert "Approval required: Yes. Approver: Kim." in full and full.count("- Do it") == 1 and "Exception: never" in full
+    assert "Kim" in full and full.count("- Do it") == 1 and "Exception: never" in full and "Bill to: B" in full
+    assert [x for x in full.splitlines() if x and not x.startswith("- ")] == ["Direct Answer", "Do it", "Key Details", "Important Notes / Exceptions", "What You Should Do"]
+    assert "No approval" in profile.answer([{"approval_required": False, "action_text": "x"}]) and "Exceptions" not in profile.answer([{"action_text": "x"}])
 
 
 def test_evaluation(spark):
@@ -131,9 +146,206 @@ def test_files(spark, tmp_path):
     assert files.rule_tables(spark, f"file://{tmp_path}/r.json").first().key == "k"
     (tmp_path / "c.json").write_text(json.dumps({"published_rows_all": [{"topic": "T"}, {"topic": "U"}]}))
     assert files.cached_rows(spark, f"file://{tmp_path}/c.json", "topic:string").count() == 2
-    pages = spark.createDataFrame([(i, 3) for i in (1, 2, 3)], "page int, total int")
-    assert [r.page for r in files.page_rows(pages, [2, 9]).collect()] == [2] and files.page_rows(pages, [9]).count() == 3
-    assert files.markdown_table([["a", None], ["b", "c"]], 1).splitlines()[1] == "| a |  |"
+    three = spark.createDataFrame([(i, 3) for i in (1, 2, 3)], "page int, total int")
+    assert [r.page for r in pages.selected(three, [2, 9]).collect()] == [2] and pages.selected(three, [9]).count() == 3
+    assert files.local_path("file:///a%20b") == "/a b" and files.local_path("/no/such") is None and files.local_path(str(tmp_path)) == str(tmp_path) and files.local_path(" ") is None
+    uris = spark.createDataFrame([("file:///a%20b+c",), ("http://x",), (None,)], "u string")
+    assert [r.p for r in uris.select(files.path_of(F.col("u")).alias("p")).collect()] == ["/a b+c", None, None]
+
+
+def docx(texts):
+    body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in texts)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_files_of_all_kinds(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(docx(["One", " ", "Two"]))
+    (tmp_path / "b.docx").write_bytes(b"damaged")
+    (tmp_path / "c.docx").write_bytes(docx([" "]))
+    (tmp_path / "d.txt").write_text("plain")
+    (tmp_path / "e.md").write_text("# marked")
+    got = {r.source_uri[-6:]: r for r in files.documents(spark, f"file://{tmp_path}", {"md": bytes.decode}).collect()}
+    assert got["a.docx"].text == "One\n\nTwo" and got["a.docx"].error is None and got["/e.md"[-6:] if "/e.md" in got else next(k for k in got if k.endswith("e.md"))].text == "# marked"
+    assert got["b.docx"].text is None and got["b.docx"].error and got["c.docx"].error == "ValueError: the document has no text"
+
+
+def paged():
+    """A reader and an engine; inner functions travel to the workers whole."""
+
+    def read_pages(data):
+        """Pages of a test file: pages parted by form feeds, blocks by |, an image by a leading !."""
+        if data == b"damaged":
+            raise ValueError("no pages")
+        for i, p in enumerate(data.decode().split("\f"), 1):
+            parts = p.split("|")
+            yield {"page": i, "blocks": [(float(-n), 0.0, t) for n, t in enumerate(x for x in parts if not x.startswith("!"))], "tables": [[["h", None], ["x", " y "]]] if "table" in p else [], "images": [x[1:].encode() for x in parts if x.startswith("!")]}
+
+    def read_image(data):
+        if b"bad" in data:
+            raise ValueError("unreadable")
+        return data.decode() + "\n"
+
+    return read_pages, read_image
+
+
+def test_pages(spark, tmp_path):
+    read_pages, read_image = paged()
+    (tmp_path / "a.pg").write_text("lower line  |upper line here\fa table here\f|!seen in image\nlower|!bad|!second")
+    (tmp_path / "b.pg").write_bytes(b"damaged")
+    rows = pages.pages(spark, f"file://{tmp_path}", read_pages, "*.pg").persist()
+    assert [(r.page, r.error) for r in rows.collect() if r.source.endswith("b.pg")] == [(None, "ValueError: no pages")]
+    texts = pages.text_pages(rows)
+    by = {r.page: r.text for r in texts.collect()}
+    assert by == {1: "upper line here\n\nlower line", 2: "a table here\n\n[Detected Table 1]\n\n| h |  |\n| --- | --- |\n| x | y |"}
+    assert pages.text_pages(rows, with_tables=False).filter("page = 2").first().text == "a table here"
+    ocr = pages.ocr_pages(pages.image_rows(rows), read_image)
+    assert [(r.page, r.ocr_text) for r in ocr.collect()] == [(3, "seen in image\nlower\nsecond")]
+    merged = pages.merged_pages(texts, ocr)
+    chunks = pages.page_chunks(merged, size=12)
+    got = chunks.orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in got] == list(range(len(got))) and [r.page for r in got] == sorted(r.page for r in got) and all(r.tokens == len(r.text.split()) for r in got)
+    stats = {r.page: r for r in pages.statistics(merged).collect()}
+    assert stats[2].tables_detected == 1 and stats[1].text_lines == 2 == stats[1].text_lines_covered and stats[3].ocr_lines == 3 and not stats[3].ocr_used
+    sinks.chunk_files(chunks, f"file://{tmp_path}/out")
+    (made,) = [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/out").collect()]
+    assert [c["chunk_id"] for c in made] == list(range(len(got))) and set(made[0]) == {"chunk_id", "page", "text", "tokens", "source"}
+    (tmp_path / "m").mkdir()
+    for n in (12, 3):
+        (tmp_path / "m" / f"page_{n:04d}_merged.txt").write_text("x")
+    assert [r.page for r in pages.listed_pages(spark, f"file://{tmp_path}/m").collect()] == [3, 12]
+
+
+def test_store_transactions(spark, tmp_path):
+    store = sinks.Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    ids = lambda t: sorted(r.id for r in store.read(t).collect())
+    assert store.append("a", rows(1, 2)) == 2 and store.append("a", rows(3)) == 1 and ids("a") == [1, 2, 3]
+    assert store.insert_many("a", [], "id int") == 0 and store.insert_many("a", [(4,)], "id int") == 1
+    assert store.insert_absent("a", rows(4, 5, 5), "id") == 1 and ids("a") == [1, 2, 3, 4, 5]
+    with pytest.raises(ZeroDivisionError), store.transaction():
+        store.rewrite("a", rows(9))
+        store.append("b", rows(9))
+        assert ids("a") == [9]
+        1 / 0
+    assert ids("a") == [1, 2, 3, 4, 5] and store.tables() == ["a"]
+    with store.transaction():
+        store.rewrite("a", rows(7))
+        store.append("b", rows(8))
+        assert sinks.Store(spark, store.root).tables() == ["a"]
+    assert ids("a") == [7] and ids("b") == [8]
+    other = sinks.Store(spark, store.root)
+    with pytest.raises(sinks.Conflict), store.transaction():
+        store.append("a", rows(10))
+        other.append("a", rows(11))
+    assert ids("a") == [7, 11] and store.create({"a": "id int", "c": "id int, t string"}) == ["c"]
+    assert store.snapshot()["c"] == {"id": "int", "t": "string"}
+    assert store.vacuum(keep=1) > 0 and ids("a") == [7, 11] and store.vacuum(keep=1) == 0
+    assert sinks.run_script(spark, "-- a comment\nCREATE OR REPLACE TEMP VIEW v1 AS SELECT 1 AS x;\n\nCREATE OR REPLACE TEMP VIEW v2 AS SELECT ';' AS y;\n", ["v1", "v2", "v3"]) == ["v3"]
+
+
+def test_schema_changes_end_to_end(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    batch = pipeline.create_batch(store, "tests")
+    pipeline.ingest_batch(store, batch, inputs(spark, "# Odd\nIf a form is late you must note the vendor_required field.\n"))
+    asked = pipeline.plan_changes(spark, store, batch).collect()
+    assert [(r.migration_class, [i.concept for i in r["items"]]) for r in asked] == [("approval_required", ["vendor_required"])]
+    assert pipeline.apply_changes(store)[0]["status"] == "skipped" and store.read("schema_migration_log").count() == 0
+    pipeline.decide(store, [r.request_id for r in asked], "approved", "kim", "fine")
+    store.rewrite("schema_change_requests", store.read("schema_change_requests").withColumn("items", F.transform("items", lambda i: i.withField("gap_type", F.lit("new_scalar")))))
+    assert pipeline.apply_changes(store)[0]["columns"] == ["vendor_required"] and "vendor_required" in store.columns("policies")
+    log = store.read("schema_migration_log").first()
+    assert log.status == "applied" and log.applied_at is not None and pipeline.apply_changes(store) == []
+    with pytest.raises(ValueError):
+        pipeline.decide(store, [], "perhaps", "kim")
+    pipeline.publish_batch(store, batch)
+    assert store.read("policies").filter("status = 'active'").count() == 1
+
+
+def test_admin_publication(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    item = lambda **k: tuple(k.get(f) for f in ("topic", "subtopic", "condition_text", "action_text", "source_quote"))
+    made = spark.createDataFrame([
+        ("s1", "Needs approval above 9", item(topic="Travel", condition_text="if abroad", action_text="ask", source_quote="q"), "ann", None, None, None, None),
+        ("s2", "vague", item(), "ann", None, None, None, None), ("s3", "text", None, "ann", None, None, None, None),
+    ], admin.SUBMISSION)
+    judged = admin.judged(made)
+    state = {r.id: (r.status, len(r.questions), len(r.missing)) for r in judged.collect()}
+    assert state["s1"] == ("extracted", 0, 0) and state["s2"] == ("needs_clarification", 3, 3)
+    refused = {r.id: r.reason for r in pipeline.publish_submissions(store, judged, "kim").collect()}
+    assert refused == {"s2": "status needs_clarification", "s3": "nothing was extracted"}
+    assert [r.topic for r in store.read("policies").collect()] == ["Travel"]
+    (log,) = store.read("admin_audit").collect()
+    assert log.submission_id == "s1" and log.version == 1 and json.loads(log.final_json)["action_text"] == "ask" and log.published_at is not None
+    pipeline.publish_submissions(store, judged, "kim")
+    assert store.read("policies").count() == 1 == store.read("admin_audit").count()
+
+
+def test_models_and_fallbacks(spark, tmp_path):
+    assert models.unfenced("```json\n{\"a\": 1}\n```") == '{"a": 1}' and models.unfenced(" x ") == "x" and models.unfenced("```\nx") == "x"
+    with pytest.raises(ValueError):
+        models.parsed("```\n```")
+    with pytest.raises(ValueError):
+        models.parsed("{")
+    fences = spark.createDataFrame([("```json\n{}\n```",), (" plain ",), (None,), ("```\nx",)], "t string")
+    assert [r.x for r in fences.select(text.fence_stripped(F.col("t")).alias("x")).collect()] == ["{}", "plain", "", "x"]
+    rules = spark.createDataFrame([("p1", "Travel Abroad", "active"), ("p2", "Travel", "active"), ("p3", " ", None)], "policy_id string, topic string, status string")
+    told = models.context(rules)
+    assert told.splitlines() == ["rows: 3", "status: active", "topic: Travel", "topic: Travel Abroad"] and models.context(rules.limit(0)) == "rows: 0"
+    assert models.planned("What about travel abroad?", None, told).filters["topic"] == "Travel Abroad"
+    plan = models.planned("What are the holidays?", lambda q, c: '```json\n{"table": "policies_v2", "filters": {"topic": "Holidays", "department": "x"}}\n```')
+    assert plan.intent == "complete_list" and "department" not in plan.filters
+    calls, now = [], [0.0]
+    cached = models.Cached(lambda: calls.append(1) or str(len(calls)), 300, lambda: now[0])
+    assert cached() == cached() == "1"
+    now[0] = 301
+    assert cached() == "2"
+    sections = spark.createDataFrame([("good",), ("fails",), ("[1]",)], "section_text string")
+    out = {r.section_text: r.model for r in models.extracted(sections, lambda t: json.dumps({"topic": t}) if t == "good" else t).collect()}
+    assert out["good"].topic == "good" and out["fails"] is None and out["[1]"] is None
+    assert models.formatted("q", [{"action_text": "x"}], "i", lambda q, r, i: "told") == "told" and "x" in models.formatted("q", [{"action_text": "x"}], "i", lambda q, r, i: 1 / 0)
+    assert models.formatted("q", [], "i", lambda q, r, i: "told") == profile.NOT_FOUND
+    pairs = models.topic_mapping(spark, rules, lambda known: {known[0][0]: "T", "unknown": "x", "Travel Abroad": " "}).collect()
+    assert len(pairs) == 1 and pairs[0].canonical == "T"
+    vectors = models.embedded(spark.createDataFrame([("a",), (" ",), ("bb",)], "text string").coalesce(1), lambda texts: [[len(t)] for t in texts], batch=1).collect()
+    assert [r.embedding for r in vectors] == [[1.0], None, [2.0]]
+    lost = Store(spark, f"file://{tmp_path}/nowhere")
+    cache = spark.createDataFrame([("p1", "Travel", "Book early"), ("p2", "Food", "Eat")], "policy_id string, topic string, action_text string")
+    got = pipeline.ask(lost, "How early do I travel?", {"table": "policies_v2", "filters": {}}, cache=cache)
+    assert got["source"] == "cache" and got["error"] and [r["policy_id"] for r in got["rows"]] == ["p1"] and "Book early" in got["answer"]
+    with pytest.raises(Exception):  # noqa: B017
+        pipeline.ask(lost, "How?", {"table": "policies_v2", "filters": {}})
+    assert pipeline.snapshot_context(lost)() == ""
+    with pytest.raises(ValueError):
+        pipeline.ask(lost, "  ")
+
+
+def test_small_operators(spark):
+    assert spec.question_class("Internal marketing on the weekend") == {"policy_category": "marketing", "activity_type": "internal marketing"} and spec.question_class(None) == {"policy_category": "billing", "activity_type": None}
+    plan = spec.SearchSpec({"activity_type": "x", "status": "active"})
+    assert spec.relaxed_once(plan).filters == {"status": "active"} and spec.relaxed_once(spec.SearchSpec({"status": "active"})) is None
+    df = spark.createDataFrame([(1, Decimal("1.50"), datetime(2024, 1, 2), bytearray(b"x"), [1.0])], "i int, d decimal(5,2), t timestamp, b binary, v array<double>")
+    row = profile.json_rows(df).first()
+    assert json.loads(json.dumps(row.asDict()))["d"] == "1.50" and row.t.startswith("2024-01-02") and row.i == 1
+    look = profile.preview(spark.createDataFrame([("x" * 200, [1.0, 2.0])], "content string, embedding array<double>")).first()
+    assert len(look.content) == 100 and look.embedding == 2
+    bad = [({"": ("v", "string", 0.5, "p")}, []), ({"a": ("v", "string", 1.5, "p")}, []), ({}, [("", None, None, None, 1)]), ({}, [("x", None, None, None, 0)]), ({"a": ("v", "string", 1.0, "p")}, [("x", None, None, None, 1)]), (None, None)]
+    got = [r.e for r in spark.createDataFrame(bad, f"mapped_fields {schema.MAPPED}, unmapped_concepts {schema.UNMAPPED}").select(publish.payload_error().alias("e")).collect()]
+    assert [bool(e) for e in got] == [True, True, True, True, False, False]
+    with pytest.raises(ValueError):
+        search.project(df, spec.SearchSpec(fields=("i; drop",)))
+    rows = vector.vector_rows(spark.createDataFrame([("c1", "a b c", [1.0])], "chunk_id string, content string, embedding array<double>"), "local", "m")
+    assert len(rows.columns) == 18 and rows.first().word_count == 3 and rows.first().char_count == 5 and rows.first().embedding == [1.0]
+    texts = spark.createDataFrame([("\n\n".join(" ".join(["w"] * n) for n in (100, 60, 50, 30)),), ("one two",), ("",), (None,)], "t string")
+    sizes = [[len(c.split()) for c in r.c] for r in texts.select(text.paragraph_chunks(F.col("t")).alias("c")).collect()]
+    assert sizes == [[160 + 80], [2], [], []]
+    long = spark.createDataFrame([(" ".join(f"w{i}" for i in range(520)),)], "t string")
+    assert [len(c.split()) for c in long.select(text.word_chunks(F.col("t"), 500, 80, 101).alias("c")).first().c] == [500] and len(long.select(text.word_chunks(F.col("t"), 500, 80, 50).alias("c")).first().c) == 2
+    hints, aliases, reserved = schema.read_dictionary("concepts:\n  cost: {type_hint: numeric, synonyms: [Price], reserved_names: [Total]}\n  area:\nmapping_rules: {fee: cost}\n")
+    assert hints == {"cost": "numeric", "area": "text"} and aliases == {"price": "cost", "fee": "cost"} and reserved == {"total"}
+    assert {(r.alias, r.canonical, r.type_hint) for r in schema.dictionary(spark, None, hints, aliases).collect()} == {("cost", "cost", "numeric"), ("area", "area", "text"), ("price", "cost", "numeric"), ("fee", "cost", "numeric")}
 
 
 def test_mirror(spark, tmp_path):
@@ -143,7 +355,7 @@ def test_mirror(spark, tmp_path):
     for _ in range(2):
         mirror.start(spark.readStream.schema(mirror.EVENT).parquet(f"file://{tmp_path}/in"), store, f"file://{tmp_path}/cp").awaitTermination(120)
     assert store.read("policy_events").count() == 3
-    assert [(r.policy_id, r.payload_json) for r in store.read("policies_current").collect()] == [("p", "{2}")]
+    assert [(r.policy_id, r.payload_json) for r in mirror.current(store).collect()] == [("p", "{2}")]
 
 
 def test_mirror_keeps_late_events(spark, tmp_path):
@@ -152,10 +364,25 @@ def test_mirror_keeps_late_events(spark, tmp_path):
         spark.createDataFrame([(event, "p", "b", "changed", f"2024-01-01 {hour:02d}:00:00", "{%s}" % event)], "event_id string, policy_id string, batch_id string, event_type string, event_time string, payload_json string").withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
         mirror.start(spark.readStream.schema(mirror.EVENT).parquet(f"file://{tmp_path}/in"), store, f"file://{tmp_path}/cp").awaitTermination(120)
     assert sorted(r.event_id for r in store.read("policy_events").collect()) == ["1", "2", "3"]
-    assert [r.payload_json for r in store.read("policies_current").collect()] == ["{2}"]
+    assert [r.payload_json for r in mirror.current(store).collect()] == ["{2}"]
 
 
 def test_rename_is_atomic(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "topic string")
     out, changed = ingest.renamed(df, "topic", spark.createDataFrame([("a", "b"), ("b", "c")], "original string, canonical string"))
     assert sorted(str(r.topic) for r in out.collect()) == ["None", "b", "c"] and changed.count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(RULES)
+    (tmp_path / "in" / "b.docx").write_bytes(b"damaged")
+    run = lambda *a: command_line([f"file://{tmp_path}/store", *a], spark)
+    assert run("status") == {"tables": {}}
+    made = run("ingest", f"file://{tmp_path}/in", "--no-publish")
+    assert made["extractions"] == 3 and len(made["unreadable"]) == 1 and run("changes") == []
+    assert [(r["published"], r["skipped"]) for r in run("publish", "--batch", made["batch_id"])] == [(2, 1)]
+    told = run("status", "--sample", "--failed")
+    assert told["staging"] == {"published": 2, "skipped": 1} and len(told["sample"]) == 2 and len(told["failed"]) == 1
+    assert "May Day" in run("ask", "What are all the holidays?") and run("ask", "holidays", "--json")["source"] == "rules"
+    assert "Direct Answer" in capsys.readouterr().out

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _fallback: str | None = None
 _roots: list[str] = []
+_names: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,6 +49,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def purge(spark: SparkSession) -> None:
     """Delete the tables of all runs so far, once their results have been written or collected."""
+    while _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop()}")
     while _roots:
         _delete(spark, _roots.pop())
 
@@ -71,7 +74,32 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def save_by(self, df: DataFrame, key: str, buckets: int, order: list[str], path: str | None = None) -> DataFrame:
+        """``save`` in buckets of a key, each sorted: joins and groups by the key do not deal such tables out again."""
+        if not self.made:
+            _roots.append(self.root)
+        self.made += 1
+        path = path or f"{self.root}/t{self.made}"
+        name = f"rulespark_{uuid.uuid4().hex}"
+        with _shuffles_go(self.spark):
+            df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(name)
+        return self._named(name, path)
+
+    def open_by(self, path: str, schema: str, key: str, buckets: int, order: list[str]) -> DataFrame:
+        """A table that ``save_by`` wrote in another session."""
+        name = f"rulespark_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return self._named(name, path)
+
+    def _named(self, name: str, path: str) -> DataFrame:
+        _names.append(name)
+        back = self.spark.table(name)
+        back._scratch_path, back._scratch_name = path, name
+        return back
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in tables:
+            if name := getattr(df, "_scratch_name", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             _delete(self.spark, df._scratch_path)

@@ -4,12 +4,16 @@
 Consecutive window starts with the same pick form a *run*; its first start is a sampled suffix, about
 one in 35 bytes. Equal windows pick equal grams, so equal strings meet under one key wherever they
 stand. A run is stored as (h, c, did): the pick, the fingerprint of all bytes its windows cover, and
-the document. A suffix array of a batch is its runs sorted by (h, c), suffixes in fingerprint order.
+the document. The array of a batch is its runs in the order (h, c), in buckets of h. That is an order of
+fingerprints, not of letters: what is asked is which suffixes share 100 bytes, and letters would have
+to be stored, several times the text, to be compared.
 
-*Which levels.* Batches come in order of document id. A new batch's array is merge-scanned against
-all levels: a run with an equal (h, c) in an earlier document is repeated as a whole; runs that share
-only h may share a part. The batch then becomes a level of its own, and levels of equal size merge,
-so b batches leave at most log2(b) + 1 levels and an entry is rewritten log2(b) times.
+*Which levels.* Batches come in order of document id. A new batch's array is scanned side by side with
+all levels, bucket by bucket; levels stay where they are, only the batch is dealt out. A run with an
+equal (h, c) in an earlier document is repeated as a whole; runs that share only h may share a part.
+The batch then becomes a level of its own, and levels of equal size merge, so b batches leave at most
+log2(b) + 1 levels and an entry is rewritten log2(b) times. An index that is given a folder stays there,
+and later documents are scanned against it.
 
 *Parts.* Runs that share only h are looked at again in two finer steps, of each (h, c) only the first:
 the windows of its later copies are repeated anyway. Windows at offsets 8 j to 8 j + 7 from the picked
@@ -18,12 +22,15 @@ its key. Blocks are then judged as runs were: an equal block in an earlier docum
 whole, and only blocks that share their core alone list their single windows.
 
 Repeats inside a document are found in the last pass, which recomputes the document's runs. Strings
-are compared by two 64-bit fingerprints, h and c or h and the window's.
+are compared by two 64-bit fingerprints, h and c or h and the window's. Entries that many texts of a
+slice have are one row with a list of ids before they are dealt out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -39,6 +46,10 @@ LENGTH = 100
 GRAM = 32
 BATCHES = 4
 BLOCK = 8
+#: Runs whose blocks are worked out at once.
+RUNS = 20_000
+ENTRY = "h long, c long, new long, newest long, dids array<long>"
+LEVEL = "h long, c long, did long"
 #: Lists of partly repeated runs or blocks are broadcast up to so many rows (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 TOP = T.U64(0xFFFFFFFFFFFFFFFF)
@@ -91,6 +102,9 @@ class Runs:
 
     def blocks(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
         """(run index, key, fingerprint, first window start, windows) of every block of the given runs."""
+        if len(which) > RUNS:
+            parts = [self.blocks(which[i : i + RUNS]) for i in range(0, len(which), RUNS)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         start, n, h = self.start[which], self.n[which], self.h[which]
         place = np.minimum(start[:, None] + np.arange(self.reach + 1), len(self.grams) - 1)
         picked = start + (self.grams[place] == h[:, None]).argmax(axis=1)
@@ -108,17 +122,30 @@ class Runs:
         return T.spans_hash(self.sums, starts, starts + self.length)
 
 
+def _grouped(h: np.ndarray, c: np.ndarray, did: np.ndarray) -> pa.RecordBatch:
+    """A row for each (h, c), with the different ids that have it."""
+    order = np.lexsort((did, c, h))
+    h, c, did = h[order], c[order], did[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    keep = new.copy()
+    keep[1:] |= did[1:] != did[:-1]
+    new, h, c, did = new[keep], h[keep], c[keep], did[keep]
+    first = np.flatnonzero(new)
+    ends = np.append(first[1:], len(h))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(did))
+    return pa.RecordBatch.from_arrays([pa.array(T.signed(h[first])), pa.array(T.signed(c[first])), pa.array(did[first]), pa.array(did[ends - 1]), lists], names=["h", "c", "new", "newest", "dids"])
+
+
 def _entries(length: int, gram: int):
-    """(h, c, did) of each distinct run of each text."""
+    """``ENTRY`` rows of the runs of each slice."""
 
     def run(batches):
         for part in T.slices(batches):
             r = Runs(*T.packed(part.column(1)), length, gram)
-            if not len(r.start):
-                continue
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            _, one = np.unique(r.c ^ T.mix(r.doc.astype(T.U64)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(r.h[one])), pa.array(T.signed(r.c[one])), pa.array(ids[r.doc[one]].astype(np.int64))], names=["h", "c", "did"])
+            if len(r.start):
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield _grouped(r.h, r.c, ids[r.doc])
 
     return run
 
@@ -142,14 +169,11 @@ def _listed(part: pa.RecordBatch, column: int, doc: np.ndarray, values: np.ndarr
 
 
 def _rows(part: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    """(h, c, did), once for each text."""
-    ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    _, one = np.unique(c ^ T.mix(doc.astype(T.U64)), return_index=True)
-    return pa.RecordBatch.from_arrays([pa.array(T.signed(key[one])), pa.array(T.signed(c[one])), pa.array(ids[doc[one]])], names=["h", "c", "did"])
+    return _grouped(key, c, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc])
 
 
 def _part_blocks(length: int, gram: int):
-    """Rows (did, text, runs): (key, fingerprint, did) of each distinct block of the listed runs."""
+    """Rows (did, text, runs): ``ENTRY`` rows of the blocks of the listed runs."""
 
     def run(batches):
         for part in T.slices(batches):
@@ -163,7 +187,7 @@ def _part_blocks(length: int, gram: int):
 
 
 def _part_windows(length: int, gram: int):
-    """Rows (did, text, blocks): (key of the block, fingerprint, did) of each distinct window of the listed blocks."""
+    """Rows (did, text, blocks): ``ENTRY`` rows of the windows of the listed blocks, by the key of the block."""
 
     def run(batches):
         for part in T.slices(batches):
@@ -256,50 +280,97 @@ def _cut(length: int, gram: int, with_text: bool):
 
 
 class LogSuffixIndex:
-    """The levels, least recent first, as tables (h, c, did) with their size classes."""
+    """The levels, least recent first, as tables (h, c, did) in buckets of h, with their size classes.
 
-    def __init__(self, tmp: Scratch, length: int = LENGTH, gram: int = GRAM):
-        self.tmp, self.length, self.gram = tmp, length, gram
-        self.levels: list[tuple[int, DataFrame]] = []
-
-    def add(self, batch: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
-        """Scan a batch (did, text), whose ids exceed all earlier ones', then take it in unless it is the last.
+    With a ``root`` the levels stay in that folder, and ``LogSuffixIndex(spark, root)`` opens them again.
+    """
 
-        Returns (did, c) of its wholly repeated runs, and (did, c) of all runs that may be repeated in part.
+    def __init__(self, spark: SparkSession, root: str | None = None, length: int = LENGTH, gram: int = GRAM):
+        self.spark, self.root, self.length, self.gram = spark, root.rstrip("/") if root else None, length, gram
+        self.tmp = Scratch(spark, "suffix")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[tuple[int, DataFrame]] = []
+        if self.root and (told := self._read()):
+            self.length, self.gram, self.buckets = told["length"], told["gram"], told["buckets"]
+            self.levels = [(x["size"], self.tmp.open_by(f"{self.root}/{x['path']}", LEVEL, "h", self.buckets, ["h", "c"])) for x in told["levels"]]
+
+    def _state(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/levels.json")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def _read(self) -> dict | None:
+        fs, path = self._state()
+        return json.loads(self.spark.read.text(f"{self.root}/levels.json", wholetext=True).first()[0]) if fs.exists(path) else None
+
+    def _write(self) -> None:
+        """The levels' names go into the folder last, so a run that fails leaves the old ones in force."""
+        levels = [{"size": size, "path": level._scratch_path.removeprefix(f"{self.root}/")} for size, level in self.levels]
+        fs, path = self._state()
+        out = fs.create(path, True)
+        out.write(json.dumps({"length": self.length, "gram": self.gram, "buckets": self.buckets, "levels": levels}).encode())
+        out.close()
+
+    def array(self, texts: DataFrame, cut) -> DataFrame:
+        """What ``cut`` makes of the texts, dealt out by h once."""
+        # a stored column for what levels add: a union whose first side makes up a column loses its partitioning
+        rows = texts.mapInArrow(cut, ENTRY).withColumn("old", F.lit(None).cast("long"))
+        return self.tmp.save_by(rows.repartition(self.buckets, "h"), "h", self.buckets, ["h", "c"])
+
+    def scan(self, entries: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        """(h, c, first, newest, old, shared): entries and level rows side by side.
+
+        ``shared``: the h has another c too, and the entries have it.
         """
-        tmp = self.tmp
-        entries = tmp.save(batch.mapInArrow(_entries(self.length, self.gram), "h long, c long, did long"))
         none = F.lit(None).cast("long")
-        array = entries.groupBy("h", "c").agg(F.min("did").alias("new"), F.max("did").alias("newest")).withColumn("old", none)
-        for _, level in self.levels:
-            array = array.union(level.select("h", "c", none, none, F.col("did")))
+        both = entries.select("h", "c", "new", "newest", "old")
+        for level in levels:
+            both = both.union(level.select("h", "c", none, none, F.col("did")))
         by = Window.partitionBy("h")
-        scanned = (
-            array.repartition("h").groupBy("h", "c").agg(F.min("new").alias("new"), F.max("newest").alias("newest"), F.min("old").alias("old"))
+        found = (
+            both.groupBy("h", "c").agg(F.min("new").alias("new"), F.max("newest").alias("newest"), F.min("old").alias("old"))
             .withColumn("shared", (F.min("c").over(by) != F.max("c").over(by)) & F.max(F.col("new").isNotNull()).over(by))
-            .filter("new is not null or shared")
-            .withColumn("first", F.coalesce("old", "new"))
+            .filter("new is not null or shared").withColumn("first", F.coalesce("old", "new"))
         )
-        scanned = tmp.save(scanned)
+        return self.tmp.save_by(found, "h", self.buckets, ["h", "c"])
+
+    def judged(self, entries: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((did, c) of entries that an earlier document has too, (did, c) of the firsts that share only their h)."""
         whole = scanned.filter("newest > first").select("h", "c", "first")
-        repeated = tmp.save(entries.join(whole, ["h", "c"]).filter("did > first").select("did", "c"))
-        part = tmp.save(scanned.filter("shared").select(F.col("first").alias("did"), "c"))
-        if not last:
-            self._put(tmp.save(scanned.filter("old is null").select("h", "c", F.col("new").alias("did"))))
-        tmp.drop(entries, scanned)
+        later = entries.select("h", "c", "dids").join(whole, ["h", "c"]).select(F.explode(F.filter("dids", lambda d: d > F.col("first"))).alias("did"), "c")
+        return self.tmp.save(later), self.tmp.save(scanned.filter("shared").select(F.col("first").alias("did"), "c"))
+
+    def add(self, batch: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Scan a batch (did, text), whose ids exceed all earlier ones', and keep it as a level.
+
+        Returns (did, c) of its wholly repeated runs, and (did, c) of all runs that may be repeated in part.
+        """
+        entries = self.array(batch, _entries(self.length, self.gram))
+        scanned = self.scan(entries, [level for _, level in self.levels])
+        repeated, part = self.judged(entries, scanned)
+        self.tmp.drop(entries)
+        if keep:
+            self._put(scanned.filter("old is null").select("h", "c", F.col("new").alias("did")))
+        self.tmp.drop(scanned)
         return repeated, part
 
-    def _put(self, level: DataFrame) -> None:
-        size = 0
+    def _put(self, rows: DataFrame) -> None:
+        """Take rows in as a level; as long as the last level is of its size, the two become one of the next."""
+        size, merged = 0, []
         while self.levels and self.levels[-1][0] == size:
-            _, other = self.levels.pop()
-            merged = self.tmp.save(other.union(level).repartition("h").sortWithinPartitions("h", "c"))
-            self.tmp.drop(other, level)
-            level, size = merged, size + 1
-        self.levels.append((size, level))
+            merged.append(self.levels.pop()[1])
+            rows, size = merged[-1].select("h", "c", "did").union(rows), size + 1
+        path = f"{self.root}/{uuid.uuid4().hex}" if self.root else None
+        self.levels.append((size, self.tmp.save_by(rows, "h", self.buckets, ["h", "c"], path)))
+        if self.root:
+            self._write()
+        self.tmp.drop(*merged)
 
+    def drop(self) -> None:
+        self.tmp.drop(*[level for _, level in self.levels])
+        self.levels = []
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, with_text: bool = False, index: LogSuffixIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for every row; ``row`` is the input row.
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a document with a smaller
@@ -307,13 +378,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null text is empty; a null id is less than any other; rows with the same id do not remove each other's bytes. ``kept_text``
     keeps a character whole if only some of its bytes would go. Extra columns stay in ``row``; an
     empty table gives no rows.
+
+    With an ``index``, the documents are also judged against those that it holds, and it takes them in;
+    their ids must exceed those, and ``earlier`` must have the texts that it was built from, which are
+    read for parts of runs.
     """
     spark: SparkSession = docs.sparkSession
-    tmp = Scratch(spark, "suffix")
+    kept = index is not None
+    index = index if kept else LogSuffixIndex(spark, None, length, gram)
+    tmp, length, gram = index.tmp, index.length, index.gram
+    known = lambda df: df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = src.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    texts = known(docs) if earlier is None else known(earlier).union(known(docs))
+    cuts = src.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     cuts = sorted(set(cuts))
-    index = LogSuffixIndex(tmp, length, gram)
     repeated, part = [], []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = src.select("did", "text")
@@ -321,18 +399,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             batch = batch.filter(F.col("did") > low)
         if high is not None:
             batch = batch.filter(F.col("did") <= high)
-        whole, some = index.add(batch, last=high is None)
+        whole, some = index.add(batch, keep=kept or high is not None)
         repeated.append(whole)
         part.append(some)
-    tmp.drop(*[level for _, level in index.levels])
-    finer = _finer(src, reduce(DataFrame.union, part), tmp, _part_blocks(length, gram))
+    if not kept:
+        index.drop()
+    block_repeats, block_part = _finer(texts, reduce(DataFrame.union, part), index, _part_blocks(length, gram))
     tmp.drop(*part)
-    block_repeats, block_part = _repeats(finer, tmp)
-    tmp.drop(finer)
-    finest = _finer(src, block_part, tmp, _part_windows(length, gram))
-    tmp.drop(block_part)
-    window_repeats, window_part = _repeats(finest, tmp)
-    tmp.drop(finest, window_part)
+    window_repeats, window_part = _finer(texts, block_part, index, _part_windows(length, gram))
+    tmp.drop(block_part, window_part)
     listed = lambda df, name: df.groupBy("did").agg(F.collect_list("c").alias(name))
     lists = listed(reduce(DataFrame.union, repeated), "runs").join(listed(block_repeats, "blocks"), "did", "full").join(listed(window_repeats, "windows"), "did", "full")
     lists = tmp.save(lists)
@@ -341,25 +416,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return src.join(lists, "did", "left").select("row", "text", "runs", "blocks", "windows").mapInArrow(_cut(length, gram, with_text), kind)
 
 
-def _finer(src: DataFrame, part: DataFrame, tmp: Scratch, cut) -> DataFrame:
-    """(h, c, did) of what ``cut`` makes of the texts that hold a listed (did, c)."""
+def _finer(texts: DataFrame, part: DataFrame, index: LogSuffixIndex, cut) -> tuple[DataFrame, DataFrame]:
+    """``index.judged`` of what ``cut`` makes of the texts that hold a listed (did, c)."""
+    tmp = index.tmp
     part = tmp.save(part.groupBy("did").agg(F.collect_set("c").alias("cs")))
     few = (part.agg(F.sum(F.size("cs"))).first()[0] or 0) <= BROADCAST_ROWS
-    texts = src.select("did", "text").join(F.broadcast(part) if few else part, "did").select("did", "text", "cs")
-    out = tmp.save(texts.mapInArrow(cut, "h long, c long, did long"))
-    tmp.drop(part)
-    return out
-
-
-def _repeats(entries: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(did, c) of entries that an earlier document has too, and of firsts that share only their h."""
-    by = Window.partitionBy("h")
-    scanned = tmp.save(
-        entries.groupBy("h", "c").agg(F.min("did").alias("first"), F.max("did").alias("newest")).repartition("h")
-        .withColumn("shared", F.min("c").over(by) != F.max("c").over(by)).filter("shared or newest > first")
-    )
-    whole = scanned.filter("newest > first").select("h", "c", "first")
-    repeated = tmp.save(entries.join(whole, ["h", "c"]).filter("did > first").select("did", "c"))
-    part = tmp.save(scanned.filter("shared").select(F.col("first").alias("did"), "c"))
-    tmp.drop(scanned)
-    return repeated, part
+    entries = index.array(texts.join(F.broadcast(part) if few else part, "did").select("did", "text", "cs"), cut)
+    scanned = index.scan(entries, [])
+    found = index.judged(entries, scanned)
+    tmp.drop(part, entries, scanned)
+    return found

@@ -9,7 +9,7 @@ import brute_force as B
 from rulespark.llm.components import connected_components
 from rulespark.llm.neardup import near_duplicates
 from rulespark.llm.scratch import Scratch
-from rulespark.llm.suffixdedup import remove_repeats
+from rulespark.llm.suffixdedup import LogSuffixIndex, remove_repeats
 
 DOCS = "doc_id long, text string, source string"
 
@@ -86,6 +86,20 @@ def test_repeats_equal_brute_force(spark, length, gram):
     assert sorted(out, key=key) == sorted(B.repeats(rows, length), key=key)
 
 
+def test_later_documents_meet_a_kept_index(spark, tmp_path):
+    r = random.Random(8)
+    passages = ["".join(r.choice("abcdé ") for _ in range(90)) for _ in range(3)]
+    rows = [(i, "".join(r.choice("abcdefghij ñ") for _ in range(r.randrange(0, 80))) + r.choice(passages)[r.randrange(0, 30) :] + "".join(r.choice("abcdef ") for _ in range(40))) for i in range(40)]
+    frame = lambda some: spark.createDataFrame([(d, t, "s") for d, t in some], DOCS)
+    root, out = f"file://{tmp_path}/index", []
+    for a, b in ((0, 10), (10, 20), (20, 30), (30, 40)):
+        index = LogSuffixIndex(spark, root, 20, 8)
+        got = remove_repeats(frame(rows[a:b]), batches=2 if a == 10 else 1, index=index, earlier=frame(rows[:a]))
+        out += [(x.row.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()]
+    assert sorted(out) == sorted(B.repeats(rows, 20))
+    assert [size for size, _ in LogSuffixIndex(spark, root, 20, 8).levels] == [2, 0], "five batches: four merged twice, one alone"
+
+
 def test_kept_text_keeps_characters_whole(spark):
     r = random.Random(1)
     p = "".join(r.choice("éñüöàç") for _ in range(60))

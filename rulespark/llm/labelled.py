@@ -24,7 +24,7 @@ def training_ids(labels: DataFrame, label: str, per_class: int, id_col: str = "d
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, text, label) of the sample, by a broadcast of its bounded list of ids; one row an id."""
+    """(did, text, label) of the sample, by a broadcast of its bounded list of ids; one row an id, of several texts the least."""
     ids = F.broadcast(training_ids(labels, label, per_class, id_col))
     texts = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(ids, "did").dropDuplicates(["did"]).select("did", "text", "label")
+    return texts.join(ids, "did").groupBy("did", "label").agg(F.min("text").alias("text")).select("did", "text", "label")

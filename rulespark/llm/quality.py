@@ -26,6 +26,8 @@ SHAPE_COLUMNS = 1024
 FORM_COLUMNS = 64
 COLUMNS = WORD_COLUMNS + SHAPE_COLUMNS + FORM_COLUMNS
 RANK = 48
+#: Texts that are counted at once; each takes ``COLUMNS`` numbers.
+ROWS = 512
 NEIGHBOURS = 15
 #: Weights of the three kinds of terms.
 KIND_WEIGHTS = (0.5, 1.0, 1.0)
@@ -93,18 +95,23 @@ class Model:
     prior: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        z = (counts * self.weights) @ self.axes
+        z = (counts * self.weights).astype(np.float64) @ self.axes
         return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-9)
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         texts = len(offs) - 1
         if not len(self.labels):
             return np.full(texts, self.prior)
-        like = self.latent(term_counts(buf, offs)) @ self.vectors.T
+        # rounded, so that the last bits, which depend on what else is in the slice, decide nothing
+        like = np.round(self.latent(term_counts(buf, offs)) @ self.vectors.T, 9)
         k = min(NEIGHBOURS, like.shape[1])
-        near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(like, near, axis=1), 0).astype(np.float64) ** 4 + 1e-9
-        return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        least = np.partition(like, like.shape[1] - k, axis=1)[:, like.shape[1] - k, None]
+        over, even = like > least, like == least
+        # of equal similarities the first of the sample count
+        near = over | even & (np.cumsum(even, axis=1) <= k - over.sum(axis=1, keepdims=True))
+        weight = np.maximum(like[near].reshape(texts, k), 0) ** 4 + 1e-9
+        votes = np.broadcast_to(self.labels, like.shape)[near].reshape(texts, k)
+        return np.round((weight * votes).sum(axis=1) / weight.sum(axis=1), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -115,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = training_texts(docs, labels, "quality", per_class, id_col, text_col)
 
     def rows(batches):
-        for part in T.slices(batches):
+        for part in T.slices(batches, rows=ROWS):
             counts = term_counts(*T.packed(part.column(1)))
             some = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), T.lists([s.astype(np.int32) for s in some], pa.int32()), T.lists([c[s] for c, s in zip(counts, some, strict=True)], pa.float32())], names=["did", "label", "at", "x"])
@@ -123,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = sample.mapInArrow(rows, "did long, label int, at array<int>, x array<float>").toArrow().sort_by("did")
     y = got["label"].to_numpy().astype(np.float64)
     if not len(y):
-        return Model(np.ones(COLUMNS, np.float32), np.zeros((COLUMNS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
+        return Model(np.ones(COLUMNS, np.float32), np.zeros((COLUMNS, 1)), np.zeros((0, 1)), y, 0.5)
     x = np.zeros((len(y), COLUMNS), dtype=np.float32)
     for i, (at, v) in enumerate(zip(got["at"], got["x"], strict=True)):
         x[i, np.asarray(at.values)] = np.asarray(v.values)
@@ -132,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weighted = x * weights
     squares = weighted.T.astype(np.float64) @ weighted
     _, vectors = np.linalg.eigh(squares)
-    axes = vectors[:, ::-1][:, : min(RANK, len(y))].astype(np.float32)
-    model = Model(weights, axes, np.zeros((0, 1), np.float32), y, float(y.mean()))
+    axes = np.ascontiguousarray(vectors[:, ::-1][:, : min(RANK, len(y))])
+    model = Model(weights, axes, np.zeros((0, 1)), y, float(y.mean()))
     model.vectors = np.ascontiguousarray(model.latent(x))
     return model
 
@@ -145,8 +152,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     any other. Long texts are read whole. Repeated rows get equal scores; an empty table gives no rows.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the bounded sample's vectors
+
     def run(batches):
-        for part in T.slices(batches):
+        model = shared.value
+        for part in T.slices(batches, rows=ROWS):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(*T.packed(part.column(1))).astype(np.float64))], names=["row", "score"])
 
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

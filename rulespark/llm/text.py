@@ -57,8 +57,8 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut by rows so that a piece has about ``limit`` bytes of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that a piece has about ``limit`` bytes of text and ``rows`` rows at most, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at, n = 0, batch.num_rows
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

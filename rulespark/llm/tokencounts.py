@@ -2,10 +2,11 @@
 
 Pre-tokens are the parts of a text between spaces, each with the space mark in front. The best
 segmentation of a pre-token under a unigram model (largest sum of piece scores, then fewest pieces)
-has a forward score at every character, which depends on the prefix alone. So the distinct pre-tokens
-of a batch are walked as a trie: in sorted order the characters shared with the word before keep
-their scores, and only the rest is computed. A terminal stores the word's count of tokens; a text's
-count is the sum over its pre-tokens. Characters without a piece cost one token for each byte.
+has a forward score at every character, which depends on the prefix alone. So pre-tokens are inserted
+in a trie that a worker keeps: a node holds the forward score of its prefix, worked out once from the
+nodes above it, and a pre-token's last node holds its count of tokens. A text's count is the sum over
+its pre-tokens. Characters without a piece cost one token for each byte. Scores may be given; without
+any, the vocabulary's ranks stand for them, as its own model has none.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .vocabulary import SPACE, Vocabulary
 
-#: Terminals a worker keeps from batch to batch; when full it starts anew, with equal results.
-KEPT = 1_500_000
+#: Nodes a worker keeps from batch to batch; when full it starts anew, with equal results.
+KEPT = 1_000_000
 
 
 def scores(vocabulary: Vocabulary) -> dict[str, float]:
@@ -31,7 +32,7 @@ def scores(vocabulary: Vocabulary) -> dict[str, float]:
 
 
 class Trie:
-    """Forward scores along the current path, for words that come in sorted order."""
+    """Prefixes of the words met so far; a node is a place in the lists of its forward score and its fewest tokens."""
 
     def __init__(self, score: dict[str, float]):
         self.score = score
@@ -42,42 +43,46 @@ class Trie:
                 lengths.setdefault(p[-2:], set()).add(len(p))
         self.back = {c: tuple(sorted(n)) for c, n in lengths.items()}
         self.unknown = min(score.values()) - 10.0
-        self.word = ""
-        self.path: list[tuple[float, int]] = [(0.0, 0)]
-        self.computed = 0
-
-    def count(self, word: str) -> int:
-        path, old = self.path, self.word
-        same = 0
-        for a, b in zip(word, old, strict=False):
-            if a != b:
-                break
-            same += 1
-        del path[same + 1 :]
-        score_of, back, unknown = self.score.get, self.back.get, self.unknown
-        for end in range(same + 1, len(word) + 1):
-            last = word[end - 1]
-            before = path[end - 1]
-            s = score_of(last)
-            if s is None:
-                size = len(last.encode())
-                best = (before[0] + unknown * size, before[1] - size)
-            else:
-                best = (before[0] + s, before[1] - 1)
-            if end > 1:
-                for n in back(word[end - 2 : end], ()):
-                    if n > end:
-                        break
-                    s = score_of(word[end - n : end])
-                    if s is not None:
-                        before = path[end - n]
-                        now = (before[0] + s, before[1] - 1)
-                        if now > best:
-                            best = now
-            path.append(best)
-            self.computed += 1
-        self.word = word
-        return -path[-1][1]
+        self.clear()
+
+    def clear(self) -> None:
+        #: The child of node n by a character is at n * 2**21 + the character's code.
+        self.child: dict[int, int] = {}
+        self.best: list[tuple[float, int]] = [(0.0, 0)]
+        self.terminal: dict[str, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The word's count of tokens; only prefixes that are new are scored."""
+        child, best = self.child, self.best
+        score_of, back = self.score.get, self.back.get
+        path = [0]
+        node = 0
+        for end, c in enumerate(word, 1):
+            key = node << 21 | ord(c)
+            node = child.get(key)
+            if node is None:
+                score, less = best[path[-1]]
+                s = score_of(c)
+                if s is None:
+                    size = len(c.encode())
+                    now = (score + self.unknown * size, less - size)
+                else:
+                    now = (score + s, less - 1)
+                if end > 1:
+                    for n in back(word[end - 2 : end], ()):
+                        if n > end:
+                            break
+                        s = score_of(word[end - n : end])
+                        if s is not None:
+                            score, less = best[path[end - n]]
+                            other = (score + s, less - 1)
+                            if other > now:
+                                now = other
+                node = child[key] = len(best)
+                best.append(now)
+            path.append(node)
+        self.terminal[word] = count = -best[node][1]
+        return count
 
 
 _kept: dict = {}
@@ -88,32 +93,27 @@ def _counter(shared):
         score = shared.value
         key = hash(tuple(score.items()))
         if _kept.get("key") != key:
-            _kept.clear()
-            _kept["key"], _kept["of"] = key, {}
+            _kept["key"], _kept["trie"] = key, Trie(score)
+        trie: Trie = _kept["trie"]
         for part in T.slices(batches):
-            words, counts = [], []
-            known: dict[str, int] = _kept["of"]
-            split = [t.split(" ") if t else [] for t in part.column(1).to_pylist()]
-            new = set().union(*split) - known.keys()
-            trie = Trie(score)
-            for w in sorted(new):
-                known[w] = trie.count(SPACE + w)
-            for ws in split:
-                words.append(len(ws))
-                counts.append(sum(map(known.__getitem__, ws)))
-            if len(known) > KEPT:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], names=["row", "n_pretokens", "n_tokens"])
+            split = [[SPACE + w for w in t.split(" ")] if t else [] for t in part.column(1).to_pylist()]
+            for w in set().union(*split) - trie.terminal.keys():
+                trie.insert(w)
+            counts = [sum(map(trie.terminal.__getitem__, ws)) for ws in split]
+            if len(trie.best) > KEPT:
+                trie.clear()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(ws) for ws in split], pa.int64()), pa.array(counts, pa.int64())], names=["row", "n_pretokens", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, text_col: str = "text", model: str | None = None, piece_scores: dict[str, float] | None = None) -> DataFrame:
     """(row, n_pretokens, n_tokens) for every row; ``row`` is the input row.
 
     A null or empty text has none of either. Texts of any length count whole, a long text without
-    spaces as one pre-token. Repeated rows count alike; an empty table gives no rows.
+    spaces as one pre-token. Repeated rows count alike; an empty table gives no rows. ``piece_scores``
+    are log-probabilities of pieces, with the space mark for a space.
     """
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(scores(Vocabulary.load(model)))
+    shared = docs.sparkSession.sparkContext.broadcast(piece_scores or scores(Vocabulary.load(model)))
     return src.mapInArrow(_counter(shared), f"row {src.schema['row'].dataType.simpleString()}, n_pretokens long, n_tokens long")

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons and patterns: fixed word lists, words and word beginnings mined from the sample
-of labelled rows, and patterns on the share of hits. A generative label model estimates by EM how
+of labelled rows, and patterns on the number and the share of hits. A generative label model estimates by EM how
 often each voter fires in either class, and from the residuals which voters fire together; the vote
 of a voter is divided by how much of it others repeat. Its posteriors, not the labels, train the
 linear classifier that scores every text.
@@ -142,20 +142,35 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
 class Model:
     terms: np.ndarray
     voters: np.ndarray
-    weights: np.ndarray  # per voter, then log1p(hits), share of hits, intercept
-
-    def features(self, hits: Hits) -> tuple[np.ndarray, np.ndarray]:
-        return np.log1p(hits.total), np.minimum(1, 20 * hits.total / np.maximum(1, hits.words))
+    weights: np.ndarray  # per voter, per pattern, then log1p(hits), share of hits, intercept
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         hits = _hits(buf, offs, self.terms, self.voters)
-        count, share = self.features(hits)
-        w = self.weights
-        logit = w[-1] + w[-3] * count + w[-2] * share
+        dense, w = features(hits.total, hits.words), self.weights
+        lexical = len(w) - dense.shape[1] - 1
+        # summed column by column, so a text's score does not depend on what else is in the slice
+        logit = np.full(len(hits.words), w[-1])
+        for i in range(dense.shape[1]):
+            logit += w[lexical + i] * dense[:, i]
         logit += np.bincount(hits.doc, weights=w[hits.voter], minlength=len(logit))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+#: Pattern voters: at least so many hits, and at least this share of the words.
+HITS, SHARES = (1, 2, 4, 8), (0.02, 0.05, 0.1, 0.25)
+
+
+def patterns(total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """texts x patterns: which of them fire."""
+    share = total / np.maximum(1, words)
+    return np.column_stack([*[total >= n for n in HITS], *[(share >= s) & (total > 0) for s in SHARES]]).astype(float)
+
+
+def features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """texts x (patterns, log1p(hits), share of hits)."""
+    return np.column_stack([patterns(total, words), np.log1p(total), np.minimum(1, 20 * total / np.maximum(1, words))])
+
+
 def _fixed_terms() -> list[int]:
     out = []
     for words in LEXICONS.values():
@@ -189,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         terms = np.array(sorted(pairs), dtype=T.U64)
         voters = np.array([pairs[t] for t in sorted(pairs)], dtype=np.int64)
         width = int(voters.max()) + 1
-        model = Model(terms, voters, np.concatenate([np.ones(width), [1.0, 1.0, -3.0]]))
+        model = Model(terms, voters, np.concatenate([np.ones(width), np.zeros(len(HITS) + len(SHARES)), [1.0, 1.0, -3.0]]))
         if len(sizes) < 2:
             return model
 
@@ -200,18 +215,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found = [hits.voter[a:b].astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(2), T.lists(found, pa.int64()), pa.array(hits.total), pa.array(hits.words.astype(np.int64))], names=["label", "voters", "total", "words"])
 
-        got = sample.mapInArrow(rows, "label int, voters array<long>, total double, words long").collect()
+        got = sorted(sample.mapInArrow(rows, "label int, voters array<long>, total double, words long").collect())
     finally:
         sample.unpersist()
     total, words = np.array([r.total for r in got]), np.array([r.words for r in got])
     votes = np.zeros((len(got), width))
     for i, r in enumerate(got):
         votes[i, r.voters] = 1
-    count, share = model.features(Hits(np.zeros(0), np.zeros(0), total, words))
-    patterns = np.column_stack([total >= 2, share >= 0.25])
     prior = sizes[1] / (sizes[0] + sizes[1])
-    posterior, _, _ = label_model(np.hstack([votes, patterns]).astype(float), prior)
-    model.weights = logistic(np.column_stack([votes, count, share]), posterior)
+    posterior, _, _ = label_model(np.hstack([votes, patterns(total, words)]), prior)
+    model.weights = logistic(np.column_stack([votes, features(total, words)]), posterior)
     return model
 
 

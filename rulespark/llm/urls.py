@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence.
 
 Pages that redirect to each other, or name another page as canonical, are one resource under several
-addresses. Addresses are nodes, a page's ``<link rel="canonical">`` and ``<meta http-equiv="refresh">``
+addresses. Links are read as a browser does: character references, ``<base>``, and dots in paths. Addresses are nodes, a page's ``<link rel="canonical">`` and ``<meta http-equiv="refresh">``
 are edges, and connected components make the classes. A rule decides the addresses it fits. An
 address that no rule fits takes the decision of its class: allow if a rule allows any member (an
 explicit allow goes before a block), block if a rule blocks any member, and allow otherwise.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulespark.functions.text import bound
+
 from .components import connected_components
 from .scratch import Scratch
 
@@ -20,6 +22,7 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 _LINK = r"(?is)<link\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*>"
+_BASE = r"(?is)<base\b[^>]*>"
 _HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 _TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
 
@@ -38,6 +41,27 @@ def address(url: Column) -> Column:
     return F.concat(F.lower(F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)), F.regexp_replace(plain, r"(?s)^.*?://[^/?]*", ""))
 
 
+def without_dots(url: Column) -> Column:
+    """The url with ``.`` and ``..`` segments of its path taken away, as a browser does."""
+    origin, path, rest = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.lit(0), F.size(kept) - 1))).otherwise(F.concat(kept, F.array(s)))
+    parts = F.slice(F.split(path, "/"), 2, F.greatest(F.lit(1), F.size(F.split(path, "/"))))
+    folder = F.when(path.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), folder)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(url)
+
+
+#: The entities that stand in addresses.
+ENTITIES = (("&#38;", "&"), ("&#x26;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def unescaped(link: Column) -> Column:
+    """A link with its character references read."""
+    for name, char in ENTITIES:
+        link = F.replace(link, F.lit(name), F.lit(char))
+    return link
+
+
 def resolved(base: Column, link: Column) -> Column:
     """A link against the page's url: absolute, scheme-relative, rooted, query-only or relative to the folder."""
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
@@ -67,8 +91,13 @@ def edges_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     canonical = F.transform(F.filter(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda t: t.rlike(r"""(?is)\brel\s*=\s*["']?[^"'>]*\bcanonical\b""")), lambda t: F.regexp_extract(t, _HREF, 1))
     refresh = F.transform(F.filter(F.regexp_extract_all(html, F.lit(_META), 0), lambda t: t.rlike(r"""(?is)http-equiv\s*=\s*["']?\s*refresh""")), lambda t: F.regexp_extract(t, _TARGET, 1))
-    links = pages.select(F.col(url_col).cast("string").alias("url"), F.explode(F.concat(canonical, refresh)).alias("link")).filter("url is not null and link <> ''")
-    return links.select(address(F.col("url")).alias("a"), address(resolved(F.col("url"), F.col("link"))).alias("b")).filter("a <> b and a <> '' and b <> ''")
+    base = F.regexp_extract(F.regexp_extract(html, _BASE, 0), _HREF, 1)
+    links = pages.select(F.col(url_col).cast("string").alias("url"), unescaped(base).alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).filter("url is not null and link <> ''")
+    # each step is bound in a lambda: written out, the steps would repeat each other many times over
+    base = lambda s: F.when(s["base"] == "", s["url"]).otherwise(bound(resolved(s["url"], s["base"]), without_dots))
+    joined = lambda s: bound(F.struct(base(s).alias("base"), unescaped(s["link"]).alias("link")), lambda t: resolved(t["base"], t["link"]))
+    target = bound(bound(F.struct("url", "base", "link"), joined), without_dots)
+    return links.select(address(F.col("url")).alias("a"), bound(target, address).alias("b")).filter("a <> b and a <> '' and b <> ''")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -86,7 +115,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     comps = connected_components(edges_of(pages, url_col, html_col), tmp)
     judged = comps.withColumn("own", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules))
     classes = judged.groupBy("component").agg(F.bool_or(F.coalesce(F.col("own.verdict") == "allow", F.lit(False))).alias("allowed"), F.bool_or(F.coalesce(F.col("own.verdict") == "block", F.lit(False))).alias("blocked"))
-    aliases = comps.join(classes, "component").select(F.col("node").alias("address"), "component", "allowed", "blocked")
-    out = rows.join(aliases, "address", "left")
+    # a table of its own, so that a page address that very many rows have can be split in the join
+    aliases = tmp.save(comps.join(classes, "component").select(F.col("node").alias("_node"), "component", "allowed", "blocked"))
+    # rows without an address have no aliases, and are not all dealt to one task
+    key = F.when(F.col("address") == "", F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("address"))
+    out = rows.withColumn("_key", key).join(aliases, F.col("_key") == F.col("_node"), "left")
     inherited = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
     return out.select("row", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", inherited).alias("verdict"), "address", F.coalesce("component", "address").alias("component"))

@@ -57,8 +57,9 @@ def repeats(rows, length):
 def best_count(word, score, unknown):
     """Fewest tokens of the best segmentation of one pre-token."""
     best = [(0.0, 0)] + [None] * len(word)
+    longest = max(map(len, score))
     for e in range(1, len(word) + 1):
-        options = [(best[s][0] + score[word[s:e]], best[s][1] - 1) for s in range(e) if word[s:e] in score]
+        options = [(best[s][0] + score[word[s:e]], best[s][1] - 1) for s in range(max(0, e - longest), e) if word[s:e] in score]
         if word[e - 1] not in score:
             n = len(word[e - 1].encode())
             options.append((best[e - 1][0] + unknown * n, best[e - 1][1] - n))

@@ -58,6 +58,63 @@ def test_held_out_labels_are_not_read(spark):
     assert len(training_ids(labels, "toxic", 5).collect()) == 10
 
 
+def test_equal_texts_score_alike_in_any_company(spark):
+    docs, labels, _ = make(spark, 200)
+    for module in (quality, toxicity):
+        model = module.fit(docs, labels)
+        alone = {r["row"].doc_id: r.score for r in module.score(docs.coalesce(1), model).collect()}
+        apart = {r["row"].doc_id: r.score for r in module.score(docs.repartition(7).orderBy("text"), model).collect()}
+        assert alone == apart
+
+
+def test_repeated_ids_give_one_model(spark):
+    docs, labels, _ = make(spark, 200)
+    twice = docs.union(docs.selectExpr("doc_id", "concat('zz ', text) AS text", "score", "label"))
+    for module in (quality, toxicity):
+        a, b = module.fit(docs, labels), module.fit(twice, labels)
+        assert [r.score for r in module.score(docs.coalesce(1), a).collect()] == [r.score for r in module.score(docs.coalesce(1), b).collect()]
+
+
+def test_votes_equal_plain_cosines(spark):
+    docs, labels, _ = make(spark, 150)
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model).collect():
+        buf, offs = quality.T.packed(quality.pa.array([r["row"].text or ""], quality.pa.string()))
+        z = (quality.term_counts(buf, offs)[0] * model.weights).astype(float) @ model.axes
+        z = z / max((z * z).sum() ** 0.5, 1e-9)
+        like = [round(sum(a * b for a, b in zip(z, v)), 9) for v in model.vectors]
+        near = sorted(range(len(like)), key=lambda i: (-like[i], i))[: quality.NEIGHBOURS]
+        weight = [max(like[i], 0) ** 4 + 1e-9 for i in near]
+        assert abs(r.score - sum(w * model.labels[i] for w, i in zip(weight, near)) / sum(weight)) < 1e-6
+
+
+def test_scores_equal_plain_votes(spark):
+    import math
+    import re
+
+    docs, labels, _ = make(spark, 150)
+    model = toxicity.fit(docs, labels)
+    known = dict(zip(model.terms.tolist(), model.voters.tolist()))
+    lexical = len(model.weights) - len(toxicity.HITS) - len(toxicity.SHARES) - 3
+    for r in toxicity.score(docs, model).collect():
+        words = [w.lower().encode() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", r["row"].text or "")]
+        fired, hits = set(), 0
+        for w in words:
+            own = set()
+            for n in toxicity.BEGINNINGS:
+                if n and len(w) < n + 1:
+                    continue
+                data = np.frombuffer(w[:n] if n else w, np.uint8)
+                h = toxicity.T.mix(toxicity.T.word_hashes(data, np.array([0]), np.array([len(data)])) + toxicity.T.U64(n))
+                own |= {known[x] for x in h.tolist() if x in known}
+            fired |= own
+            hits += bool(own)
+        share = hits / max(1, len(words))
+        dense = [*[hits >= n for n in toxicity.HITS], *[share >= s and hits > 0 for s in toxicity.SHARES], math.log1p(hits), min(1, 20 * share)]
+        logit = model.weights[-1] + sum(model.weights[v] for v in fired) + sum(model.weights[lexical + i] * x for i, x in enumerate(dense))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, logit))))) < 1e-9
+
+
 def test_label_model_finds_copied_voters():
     r = np.random.default_rng(0)
     y = r.random(2000) < 0.3

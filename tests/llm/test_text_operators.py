@@ -84,18 +84,22 @@ def test_without_dropout_equals_the_library(spark, vocabulary):
 def test_token_counts_equal_plain_dynamic_programming(spark, vocabulary):
     score = tokencounts.scores(vocabulary)
     unknown = min(score.values()) - 10.0
-    texts = [t if t is None or len(t) < 2000 else t[:300] for t in TEXTS]
+    texts = [*TEXTS, TEXTS[0], "pre fix prefix prefixes " * 3000]
     got = {r.row.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencounts.count_tokens(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
         words = t.split(" ") if t else []
         assert got[i] == (len(words), sum(B.best_count("▁" + w, score, unknown) for w in words)), t
 
 
-def test_trie_shares_prefixes(vocabulary):
+def test_trie_shares_prefixes(spark, vocabulary, monkeypatch):
     trie = tokencounts.Trie(tokencounts.scores(vocabulary))
-    for w in sorted(["▁winter", "▁winters", "▁wind"]):
-        trie.count(w)
-    assert trie.computed == len("▁wind") + len("ter") + len("s") + 0
+    for w in ("▁winters", "▁wind", "▁winter", "▁wind"):
+        trie.insert(w)
+    assert len(trie.best) - 1 == len("▁winters") + len("d") and set(trie.terminal) == {"▁winters", "▁wind", "▁winter"}
+    docs = frame(spark, [])
+    assert tokencounts.count_tokens(docs).collect() == []
+    mine = tokencounts.count_tokens(frame(spark, ["ab ab", "ba"]), piece_scores={"▁": -1.0, "a": -1.0, "b": -1.0, "▁ab": -2.0}).collect()
+    assert [r.n_tokens for r in mine] == [2, 3]
 
 
 def test_decontamination(spark):
@@ -347,6 +351,25 @@ def test_candidates_do_not_depend_on_blocks(spark):
     assert len(again) == 500 == len({(r.query_id, r.vec_id) for r in again}), "a repeated row counts once"
 
 
+def test_links_are_read_as_a_browser_does(spark):
+    from urllib.parse import urljoin
+
+    link = '<link rel="canonical" href="{}">'
+    cases = [("http://h.org/a/b/c", x) for x in ("../d", "./e", "/x/../y", "..", ".", "../../../z", "?q=1", "f/./g/..", "//k.net/p", "http://m.org/b?c=../d", "g;x=1/../y", "h/..i/.j")]
+    pages = [(i, u, link.format(x), "", "") for i, (u, x) in enumerate(cases)]
+    pages.append((100, "http://h.org/a/b/c", '<base href="/base/dir/"><link rel=canonical href="../up?x=1&amp;y=2">', "", ""))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, host string, verdict string")
+    for row, want in [*[(p, urljoin(u, x)) for p, (u, x) in zip(pages, cases)], (pages[-1], "http://h.org/base/up?x=1&y=2")]:
+        got = [r.b for r in urls.edges_of(table.filter(f"page_id = {row[0]}")).collect()]
+        assert got == [want], row
+
+
+def test_rows_without_an_address_and_repeated_rows(spark):
+    rows = [(None, None, None, "", "")] * 3 + [(1, "http://a.org/x", "<link rel=canonical href='http://b.net/y'>", "", "")] * 2 + [(2, "", "", "", "")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict string")).collect()
+    assert len(got) == 6 and sorted(r.verdict for r in got) == ["allow"] * 4 + ["block"] * 2
+
+
 def test_pivots(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))

@@ -156,8 +156,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-#: Pattern voters: at least so many hits, and at least this share of the words.
-HITS, SHARES = (1, 2, 4, 8), (0.02, 0.05, 0.1, 0.25)
+#: Pattern voters: at least so many hits, and at least this share of the words. More of either copy these and blur the posteriors.
+HITS, SHARES = (2,), (0.0125,)
 
 
 def patterns(total: np.ndarray, words: np.ndarray) -> np.ndarray:

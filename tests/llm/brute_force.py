@@ -54,6 +54,32 @@ def repeats(rows, length):
     return out
 
 
+def left_over(rows, length):
+    """[(id, text)]: what ``repeats`` leaves, characters kept whole if any of their bytes stays."""
+    data = [(d, (t or "").encode()) for d, t in rows]
+    seen_in = {}
+    for d, b in data:
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            seen_in[w] = min(seen_in.get(w, d), d)
+    out = []
+    for d, b in data:
+        gone, own = bytearray(len(b)), set()
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            if seen_in[w] < d or w in own:
+                gone[s : s + length] = b"\1" * length
+            own.add(w)
+        text, at = "", 0
+        for c in b.decode():
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                text += c
+            at += n
+        out.append((d, text))
+    return out
+
+
 def best_count(word, score, unknown):
     """Fewest tokens of the best segmentation of one pre-token."""
     best = [(0.0, 0)] + [None] * len(word)

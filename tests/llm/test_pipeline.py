@@ -1,7 +1,15 @@
+import sys
+from pathlib import Path
+
 import corpus_pipeline
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute_force as B
+from rulespark.llm import decontaminate, pieces, toxicity
 from rulespark.llm.queries import ORACLES, QUERIES
+from rulespark.llm.vocabulary import Vocabulary
 
-SF = "/root/testdata/sf0.001"
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_stages(spark):
@@ -57,6 +65,44 @@ def test_stages_take_odd_rows(spark):
     assert all(r.lossless for r in corpus_pipeline.tokenize(spark, docs, SF).collect())
 
 
+def test_stages_equal_plain_versions(spark, tmp_path):
+    """Every stage on what the one before kept, against loops over all pairs."""
+    docs = spark.read.parquet(f"{MORE}/documents.parquet").filter("length(text) < 800")
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    now = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = texts(now)
+        stage(spark, now, MORE).write.parquet(f"file://{tmp_path}/{i}")
+        now = spark.read.parquet(f"file://{tmp_path}/{i}")
+        after = texts(now)
+        if name == "toxicity":
+            model = toxicity.fit(docs, spark.read.parquet(f"{MORE}/labels.parquet"))
+            plain = [model.scores(*toxicity.T.packed(toxicity.pa.array([t], toxicity.pa.string())))[0] for _, t in before]
+            want = [x for x, p in zip(before, plain) if p < 0.5]
+            assert want
+        elif name == "near_dedup":
+            want = [x for x, (d, _, least) in zip(before, B.near(before, 5, 80)) if d == least]
+            assert len(want) < len(before)
+        elif name == "suffix_dedup":
+            want = B.left_over(before, 100)
+            assert want != before
+        else:
+            hashed = lambda t: decontaminate.tokens(decontaminate.pa.array([t], decontaminate.pa.string()))[0]
+            items = [p for r in spark.read.parquet(f"{MORE}/benchmark.parquet").collect() if len(p := hashed(r.text))]
+            reaches = lambda t: any(sum(x[2] for x in decontaminate.tile(hashed(t), p)) >= 0.8 * len(p) - 1e-9 for p in items)
+            want = [x for x in before if not reaches(x[1])]
+        assert after == want, name
+    ranks, as_bytes = Vocabulary.load().ranks, Vocabulary.load().bytes_at
+    got = {r.doc_id: r for r in corpus_pipeline.tokenize(spark, now, MORE).collect()}
+    assert len(got) == len(after) and all(r.lossless for r in got.values())
+    for d, t in after[:40]:
+        ids = []
+        for place, w in enumerate(t.split(" ") if t else []):
+            for j, p in enumerate(B.plain_cut(w, ranks, pieces.DROPOUT, pieces.SEED, d, place)):
+                ids += [ranks[p]] if p in ranks and not (j and p == "▁") else [as_bytes[x] for x in p.encode()]
+        assert got[d].ids == ids
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)

@@ -7,6 +7,7 @@ events for extraction payloads, and documents and pages for text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -658,6 +659,200 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_talk(spark, sf_dir, _QUESTIONS).select("id", X.expanded(F.col("t")).alias("expanded"))
 
 
+# --- small functions -------------------------------------------------------------------------
+
+_TRANSCRIPT_SQL = "regexp_replace(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^[A-Z][a-z]+(\\s+[A-Z][a-z]+){0,2}\\s+\\d{1,2}:\\d{2}$') AND NOT lower(x) IN ('ok', 'okay', 'yeah', 'yep', 'hmm', 'bye', 'thanks', 'thank you')), ' '), '\\s+', ' ', 'g')), '(?i)^(so|well|okay|ok|alright|all right)[,\\s]+', '')"
+
+
+@query(f"SELECT id, md5({_TRANSCRIPT_SQL}) AS flat FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_CHUNKS, 'id, t')} {_TALK_SQL})")
+def transcript_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_talk(spark, sf_dir, _CHUNKS).select("id", F.md5(X.transcript(F.col("t"))).alias("flat"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN safe THEN 'security' WHEN contains(low, 'policy') THEN 'policy' WHEN contains(low, 'recommend') THEN 'guidance' END AS topic,
+  CASE WHEN safe AND (contains(low, 'mfa') OR contains(low, '2fa') OR contains(low, 'multi-factor')) THEN 'mfa_setup' WHEN safe AND contains(low, 'shared collection') THEN 'shared_collections' WHEN safe THEN 'password_management'
+    WHEN contains(low, 'policy') THEN 'general' WHEN contains(low, 'recommend') THEN 'recommendation' END AS subtopic
+FROM (SELECT *, contains(low, 'bitwarden') OR contains(low, 'password') OR contains(low, 'vault') AS safe FROM (
+  SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'policy ' WHEN 1 THEN 'vault 2FA ' WHEN 2 THEN 'password ' WHEN 3 THEN 'We recommend ' ELSE '' END || text) AS low FROM documents))
+""")
+def topic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("policy ", "vault 2FA ", "password ", "We recommend ", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    topic, sub = X.topic_pair(F.concat(lead, F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", topic.alias("topic"), sub.alias("subtopic"))
+
+
+@query("""
+SELECT o_orderkey, try_cast(replace(regexp_extract(t, '(?:^|[^\\d,.])(\\d{1,3}(?:,\\d{3})+(?:\\.\\d{2})?|\\d{2,7}(?:\\.\\d{2})?)\\s*(?:per year|annual|yearly)', 1), ',', '') AS DOUBLE) AS amount
+FROM (SELECT o_orderkey, 'up to ' || CASE o_orderkey % 3 WHEN 0 THEN o_orderkey || '.50 per year' WHEN 1 THEN '1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || ' annual' ELSE o_orderkey || ' monthly' END AS t FROM orders)
+""")
+def money_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    said = F.when(key % 3 == 0, F.concat(key.cast("string"), F.lit(".50 Per Year"))).when(key % 3 == 1, F.concat(F.lit("1,"), F.lpad((key % 1000).cast("string"), 3, "0"), F.lit(" annual"))).otherwise(F.concat(key.cast("string"), F.lit(" monthly")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.annual_amount(F.concat(F.lit("up to "), said)).alias("amount"))
+
+
+@query("""
+SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(event_type || '_required a ' || event_type || '_required Zone_Required optional_' || user_id), '\\b([a-z_]{4,})\\b', 1), lambda t: ends_with(t, '_required')))), ',') AS tokens FROM events
+""")
+def unmapped_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat("event_type", F.lit("_required a "), "event_type", F.lit("_required Zone_Required optional_"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(X.required_tokens(said), ",").alias("tokens"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 260 THEN rtrim(left(text, 257)) || '...' ELSE text END) AS cut FROM documents")
+def ellipsis_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.ellipsis(F.col("text"))).alias("cut"))
+
+
+_SUBMITTED = "(SELECT conv_id, turn, lower(text) AS low, CASE WHEN turn % 2 = 0 THEN role END AS topic, CASE WHEN length(text) > 100 THEN text END AS cond, CASE WHEN turn % 3 = 0 THEN 'act' END AS act, CASE WHEN turn % 5 > 0 THEN text END AS quote FROM conversations)"
+
+
+def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, said = F.col("turn"), F.col("text")
+    item = F.struct(F.when(turn % 2 == 0, F.col("role")).alias("topic"), F.lit(None).cast("string").alias("subtopic"), F.when(F.length(said) > 100, said).alias("condition_text"), F.when(turn % 3 == 0, "act").alias("action_text"), F.when(turn % 5 > 0, said).alias("source_quote"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("raw_text"), item.alias("item"))
+
+
+_POINTS = "(CASE WHEN coalesce(topic, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(cond, '') <> '' THEN 1 ELSE 0 END + CASE WHEN act IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN contains(low, 'approval') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, '[0-9]') THEN 1 ELSE 0 END)"
+
+
+@query(f"""
+SELECT conv_id, turn, CASE WHEN {_POINTS} / 5 < 0.7 OR coalesce(topic, '') = '' OR act IS NULL THEN 'needs_clarification' WHEN coalesce(quote, '') = '' THEN 'needs_review' ELSE 'extracted' END AS status,
+  CASE WHEN contains(low, 'approval') THEN 0 ELSE 1 END + CASE WHEN length(coalesce(cond, '')) < 8 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, '[0-9]') THEN 0 ELSE 1 END AS questions,
+  array_to_string(list_filter([CASE WHEN coalesce(topic, '') = '' THEN 'topic' END, CASE WHEN coalesce(quote, '') = '' THEN 'source_quote' END, CASE WHEN act IS NULL AND coalesce(cond, '') = '' THEN 'action_text or condition_text' END], lambda x: x IS NOT NULL), ',') AS missing
+FROM {_SUBMITTED}
+""")
+def submission_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = admin.judged(_submitted(spark, sf_dir))
+    return judged.select("conv_id", "turn", "status", F.size("questions").alias("questions"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""
+SELECT conv_id, turn, coalesce(topic, 'General') AS topic, act AS action_text, md5(coalesce(nullif(quote, ''), text)) AS quote FROM (SELECT s.*, c.text FROM {_SUBMITTED} s JOIN conversations c USING (conv_id, turn))
+WHERE NOT ({_POINTS} / 5 < 0.7 OR coalesce(topic, '') = '' OR act IS NULL)
+""")
+def admin_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = admin.judged(_submitted(spark, sf_dir)).withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    made, _ = admin.published(judged)
+    of = lambda i: F.element_at(F.split("submission_id", ":"), i).cast("long")
+    return made.select(of(1).alias("conv_id"), of(2).alias("turn"), "topic", "action_text", F.md5("source_quote").alias("quote"))
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list_filter([o_orderkey::VARCHAR, '12.5', o_custkey::VARCHAR], lambda x: x NOT IN (o_custkey::VARCHAR, '7')), ',') AS unsupported FROM orders WHERE o_orderkey <> o_custkey
+""")
+def number_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    said = F.concat(F.lit("Pay "), text("o_orderkey"), F.lit(" or 12.5 to "), text("o_custkey"), F.lit("."))
+    known = F.concat(F.lit("Rule 7 for "), text("o_custkey"))
+    return table(spark, sf_dir, "orders").filter("o_orderkey <> o_custkey").select("o_orderkey", F.array_join(F.filter(X.unsupported_numbers(said, known), lambda x: x != "7"), ",").alias("unsupported"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), 'could not find') OR length(text) < 150 AS skips FROM conversations")
+def verification_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.skips_verification(F.col("text")).alias("skips"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id || '.txt' WHEN page_id % 3 = 0 THEN 'title' ELSE 'document' END AS name FROM pages")
+def source_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    uri = F.when(key % 2 == 0, F.concat(F.lit("file:///x/page%20"), key.cast("string"), F.lit(".txt"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", X.file_name(uri, F.when(key % 3 == 0, "title")).alias("name"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, text, source, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS ls FROM documents),
+  q AS (SELECT *, list_filter(ls, lambda x: length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) >= 2) AS solid, list_filter(ls, lambda x: NOT (x = '' OR regexp_matches(x, '(?i)^page\\s+\\d+\\s*(\\|\\s*\\d+)?$') OR regexp_matches(x, '^[\\d\\s|/:.-]+$') OR len(string_split(x, ' ')) < 4)) AS quiet FROM l),
+  m AS (SELECT *, trim(regexp_replace(array_to_string(quiet, ' '), '\\s+', ' ', 'g')) AS flat, array_to_string(quiet, chr(10)) AS merged FROM q)
+SELECT doc_id, length(text) AS chars_text, length(source) AS chars_ocr, length(merged) AS chars_merged, len(regexp_extract_all(text, '\\[Detected Table ')) AS tables_detected, contains(merged, '[OCR Merge]') AS ocr_used,
+  len(solid) AS text_lines, len(list_filter(solid, lambda x: contains(flat, x))) AS text_lines_covered, len(list_filter(solid, lambda x: NOT contains(flat, x))) AS text_lines_missing,
+  1 AS ocr_lines, CASE WHEN contains(flat, source) THEN 1 ELSE 0 END AS ocr_lines_covered, CASE WHEN contains(flat, source) THEN 0 ELSE 1 END AS ocr_lines_missing FROM m
+""")
+def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, their source as OCR, and what is left without noise lines as the merged text."""
+    rows = table(spark, sf_dir, "documents").select(F.lit("file").alias("source"), F.col("doc_id").alias("page"), "text", F.col("source").alias("ocr_text"), X.quiet_lines(F.col("text")).alias("merged"))
+    return pages.statistics(rows).drop("source").withColumnRenamed("page", "doc_id")
+
+
+@query("""
+SELECT vec_id, score, kind FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY kind, score DESC) AS n FROM (
+  SELECT vec_id, label / 2.0::DOUBLE AS score, 0 AS kind FROM embeddings WHERE vec_id < 120 UNION ALL SELECT vec_id, label::DOUBLE, 1 FROM embeddings WHERE vec_id BETWEEN 60 AND 200)) WHERE n = 1
+""")
+def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vector.hybrid(e.filter("vec_id < 120").select("vec_id", (F.col("label") / 2).alias("score")), e.filter("vec_id between 60 and 200").select("vec_id", F.col("label").alias("score")), "vec_id")
+
+
+@query("SELECT doc_id, 'doc_' || left(sha256(source || chr(31) || doc_id), 32) AS id FROM documents")
+def prefixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.key_id("doc", F.col("source"), F.col("doc_id")).alias("id"))
+
+
+@query("SELECT o_orderkey, o_orderdate::VARCHAR AS o_orderdate, o_orderstatus, true AS flag FROM orders")
+def json_safe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.json_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", F.lit(True).alias("flag")))
+
+
+@query("SELECT conv_id, turn, md5(trim(text, ' ' || chr(9) || chr(10))) AS body FROM conversations")
+def fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fenced = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.fence_stripped(fenced)).alias("body"))
+
+
+@query("""
+SELECT 'per_page' AS method, count(*) AS chunks, coalesce(sum(len(string_split_regex(trim(text), '\\s+'))), 0)::BIGINT AS words FROM conversations
+UNION ALL SELECT 'whole_document', count(*), coalesce(sum(len(string_split_regex(trim(text), '\\s+'))), 0)::BIGINT FROM benchmark
+""")
+def chunk_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda t: table(spark, sf_dir, t).select(F.col("text").alias("chunk"))
+    return profile.chunk_comparison(of("conversations"), of("benchmark"))
+
+
+# --- publication -----------------------------------------------------------------------------
+
+_STATE_SQL = "CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'blocked_schema' ELSE 'published' END"
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as staged rows: pending, blocked or published, some with a candidate that may not be published."""
+    none = F.lit(None).cast("string")
+    c = F.struct(F.col("o_orderkey").cast("string").alias("candidate_id"), (F.col("o_orderkey") % 2 == 0).alias("publishable"), F.lit(0.8).alias("confidence"), F.col("o_orderpriority").alias("topic"), *[none.alias(n) for n in ("subtopic", "condition_text", "action_text", "recommendation_text", "summary", "reason_if_not_publishable", "source_quote")])
+    state = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "blocked_schema").otherwise("published")
+    one = F.struct(F.col("o_orderpriority").alias("value"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("extraction_id"), F.concat(F.lit("b"), (F.col("o_custkey") % 7).cast("string")).alias("batch_id"), F.lit("s").alias("section_id"), c.alias("candidate"), F.create_map(F.lit("topic"), one, F.lit("odd"), one).alias("mapped_fields"), F.lit(0.8).alias("confidence"), state.alias("status"))
+
+
+@query(f"""
+SELECT o_orderkey::VARCHAR AS extraction_id, CASE WHEN s = 'published' THEN s WHEN o_orderkey % 2 = 0 THEN 'published' ELSE 'skipped' END AS status,
+  CASE WHEN s <> 'published' AND o_orderkey % 2 = 1 THEN 'chunk flagged non-publishable' END AS publish_error FROM (SELECT *, {_STATE_SQL} AS s FROM orders)
+""")
+def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.decided(_gated(spark, sf_dir)).select("extraction_id", "status", "publish_error")
+
+
+@query(f"""
+SELECT 'pub_' || left(sha256(id), 32) AS publish_id, id AS extraction_id, 'pol_' || left(sha256(id), 32) AS policy_id, topic FROM (
+  SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS topic FROM orders WHERE {_STATE_SQL} <> 'published' AND o_orderkey % 2 = 0)
+""")
+def publish_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published rules with their audit; mapped fields that the table lacks are left out."""
+    made = publish.published(_gated(spark, sf_dir), ["policy_id", "section_id", "topic", "department"])
+    return publish.audit(made).drop("created_at").join(made.select("extraction_id", "topic"), "extraction_id").select("publish_id", "extraction_id", "policy_id", "topic")
+
+
+@query(f"""
+SELECT batch_id, 'completed' AS status, count(*) AS extractions_total, '{{"total":' || count(*) || ',"pending":' || count(*) FILTER (WHERE s = 'pending') || ',"published":' || count(*) FILTER (WHERE s = 'published') || ',"skipped":0,"failed":0}}' AS result_summary
+FROM (SELECT 'b' || (o_custkey % 7) AS batch_id, {_STATE_SQL} AS s FROM orders) GROUP BY 1
+""")
+def batch_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = _gated(spark, sf_dir)
+    batches = reduce(DataFrame.union, [publish.batch_row(spark, f"b{i}", "query") for i in range(7)])
+    totals = publish.batch_totals(batches, staged.select("batch_id"), staged.select("batch_id"), staged)
+    done = publish.batch_completion(totals, publish.batch_counters(staged))
+    return done.select("batch_id", "status", "extractions_total", "result_summary")
+
+
 # --- evolution -------------------------------------------------------------------------------
 
 _CONCEPTS = ["annual_cap", "region_code", "exceptions", "Is_Billable", "custom_required"]

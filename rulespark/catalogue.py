@@ -608,15 +608,15 @@ def page_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id, pos)) - 1 AS chunk_id, len(string_split(chunk, ' '))::BIGINT AS tokens FROM (
-  SELECT source, doc_id, i AS pos, ws[i + 1] AS chunk FROM (SELECT source, doc_id, ws, unnest(range(0, len(ws))) AS i FROM (
-    SELECT source, doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents)))
+SELECT source, page, (row_number() OVER (PARTITION BY source ORDER BY page, pos)) - 1 AS chunk_id, 1::BIGINT AS tokens FROM (
+  SELECT source, page, unnest(range(0, len(ws))) AS pos FROM (
+    SELECT role AS source, conv_id * 1000 + turn AS page, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations))
 """)
 def global_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of their source, in chunks of one word, numbered through the source."""
-    paged = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), F.col("text").alias("merged"))
+    """Turns as pages of their role, in chunks of one word, numbered through the role."""
+    paged = table(spark, sf_dir, "conversations").select(F.col("role").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("page"), F.col("text").alias("merged"))
     chunks = pages.page_chunks(paged, size=1)
-    return chunks.select("source", F.col("page").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("tokens").cast("long").alias("tokens"))
+    return chunks.select("source", "page", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("tokens").cast("long").alias("tokens"))
 
 
 @query("""

@@ -12,6 +12,7 @@ any, the vocabulary's ranks stand for them, as its own model has none.
 from __future__ import annotations
 
 import math
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .vocabulary import SPACE, Vocabulary
 
-#: Nodes a worker keeps from batch to batch; when full it starts anew, with equal results.
-KEPT = 1_000_000
+#: Nodes and terminals a worker keeps from batch to batch; where full it starts anew, with equal results.
+NODES, TERMINALS = 1_500_000, 1_500_000
 
 
 def scores(vocabulary: Vocabulary) -> dict[str, float]:
@@ -43,45 +44,48 @@ class Trie:
                 lengths.setdefault(p[-2:], set()).add(len(p))
         self.back = {c: tuple(sorted(n)) for c, n in lengths.items()}
         self.unknown = min(score.values()) - 10.0
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Forget the nodes; counts of words stay."""
         #: The child of node n by a character is at n * 2**21 + the character's code.
         self.child: dict[int, int] = {}
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.terminal: dict[str, int] = {}
+        self.best, self.less = array("d", [0.0]), array("i", [0])
 
     def insert(self, word: str) -> int:
         """The word's count of tokens; only prefixes that are new are scored."""
-        child, best = self.child, self.best
+        child, best, less = self.child, self.best, self.less
         score_of, back = self.score.get, self.back.get
         path = [0]
         node = 0
+        last = ""
         for end, c in enumerate(word, 1):
             key = node << 21 | ord(c)
-            node = child.get(key)
-            if node is None:
-                score, less = best[path[-1]]
+            after = child.get(key)
+            if after is None:
                 s = score_of(c)
                 if s is None:
                     size = len(c.encode())
-                    now = (score + self.unknown * size, less - size)
+                    top, few = best[node] + self.unknown * size, less[node] - size
                 else:
-                    now = (score + s, less - 1)
-                if end > 1:
-                    for n in back(word[end - 2 : end], ()):
-                        if n > end:
-                            break
-                        s = score_of(word[end - n : end])
-                        if s is not None:
-                            score, less = best[path[end - n]]
-                            other = (score + s, less - 1)
-                            if other > now:
-                                now = other
-                node = child[key] = len(best)
-                best.append(now)
+                    top, few = best[node] + s, less[node] - 1
+                for n in back(last + c, ()):
+                    if n > end:
+                        break
+                    s = score_of(word[end - n : end])
+                    if s is not None:
+                        at = path[end - n]
+                        s += best[at]
+                        if s > top or s == top and less[at] - 1 > few:
+                            top, few = s, less[at] - 1
+                after = child[key] = len(best)
+                best.append(top)
+                less.append(few)
+            node = after
+            last = c
             path.append(node)
-        self.terminal[word] = count = -best[node][1]
+        self.terminal[word] = count = -less[node]
         return count
 
 
@@ -100,8 +104,10 @@ def _counter(shared):
             for w in set().union(*split) - trie.terminal.keys():
                 trie.insert(w)
             counts = [sum(map(trie.terminal.__getitem__, ws)) for ws in split]
-            if len(trie.best) > KEPT:
+            if len(trie.best) > NODES:
                 trie.clear()
+            if len(trie.terminal) > TERMINALS:
+                trie.terminal.clear()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(ws) for ws in split], pa.int64()), pa.array(counts, pa.int64())], names=["row", "n_pretokens", "n_tokens"])
 
     return run

@@ -74,18 +74,19 @@ class Scratch:
         back._scratch_path = path
         return back
 
-    def save_by(self, df: DataFrame, key: str, buckets: int, order: list[str], path: str | None = None) -> DataFrame:
-        """``save`` in buckets of a key, each sorted: joins and groups by the key do not deal such tables out again."""
+    def save_by(self, df: DataFrame, key: str, buckets: int, order: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+        """``save`` in buckets of a key, each in the given order: joins and groups by the key do not deal such tables out again."""
         if not self.made:
             _roots.append(self.root)
         self.made += 1
         path = path or f"{self.root}/t{self.made}"
         name = f"rulespark_{uuid.uuid4().hex}"
         with _shuffles_go(self.spark):
-            df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(name)
+            out = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key)
+            (out.sortBy(*order) if order else out).saveAsTable(name)
         return self._named(name, path)
 
-    def open_by(self, path: str, schema: str, key: str, buckets: int, order: list[str]) -> DataFrame:
+    def open_by(self, path: str, schema: str, key: str, buckets: int, order: tuple[str, ...]) -> DataFrame:
         """A table that ``save_by`` wrote in another session."""
         name = f"rulespark_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")

@@ -292,7 +292,7 @@ class LogSuffixIndex:
         self.levels: list[tuple[int, DataFrame]] = []
         if self.root and (told := self._read()):
             self.length, self.gram, self.buckets = told["length"], told["gram"], told["buckets"]
-            self.levels = [(x["size"], self.tmp.open_by(f"{self.root}/{x['path']}", LEVEL, "h", self.buckets, ["h", "c"])) for x in told["levels"]]
+            self.levels = [(x["size"], self.tmp.open_by(f"{self.root}/{x['path']}", LEVEL, "h", self.buckets, ("h", "c"))) for x in told["levels"]]
 
     def _state(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/levels.json")
@@ -314,7 +314,7 @@ class LogSuffixIndex:
         """What ``cut`` makes of the texts, dealt out by h once."""
         # a stored column for what levels add: a union whose first side makes up a column loses its partitioning
         rows = texts.mapInArrow(cut, ENTRY).withColumn("old", F.lit(None).cast("long"))
-        return self.tmp.save_by(rows.repartition(self.buckets, "h"), "h", self.buckets, ["h", "c"])
+        return self.tmp.save_by(rows.repartition(self.buckets, "h"), "h", self.buckets)
 
     def scan(self, entries: DataFrame, levels: list[DataFrame]) -> DataFrame:
         """(h, c, first, newest, old, shared): entries and level rows side by side.
@@ -331,7 +331,7 @@ class LogSuffixIndex:
             .withColumn("shared", (F.min("c").over(by) != F.max("c").over(by)) & F.max(F.col("new").isNotNull()).over(by))
             .filter("new is not null or shared").withColumn("first", F.coalesce("old", "new"))
         )
-        return self.tmp.save_by(found, "h", self.buckets, ["h", "c"])
+        return self.tmp.save_by(found, "h", self.buckets)
 
     def judged(self, entries: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
         """((did, c) of entries that an earlier document has too, (did, c) of the firsts that share only their h)."""
@@ -360,7 +360,7 @@ class LogSuffixIndex:
             merged.append(self.levels.pop()[1])
             rows, size = merged[-1].select("h", "c", "did").union(rows), size + 1
         path = f"{self.root}/{uuid.uuid4().hex}" if self.root else None
-        self.levels.append((size, self.tmp.save_by(rows, "h", self.buckets, ["h", "c"], path)))
+        self.levels.append((size, self.tmp.save_by(rows, "h", self.buckets, ("h", "c"), path)))
         if self.root:
             self._write()
         self.tmp.drop(*merged)

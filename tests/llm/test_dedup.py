@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute_force as B
+from rulespark.llm import components
 from rulespark.llm.components import connected_components
 from rulespark.llm.neardup import near_duplicates
 from rulespark.llm.scratch import Scratch
@@ -61,7 +62,9 @@ def test_empty_tables(spark):
     assert remove_repeats(none).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split", [0, 1_000_000])
+def test_components(spark, monkeypatch, split):
+    monkeypatch.setattr(components, "SPLIT", split)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}

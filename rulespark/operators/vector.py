@@ -20,7 +20,7 @@ def topk(table: DataFrame, query: list[float], k: int, id_col: str, vector_col:
     return table.select(F.col(id_col), cosine(F.col(vector_col), q).alias("score")).filter("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
-#: The columns of a table of vectors.
+# The columns of a table of vectors.
 VECTOR_ROW = (
     "chunk_id string, content string, embedding array<float>, source_url string, source_type string, section_path string, headers array<string>, page_number bigint, title string, "
     "mime_type string, char_count bigint, word_count bigint, content_preview string, embedding_backend string, embedding_model string, inserted_at timestamp, metadata string, created_at timestamp"

@@ -27,6 +27,7 @@ Formatter = Callable[[str, list[dict], str], str]
 Topics = Callable[[list[tuple[str, int]]], dict[str, str]]
 Embedder = Callable[[list[str]], list[list[float]]]
 
+# The columns whose values a planner is told.
 CONTEXT_COLUMNS = ("topic", "subtopic", "policy_category", "department", "employee_type", "activity_type", "status")
 
 

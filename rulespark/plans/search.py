@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .spec import LIMIT, LIST_LIMIT, SCOPE, SearchSpec, empty, keywords, list_terms, relaxations
 
+# The fields that fall back to staging when blank, are compared without case, or are searched as text.
 BLANK_AWARE = ("topic", "subtopic", "condition_text", "action_text", "source_quote")
 CASELESS = ("topic", "subtopic")
 OFFLINE_TEXT = ("summary", "topic", "subtopic", "condition_text", "action_text", "recommendation_text", "source_quote")

@@ -121,12 +121,15 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     return posterior, rates, weights
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression on soft targets, the intercept last (Newton steps)."""
+#: How much stronger pattern features are held to zero than others: they say coarsely what the count and the share say finely.
+PATTERN_RIDGE = 30.0
+
+
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float | np.ndarray = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression on soft targets, the intercept last (Newton steps); ``ridge`` for all columns or each."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    penalty = np.append(np.broadcast_to(np.asarray(ridge, float), x.shape[1] - 1), 1e-3)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - target) + penalty * w
@@ -224,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         votes[i, r.voters] = 1
     prior = sizes[1] / (sizes[0] + sizes[1])
     posterior, _, _ = label_model(np.hstack([votes, patterns(total, words)]), prior)
-    model.weights = logistic(np.column_stack([votes, features(total, words)]), posterior)
+    few = len(HITS) + len(SHARES)
+    model.weights = logistic(np.column_stack([votes, features(total, words)]), posterior, np.concatenate([np.ones(width), np.full(few, PATTERN_RIDGE), np.ones(2)]))
     return model
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, pivots, quality, tokencounts, toxicity, urls
+from . import decontaminate, licenses, pieces, pivots, quality, sortmeans, tokencounts, toxicity, urls
 from .neardup import near_duplicates
 from .suffixdedup import remove_repeats
 
@@ -71,7 +71,28 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_sentencepiece, op4_decontamination, op5_license_scan, op6_permutation_index, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_url_filters)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_sentencepiece, op4_decontamination, op5_license_scan, op6_permutation_index, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_url_filters, op11_centroid_clustering)}
+
+def _lloyd(rounds: int) -> str:
+    """The rounds of plain k-means, one after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT r, vec_id, k.q, c, list_sum(list_transform(list_zip(k.q, c{r}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM kept k, c{r} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+), c{r + 1} AS MATERIALIZED (
+  SELECT c, list(v ORDER BY i) AS q FROM (
+    SELECT c, i, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v
+    FROM (SELECT c, unnest(q) AS v, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c
+  UNION ALL SELECT c, q FROM c{r} WHERE c NOT IN (SELECT c FROM a{r})
+)""")
+    return ",".join(steps)
+
 
 #: Exact nearest neighbours are not the index's answer, and the other queries train models, compare
 #: sets, rewrite bytes or cut words: brute-force versions in tests/llm hold those.
@@ -124,5 +145,16 @@ SELECT page_id, parts.host, parts.path, u.rule,
   CASE WHEN u.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN u.rule IS NOT NULL THEN 'block'
        WHEN c.allowed THEN 'allow' WHEN c.blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM parts JOIN ruled u USING (address) LEFT JOIN classes c ON c.node = parts.address
+""",
+    "op11_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM kept ORDER BY c LIMIT 8
+),{_lloyd(10)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c10.q, ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (c)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, pivots, quality, sortmeans, tokencounts, toxicity, urls
+from . import bytebpe, decontaminate, licenses, pieces, pivots, quality, sortmeans, tokencounts, toxicity, urls
 from .neardup import near_duplicates
 from .suffixdedup import remove_repeats
 
@@ -75,7 +75,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sortmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_sentencepiece, op4_decontamination, op5_license_scan, op6_permutation_index, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_url_filters, op11_centroid_clustering)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytebpe.round_trip(_documents(spark, sf_dir))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_sentencepiece, op4_decontamination, op5_license_scan, op6_permutation_index, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_url_filters, op11_centroid_clustering, op13_byte_bpe)}
 
 def _lloyd(rounds: int) -> str:
     """The rounds of plain k-means, one after the other."""

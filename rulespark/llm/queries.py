@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, licenses, pieces, pivots, quality, sortmeans, tokencounts, toxicity, urls
+from . import blockmax, bytebpe, decontaminate, licenses, pieces, pivots, quality, sortmeans, tokencounts, toxicity, urls
 from .neardup import near_duplicates
 from .suffixdedup import remove_repeats
 
@@ -75,12 +75,16 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sortmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.search(blockmax.build(_documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bytebpe.round_trip(_documents(spark, sf_dir))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_sentencepiece, op4_decontamination, op5_license_scan, op6_permutation_index, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_url_filters, op11_centroid_clustering, op13_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_sentencepiece, op4_decontamination, op5_license_scan, op6_permutation_index, op7_suffix_array_dedup, op8_token_counts, op9_toxicity, op10_url_filters, op11_centroid_clustering, op12_block_max_search, op13_byte_bpe)}
 
 def _lloyd(rounds: int) -> str:
     """The rounds of plain k-means, one after the other."""
@@ -161,5 +165,28 @@ WITH kept AS MATERIALIZED (
 SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
   sha256(array_to_string(c10.q, ',')) AS centroid_sha256
 FROM a10 JOIN c10 USING (c)
+""",
+    "op12_block_max_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), s AS (
+  SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s
+), scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item_id, r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
 """,
 }

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rulespark.schema import INTENTS, QUESTION_ACTIVITIES, QUESTION_CATEGORIES, SYNONYMS
+
 # Classification patterns in order, base confidences, list heads, fillers, entity names.
 CHUNK_PATTERNS = (
     ("action_item", r"\b(action item|follow up|owner|todo)\b"),
@@ -167,7 +169,7 @@ def chunk_type(text: Column) -> Column:
 
 
 def by_rules(rules: tuple, texts: dict[str, Column], otherwise: str | None) -> Column:
-    """The first name of ``plans.spec`` rules whose alternatives hold; a rule's alternatives are lists of groups, all of which need one term."""
+    """The first name of ``schema`` rules whose alternatives hold; a rule's alternatives are lists of groups, all of which need one term."""
     has = lambda where, terms: reduce(lambda a, b: a | b, [texts[where].contains(t) for t in terms])
     holds = lambda groups: reduce(lambda a, b: a & b, [reduce(lambda x, y: x | y, [has(where, terms) for where, terms in group]) for group in groups])
     out = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -177,25 +179,19 @@ def by_rules(rules: tuple, texts: dict[str, Column], otherwise: str | None) -> C
 
 
 def intent(question: Column) -> Column:
-    """The intent of a question, by the rules of ``plans.spec``."""
-    from rulespark.plans.spec import INTENTS
-
+    """The intent of a question, by the rules of ``schema``."""
     padded = F.concat(F.lit(" "), F.lower(F.trim(present(question))), F.lit(" "))
     return by_rules(INTENTS, {"compact": collapse(padded), "padded": padded}, "fallback")
 
 
 def expanded(question: Column) -> Column:
     """The question with the expansions of the terms it contains, in vocabulary order."""
-    from rulespark.plans.spec import SYNONYMS
-
     found = F.array_compact(F.array(*[F.when(F.lower(question).contains(k), F.lit(v)) for k, v in SYNONYMS.items()]))
     return F.array_join(F.concat(F.array(question), found), " ")
 
 
 def question_class(question: Column) -> Column:
     """struct<policy_category, activity_type> of a question by plain substring rules; billing and null without a match."""
-    from rulespark.plans.spec import QUESTION_ACTIVITIES, QUESTION_CATEGORIES
-
     low = {"low": F.lower(present(question))}
     return F.struct(by_rules(QUESTION_CATEGORIES, low, "billing").alias("policy_category"), by_rules(QUESTION_ACTIVITIES, low, None).alias("activity_type"))
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from rulespark.schema import FIELDS, FILTER_KEYS
+from rulespark.schema import FIELDS, FILTER_KEYS, INTENTS, KEYWORD_STOPS, QUESTION_ACTIVITIES, QUESTION_CATEGORIES, SYNONYMS
 
 TABLE = "policies_v2"
 CORE_FIELDS = ("condition_text", "action_text", "source_quote")
@@ -15,51 +15,6 @@ DEFAULT_FIELDS = ("topic", "subtopic", "summary", *CORE_FIELDS)
 SCOPE = ("batch_id", "document_id")
 LIMIT, LIST_LIMIT = 20, 80
 
-# Question vocabulary.
-SYNONYMS = {
-    "pd": "professional development",
-    "client dinner": "meal expense client meeting expense category",
-    "holiday party": "voluntary social event",
-    "proposal time": "bid proposal activity",
-    "tqc": "total quality control",
-    "teqc": "total quality control",
-    "what do i put this under": "expense category",
-    "what category": "expense category",
-    "timesheet category": "activity type timesheet",
-    "charge this": "expense category or billing category",
-}
-EXPENSE_TERMS = ("client dinner", "dinner", "meal", "meals", "expense", "expenses", "travel")
-LIST_TERMS = ("holidays", "categories", "activity codes", "activities", "options")
-KEYWORD_STOPS = {
-    "what", "when", "where", "which", "how", "should", "could", "would", "from", "into", "with", "and", "for", "that", "this", "have", "your", "the",
-}
-
-# Rules in order, the first that holds is taken. A rule holds if each of its groups has a
-# (text, terms) whose text contains a term; "padded" is the question between two spaces, "compact" that
-# with white space collapsed.
-INTENTS = (
-    ("approval_requirement", [[("compact", ["approval"])]]),
-    ("timesheet_activity", [[("compact", ["timesheet"])], [("compact", ["activity", "select"])]]),
-    ("expense_category", [[("compact", ["category", "categorize"])]]),
-    ("expense_category", [[("compact", ["how do i charge"])], [("compact", EXPENSE_TERMS)]]),
-    ("complete_list", [[("compact", ["what are"])], [("padded", [" all "]), ("compact", LIST_TERMS)]]),
-    ("procedure_steps", [[("compact", ["how do i", "steps", "submit"])]]),
-    ("definition", [[("compact", ["what is", "define"])]]),
-    ("eligibility", [[("compact", ["can i", "allowed"])]]),
-)
-QUESTION_CATEGORIES = (
-    ("marketing", [[("low", ["marketing"])]]),
-    ("billing", [[("low", ["bill", "charge"])]]),
-    ("payroll", [[("low", ["payday", "payroll"])]]),
-    ("overtime", [[("low", ["overtime"])]]),
-    ("travel", [[("low", ["travel", "expense"])]]),
-)
-QUESTION_ACTIVITIES = (
-    ("internal marketing", [[("low", ["internal marketing"])]]),
-    ("client campaign", [[("low", ["campaign"])]]),
-    ("weekend overtime", [[("low", ["weekend"])]]),
-)
-
 
 @dataclass(frozen=True)
 class SearchSpec:

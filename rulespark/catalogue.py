@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions import text as X
-from rulespark.operators import admin, evolve, ingest, profile, publish, vector
-from rulespark.plans import search, spec
-from rulespark.schema import ALIASES, RESERVED, TYPE_HINTS, dictionary
+from rulespark.operators import admin, evolve, ingest, keywords, profile, publish, vector
+from rulespark.plans import questions, search, spec
+from rulespark.schema import ALIASES, KEYWORD_STOPS, RESERVED, SYNONYMS, TYPE_HINTS, dictionary
 from rulespark.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +87,7 @@ def spec_search_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES_SQL = """
 WITH p AS (SELECT o_orderkey AS policy_id, o_custkey::VARCHAR AS section_id, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderpriority END AS topic, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus END AS condition_text, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS action_text FROM orders),
-  a AS (SELECT l_orderkey::VARCHAR AS policy_id, 'e' || l_partkey AS extraction_id, CASE l_linestatus WHEN 'O' THEN 'published' ELSE 'failed' END AS publish_status FROM lineitem WHERE l_linenumber <= 2),
+  a AS (SELECT l_orderkey::VARCHAR AS policy_id, 'e' || l_partkey AS extraction_id, CASE l_linestatus WHEN 'O' THEN 'published' ELSE 'failed' END AS publish_status FROM lineitem),
   s AS (SELECT 'e' || p_partkey AS extraction_id, CASE WHEN p_size > 25 THEN 'd' || p_size END AS document_id, p_type AS batch_id, p_name AS summary, p_brand AS topic, p_type AS subtopic FROM part),
   resolved AS (
     SELECT p.policy_id, p.section_id, coalesce(s.document_id, n.n_nationkey::VARCHAR) AS document_id, coalesce(s.batch_id, n.n_name) AS batch_id, coalesce(s.summary, p.condition_text, p.action_text) AS summary,
@@ -103,7 +103,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     none = F.lit(None).cast("string")
     policies = t("orders").select(F.col("o_orderkey").alias("policy_id"), F.col("o_custkey").alias("section_id"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderpriority")).alias("topic"), none.alias("subtopic"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).alias("condition_text"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("action_text"), none.alias("source_quote"))
-    audits = t("lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").cast("string").alias("policy_id"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("extraction_id"), F.when(F.col("l_linestatus") == "O", "published").otherwise("failed").alias("publish_status"))
+    audits = t("lineitem").select(F.col("l_orderkey").cast("string").alias("policy_id"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("extraction_id"), F.when(F.col("l_linestatus") == "O", "published").otherwise("failed").alias("publish_status"))
     candidate = F.struct(F.col("p_name").alias("summary"), F.col("p_brand").alias("topic"), F.col("p_type").alias("subtopic"), none.alias("condition_text"), F.col("p_brand").alias("action_text"), F.col("p_name").alias("source_quote"))
     staged = t("part").select(F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("extraction_id"), F.when(F.col("p_size") > 25, F.concat(F.lit("d"), F.col("p_size").cast("string"))).alias("document_id"), F.col("p_type").alias("batch_id"), candidate.alias("candidate"))
     sections = t("customer").select(F.col("c_custkey").alias("section_id"), F.col("c_nationkey").alias("document_id"))
@@ -141,7 +141,8 @@ def json_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def filter_any_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+    df = table(spark, sf_dir, "customer").withColumn("department", F.col("c_mktsegment"))
+    return df.filter(search.predicate("department", ["BUILDING", "MACHINERY"])).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = lower('Building')")
@@ -283,11 +284,11 @@ def sample_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sample_rows(table(spark, sf_dir, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@query("SELECT event_id, event_type, ts::VARCHAR AS ts FROM events ORDER BY ts, event_id LIMIT 50")
+@query("SELECT event_id, event_type, ts::VARCHAR AS ts FROM events")
 def fifo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending rows, first come first; times as DuckDB prints them."""
     staged = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("extraction_id"), F.col("ts").alias("created_at"), F.lit("pending").alias("status"))
-    return publish.pending(staged).limit(50).select(F.col("extraction_id").alias("event_id"), "event_type", F.col("created_at").cast("string").alias("ts"))
+    return publish.pending(staged).select(F.col("extraction_id").alias("event_id"), "event_type", F.col("created_at").cast("string").alias("ts"))
 
 
 @query("SELECT doc_id, left(text, 100) AS text, len(string_split(source, 'r')) AS source FROM documents")
@@ -435,12 +436,18 @@ _QUESTIONS = [(1, "Do I need approval for travel?"), (2, "Which activity do I se
 _CHUNKS = [(1, "If the amount is high, you must call finance"), (2, "Thanks all, bye"), (3, "First open the portal and click save"), (4, "We recommend strong passwords"), (5, "Overtime means hours past forty in a week"), (6, "Lisa 14:28"), (7, "How is it filed?"), (8, ""), (9, "The owner will follow up on this item next week"), (10, "The lake is calm"), (11, "Bob started transcription")]
 
 
-@query(f"""
-SELECT id, CASE WHEN contains(q, 'approval') THEN 'approval_requirement' WHEN contains(q, 'timesheet') AND (contains(q, 'activity') OR contains(q, 'select')) THEN 'timesheet_activity'
+_INTENT_CASE = """CASE WHEN contains(q, 'approval') THEN 'approval_requirement' WHEN contains(q, 'timesheet') AND (contains(q, 'activity') OR contains(q, 'select')) THEN 'timesheet_activity'
  WHEN contains(q, 'category') OR contains(q, 'categorize') OR (contains(q, 'how do i charge') AND regexp_matches(q, 'dinner|meal|expense|travel')) THEN 'expense_category'
  WHEN contains(q, 'what are') AND (contains(p, ' all ') OR regexp_matches(q, 'holidays|categories|activity codes|activities|options')) THEN 'complete_list'
  WHEN contains(q, 'how do i') OR contains(q, 'steps') OR contains(q, 'submit') THEN 'procedure_steps' WHEN contains(q, 'what is') OR contains(q, 'define') THEN 'definition'
- WHEN contains(q, 'can i') OR contains(q, 'allowed') THEN 'eligibility' ELSE 'fallback' END AS intent
+ WHEN contains(q, 'can i') OR contains(q, 'allowed') THEN 'eligibility' ELSE 'fallback' END"""
+_CLASS_CASES = """CASE WHEN contains(q, 'marketing') THEN 'marketing' WHEN contains(q, 'bill') OR contains(q, 'charge') THEN 'billing' WHEN contains(q, 'payday') OR contains(q, 'payroll') THEN 'payroll'
+  WHEN contains(q, 'overtime') THEN 'overtime' WHEN contains(q, 'travel') OR contains(q, 'expense') THEN 'travel' ELSE 'billing' END AS policy_category,
+  CASE WHEN contains(q, 'internal marketing') THEN 'internal marketing' WHEN contains(q, 'campaign') THEN 'client campaign' WHEN contains(q, 'weekend') THEN 'weekend overtime' END AS activity_type"""
+
+
+@query(f"""
+SELECT id, {_INTENT_CASE} AS intent
 FROM (SELECT id, ' ' || lower(trim(t)) || ' ' AS p, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS q FROM (
   SELECT id::BIGINT AS id, t FROM {sql_values(_QUESTIONS, "id, t")} {_TALK_SQL}))
 """)
@@ -449,15 +456,81 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT id, CASE WHEN contains(q, 'marketing') THEN 'marketing' WHEN contains(q, 'bill') OR contains(q, 'charge') THEN 'billing' WHEN contains(q, 'payday') OR contains(q, 'payroll') THEN 'payroll'
-  WHEN contains(q, 'overtime') THEN 'overtime' WHEN contains(q, 'travel') OR contains(q, 'expense') THEN 'travel' ELSE 'billing' END AS policy_category,
-  CASE WHEN contains(q, 'internal marketing') THEN 'internal marketing' WHEN contains(q, 'campaign') THEN 'client campaign' WHEN contains(q, 'weekend') THEN 'weekend overtime' END AS activity_type
+SELECT id, {_CLASS_CASES}
 FROM (SELECT id, lower(t) AS q FROM (SELECT id::BIGINT AS id, t FROM {sql_values(_QUESTIONS, "id, t")} {_TALK_SQL}))
 """)
 def question_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_talk(spark, sf_dir, _QUESTIONS).select("id", X.question_class(F.col("t")).alias("c")).select("id", "c.policy_category", "c.activity_type")
 
 
+# --- tables of questions ---------------------------------------------------------------------
+
+_LEADS = ("What are all the holidays? ", "internal marketing and ", "Can I bill document_id: d3 for it? ", "payroll ", "weekend overtime travel ", "")
+_CATEGORIES = ("marketing", "billing", "payroll", None, "overtime")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as questions, most behind a lead that gives them a category, an activity, a scope or a list."""
+    lead = F.element_at(F.array(*[F.lit(x) for x in _LEADS]), ((F.col("conv_id") + F.col("turn")) % len(_LEADS) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(lead, "text").alias("question"))
+
+
+_ASKED_SQL = f"SELECT conv_id * 1000 + turn AS id, {sql_values([tuple(_LEADS)], 'a, b, c, d, e, f').replace('(VALUES', '(SELECT [a, b, c, d, e, f] FROM (VALUES', 1)})[(conv_id + turn) % {len(_LEADS)} + 1] || text AS t FROM conversations"
+
+
+@query(f"""
+WITH asked AS ({_ASKED_SQL}),
+  kinds AS (SELECT id, {_INTENT_CASE} AS intent, {_CLASS_CASES}, nullif(regexp_extract(t, '(?i)\\bdocument_id\\s*[:=]\\s*([a-z0-9_-]+)', 1), '') AS doc
+    FROM (SELECT id, t, ' ' || lower(trim(t)) || ' ' AS p, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS q FROM asked)),
+  ladder AS (
+    SELECT id, 0 AS step, intent = 'complete_list' AS listing, CASE WHEN intent <> 'complete_list' THEN policy_category END AS cat, CASE WHEN intent <> 'complete_list' THEN activity_type END AS act, doc FROM kinds
+    UNION ALL SELECT id, 1, false, policy_category, NULL, doc FROM kinds WHERE intent <> 'complete_list' AND activity_type IS NOT NULL
+    UNION ALL SELECT id, CASE WHEN activity_type IS NULL THEN 1 ELSE 2 END, false, NULL, NULL, doc FROM kinds WHERE intent <> 'complete_list'),
+  rules AS (
+    SELECT o_orderkey AS policy_id, 'd' || (o_custkey % 10) AS document_id, c_mktsegment AS topic, o_orderpriority AS subtopic, CASE WHEN o_orderstatus = 'P' THEN 'old' ELSE 'active' END AS status,
+      CASE left(o_orderpriority, 1) WHEN '1' THEN 'marketing' WHEN '2' THEN 'billing' WHEN '3' THEN 'payroll' WHEN '5' THEN 'overtime' END AS cat, CASE WHEN o_orderstatus = 'F' AND o_custkey % 5 = 0 THEN 'internal marketing' END AS act,
+      CASE WHEN c_acctbal > 0 THEN 1 ELSE 3 END - CASE WHEN c_acctbal > 0 AND o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS rank
+    FROM orders JOIN customer ON c_custkey = o_custkey),
+  found AS (
+    SELECT l.id, l.step, l.listing, r.policy_id, row_number() OVER (PARTITION BY l.id, l.step ORDER BY CASE WHEN l.listing THEN 0 ELSE r.rank END, CASE WHEN l.listing THEN r.topic END, CASE WHEN l.listing THEN r.subtopic END, r.policy_id) AS rank
+    FROM ladder l JOIN rules r ON r.status = 'active' AND (l.cat IS NULL OR r.cat = l.cat OR r.cat IS NULL) AND (l.act IS NULL OR r.act = l.act) AND (l.doc IS NULL OR r.document_id = l.doc))
+SELECT id, step, rank::INT AS rank, policy_id FROM (SELECT *, min(step) OVER (PARTITION BY id) AS least FROM found WHERE rank <= CASE WHEN listing THEN 80 ELSE 20 END) WHERE step = least
+""")
+def ladder_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a question to the orders as rules: planned by rules, relaxed until it finds something, in one plan."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    state, category = F.col("o_orderstatus"), F.element_at(F.array(*[F.lit(x) for x in _CATEGORIES]), F.left("o_orderpriority", F.lit(1)).cast("int"))
+    none = F.lit(None).cast("string")
+    rules = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        F.col("o_orderkey").alias("policy_id"), F.concat(F.lit("d"), (F.col("o_custkey") % 10).cast("string")).alias("document_id"), F.col("o_custkey").cast("string").alias("section_id"), F.col("c_mktsegment").alias("topic"), F.col("o_orderpriority").alias("subtopic"),
+        F.when(state == "P", "old").otherwise("active").alias("status"), category.alias("policy_category"), F.when((state == "F") & (F.col("o_custkey") % 5 == 0), "internal marketing").alias("activity_type"),
+        F.when(state == "F", "x").alias("condition_text"), F.when(F.col("c_acctbal") > 0, "x").alias("action_text"), none.alias("summary"), none.alias("source_quote"),
+    )
+    return questions.answers(rules, questions.planned(_asked(spark, sf_dir)))
+
+
+@query(f"""
+WITH words AS (
+  SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda w: length(w) >= 4 AND NOT list_contains({sorted(KEYWORD_STOPS)}, w))[1:6]) AS w FROM ({_ASKED_SQL})),
+  held AS (SELECT w, doc_id FROM (SELECT DISTINCT w FROM words) JOIN documents ON lower(text) LIKE '%' || w || '%'),
+  hits AS (SELECT DISTINCT id, doc_id FROM words JOIN held USING (w))
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY doc_id))::INT AS rank, doc_id FROM hits QUALIFY rank <= 20
+""")
+def keyword_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every turn the first twenty documents that hold one of its keywords."""
+    return keywords.fallback(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), "doc_id", ["text"], "question_id", "question")
+
+
+@query("""
+WITH tokens AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 4)) AS t FROM benchmark) GROUP BY 1, 2),
+  held AS (SELECT t, doc_id FROM (SELECT DISTINCT t FROM tokens) JOIN documents ON contains(lower(text), t))
+SELECT item_id AS id, (row_number() OVER (PARTITION BY item_id ORDER BY sum(n) DESC, doc_id))::INT AS rank, doc_id, sum(n)::BIGINT AS score FROM tokens JOIN held USING (t) GROUP BY item_id, doc_id QUALIFY rank <= 10
+""")
+def keyword_overlap_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every benchmark item as a question the ten documents that hold most of its tokens."""
+    return keywords.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", ["text"], "item_id", "text")
+
+
 _CHUNK_SQL = f"""
 SELECT id, CASE WHEN low = '' THEN 'filler' WHEN contains(low, 'started transcription') OR contains(low, 'stopped transcription') OR regexp_matches(low, '^[a-z]+\\s+\\d{{1,2}}:\\d{{2}}$') THEN 'transcript_metadata'
  WHEN regexp_matches(low, '\\b(thank you|thanks|bye|hmm|okay|ok)\\b') AND len(string_split(trim(regexp_replace(low, '\\s+', ' ', 'g')), ' ')) <= 12 THEN 'filler' WHEN regexp_matches(low, '\\b(action item|follow up|owner|todo)\\b') THEN 'action_item'
@@ -522,30 +595,8 @@ def list_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that stand verbatim in documents.
-
-    The longest inner word of an item is a whole word of any document that holds the item, which is the
-    join key; texts come in only for candidates. Items of one or two words have no such word: they are
-    tested as they are, in broadcasts of at most ``_SHORT_ITEMS``.
-    """
-    words = lambda c: F.split(c, " ")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    inner = F.slice("w", 2, F.size("w") - 2)
-    longest = F.aggregate(inner, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    wanted = b.filter(F.size("w") >= 3).select("item_id", longest.alias("key"))
-    keys = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
-    pairs = keys.join(wanted, "key").select("doc_id", "item_id")
-    hits = pairs.join(d, "doc_id").join(b.select("item_id", "needle"), "item_id").filter(F.contains("text", "needle")).select("doc_id", "item_id")
-    short = b.filter(F.size("w") < 3).select("item_id", "needle")
-    passes = -(-short.count() // _SHORT_ITEMS)
-    for i in range(passes):
-        some = F.broadcast(short.filter(F.pmod(F.xxhash64("item_id", "needle"), F.lit(passes)) == i))
-        hits = hits.union(d.join(some, F.contains("text", "needle")).select("doc_id", "item_id"))
-    return hits
-
-
-_SHORT_ITEMS = 1000
+    """Items that stand verbatim in documents."""
+    return keywords.contains_join(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query(f"""
@@ -610,11 +661,11 @@ def page_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT source, page, (row_number() OVER (PARTITION BY source ORDER BY page, pos)) - 1 AS chunk_id, 1::BIGINT AS tokens FROM (
   SELECT source, page, unnest(range(0, len(ws))) AS pos FROM (
-    SELECT role AS source, conv_id * 1000 + turn AS page, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations))
+    SELECT conv_id AS source, turn AS page, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations))
 """)
 def global_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as pages of their role, in chunks of one word, numbered through the role."""
-    paged = table(spark, sf_dir, "conversations").select(F.col("role").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("page"), F.col("text").alias("merged"))
+    """Turns as pages of their conversation, in chunks of one word, numbered through the conversation."""
+    paged = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("page"), F.col("text").alias("merged"))
     chunks = pages.page_chunks(paged, size=1)
     return chunks.select("source", "page", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("tokens").cast("long").alias("tokens"))
 
@@ -648,7 +699,7 @@ def ocr_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", F.md5(X.merged_lines(F.col("t"), F.col("o"))).alias("merged"))
 
 
-_TERMS = list(spec.SYNONYMS.items())
+_TERMS = list(SYNONYMS.items())
 
 
 @query(f"""
@@ -740,13 +791,13 @@ def admin_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, array_to_string(list_filter([o_orderkey::VARCHAR, '12.5', o_custkey::VARCHAR], lambda x: x NOT IN (o_custkey::VARCHAR, '7')), ',') AS unsupported FROM orders WHERE o_orderkey <> o_custkey
+SELECT o_orderkey, array_to_string(list_filter([o_orderkey::VARCHAR, '12.5', o_custkey::VARCHAR], lambda x: x NOT IN (o_custkey::VARCHAR, '7')), ',') AS unsupported FROM orders
 """)
 def number_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     said = F.concat(F.lit("Pay "), text("o_orderkey"), F.lit(" or 12.5 to "), text("o_custkey"), F.lit("."))
     known = F.concat(F.lit("Rule 7 for "), text("o_custkey"))
-    return table(spark, sf_dir, "orders").filter("o_orderkey <> o_custkey").select("o_orderkey", F.array_join(F.filter(X.unsupported_numbers(said, known), lambda x: x != "7"), ",").alias("unsupported"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.filter(X.unsupported_numbers(said, known), lambda x: x != "7"), ",").alias("unsupported"))
 
 
 @query("SELECT conv_id, turn, contains(lower(text), 'could not find') OR length(text) < 150 AS skips FROM conversations")
@@ -775,13 +826,19 @@ def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.statistics(rows).drop("source").withColumnRenamed("page", "doc_id")
 
 
-@query("""
-SELECT vec_id, score, kind FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY kind, score DESC) AS n FROM (
-  SELECT vec_id, label / 2.0::DOUBLE AS score, 0 AS kind FROM embeddings WHERE vec_id < 120 UNION ALL SELECT vec_id, label::DOUBLE, 1 FROM embeddings WHERE vec_id BETWEEN 60 AND 200)) WHERE n = 1
+@query(f"""
+WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+  near AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q.v::DOUBLE[]) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 100),
+  worded AS (SELECT doc_id AS vec_id, score FROM (SELECT doc_id, {" + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END" for t in _TOKENS)} AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100)
+SELECT vec_id, round(score, 4) AS score, kind FROM (SELECT vec_id, score, 0 AS kind FROM near UNION ALL SELECT vec_id, score::DOUBLE, 1 FROM worded WHERE vec_id NOT IN (SELECT vec_id FROM near))
 """)
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return vector.hybrid(e.filter("vec_id < 120").select("vec_id", (F.col("label") / 2).alias("score")), e.filter("vec_id between 60 and 200").select("vec_id", F.col("label").alias("score")), "vec_id")
+    """The hundred vectors nearest to a question's, and the hundred documents with most of its words, once each."""
+    e, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    first = e.filter("vec_id = 0").select("embedding").first()  # the question's vector
+    near = vector.topk(e, list(first[0]), 100, "vec_id", "embedding")
+    worded = search.overlap_topk(docs, " ".join(_TOKENS), ("text",), ["doc_id"], 100).select(F.col("doc_id").alias("vec_id"), "score")
+    return vector.hybrid(near, worded, "vec_id").withColumn("score", F.round("score", 4))
 
 
 @query("SELECT doc_id, 'doc_' || left(sha256(source || chr(31) || doc_id), 32) AS id FROM documents")

@@ -27,13 +27,17 @@ MARK = "_text"
 
 
 def runs(text: Column) -> Column:
-    """Letters and digits in lower case, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 1)
+    """Runs of letters and digits, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 1)
+
+
+def longest(found: Column) -> Column:
+    """The longest run, the first of equal ones; blank if there is none."""
+    return F.aggregate(found, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
 
 
 def fragment(term: Column) -> Column:
-    """The longest run of a term, the first of equal ones; blank if there is none."""
-    return F.aggregate(runs(term), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    return longest(runs(term))
 
 
 def grams(run: Column, size: int) -> Column:
@@ -135,6 +139,27 @@ def overlap(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[s
     return best_of(scored, [F.desc("score"), F.asc_nulls_first(key), F.col(MARK)], limit).select("id", "rank", key, "score")
 
 
+def contains_join(rows: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(id, item id) for every row and every item that stands in its text, letter by letter.
+
+    Rows and items that repeat are joined each; null ids stay null; null texts hold nothing and null
+    items stand nowhere, a blank item in every text. An item is looked up by a run of letters and digits
+    that does not touch its ends, which is a whole token of every text that holds the item, or else by
+    its longest run, which is part of one.
+    """
+    texts = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").withColumn(MARK, F.xxhash64("text"))
+    asked = items.select(F.col(item_col).alias("_item"), F.col(item_text).cast("string").alias("needle")).filter("needle is not null")
+    inner = longest(F.regexp_extract_all("needle", F.lit(r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"), 1))
+    needles = asked.select("needle").distinct().withColumn("inner", inner).withColumn("fragment", fragment(F.col("needle")))
+    posts = postings(texts, ["_id"])
+    whole = needles.filter("inner <> ''").select("needle", F.col("inner").alias("token"))
+    edged = needles.filter("inner = ''")
+    tokens = whole if edged.isEmpty() else whole.union(edged.join(tokens_of(edged, posts), "fragment").select("needle", "token"))
+    listed = posts.join(tokens, "token").select("needle", F.col("_id").alias("_of"), F.col(MARK).alias("_mark")).distinct()
+    held = texts.join(listed, F.col("_id").eqNullSafe(F.col("_of")) & (F.col(MARK) == F.col("_mark"))).filter(F.contains("text", "needle"))
+    return held.select("_id", "needle").join(asked, "needle").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col))
+
+
 class KeywordIndex:
     """Postings in a folder, kept by batch and by bucket of the token.
 

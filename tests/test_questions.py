@@ -120,3 +120,12 @@ def test_a_search_reads_the_listed_postings_only(spark, tmp_path):
     pairs = keywords.tokens_of(spark.createDataFrame([("word399",), ("word77x",)], "fragment string"), spark.read.parquet(f"{index.path}/vocabulary"))
     listed = index.listed(pairs)
     assert len(listed.inputFiles()) <= 8 < len(spark.read.parquet(f"{index.path}/postings").inputFiles()) and listed.filter("token = 'word399'").count() == 1
+
+
+def test_contains_join_keeps_rows_ids_and_nulls(spark):
+    rows = [(1, "Has the item here"), (1, "Has the item here"), (None, "Has the item here"), (2, None), (3, ""), (4, "xthe itemy; ΟΔΟΣΑ"), (5, "the  item"), (6, "..!")]
+    items = [(9, "the item"), (9, "the item"), (None, "as the item h"), (8, ""), (7, None), (6, "ΟΔΟΣ"), (5, "!"), (4, "The item"), (3, "a")]
+    got = keywords.contains_join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    want = [(d, i) for d, t in rows for i, n in items if t is not None and n is not None and n in t]
+    order = lambda r: [(v is not None, v or 0) for v in r]
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rulespark.operators.ingest import latest_per_key, new_only
 from rulespark.operators.publish import current_state
 from rulespark.sources.sinks import Store
 
@@ -29,26 +30,42 @@ def current(store: Store) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _fresh(store: Store, events: DataFrame) -> DataFrame:
+    """The events whose id their day has not seen, with ``_day``; of the store only those days are read."""
+    days = {f"_day={r._day}" for r in events.select("_day").distinct().collect()}  # the days of one batch
+    have = store.read("policy_events", days)
+    return events if have is None else new_only(events, have.select("event_id"), "event_id")
+
+
+def _latest(store: Store, seen: DataFrame) -> DataFrame:
+    """The latest state of each policy in the buckets that ``seen`` touches, with ``_bucket``; of equal times the new one."""
+    touched = [r._bucket for r in seen.select("_bucket").distinct().collect()]  # ``buckets`` numbers at most
+    known = [t for b in touched if (t := store.read(f"policies_current_{b:04d}")) is not None]
+    if not known:
+        return seen
+    columns = ["policy_id", "payload_json", "updated_at"]
+    old = reduce(DataFrame.unionByName, [t.select(*columns) for t in known]).withColumn("_new", F.lit(0))
+    both = seen.select(*columns, F.lit(1).alias("_new")).unionByName(old)
+    return latest_per_key(both, ["policy_id"], [F.desc_nulls_last("updated_at"), F.desc("_new")]).select(*columns)
+
+
 def start(events: DataFrame, store: Store, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
     """Append events and bring the latest state of each policy up to date; a batch that comes twice changes nothing.
 
-    An event is never too late: repeats go within a batch and by the ids the store has, without a
-    watermark. Policies are kept in ``buckets`` tables by hash of their id, and a batch rewrites those
-    it touches only, all in one commit.
+    An event is never too late, there is no watermark. Repeats of an event have its id and its time: they
+    go within a batch, and by the ids of the days that a batch touches, which are all of the history it
+    reads. Policies are kept in ``buckets`` tables by hash of their id, and a batch reads and rewrites
+    those it touches. Events and states are one write each, and one commit together.
     """
+    bucket = F.pmod(F.xxhash64("policy_id"), F.lit(buckets)).cast("int")
 
     def batch(df: DataFrame, _: int) -> None:
-        df = df.dropDuplicates(["event_id"]).persist()
-        seen = current_state(df).withColumn("_bucket", F.pmod(F.xxhash64("policy_id"), F.lit(buckets))).persist()
+        df = df.dropDuplicates(["event_id"]).withColumn("_day", F.coalesce(F.date_format("event_time", "yyyyMMdd"), F.lit("none"))).persist()
+        seen = current_state(df).withColumn("_bucket", bucket).persist()
         try:
             with store.transaction():
-                store.insert_absent("policy_events", df, "event_id")
-                for (b,) in seen.select("_bucket").distinct().orderBy("_bucket").collect():  # ``buckets`` rows at most
-                    name, mine = f"policies_current_{b:04d}", seen.filter(F.col("_bucket") == b).drop("_bucket")
-                    have = store.read(name)
-                    if have is not None:
-                        mine = mine.join(have.select("policy_id", F.col("updated_at").alias("_at")), "policy_id", "left").filter("_at is null or updated_at >= _at").drop("_at")
-                    store.upsert(name, mine, ["policy_id"])
+                store.write_parts("policy_events", _fresh(store, df), "_day", lambda day: "policy_events", add=True)
+                store.write_parts("policies_current", _latest(store, seen).withColumn("_bucket", bucket), "_bucket", lambda b: f"policies_current_{int(b):04d}", add=False)
         finally:
             seen.unpersist()
             df.unpersist()

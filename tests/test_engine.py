@@ -242,10 +242,35 @@ def test_store_transactions(spark, tmp_path):
         other.append("a", rows(11))
     assert ids("a") == [7, 11] and store.create({"a": "id int", "c": "id int, t string"}) == ["c"]
     assert store.snapshot()["c"] == {"id": "int", "t": "string"}
-    assert store.vacuum(keep=1) > 0 and ids("a") == [7, 11] and store.vacuum(keep=1) == 0
+    assert store.vacuum(keep=1) == 0, "folders of today stay"
+    assert store.vacuum(keep=1, hours=0) > 0 and ids("a") == [7, 11] and store.vacuum(keep=1, hours=0) == 0
     assert sinks.run_script(spark, "-- a comment\nCREATE OR REPLACE TEMP VIEW v1 AS SELECT 1 AS x;\n\nCREATE OR REPLACE TEMP VIEW v2 AS SELECT ';' AS y;\n", ["v1", "v2", "v3"]) == ["v3"]
 
 
+def test_store_with_two_writers(spark, tmp_path):
+    one, two = (sinks.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    with one.transaction():
+        one.append("a", rows(1))
+        assert two.vacuum() == 0
+    assert one.read("a").count() == 1
+    # a vacuum that spares nothing: the commit notices
+    with pytest.raises(sinks.Conflict), one.transaction():
+        one.append("a", rows(2))
+        two.vacuum(hours=-1)
+    assert [r.id for r in two.read("a").collect()] == [1]
+    # of many writers that claim one number only one may write it
+    assert [one._claim(7), two._claim(7), one._claim(7)] == [True, False, False]
+    # a claim whose writer died is taken over once it is old
+    assert two._claim(2)
+    with pytest.raises(sinks.Conflict):
+        one.append("a", rows(3))
+    one.CLAIM_S = -1
+    assert one.append("a", rows(3)) == 1 and sorted(r.id for r in two.read("a").collect()) == [1, 3]
+    two.write_parts("p", spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "id int, k string"), "k", lambda v: f"p_{v}", add=True)
+    assert sorted(r.id for r in one.read("p_x").collect()) == [1, 3] and two.vacuum(keep=1, hours=-1) == 0 and one.read("p_y").first().id == 2
+
+
 def test_schema_changes_end_to_end(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     batch = pipeline.create_batch(store, "tests")
@@ -367,6 +392,25 @@ def test_mirror_keeps_late_events(spark, tmp_path):
     assert [r.payload_json for r in mirror.current(store).collect()] == ["{2}"]
 
 
+def test_mirror_reads_the_days_of_a_batch_only(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/out")
+
+    def come(*events):
+        rows = [(e, p, "b", "changed", t, "{%s}" % e) for e, p, t in events]
+        spark.createDataFrame(rows, "event_id string, policy_id string, batch_id string, event_type string, event_time string, payload_json string").withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        mirror.start(spark.readStream.schema(mirror.EVENT).parquet(f"file://{tmp_path}/in"), store, f"file://{tmp_path}/cp").awaitTermination(120)
+
+    come(*[(f"e{d}", f"p{d}", f"2024-01-{d:02d} 08:00:00") for d in range(1, 9)], ("odd", "p1", None))
+    # the past goes away; whoever reads it fails
+    for folder in store._now()["policy_events"]:
+        if not folder.endswith(("_day=20240108", "_day=none")):
+            store._delete([folder])
+    come(("e8", "p8", "2024-01-08 08:00:00"), ("new", "p8", "2024-01-08 09:00:00"), ("late", "p8", "2024-01-08 01:00:00"), ("odd", "p1", None))
+    got = store.read("policy_events", {"_day=20240108", "_day=none"})
+    assert sorted(r.event_id for r in got.collect()) == ["e8", "late", "new", "odd"]
+    assert {r.policy_id: r.payload_json for r in mirror.current(store).collect()} == {f"p{d}": "{e%d}" % d for d in range(1, 8)} | {"p8": "{new}"}
+
+
 def test_rename_is_atomic(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "topic string")
     out, changed = ingest.renamed(df, "topic", spark.createDataFrame([("a", "b"), ("b", "c")], "original string, canonical string"))

@@ -679,7 +679,7 @@ SELECT doc_id, len(solid)::INT AS solid, len(list_filter(solid, lambda x: contai
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solid lines of each text, and how many its whole text holds after the noise lines went."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", X.quiet_lines(F.col("text")).alias("merged"))
-    return d.select("doc_id", F.size(X.solid_lines(F.col("text"))).alias("solid"), X.covered_lines(F.col("text"), F.col("merged")).alias("covered"))
+    return d.select("doc_id", X.line_cover(F.col("text"), F.col("merged")).alias("c")).select("doc_id", "c.solid", (F.col("c.solid") - F.size("c.lost")).alias("covered"))
 
 
 _OCR = [(1, "alpha line\nbeta line", "alpha line\nnew line"), (2, "", "only ocr"), (3, "only page", None), (4, "same", "same"), (5, "a b", "\nc d\n\n a b \ne")]

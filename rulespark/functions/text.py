@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rulespark.functions.lines import line_cover as _line_cover
+from rulespark.functions.lines import merged as _merged
 from rulespark.schema import INTENTS, QUESTION_ACTIVITIES, QUESTION_CATEGORIES, SYNONYMS
 
 # Classification patterns in order, base confidences, list heads, fillers, entity names.
@@ -271,13 +273,7 @@ def list_topic(heading: Column) -> Column:
 
 def merged_lines(page: Column, ocr: Column) -> Column:
     """The page's text, then the OCR lines that it does not hold verbatim; blank OCR lines stay."""
-    strip = lambda c: F.regexp_replace(present(c), r"^\s+|\s+$", "")
-    right = F.transform(lines(strip(ocr)), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    # a hashed difference finds the new lines; lists of lines are computed once
-    fresh = lambda s: F.array_except(F.transform(s["o"], strip), F.transform(lines(s["p"]), strip))
-    more = lambda s: bound(fresh(s), lambda new: F.filter(s["o"], lambda x: (x == "") | F.array_contains(new, strip(x))))
-    whole = lambda s: bound(more(s), lambda m: F.when(s["p"] == "", F.array_join(s["o"], "\n")).when((F.array_join(s["o"], "") == "") | (F.size(m) == 0), s["p"]).otherwise(F.concat(s["p"], F.lit("\n\n[OCR Merge]\n"), F.array_join(m, "\n"))))
-    return bound(F.struct(strip(page).alias("p"), right.alias("o")), whole)
+    return _merged(present(page), present(ocr))
 
 
 def solid_lines(text: Column) -> Column:
@@ -285,28 +281,28 @@ def solid_lines(text: Column) -> Column:
     return F.filter(F.transform(lines(text), collapse), lambda x: F.length(F.regexp_replace(x, "[^A-Za-z0-9]", "")) >= 2)
 
 
-def uncovered_lines(source: Column, merged: Column) -> Column:
-    """The solid lines of a source that its merged text does not hold, repeats included.
+def line_cover(source: Column, merged: Column) -> Column:
+    """struct<solid, lost>: the number of a source's solid lines, and those its merged text does not hold, repeats included."""
+    return _line_cover(present(source), present(merged))
 
-    Lines that are lines of the merged text go by a hashed difference; only the others are searched for.
-    """
-    lost = lambda s: F.filter(F.array_except(s["solid"], s["have"]), lambda x: ~s["flat"].contains(x))
-    value = F.struct(solid_lines(source).alias("solid"), F.transform(lines(merged), collapse).alias("have"), collapse(merged).alias("flat"))
-    return bound(value, lambda s: bound(lost(s), lambda gone: F.when(F.size(gone) == 0, F.slice(s["solid"], 1, 0)).otherwise(F.filter(s["solid"], lambda x: F.array_contains(gone, x)))))
+
+def uncovered_lines(source: Column, merged: Column) -> Column:
+    """The solid lines of a source that its merged text does not hold, repeats included."""
+    return line_cover(source, merged)["lost"]
 
 
 def covered_lines(source: Column, merged: Column) -> Column:
-    return F.size(solid_lines(source)) - F.size(uncovered_lines(source, merged))
+    return bound(line_cover(source, merged), lambda c: c["solid"] - F.size(c["lost"]))
 
 
-def page_statistics(text: Column, ocr: Column, merged: Column) -> dict[str, Column]:
-    """Lengths, table marks, and solid lines of the text and of the OCR that the merged text holds or lacks."""
-    out = {"chars_text": F.length(present(text)), "chars_ocr": F.length(present(ocr)), "chars_merged": F.length(present(merged))}
-    out |= {"tables_detected": F.regexp_count(present(text), F.lit(r"\[Detected Table ")), "ocr_used": present(merged).contains("[OCR Merge]")}
-    for name, source in (("text", text), ("ocr", ocr)):
-        n, lost = F.size(solid_lines(source)), F.size(uncovered_lines(source, merged))
-        out |= {f"{name}_lines": n, f"{name}_lines_covered": n - lost, f"{name}_lines_missing": lost}
-    return out
+def page_statistics(text: Column, ocr: Column, merged: Column) -> Column:
+    """A struct of lengths, table marks, and the solid lines of the text and of the OCR that the merged text holds or lacks."""
+    plain = [F.length(present(c)).alias(f"chars_{n}") for n, c in (("text", text), ("ocr", ocr), ("merged", merged))]
+    plain += [F.regexp_count(present(text), F.lit(r"\[Detected Table ")).alias("tables_detected"), present(merged).contains("[OCR Merge]").alias("ocr_used")]
+    counted = lambda n, c: [c["solid"].alias(f"{n}_lines"), (c["solid"] - F.size(c["lost"])).alias(f"{n}_lines_covered"), F.size(c["lost"]).alias(f"{n}_lines_missing")]
+    # both covers once, however many counts are taken from them
+    covers = F.struct(line_cover(text, merged).alias("text"), line_cover(ocr, merged).alias("ocr"))
+    return bound(covers, lambda c: F.struct(*plain, *counted("text", c["text"]), *counted("ocr", c["ocr"])))
 
 
 def markdown_table(cells: Column, number: Column) -> Column:

@@ -131,7 +131,7 @@ def page_chunks(merged: DataFrame, size: int = 400, text: str = "merged") -> Dat
 def statistics(merged: DataFrame) -> DataFrame:
     """(source, page, and the counts of ``text.page_statistics``) of merged pages."""
     made = X.page_statistics(F.col("text"), F.col("ocr_text"), F.col("merged"))
-    return merged.select("source", "page", *[c.alias(name) for name, c in made.items()])
+    return merged.select("source", "page", made.alias("made")).select("source", "page", "made.*")
 
 
 def listed_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,18 @@
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rulespark.functions import lines
+
 from rulespark.functions import text as X
 
 
-def value(spark, make, text):
-    return spark.createDataFrame([(text,)], "t string").select(make(F.col("t")).alias("x")).first().x
+def value(spark, make, said):
+    return spark.createDataFrame([(said,)], "t string").select(make(F.col("t")).alias("x")).first().x
 
 
 def test_sections(spark):
@@ -73,3 +78,37 @@ def test_small_helpers(spark):
     assert value(spark, lambda c: X.file_name(c, F.lit("")), "http://x") == "document"
     assert value(spark, X.skips_verification, "short") is True
     assert value(spark, lambda c: X.unsupported_numbers(c, F.lit("section 1507.2")), "see 1507.2 and 88") == ["88"]
+
+
+def plain_cover(source, merged):
+    strip = lambda x: " ".join(re.split(r"[ \t\n\x0b\f\r]+", x)).strip(" ")
+    rows = [strip(x) for x in source.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    rows = [x for x in rows if sum(c.isascii() and c.isalnum() for c in x) >= 2]
+    return len(rows), [x for x in rows if x not in strip(merged)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab1 \n\t\ré\u00a0"), max_size=60), st.text(st.sampled_from("ab1 \n\t\ré\u00a0"), max_size=60))
+def test_line_cover_equals_a_search_for_every_line(source, merged):
+    assert lines.cover(source, merged) == plain_cover(source, merged)
+
+
+def test_lines_take_time_in_proportion_to_the_texts():
+    def took(n):
+        source = "\n".join(f"line {i * 7919 % 1000003} of the page" for i in range(n))
+        merged = " ".join(f"line {i * 7919 % 1000003} of the page and" for i in range(0, n, 2))
+        began = time.perf_counter()
+        count, lost = lines.cover(source, merged)
+        assert count == n and len(lost) == n // 2
+        assert len(lines.merge(source, merged + "\n" + source)) == len(source) + len("\n\n[OCR Merge]\n") + len(merged)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(320_000) < 8 * 3 * took(40_000), "from 1 to 8 MB"
+
+
+def test_line_columns(spark):
+    rows = [("a1 b\nc2 d\n!\nc2  d", "x a1 b y", None), (None, "q", "zz"), ("a1", None, ""), ("", "", "")]
+    got = spark.createDataFrame(rows, "s string, m string, o string").select(X.line_cover(F.col("s"), F.col("m")).alias("c"), X.covered_lines(F.col("s"), F.col("m")).alias("n"), X.page_statistics(F.col("s"), F.col("o"), F.col("m")).alias("p")).collect()
+    assert [(r.c.solid, r.c.lost, r.n) for r in got] == [(3, ["c2 d", "c2 d"], 1), (0, [], 0), (1, ["a1"], 0), (0, [], 0)]
+    assert got[0].p.text_lines_missing == 2 and got[1].p.ocr_lines == 1 and got[1].p.ocr_lines_covered == 0

@@ -626,16 +626,21 @@ def admin_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'invalid candidate contract: publishable is missing' WHEN l.quality = 0 THEN 'chunk flagged non-publishable'
+SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'invalid candidate contract: publishable is missing' WHEN d.doc_id % 10 = 3 THEN 'invalid payload contract: a mapped field has no name'
+  WHEN d.n_chars > 4000 THEN 'invalid payload contract: a mapped field''s confidence is outside 0 to 1' WHEN d.doc_id % 10 = 7 THEN 'invalid payload contract: an unmapped concept''s frequency is under 1' WHEN l.quality = 0 THEN 'chunk flagged non-publishable'
   WHEN d.n_chars / 4000 < 0.5 THEN 'confidence below threshold (' || printf('%.2f', least(1.0, d.n_chars / 4000)) || ')' WHEN l.toxic = 1 THEN 'missing meaningful structured fields' END AS reason
 FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as staged rows, held against the contracts of candidate and payload and the other tests of the gate."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     none = F.lit(None).cast("string")
     topic = F.when(F.coalesce("toxic", F.lit(0)) == 0, "x")
     c = F.struct(F.col("doc_id").cast("string").alias("candidate_id"), (F.col("quality") == 1).alias("publishable"), F.least(F.lit(1.0), F.col("n_chars") / 4000).alias("confidence"), topic.alias("topic"), none.alias("subtopic"), none.alias("condition_text"), none.alias("action_text"), none.alias("recommendation_text"), none.alias("summary"), none.alias("reason_if_not_publishable"))
-    return d.select("doc_id", c.alias("candidate"), F.lit(0.0).alias("confidence")).select("doc_id", publish.skip_reason().alias("reason"))
+    mapped = F.create_map(F.when(F.col("doc_id") % 10 == 3, " ").otherwise("topic"), F.struct(F.lit("x").alias("value"), (F.col("n_chars") / 4000).alias("confidence")))
+    unmapped = F.array(F.struct(F.lit("cap").alias("raw_label"), F.when(F.col("doc_id") % 10 == 7, 0).otherwise(1).alias("frequency_in_batch")))
+    staged = d.select("doc_id", c.alias("candidate"), F.lit(0.0).alias("confidence"), mapped.alias("mapped_fields"), unmapped.alias("unmapped_concepts"))
+    return staged.select("doc_id", publish.skip_reason(payload=publish.has_payload(staged)).alias("reason"))
 
 
 _RENAMES = [("BUILDING", "construction"), ("construction", "never"), ("MACHINERY", "MACHINERY")]

@@ -28,18 +28,30 @@ def contract_error(c: str = "candidate") -> Column:
     return F.when(F.col(c).isNull(), "no candidate").when(F.coalesce(f("candidate_id"), F.lit("")) == "", "no candidate_id").when(f("confidence").isNotNull() & ~f("confidence").between(0, 1), "confidence outside 0 to 1").when(f("publishable").isNull(), "publishable is missing")
 
 
-def skip_reason(candidate: str = "candidate", confidence: str = "confidence") -> Column:
-    """Why a staged row is not published, or null: contract, flag, confidence (0 falls to the row's), structure."""
+def has_payload(staged: DataFrame) -> bool:
+    """Whether the table has the whole payload, so that its contract can be held against it."""
+    kinds = dict(staged.dtypes)
+    return "confidence" in kinds.get("mapped_fields", "") and "frequency_in_batch" in kinds.get("unmapped_concepts", "")
+
+
+def skip_reason(candidate: str = "candidate", confidence: str = "confidence", payload: bool = False) -> Column:
+    """Why a staged row is not published, or null: contract, flag, confidence (0 falls to the row's), structure.
+
+    With ``payload`` the contract of mapped fields and unmapped concepts is part of it.
+    """
     f = lambda n: F.col(f"{candidate}.{n}")
     score = F.coalesce(F.nullif(f("confidence"), F.lit(0.0)), F.col(confidence), F.lit(0.0))
     shaped = F.coalesce(*[F.nullif(f(n), F.lit("")) for n in STRUCTURE]).isNotNull()
     broken = contract_error(candidate)
-    return F.when(broken.isNotNull(), F.concat(F.lit("invalid candidate contract: "), broken)).when(~f("publishable"), F.coalesce(f("reason_if_not_publishable"), F.lit("chunk flagged non-publishable"))).when(score < 0.5, F.concat(F.lit("confidence below threshold ("), F.format_number(score, 2), F.lit(")"))).when(~shaped, "missing meaningful structured fields")
+    out = F.when(broken.isNotNull(), F.concat(F.lit("invalid candidate contract: "), broken))
+    if payload:
+        out = out.when(payload_error().isNotNull(), F.concat(F.lit("invalid payload contract: "), payload_error()))
+    return out.when(~f("publishable"), F.coalesce(f("reason_if_not_publishable"), F.lit("chunk flagged non-publishable"))).when(score < 0.5, F.concat(F.lit("confidence below threshold ("), F.format_number(score, 2), F.lit(")"))).when(~shaped, "missing meaningful structured fields")
 
 
 def published(staged: DataFrame, columns: list[str]) -> DataFrame:
     """Rule rows of the rows that pass, one an extraction: known mapped columns, section, quote and status."""
-    ok = latest_per_key(staged.filter(skip_reason().isNull() & F.col("status").isin(*OPEN)), ["extraction_id"], [F.desc("confidence"), "section_id"])
+    ok = latest_per_key(staged.filter(skip_reason(payload=has_payload(staged)).isNull() & F.col("status").isin(*OPEN)), ["extraction_id"], [F.desc("confidence"), "section_id"])
     mapped = [c for c in columns if c not in ("policy_id", "section_id", "source_quote", "status")]
     return ok.select(key_id("pol", F.col("extraction_id")).alias("policy_id"), "extraction_id", "section_id", *[F.col("mapped_fields")[c]["value"].alias(c) for c in mapped], F.coalesce("candidate.source_quote", F.lit("")).alias("source_quote"), F.lit("active").alias("status"))
 
@@ -56,7 +68,7 @@ def pending(staged: DataFrame, batch_id: str | None = None) -> DataFrame:
 def decided(staged: DataFrame, batch_id: str | None = None, now: Column | None = None) -> DataFrame:
     """Staged rows with their status after a publish run over a batch or all; others keep theirs."""
     open_ = F.col("status").isin(*OPEN) & (F.lit(True) if batch_id is None else F.col("batch_id") == batch_id)
-    why = skip_reason()
+    why = skip_reason(payload=has_payload(staged))
     have = lambda c, kind: F.col(c) if c in staged.columns else F.lit(None).cast(kind)
     return staged.withColumns({
         "publish_error": F.when(open_, why).otherwise(have("publish_error", "string")),

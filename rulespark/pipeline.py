@@ -32,9 +32,12 @@ def create_batch(store: Store, triggered_by: str, trigger_source: str = "manual"
     return batch_id
 
 
-def ingest_batch(store: Store, batch_id: str, inputs: DataFrame) -> DataFrame:
+def ingest_batch(store: Store, batch_id: str, inputs: DataFrame, extractor: models.Extractor | None = None) -> DataFrame:
     """Register, section, extract and stage a batch. ``inputs``: source_uri, raw_content, title, doc_type, seq[, content].
 
+    Names are those of the dictionary with the store's overrides. An ``extractor`` is asked first where
+    the rules see no complete list; where it fails, the rules decide. Rows whose payload breaks its
+    contract are staged as failed, with the reason, and are not published.
     Inline ``content`` that is not blank goes before ``raw_content``. All tables change together.
     """
     with store.transaction():
@@ -47,7 +50,11 @@ def ingest_batch(store: Store, batch_id: str, inputs: DataFrame) -> DataFrame:
         store.upsert("documents", docs, ["source_uri", "content_hash"])
         docs = store.read("documents").filter(F.col("batch_id") == batch_id)
         store.replace_documents("sections", ingest.sectioned(docs))
-        staged = ingest.extracted(store.read("sections").filter(F.col("batch_id") == batch_id), set(schema.TYPE_HINTS), schema.ALIASES, schema.RESERVED)
+        mine_now = store.read("sections").filter(F.col("batch_id") == batch_id)
+        staged = ingest.extracted(mine_now, *schema.names_of(store.read("schema_dictionary_overrides")))
+        if extractor is not None:
+            staged = models.with_model(staged, mine_now, extractor)
+        staged = staged.withColumn("publish_error", publish.payload_error()).withColumn("status", F.when(F.col("publish_error").isNotNull(), "failed").otherwise(F.col("status")))
         store.upsert("staging", staged, ["extraction_id"])
         mine = lambda t: store.read(t).filter(F.col("batch_id") == batch_id)
         totals = publish.batch_totals(mine("ingestion_batches"), mine("documents"), mine("sections"), mine("staging"))
@@ -59,7 +66,8 @@ def plan_changes(spark: SparkSession, store: Store, batch_id: str) -> DataFrame:
     """Propose schema changes for what the batch's rows could not be mapped to."""
     bootstrap(store)
     staged = publish.pending(store.read("staging"), batch_id)
-    found = evolve.gaps(staged, schema.dictionary(spark), [*POLICY_FIELDS, "policy_id", "section_id"])
+    changes = store.read("schema_dictionary_overrides")
+    found = evolve.gaps(staged, schema.dictionary(spark, None if changes is None else schema.overridden(changes)), [*POLICY_FIELDS, "policy_id", "section_id"])
     now = F.current_timestamp()
     made = evolve.proposals(found, batch_id).withColumns({c: F.lit(None).cast(t) for c, t in (("reviewer", "string"), ("decision_note", "string"), ("decided_at", "timestamp"))} | {"created_at": now, "updated_at": now})
     store.insert_absent("schema_change_requests", made, "request_id")

@@ -90,10 +90,7 @@ class Cached:
 
 
 def extracted(sections: DataFrame, extractor: Extractor, text: str = "section_text") -> DataFrame:
-    """The sections with ``model`` (a candidate) from the extractor; null where it fails or its reply is no JSON object.
-
-    The caller coalesces it with the candidate of the rules.
-    """
+    """The sections with ``model`` (a candidate) from the extractor; null where it fails or its reply is no JSON object."""
 
     def run(frames):
         for f in frames:
@@ -110,12 +107,44 @@ def extracted(sections: DataFrame, extractor: Extractor, text: str = "section_te
     return out.withColumn("model", F.from_json("model", CANDIDATE))
 
 
+# The fields that a model's candidate maps, and where they come from.
+MODEL_FIELDS = (("topic", "llm:topic"), ("subtopic", "llm:subtopic"), ("condition_text", "llm:condition"), ("action_text", "llm:action"))
+
+
+def with_model(staged: DataFrame, sections: DataFrame, extractor: Extractor, version: str = "model-1") -> DataFrame:
+    """Staged rows of ``ingest.extracted`` with the extractor's candidates in place of the rules', where they keep the contract.
+
+    A candidate needs a chunk type, a flag, a summary and a confidence from 0 to 1; else, and for complete lists,
+    the rules' row stays as it is. Ids, and quote and rule text that the model leaves out, are the rules'.
+    The mapped fields are those that the model names; a recommendation stands in for an action.
+    """
+    said = extracted(sections.select("section_id", "section_text"), extractor).select("section_id", "model").dropDuplicates(["section_id"])
+    of, own = (lambda n: F.col(f"model.{n}")), (lambda n: F.col(f"candidate.{n}"))
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    sound = F.coalesce(of("publishable").isNotNull() & of("confidence").between(0, 1) & full(of("chunk_type")).isNotNull() & full(of("summary")).isNotNull(), F.lit(False)) & (own("chunk_type") != "policy_list")
+    kept = ("candidate_id", "document_id", "section_id")
+    filled = {n: F.coalesce(full(of(n)), own(n)) for n in ("source_quote", "rule_text")} | {n: own(n) for n in kept} | {"extractor_version": F.lit(version)}
+    names = [f.name for f in staged.schema["candidate"].dataType.fields]
+    candidate = F.struct(*[filled.get(n, of(n)).alias(n) for n in names])
+    value = {n: full(of(n)) for n, _ in MODEL_FIELDS} | {"action_text": F.coalesce(full(of("action_text")), full(of("recommendation_text")))}
+    source = {n: F.lit(p) for n, p in MODEL_FIELDS} | {"action_text": F.when(full(of("action_text")).isNotNull(), "llm:action").otherwise("llm:recommendation")}
+    entry = lambda n: F.when(value[n].isNotNull(), F.struct(F.lit(n).alias("key"), F.struct(value[n].alias("value"), F.lit("string").alias("value_type"), of("confidence").alias("confidence"), source[n].alias("provenance")).alias("value")))
+    mapped = F.map_from_entries(F.array_compact(F.array(*[entry(n) for n, _ in MODEL_FIELDS])))
+    new = {"candidate": candidate, "mapped_fields": mapped, "unmapped_concepts": F.slice("unmapped_concepts", 1, 0), "confidence": of("confidence")}
+    kinds = dict(staged.dtypes)  # without "not null", which the model's fields are not
+    return staged.join(said, "section_id", "left").select(*[F.when(sound, new[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in staged.columns])
+
+
 def formatted(question: str, rows: list[dict], intent: str, formatter: Formatter | None = None) -> str:
-    """The formatter's answer; that of the rules without rows, without a formatter or if it fails."""
+    """The formatter's answer in sections; that of the rules without rows, without a formatter or if it fails.
+
+    A reply that finds nothing, though there are rows, becomes an answer from related rows; one without
+    the sections becomes the direct answer among those of the rows.
+    """
     if rows and formatter is not None:
         try:
             if reply := (formatter(question, rows, intent) or "").strip():
-                return reply
+                return profile.related(rows) if profile.NOT_FOUND.lower() in reply.lower() else profile.structured(reply, rows)
         except Exception:  # as above
             pass
     return profile.answer(rows)

@@ -143,3 +143,26 @@ def dictionary(spark: SparkSession, overrides: DataFrame | None = None, hints: d
     hints = base.select("canonical", "type_hint").dropDuplicates(["canonical"])
     live = live.join(hints, "canonical", "left").select("alias", "canonical", F.coalesce("type_hint", F.lit("text")).alias("type_hint"))
     return base.join(live, "alias", "left_anti").union(live)
+
+
+#: Changes to the dictionary that a store keeps, as DDL.
+OVERRIDES = "canonical_name string, aliases array<string>, reserved_names array<string>, mapping_rules map<string,string>, active boolean"
+
+
+def overridden(table: DataFrame) -> DataFrame:
+    """(alias, canonical, active) of a table of ``OVERRIDES``, for ``dictionary``; of two rows that name an alias, mapping rules win."""
+    named = table.filter("trim(canonical_name) <> ''")
+    synonyms = named.select(F.explode("aliases").alias("alias"), F.col("canonical_name").alias("canonical"), "active", F.lit(1).alias("_rank"))
+    rules = named.select(F.explode("mapping_rules").alias("alias", "canonical"), "active").select("alias", "canonical", "active", F.lit(0).alias("_rank"))
+    every = synonyms.union(rules).filter("active and trim(alias) <> '' and trim(canonical) <> ''").withColumn("alias", F.lower(F.trim("alias")))
+    return every.groupBy("alias").agg(F.min_by("canonical", F.struct("_rank", "canonical")).alias("canonical")).withColumn("active", F.lit(True))
+
+
+def names_of(table: DataFrame | None) -> tuple[set[str], dict[str, str], set[str]]:
+    """(concepts, canonical names by alias, reserved names), the built-in ones with those of a table of ``OVERRIDES``: a dictionary, small by nature."""
+    if table is None:
+        return set(TYPE_HINTS), dict(ALIASES), set(RESERVED)
+    aliases = {r.alias: r.canonical.strip() for r in overridden(table).collect()}
+    live = table.filter("active and trim(canonical_name) <> ''")
+    reserved = {r.n for r in live.select(F.explode("reserved_names").alias("n")).select(F.lower(F.trim("n")).alias("n")).distinct().collect() if r.n}
+    return set(TYPE_HINTS) | {r.n for r in live.select(F.trim("canonical_name").alias("n")).distinct().collect()}, ALIASES | aliases, RESERVED | reserved

@@ -90,6 +90,36 @@ def test_gaps_and_gate(spark):
     assert [x["status"] for x in log] == ["skipped", "applied", "failed"] and "bad name" in log[2]["error_text"]
 
 
+def test_contracts_overrides_and_a_model_in_ingestion(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    pipeline.bootstrap(store)
+    store.insert_many("schema_dictionary_overrides", [("annual_budget", ["Annual_Cap"], ["secret_required"], {"odd_required": "approval_required"}, True), ("never", ["region_code"], None, None, False)], schema.OVERRIDES)
+    text = RULES + "\n# Caps\nThe annual cap and odd_required and secret_required and plain_required fields must be set when asked.\n"
+
+    def extractor(section):
+        if "annual cap" in section:
+            raise ValueError("no reply")
+        return json.dumps({"chunk_type": "policy_rule", "publishable": True, "summary": "From the model", "topic": "Trips", "recommendation_text": "Ask", "confidence": 0.8 if "trip" in section else 7})
+
+    rows = {r.section_id: r for r in pipeline.ingest_batch(store, "bat_1", inputs(spark, text), extractor).collect()}
+    kinds = {r.section_id: r.heading for r in store.read("sections").collect()}
+    by = {kinds[i]: r for i, r in rows.items()}
+    trip = by["Travel policy"]
+    assert trip.candidate.summary == "From the model" and trip.mapped_fields["action_text"].provenance == "llm:recommendation" and trip.mapped_fields["topic"].value == "Trips" and trip.confidence == 0.8
+    assert trip.candidate.source_quote and trip.unmapped_concepts == [] and by["Days off"].candidate.chunk_type == "policy_list" and by["Days off"].candidate.extractor_version == "rules-1"
+    assert by["Chat"].candidate.extractor_version == "rules-1", "a confidence of 7 breaks the contract"
+    labels = {u.raw_label: u.normalized_label for u in by["Caps"].unmapped_concepts}
+    assert "secret_required" not in labels and labels["odd_required"] == "approval_required" and labels["plain_required"] == "plain_required"
+    made = pipeline.plan_changes(spark, store, "bat_1").collect()
+    concepts = {i["concept"] for r in made for i in r["items"]}
+    assert "plain_required" in concepts and "approval_required" in concepts
+    # a payload that breaks its contract is never published
+    good = store.read("staging").filter(F.col("section_id") == trip.section_id)
+    bad = good.withColumn("extraction_id", F.lit("ext_bad")).withColumn("mapped_fields", F.map_from_arrays(F.array(F.lit(" ")), F.slice(F.map_values("mapped_fields"), 1, 1)))
+    assert publish.published(good.unionByName(bad), ["topic"]).count() == 1
+    assert {r.publish_error for r in publish.decided(bad).collect()} == {"invalid payload contract: a mapped field has no name"}
+
+
 def test_no_gaps_no_proposals(spark):
     staged = spark.createDataFrame([], f"extraction_id string, unmapped_concepts {schema.UNMAPPED}")
     assert evolve.proposals(evolve.gaps(staged, schema.dictionary(spark), []), "b").collect() == []
@@ -330,7 +360,15 @@ def test_models_and_fallbacks(spark, tmp_path):
     sections = spark.createDataFrame([("good",), ("fails",), ("[1]",)], "section_text string")
     out = {r.section_text: r.model for r in models.extracted(sections, lambda t: json.dumps({"topic": t}) if t == "good" else t).collect()}
     assert out["good"].topic == "good" and out["fails"] is None and out["[1]"] is None
-    assert models.formatted("q", [{"action_text": "x"}], "i", lambda q, r, i: "told") == "told" and "x" in models.formatted("q", [{"action_text": "x"}], "i", lambda q, r, i: 1 / 0)
+    whole = "Direct Answer\nYes.\n\nKey Details\n- a\n\nWhat You Should Do\n- b"
+    row = {"topic": "Time", "subtopic": "Social", "action_text": "Log setup only.", "source_quote": "It is voluntary.", "approval_required": "true"}
+    assert models.formatted("q", [row], "i", lambda q, r, i: whole) == whole
+    told = models.formatted("q", [row], "i", lambda q, r, i: "Yes, it needs approval.\nAsk first.\nDetails:")
+    assert told.startswith("Direct Answer\nYes, it needs approval. Ask first.") and "Key Details" in told and "- Log setup only." in told
+    related = models.formatted("q", [row], "i", lambda q, r, i: f"{profile.NOT_FOUND}.")
+    assert profile.RELATED in related and "- Time / Social: Log setup only." in related and profile.NOT_FOUND not in related
+    assert profile.RELATED_BLANK in models.formatted("q", [{"topic": "x"}], "i", lambda q, r, i: profile.NOT_FOUND)
+    assert "x" in models.formatted("q", [{"action_text": "x"}], "i", lambda q, r, i: 1 / 0)
     assert models.formatted("q", [], "i", lambda q, r, i: "told") == profile.NOT_FOUND
     pairs = models.topic_mapping(spark, rules, lambda known: {known[0][0]: "T", "unknown": "x", "Travel Abroad": " "}).collect()
     assert len(pairs) == 1 and pairs[0].canonical == "T"

@@ -103,37 +103,74 @@ a{r} AS MATERIALIZED (
     return ",".join(steps)
 
 
+def _resolved(base: str, link: str) -> str:
+    origin, path = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    return rf"""CASE
+    WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN {link} LIKE '//%' THEN regexp_extract({base}, '(?s)^(.*?:)//', 1) || {link} WHEN {link} LIKE '/%' THEN {origin} || {link}
+    WHEN {link} LIKE '?%' THEN {origin} || {path} || {link} WHEN {link} LIKE '#%' THEN {base} ELSE {origin} || coalesce(nullif(regexp_extract({path}, '(?s)^(.*/)', 1), ''), '/') || {link} END"""
+
+
+def _dots(x: str) -> str:
+    path = f"regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    kept = f"list_reduce(list_transform(string_split({path}, '/')[2:], lambda s: [s]), lambda k, s: CASE WHEN s[1] = '.' THEN k WHEN s[1] = '..' THEN k[1:len(k) - 1] ELSE list_concat(k, s) END, []::VARCHAR[])"
+    return rf"""CASE WHEN regexp_matches({path}, '/\.{{1,2}}(/|$)') THEN regexp_extract({x}, '(?s)^(.*?://[^/?#]*)', 1) || '/' || array_to_string(list_concat({kept}, CASE WHEN regexp_matches({path}, '/\.{{1,2}}$') THEN [''] ELSE [] END), '/')
+    || regexp_extract({x}, '(?s)^.*?://[^?#]*(.*)$', 1) ELSE {x} END"""
+
+
+def _spelled_out(sql: str) -> str:
+    """The SQL of links with its patterns, and its steps of addresses, filled in."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    code = "(CASE WHEN lower(p[3]) = 'x' THEN ('0x' || regexp_extract(p, '(?i)x([0-9a-f]+)', 1))::INT ELSE regexp_extract(p, '[0-9]+')::INT END)"
+    named = {"UNREAD": quoted(urls._UNREAD), "ATTRIBUTE": quoted(urls._ATTRIBUTE), "REFERENCE": quoted(urls._REFERENCE), "TARGET": quoted(urls._TARGET), "CODE": code}
+    named |= {"RESOLVED(url, base)": _resolved("url", "base"), "RESOLVED(url, link)": _resolved("url", "link"), "DOTS(x)": _dots("x")}
+    for name, text in named.items():
+        sql = sql.replace(name, text)
+    return sql
+
+
 #: Exact nearest neighbours are not the index's answer, and the other queries train models, compare
 #: sets, rewrite bytes or cut words: brute-force versions in tests/llm hold those.
 ORACLES: dict[str, str] = {
-    "op10_url_filters": r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
-), parts AS (
-  SELECT page_id, url, html,
-    translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
-    lower(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^(.*?://[^/?]*)', 1)) || regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '(?s)^.*?://[^/?]*', '') AS address
-  FROM p
+    "op10_url_filters": _spelled_out(r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    translate(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^(.*?://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '(?s)^.*?://[^/?]*', '') AS address,
+    regexp_replace(html, UNREAD, ' ', 'g') AS html
+  FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)
+), tags AS (
+  SELECT row_number() OVER () AS t, * FROM (
+    SELECT page_id, url, address, kind, unnest(regexp_extract_all(html, pattern, 1)) AS written, generate_subscripts(regexp_extract_all(html, pattern, 1), 1) AS nth
+    FROM (SELECT parts.*, 'link' AS kind, '(?is)<link[\s/]([^>]*)>' AS pattern FROM parts WHERE url <> '') UNION ALL
+    SELECT page_id, url, address, kind, unnest(regexp_extract_all(html, '(?is)<meta[\s/]([^>]*)>', 1)), 0 FROM (SELECT *, 'meta' AS kind FROM parts WHERE url <> '') UNION ALL
+    SELECT page_id, url, address, kind, unnest(regexp_extract_all(html, '(?is)<base[\s/]([^>]*)>', 1)), generate_subscripts(regexp_extract_all(html, '(?is)<base[\s/]([^>]*)>', 1), 1) FROM (SELECT *, 'base' AS kind FROM parts WHERE url <> ''))
+), named AS (
+  SELECT t, n, first(v ORDER BY i) AS v FROM (
+    SELECT t, translate(unnest(regexp_extract_all(written, ATTRIBUTE, 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n, unnest(regexp_extract_all(written, ATTRIBUTE, 2)) AS v, generate_subscripts(regexp_extract_all(written, ATTRIBUTE, 1), 1) AS i FROM tags)
+  GROUP BY t, n
+), pieces AS (
+  SELECT t, n, regexp_extract_all(CASE WHEN v[1] IN ('"', chr(39)) THEN substr(v, 2, length(v) - 2) ELSE v END, REFERENCE) AS ps FROM named
+), spelled AS (
+  SELECT t, n, regexp_replace(array_to_string(list_transform(ps, lambda p: CASE lower(p) WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN chr(39) ELSE
+    CASE WHEN regexp_matches(p, '(?i)^&#(x[0-9a-f]+|[0-9]+);$') AND (CODE BETWEEN 1 AND 55295 OR CODE BETWEEN 57344 AND 1114111) THEN chr(CODE) ELSE p END END), ''), '^\s+|\s+$', '', 'g') AS v
+  FROM pieces
+), read AS (
+  SELECT g.t, g.page_id, g.url, g.address, g.kind, g.nth, coalesce(max(v) FILTER (n = 'href'), '') AS href, coalesce(max(v) FILTER (n = 'rel'), '') AS rel, coalesce(max(v) FILTER (n = 'http-equiv'), '') AS equiv, coalesce(max(v) FILTER (n = 'content'), '') AS content
+  FROM tags g LEFT JOIN spelled USING (t) GROUP BY ALL
+), bases AS (
+  SELECT page_id, url, arg_min(href, nth) AS base FROM read WHERE kind = 'base' AND href <> '' GROUP BY ALL
 ), links AS (
-  SELECT address, url, path, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS link
-  FROM (SELECT address, url, path, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM parts)
-  WHERE regexp_matches(t, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
-  UNION ALL
-  SELECT address, url, path, regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1) AS link
-  FROM (SELECT address, url, path, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS t FROM parts)
-  WHERE regexp_matches(t, '(?is)http-equiv\s*=\s*["'']?\s*refresh')
+  SELECT address, r.url, base, link FROM (
+    SELECT address, url, page_id, CASE WHEN kind = 'link' AND list_contains(string_split_regex(translate(rel, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+'), 'canonical') THEN href
+      WHEN kind = 'meta' AND translate(equiv, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'refresh' THEN regexp_extract(content, TARGET, 1) ELSE '' END AS link FROM read) r LEFT JOIN bases b ON b.page_id IS NOT DISTINCT FROM r.page_id AND b.url = r.url WHERE link <> ''
+), based_at AS (
+  SELECT address, link, CASE WHEN base IS NULL THEN url ELSE RESOLVED(url, base) END AS x FROM links
+), based AS (
+  SELECT address, link, DOTS(x) AS url FROM based_at
 ), targets AS (
-  SELECT address AS a, CASE
-    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-    WHEN link LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
-    WHEN link LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
-    WHEN link LIKE '?%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || link
-    WHEN link LIKE '#%' THEN url
-    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || link END AS b
-  FROM links WHERE link <> '' AND url <> ''
+  SELECT address, RESOLVED(url, link) AS x FROM based
 ), edges AS (
-  SELECT a, lower(regexp_extract(regexp_replace(b, '(?s)#.*$', ''), '(?s)^(.*?://[^/?]*)', 1)) || regexp_replace(regexp_replace(b, '(?s)#.*$', ''), '(?s)^.*?://[^/?]*', '') AS b FROM targets
+  SELECT address AS a, translate(regexp_extract(regexp_replace(b, '(?s)#.*$', ''), '(?s)^(.*?://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_replace(b, '(?s)#.*$', ''), '(?s)^.*?://[^/?]*', '') AS b
+  FROM (SELECT address, DOTS(x) AS b FROM targets)
 ), both_ways AS (
   SELECT a, b FROM edges WHERE a <> b AND a <> '' AND b <> '' UNION SELECT b, a FROM edges WHERE a <> b AND a <> '' AND b <> ''
 ), reach AS (
@@ -154,7 +191,7 @@ SELECT page_id, parts.host, parts.path, u.rule,
   CASE WHEN u.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN u.rule IS NOT NULL THEN 'block'
        WHEN c.allowed THEN 'allow' WHEN c.blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM parts JOIN ruled u USING (address) LEFT JOIN classes c ON c.node = parts.address
-""",
+"""),
     "op11_centroid_clustering": f"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q

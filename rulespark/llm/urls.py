@@ -1,8 +1,11 @@
 """URL filters with redirect equivalence.
 
 Pages that redirect to each other, or name another page as canonical, are one resource under several
-addresses. Links are read as a browser does: character references, ``<base>``, and dots in paths. Addresses are nodes, a page's ``<link rel="canonical">`` and ``<meta http-equiv="refresh">``
-are edges, and connected components make the classes. A rule decides the addresses it fits. An
+addresses. Addresses are nodes, a page's ``<link rel="canonical">`` and ``<meta http-equiv="refresh">``
+are edges, and connected components make the classes. Tags are read as a browser reads them: not in
+comments, scripts and other raw text, attributes by their whole names and quotes, numeric character
+references and the five that XML names, ``<base>``, and dots in paths. A ``>`` within quotes ends a tag
+here. A rule decides the addresses it fits. An
 address that no rule fits takes the decision of its class: allow if a rule allows any member (an
 explicit allow goes before a block), block if a rule blocks any member, and allow otherwise.
 """
@@ -20,15 +23,23 @@ from .scratch import Scratch
 #: (verdict, rule): host, then path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-_LINK = r"(?is)<link\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*>"
-_BASE = r"(?is)<base\b[^>]*>"
-_HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
+#: Elements whose content holds no tags.
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template")
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?(?:</{t}\s*>|\z)" for t in RAW)
+_TAG = r"(?is)<{}[\s/]([^>]*)>"
+_ATTRIBUTE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+_TARGET = r"""(?is)(?:^|[\s;,])url\s*=\s*["']?\s*([^"'\s]+)"""
+_REFERENCE = r"(?is)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(text, _UPPER, _LOWER)
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -38,7 +49,7 @@ def path_of(url: Column) -> Column:
 def address(url: Column) -> Column:
     """The node of a url: scheme and host in lower case, without the fragment."""
     plain = F.regexp_replace(url, r"(?s)#.*$", "")
-    return F.concat(F.lower(F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)), F.regexp_replace(plain, r"(?s)^.*?://[^/?]*", ""))
+    return F.concat(lowered(F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)), F.regexp_replace(plain, r"(?s)^.*?://[^/?]*", ""))
 
 
 def without_dots(url: Column) -> Column:
@@ -51,15 +62,40 @@ def without_dots(url: Column) -> Column:
     return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(url)
 
 
-#: The entities that stand in addresses.
-ENTITIES = (("&#38;", "&"), ("&#x26;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: The references that XML names.
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def unescaped(value: Column) -> Column:
+    """A value with its character references read, each once; numbers that are no character stay."""
+
+    def read(part: Column) -> Column:
+        low = F.lower(part)
+        number = F.when(low.startswith("&#x"), F.conv(F.regexp_extract(low, r"^&#x([0-9a-f]+);$", 1), 16, 10)).when(low.startswith("&#"), F.regexp_extract(low, r"^&#([0-9]+);$", 1))
+        code = F.nullif(number, F.lit("")).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        out = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), char)
+        for name, plain in ENTITIES.items():
+            out = out.when(low == name, F.lit(plain))
+        return out.otherwise(part)
+
+    return F.when(~value.contains("&"), value).otherwise(F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_REFERENCE), 0), read), ""))
+
+
+def tags(html: Column, name: str) -> Column:
+    """The attributes of each tag of that name, as they are written."""
+    return F.regexp_extract_all(html, F.lit(_TAG.format(name)), 1)
+
+
+def attribute(written: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes and outer white space, references read; blank without one."""
 
+    def value(s: Column) -> Column:
+        raw = F.coalesce(F.get(s["values"], (F.array_position(s["names"], name) - 1).cast("int")), F.lit(""))
+        return bound(raw, lambda r: bound(F.when(r.startswith('"') | r.startswith("'"), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r), lambda v: F.regexp_replace(unescaped(v), r"^\s+|\s+$", "")))
 
-def unescaped(link: Column) -> Column:
-    """A link with its character references read."""
-    for name, char in ENTITIES:
-        link = F.replace(link, F.lit(name), F.lit(char))
-    return link
+    found = lambda group: F.regexp_extract_all(written, F.lit(_ATTRIBUTE), group)
+    return bound(F.struct(F.transform(found(1), lowered).alias("names"), found(2).alias("values")), value)
 
 
 def resolved(base: Column, link: Column) -> Column:
@@ -88,14 +124,16 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 def edges_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): addresses joined by a canonical or refresh link; null, empty and self links are left out."""
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    canonical = F.transform(F.filter(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda t: t.rlike(r"""(?is)\brel\s*=\s*["']?[^"'>]*\bcanonical\b""")), lambda t: F.regexp_extract(t, _HREF, 1))
-    refresh = F.transform(F.filter(F.regexp_extract_all(html, F.lit(_META), 0), lambda t: t.rlike(r"""(?is)http-equiv\s*=\s*["']?\s*refresh""")), lambda t: F.regexp_extract(t, _TARGET, 1))
-    base = F.regexp_extract(F.regexp_extract(html, _BASE, 0), _HREF, 1)
-    links = pages.select(F.col(url_col).cast("string").alias("url"), unescaped(base).alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).filter("url is not null and link <> ''")
+    html = F.regexp_replace(F.coalesce(F.col(html_col).cast("string"), F.lit("")), _UNREAD, " ")
+    read = pages.select(F.col(url_col).cast("string").alias("url"), html.alias("html")).filter("url is not null")
+    words = lambda v: F.split(lowered(v), r"\s+")
+    canonical = F.transform(F.filter(tags(F.col("html"), "link"), lambda t: F.array_contains(words(attribute(t, "rel")), "canonical")), lambda t: attribute(t, "href"))
+    refresh = F.transform(F.filter(tags(F.col("html"), "meta"), lambda t: lowered(attribute(t, "http-equiv")) == "refresh"), lambda t: F.regexp_extract(attribute(t, "content"), _TARGET, 1))
+    bases = F.filter(F.transform(tags(F.col("html"), "base"), lambda t: attribute(t, "href")), lambda v: v != "")
+    links = read.select("url", F.coalesce(F.get(bases, F.lit(0)), F.lit("")).alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).filter("link <> ''")
     # each step is bound in a lambda: written out, the steps would repeat each other many times over
     base = lambda s: F.when(s["base"] == "", s["url"]).otherwise(bound(resolved(s["url"], s["base"]), without_dots))
-    joined = lambda s: bound(F.struct(base(s).alias("base"), unescaped(s["link"]).alias("link")), lambda t: resolved(t["base"], t["link"]))
+    joined = lambda s: bound(F.struct(base(s).alias("base"), s["link"].alias("link")), lambda t: resolved(t["base"], t["link"]))
     target = bound(bound(F.struct("url", "base", "link"), joined), without_dots)
     return links.select(address(F.col("url")).alias("a"), bound(target, address).alias("b")).filter("a <> b and a <> '' and b <> ''")
 

@@ -2,6 +2,7 @@ import random
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pandas
 import pytest
@@ -364,6 +365,37 @@ def test_links_are_read_as_a_browser_does(spark):
         assert got == [want], row
 
 
+LINKED = [
+    ("http://a.org/x", "<!-- <link rel=canonical href='http://b.net/1'> --><p>"), ("http://a.org/x2", "<link rel=canonical data-href='http://b.net/2' href='http://c.org/2'>"), ("http://a.org/x3", "<link data-rel=canonical href='http://b.net/3'>"),
+    ("http://a.org/x4", "<script>var s = '<link rel=canonical href=http://b.net/4>'</script>"), ("http://a.org/x5", "<link rel='alternate CANONICAL' href=' http://b.net/5 '>"), ("http://a.org/x6", "<link rel=canonical href='http://b.net/&#38;lt;6'>"),
+    ("http://a.org/x7", "<link rel=canonical href='http://b.net/&#x37;&amp;&apos;&#38;&#0;'>"), ("http://a.org/x8", "<link-x rel=canonical href='http://b.net/8'>"), ("http://a.org/x9", "<meta content='5; URL=&quot;//b.net/9&quot;' http-equiv=Refresh>"),
+    ("http://a.org/y1", "<meta name=x http-equiv=refresh-no content='0;url=http://b.net/10'>"), ("http://a.org/y2/z", "<base target=x><base href='../w/'><base href='/no/'><link href=\"q?x=1&amp;y=2\" rel=canonical>"), ("http://a.org/w/q?x=1&y=2", "<link rel=canonical href='http://b.net/11'>"),
+    ("http://a.org/y3", "<LINK REL=Canonical HREF=//B.NET/12#f />"), ("http://É.org/y4", "<link rel=canonical href='http://b.net/../13/./'>"), ("http://é.org/y4", ""), ("http://a.org/y5", "<!-- open <link rel=canonical href='http://b.net/14'>"),
+    ("http://a.org/y6", "<title><link rel=canonical href='http://b.net/15'></title><link rel=canonical title='a rel=x href=http://c.org/1' href=http://b.net/16>"), ("http://a.org/y7", "<link rel=canonical>"), (None, "<link rel=canonical href='http://b.net/17'>"), ("http://a.org/y8", None), ("http://b.net/5", ""),
+]
+
+
+def test_links_and_their_sql(spark, tmp_path):
+    rows = [(i, u, h) for i, (u, h) in enumerate(LINKED)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    table = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    found = {(r.a, r.b) for r in urls.edges_of(table).collect()}
+    assert found == {
+        ("http://a.org/x2", "http://c.org/2"), ("http://a.org/x5", "http://b.net/5"), ("http://a.org/x6", "http://b.net/&lt;6"), ("http://a.org/x7", "http://b.net/7&'&&"), ("http://a.org/x9", "http://b.net/9"),
+        ("http://a.org/y2/z", "http://a.org/w/q?x=1&y=2"), ("http://a.org/w/q?x=1&y=2", "http://b.net/11"), ("http://a.org/y3", "http://b.net/12"), ("http://É.org/y4", "http://b.net/13/"), ("http://a.org/y6", "http://b.net/16"),
+    }
+    from rulespark.llm import queries
+
+    got = queries.op10_url_filters(spark, f"file://{tmp_path}").toPandas()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.sql(queries.ORACLES["op10_url_filters"]).df()
+    tidy = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False)), key=str)
+    assert tidy(got) == tidy(want)
+    verdict = dict(zip(got.page_id, got.verdict))
+    assert [i for i, v in verdict.items() if v == "block"] and verdict[0] == "allow" and verdict[1] == "allow" and verdict[4] == "block" and verdict[10] == "block"
+
+
 def test_rows_without_an_address_and_repeated_rows(spark):
     rows = [(None, None, None, "", "")] * 3 + [(1, "http://a.org/x", "<link rel=canonical href='http://b.net/y'>", "", "")] * 2 + [(2, "", "", "", "")]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict string")).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions import text as X
-from rulespark.operators import admin, evolve, ingest, keywords, profile, publish, vector
+from rulespark.operators import admin, evolve, ingest, keywords, names, profile, publish, vector
 from rulespark.plans import questions, search, spec
 from rulespark.schema import ALIASES, KEYWORD_STOPS, RESERVED, SYNONYMS, TYPE_HINTS, dictionary
 from rulespark.sources import pages
@@ -915,6 +915,22 @@ def batch_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("batch_id", "status", "extractions_total", "result_summary")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT p_name || ' ' || p_brand AS name, count(*) AS n FROM part GROUP BY 1),
+  g AS (SELECT name, n, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT *, '  ' || lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) || '  ' AS p FROM n)),
+  links AS (SELECT a.name AS a, b.name AS b FROM g a, g b WHERE a.name <> b.name AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) - 1e-9
+    AND len(list_intersect(a.g, b.g)) >= 0.85 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) - 1e-9),
+  reach AS (SELECT a AS name, a AS other FROM links UNION SELECT r.name, l.b FROM reach r JOIN links l ON l.a = r.other),
+  best AS (SELECT name, first(other ORDER BY n DESC, other) AS canonical FROM reach JOIN (SELECT name AS other, n FROM n) USING (other) GROUP BY name)
+SELECT n.name AS original, coalesce(canonical, n.name) AS canonical FROM (SELECT p_name || ' ' || p_brand AS name FROM part) n LEFT JOIN best USING (name)
+""")
+def name_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under their names and brands, those spelled alike renamed to the commonest of them."""
+    named = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), "p_brand").alias("original"))
+    merged = ingest.renamed(named.withColumn("canonical", F.col("original")), "canonical", names.mapping(named, "original", 0.85), "original", "canonical")[0]
+    return merged.select("original", "canonical")
+
+
 # --- evolution -------------------------------------------------------------------------------
 
 _CONCEPTS = ["annual_cap", "region_code", "exceptions", "Is_Billable", "custom_required"]

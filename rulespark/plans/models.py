@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.operators import profile
+from rulespark.operators import names, profile
 from rulespark.schema import CANDIDATE
 
 from . import spec
@@ -150,11 +150,19 @@ def formatted(question: str, rows: list[dict], intent: str, formatter: Formatter
     return profile.answer(rows)
 
 
-def topic_mapping(spark: SparkSession, policies: DataFrame, topics: Topics) -> DataFrame:
-    """(original, canonical) for ``ingest.renamed``, from the topics and their counts; unknown or blank names are dropped."""
-    known = [(r.topic, r.n) for r in profile.breakdown(policies, "topic", non_blank=True).collect()]
-    names = {t for t, _ in known}
-    pairs = [(k, v.strip()) for k, v in topics(known).items() if k in names and isinstance(v, str) and v.strip()]
+def topic_mapping(spark: SparkSession, policies: DataFrame, topics: Topics | None = None, most: int = 10_000) -> DataFrame:
+    """(original, canonical) for ``ingest.renamed``, from the topics and their counts; unknown or blank names are dropped.
+
+    Without a model, topics that are spelled alike become the commonest of them. A model is asked about
+    ``most`` topics at most; a table with more is an error.
+    """
+    if topics is None:
+        return names.mapping(policies, "topic")
+    known = [(r.topic, r.n) for r in profile.breakdown(policies, "topic", non_blank=True).limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"more than {most} topics for a model")
+    listed = {t for t, _ in known}
+    pairs = [(k, v.strip()) for k, v in topics(known).items() if k in listed and isinstance(v, str) and v.strip()]
     return spark.createDataFrame(pairs, "original string, canonical string")
 
 

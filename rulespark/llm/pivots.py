@@ -31,9 +31,13 @@ LENGTH = 80
 #: The share of the rows that is reranked for a query, with all ties of the last; never under LEAST.
 RERANK = 0.06
 LEAST = 1000
-#: Rows of a block and queries of a chunk, about; rows that are worked on at once.
+#: Rows of a block and queries of a chunk, about. Every row goes to every chunk of queries, so chunks are as
+#: large as a task can hold; smaller ones only while there are fewer tasks than would keep the cores busy.
 BLOCK = 32_768
-CHUNK = 512
+CHUNK = 16_384
+TASKS_PER_CORE = 3
+#: Queries and rows that are worked on at once.
+ASKED = 512
 SLICE = 4096
 #: Bins for a doubling of the expected product, and on either side of 1; rows that expect none are in bin 0.
 BINS, SIDE = 16, 2048
@@ -166,7 +170,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     counts = index.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     if not counts.q:
         return spark.createDataFrame([], schema)
-    blocks, chunks = math.ceil(counts.n / block), math.ceil(counts.q / chunk)
+    blocks = math.ceil(counts.n / block)
+    busy = math.ceil(TASKS_PER_CORE * spark.sparkContext.defaultParallelism / blocks)
+    chunks = max(math.ceil(counts.q / chunk), min(busy, math.ceil(counts.q / ASKED)))
     wanted = max(least, math.ceil(rerank * counts.n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n, seed: F.pmod(F.xxhash64("vid", F.hash("x"), F.lit(seed)), F.lit(n)).cast("int")
@@ -187,6 +193,10 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             bins[qid[:, None] == xid[some]] = -1
             yield at, bins
 
+    def in_turn(work):
+        """Some queries of a cell after the others, so that memory does not grow with the chunk."""
+        return lambda left, right: pa.concat_tables([work(left.slice(a, ASKED), right) for a in range(0, max(1, left.num_rows), ASKED)])
+
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
         """(qkey, bin, n) of the best rows, enough of them for any cut."""
         total = np.zeros((left.num_rows, 2 * SIDE), np.int64)
@@ -227,10 +237,10 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         left = queries.withColumn("qblock", each(blocks)).groupBy("qblock", "qchunk")
         return left.cogroup(data.select("block", *columns, each(chunks).alias("chunk")).groupBy("block", "chunk"))
 
-    bins = cells(asks.select("qid", "qkey", "qo", "qchunk"), ["vid", "o", "size"]).applyInArrow(counted, "qkey long, bin long, n long").groupBy("qkey", "bin").agg(F.sum("n").alias("n"))
+    bins = cells(asks.select("qid", "qkey", "qo", "qchunk"), ["vid", "o", "size"]).applyInArrow(in_turn(counted), "qkey long, bin long, n long").groupBy("qkey", "bin").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("qkey").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     # the bin in which the wanted number is reached; the last one if there are fewer rows
     cuts = tmp.save(bins.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).filter(F.col("before") < wanted).groupBy("qkey").agg(F.min("bin").alias("cut")))
-    found = cells(asks.join(cuts, "qkey"), ["vid", "x", "o", "size"]).applyInArrow(reranked, "query_id long, vec_id long, score double")
+    found = cells(asks.join(cuts, "qkey"), ["vid", "x", "o", "size"]).applyInArrow(in_turn(reranked), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -862,13 +862,32 @@ def fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.fence_stripped(fenced)).alias("body"))
 
 
-@query("""
-SELECT 'per_page' AS method, count(*) AS chunks, coalesce(sum(len(string_split_regex(trim(text), '\\s+'))), 0)::BIGINT AS words FROM conversations
-UNION ALL SELECT 'whole_document', count(*), coalesce(sum(len(string_split_regex(trim(text), '\\s+'))), 0)::BIGINT FROM benchmark
-""")
+_PAGE_WORDS = "list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+_SIZES_SQL = f"""
+WITH p AS (SELECT conv_id AS source, turn AS page, len({_PAGE_WORDS})::BIGINT AS n FROM conversations),
+  b AS (SELECT source, 'per_page' AS method, page, n FROM p UNION ALL SELECT source, 'whole_document', NULL, sum(n)::BIGINT FROM p GROUP BY source),
+  sizes AS (SELECT source, method, page, (i // 25)::INT AS at, least(30, n - i)::BIGINT AS words FROM (SELECT *, unnest(range(0, n, 25)) AS i FROM b))
+"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose turns are pages."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("page"), "text")
+
+
+@query(_SIZES_SQL + "SELECT * FROM sizes")
+def chunk_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every chunk of 30, 5 of them shared, by turn and through the conversation."""
+    return profile.chunk_sizes(_turns(spark, sf_dir), 30, 5)
+
+
+@query(_SIZES_SQL + "SELECT method, count(*) AS chunks, sum(words)::BIGINT AS words FROM sizes GROUP BY method")
 def chunk_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda t: table(spark, sf_dir, t).select(F.col("text").alias("chunk"))
-    return profile.chunk_comparison(of("conversations"), of("benchmark"))
+    """The chunks themselves, of turns and of whole conversations."""
+    turns = _turns(spark, sf_dir)
+    pages_ = turns.select(F.explode(X.word_chunks(F.col("text"), 30, 5)).alias("chunk"))
+    whole = turns.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda t: t["text"]), "\n\n").alias("text"))
+    return profile.chunk_comparison(pages_, whole.select(F.explode(X.word_chunks(F.col("text"), 30, 5)).alias("chunk")))
 
 
 # --- publication -----------------------------------------------------------------------------
@@ -997,6 +1016,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.topk(e, list(first[0]), 10, "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("score"))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+  s AS (SELECT q.id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS score FROM embeddings e, q)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, round(score, 4) AS score FROM s QUALIFY rank <= 10
+""")
+def vector_topk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth vector as a question its ten nearest, itself included."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return vector.topk_table(e, asked, 10, "vec_id", "embedding", "question_id", 64).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')")
 def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").filter("source = 'src1'").select(F.col("doc_id").alias("vec_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rulespark.functions import chunks
 from rulespark.functions.lines import line_cover as _line_cover
 from rulespark.functions.lines import merged as _merged
 from rulespark.schema import INTENTS, QUESTION_ACTIVITIES, QUESTION_CATEGORIES, SYNONYMS
@@ -87,35 +88,14 @@ def sections(text: Column, keep_preamble: bool = False) -> Column:
     return F.when(whole.rlike(r"(?m)^#{1,3}[ \t]+\S"), kept).otherwise(numbered)
 
 
-def packed(items: Column, sizes: Column, size: int, joint: str) -> Column:
-    """Items packed greedily, in order, while the sum of their sizes stays within ``size``; each pack joined.
-
-    Only the places of the cuts are carried along, so the work is linear in the items.
-    """
-    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("used"), F.lit(0).alias("i"))
-    step = lambda a, n: F.when((a["used"] > 0) & (a["used"] + n > size), F.struct(F.concat(a["cuts"], F.array(a["i"])).alias("cuts"), n.cast("int").alias("used"), (a["i"] + 1).alias("i"))).otherwise(F.struct(a["cuts"].alias("cuts"), (a["used"] + n).cast("int").alias("used"), (a["i"] + 1).alias("i")))
-    cut = lambda s: F.aggregate(s["n"], start, step, lambda a: F.concat(F.array(F.lit(0)), a["cuts"], F.array(F.size(s["w"]))))
-    joined = lambda s: bound(F.struct(s["w"].alias("w"), cut(s).alias("c")), lambda t: F.transform(F.slice(t["c"], 1, F.size(t["c"]) - 1), lambda at, i: F.array_join(F.slice(t["w"], at + 1, F.element_at(t["c"], i + 2) - at), joint)))
-    return F.when(F.size(items) > 0, bound(F.struct(items.alias("w"), sizes.alias("n")), joined)).otherwise(F.array().cast("array<string>"))
-
-
 def char_chunks(text: Column, size: int) -> Column:
     """Words packed greedily while the sum of their lengths plus one each stays within ``size`` characters."""
-    return bound(words(text), lambda w: packed(w, F.transform(w, lambda x: F.length(x) + 1), size, " "))
-
-
-def paragraphs(text: Column) -> Column:
-    """Parts between blank lines, stripped, without empty ones."""
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.filter(F.transform(F.split(strip(F.regexp_replace(present(text), r"\r\n?", "\n")), r"\n\s*\n"), strip), lambda p: p != "")
+    return chunks.column(text, chunks.by_chars, size)
 
 
 def paragraph_chunks(text: Column, least: int = 120, most: int = 180) -> Column:
     """Whole paragraphs packed up to ``most`` words; a last pack under ``least`` joins the one before if both fit in ``least + most``."""
-    packs = lambda p: packed(p, F.transform(p, token_count), most, "\n\n")
-    n = lambda c, i: token_count(F.element_at(c, i))
-    tail = lambda c: F.when((F.size(c) > 1) & (n(c, -1) < least) & (n(c, -1) + n(c, -2) <= least + most), F.concat(F.slice(c, 1, F.size(c) - 2), F.array(F.concat(F.element_at(c, -2), F.lit("\n\n"), F.element_at(c, -1))))).otherwise(c)
-    return bound(bound(paragraphs(text), packs), tail)
+    return chunks.column(text, chunks.by_paragraphs, least, most)
 
 
 def word_chunks(text: Column, size: int, overlap: int, least: int = 0) -> Column:

@@ -1,5 +1,7 @@
 import io
 import json
+import math
+import random
 import zipfile
 from datetime import datetime
 from decimal import Decimal
@@ -165,6 +167,23 @@ def test_vectors(spark):
     assert both.count() == 3 and both.filter("id = 1").first().kind == 0
 
 
+def test_nearest_of_a_table_of_vectors(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300, [0.0] * 4), (301, None), (302, [1.0]), (303, [float("nan")] * 4), (None, [1.0] * 4)]
+    rows += [(400 + i, rows[7][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    asked = df.filter("vec_id % 60 = 7 or vec_id in (300, 301, 302) or vec_id is null").withColumnRenamed("vec_id", "q")
+    norm = lambda x: math.sqrt(sum(a * a for a in x))
+    good = [(i, x) for i, x in rows if i is not None and x is not None and len(x) == 4 and x[0] == x[0] and any(x)]
+    for limit in (1000, 2):
+        got = {}
+        for r in vector.topk_table(df, asked, 6, "vec_id", "v", "q", 4, limit).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.vec_id)
+        want = {q: [i for _, i in sorted((-round(sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), 12), i) for i, x in good)[:6]] for q, y in good if q % 60 == 7}
+        assert got == want
+    assert vector.topk_table(df.limit(0), asked, 6, "vec_id", "v", "q", 4).count() == 0 == vector.topk_table(df, asked.limit(0), 6, "vec_id", "v", "q", 4).count()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x.txt").write_text("plain")

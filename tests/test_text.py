@@ -1,12 +1,13 @@
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rulespark.functions import lines
+from rulespark.functions import chunks, lines
 
 from rulespark.functions import text as X
 
@@ -112,3 +113,34 @@ def test_line_columns(spark):
     got = spark.createDataFrame(rows, "s string, m string, o string").select(X.line_cover(F.col("s"), F.col("m")).alias("c"), X.covered_lines(F.col("s"), F.col("m")).alias("n"), X.page_statistics(F.col("s"), F.col("o"), F.col("m")).alias("p")).collect()
     assert [(r.c.solid, r.c.lost, r.n) for r in got] == [(3, ["c2 d", "c2 d"], 1), (0, [], 0), (1, ["a1"], 0), (0, [], 0)]
     assert got[0].p.text_lines_missing == 2 and got[1].p.ocr_lines == 1 and got[1].p.ocr_lines_covered == 0
+
+
+def test_chunks_take_time_in_proportion_to_the_text():
+    def took(n):
+        text = "word " * n
+        began = time.perf_counter()
+        assert sum(len(c.split()) for c in chunks.by_chars(text, 400)) == n
+        made = chunks.by_paragraphs("one two three\n\n" * (n // 3), 120, 180)
+        assert 0 <= -(-(n // 3) // 60) - len(made) <= 1
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(1_200_000) < 10 * 3 * took(120_000), "from 0.6 to 6 MB"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40), st.integers(1, 40))
+def test_cuts_equal_a_loop(sizes, size):
+    want, used = [], 0
+    for i, n in enumerate(sizes):
+        if not want or used + n > size:
+            want.append(i)
+            used = 0
+        used += n
+    assert chunks.cuts(np.array(sizes, np.int64), size) == [*want, len(sizes)][0 if sizes else 0 :] or not sizes and chunks.cuts(np.array(sizes, np.int64), size) == [0]
+
+
+def test_chunk_columns(spark):
+    rows = [("a bb  ccc\td",), ("",), (None,), ("longwordhere x",)]
+    got = spark.createDataFrame(rows, "t string").select(X.char_chunks(F.col("t"), 5).alias("c"), X.paragraph_chunks(F.col("t")).alias("p")).collect()
+    assert [r.c for r in got] == [["a bb", "ccc", "d"], [], [], ["longwordhere", "x"]] and [r.p for r in got] == [["a bb  ccc\td"], [], [], ["longwordhere x"]]

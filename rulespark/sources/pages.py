@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,12 +35,8 @@ def pdf_reader(data: bytes, dpi: int | None = 300) -> Iterable[dict]:
             yield {"page": i, "blocks": [(0.0, 0.0, p.extract_text() or "")], "tables": [], "images": []}
         return
     with fitz.open(stream=data, filetype="pdf") as doc:
-        for i, p in enumerate(doc, 1):
-            images = [doc.extract_image(x[0])["image"] for x in p.get_images(full=True)]
-            if dpi:
-                images.append(p.get_pixmap(dpi=dpi, alpha=False).tobytes("png"))
-            tables = [t.extract() for t in p.find_tables().tables]
-            yield {"page": i, "blocks": [(b[1], b[0], b[4]) for b in p.get_text("blocks")], "tables": tables, "images": images}
+        for n in range(1, len(doc) + 1):
+            yield _pdf_page(doc, n, dpi)
 
 
 def ocr_engine(data: bytes, language: str = "eng", psm: int = 6, oem: int = 3) -> str:
@@ -60,13 +57,120 @@ def pages(spark: SparkSession, path: str, reader: Reader = pdf_reader, pattern:
             for source, data in zip(f["path"], f["content"], strict=True):
                 try:
                     found = list(reader(bytes(data)))
-                    rows += [(source, p["page"], len(found), [tuple(b) for b in p["blocks"]], [[[None if c is None else str(c) for c in r] for r in t] for t in p["tables"]], list(p["images"]), None) for p in found]
+                    rows += [_row(source, p, len(found)) for p in found]
                 except Exception as e:  # a library's errors for damaged files have no common base
-                    rows.append((source, None, 0, [], [], [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["source", "page", "total", "blocks", "tables", "images", "error"]).astype({"page": "Int32", "total": "int32"})
+                    rows.append(_failed(source, e))
+            yield _frame(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(run, PAGES)
+    return _files(spark, path, pattern).select("path", "content").mapInPandas(run, PAGES)
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+
+
+def _row(source: str, p: dict, total: int) -> tuple:
+    return source, p["page"], total, [tuple(b) for b in p["blocks"]], [[[None if c is None else str(c) for c in r] for r in t] for t in p["tables"]], list(p["images"]), None
+
+
+def _failed(source: str, e: Exception) -> tuple:
+    return source, None, 0, [], [], [], f"{type(e).__name__}: {e}"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["source", "page", "total", "blocks", "tables", "images", "error"]).astype({"page": "Int32", "total": "int32"})
+
+
+@dataclass(frozen=True)
+class Paged:
+    """A format whose pages can be read one by one: ``count(bytes)`` and ``read(bytes, numbers)``, which yields those page dicts."""
+
+    count: Callable[[bytes], int]
+    read: Callable[[bytes, list[int]], Iterable[dict]]
+
+
+def pdf_count(data: bytes) -> int:
+    try:
+        import fitz
+    except ImportError:
+        from pypdf import PdfReader
+
+        return len(PdfReader(io.BytesIO(data)).pages)
+    with fitz.open(stream=data, filetype="pdf") as doc:
+        return len(doc)
+
+
+def pdf_pages(data: bytes, numbers: list[int], dpi: int | None = 300) -> Iterable[dict]:
+    """The pages of those numbers, as ``pdf_reader`` gives them; the others are not decoded."""
+    try:
+        import fitz
+    except ImportError:
+        from pypdf import PdfReader
+
+        doc = PdfReader(io.BytesIO(data))
+        for n in numbers:
+            yield {"page": n, "blocks": [(0.0, 0.0, doc.pages[n - 1].extract_text() or "")], "tables": [], "images": []}
+        return
+    with fitz.open(stream=data, filetype="pdf") as doc:
+        for n in numbers:
+            yield _pdf_page(doc, n, dpi)
+
+
+def _pdf_page(doc, n: int, dpi: int | None) -> dict:
+    p = doc[n - 1]
+    images = [doc.extract_image(x[0])["image"] for x in p.get_images(full=True)]
+    if dpi:
+        images.append(p.get_pixmap(dpi=dpi, alpha=False).tobytes("png"))
+    tables = [t.extract() for t in p.find_tables().tables]
+    return {"page": n, "blocks": [(b[1], b[0], b[4]) for b in p.get_text("blocks")], "tables": tables, "images": images}
+
+
+PDF = Paged(pdf_count, pdf_pages)
+
+
+def page_ranges(spark: SparkSession, path: str, selector: list[int] | None = None, kind: Paged = PDF, pattern: str = "*.pdf", size: int = 32) -> DataFrame:
+    """The pages of ``pages`` in ranges of ``size``, each a task's work of its own; of a selector only those pages are decoded.
+
+    As in ``selected``, a file that has none of the selected pages gives all of its pages. A file is read
+    once to count its pages, and again for each range; pages go out one at a time, so that a task holds
+    one file's bytes and one page's images. A file that cannot be read, and a page that cannot be decoded,
+    give a row with the error; the page's has its number.
+    """
+    wanted = sorted(set(selector or []))
+
+    def counted(frames):
+        for f in frames:
+            rows = []
+            for source, data in zip(f["path"], f["content"], strict=True):
+                try:
+                    rows.append((source, int(kind.count(bytes(data))), None))
+                except Exception as e:  # as above
+                    rows.append((source, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "total", "error"])
+
+    def run(frames):
+        for f in frames:
+            for source, data, total, numbers in zip(f["path"], f["content"], f["total"], f["numbers"], strict=True):
+                data = bytes(data)
+                for n in map(int, numbers):
+                    try:
+                        yield _frame([_row(source, p, int(total)) for p in kind.read(data, [n])])
+                    except Exception as e:  # as above
+                        yield _frame([(source, n, int(total), [], [], [], f"{type(e).__name__}: {e}")])
+
+    files = _files(spark, path, pattern).select("path", "content")
+    known = files.mapInPandas(counted, "path string, total int, error string")
+    every = F.when(F.col("total") > 0, F.sequence(F.lit(1), F.col("total"))).otherwise(F.array().cast("array<int>"))
+    some = F.filter(F.array(*[F.lit(p) for p in wanted]).cast("array<int>"), lambda p: (p >= 1) & (p <= F.col("total")))
+    numbers = F.when(F.size(some) > 0, some).otherwise(every) if wanted else every
+    starts = lambda c: F.sequence(F.lit(1), F.size(c), F.lit(size))
+    ranges = known.filter("total > 0").withColumn("all", numbers).select("path", "total", F.explode(F.transform(starts(F.col("all")), lambda i: F.slice("all", i, F.lit(size)))).alias("numbers"))
+    # the bytes of a file meet each of its ranges and are dealt out with it. The number is given, as ranges are
+    # small in bytes and long in work, and Spark would put them together again
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = files.join(ranges, "path").repartition(tasks, F.col("path"), F.element_at("numbers", 1))
+    failed = known.filter("error is not null").select(F.col("path").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("total"), *[F.array().cast(t).alias(n) for n, t in (("blocks", "array<struct<y:double,x:double,text:string>>"), ("tables", "array<array<array<string>>>"), ("images", "array<binary>"))], "error")
+    return dealt.mapInPandas(run, PAGES).union(failed)
 
 
 def selected(rows: DataFrame, selector: list[int] | None, page: str = "page", total: str = "total") -> DataFrame:

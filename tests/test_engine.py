@@ -240,6 +240,43 @@ def paged():
     return read_pages, read_image
 
 
+def test_one_file_is_read_by_many_tasks_and_unselected_pages_are_not_decoded(spark, tmp_path):
+    (tmp_path / "long.pg").write_text("\f".join(f"page {i}" for i in range(1, 1001)))
+    (tmp_path / "short.pg").write_text("one\ftwo\fbad")
+    (tmp_path / "damaged.pg").write_bytes(b"damaged")
+    (tmp_path / "empty.pg").write_bytes(b"")
+
+    def count(data):
+        if data == b"damaged":
+            raise ValueError("no pages")
+        return data.decode().count("\f") + 1 if data else 0
+
+    def read(data, numbers):
+        from pyspark import TaskContext
+
+        parts = data.decode().split("\f")
+        for n in numbers:
+            if parts[n - 1] == "bad":
+                raise ValueError("odd page")
+            yield {"page": n, "blocks": [(0.0, 0.0, parts[n - 1]), (1.0, 0.0, str(TaskContext.get().partitionId()))], "tables": [], "images": []}
+
+    kind = pages.Paged(count, read)
+    where = f"file://{tmp_path}"
+    rows = pages.page_ranges(spark, where, None, kind, "*.pg", size=50).collect()
+    mine = {r.page: r for r in rows if r.source.endswith("long.pg")}
+    assert sorted(mine) == list(range(1, 1001)) and all(r.blocks[0].text == f"page {n}" and r.total == 1000 for n, r in mine.items())
+    assert len({r.blocks[1].text for r in mine.values()}) > 1, "several tasks"
+    short = {r.page: r for r in rows if r.source.endswith("short.pg")}
+    assert short[1].error is None and short[3].error == "ValueError: odd page" and len(short) == 3
+    assert [(r.page, r.total, r.error) for r in rows if r.source.endswith("damaged.pg")] == [(None, 0, "ValueError: no pages")] and not [r for r in rows if r.source.endswith("empty.pg")]
+    # page 3 of the short file would fail if it were decoded
+    some = pages.page_ranges(spark, where, [2, 777, 5000], kind, "*.pg").collect()
+    assert sorted(r.page for r in some if r.page) == [2, 2, 777]
+    assert all(r.error is None for r in some if r.page)
+    none = pages.page_ranges(spark, where, [5000], kind, "*.pg").filter(F.col("source").endswith("short.pg")).collect()
+    assert sorted(r.page for r in none) == [1, 2, 3]
+
+
 def test_pages(spark, tmp_path):
     read_pages, read_image = paged()
     (tmp_path / "a.pg").write_text("lower line  |upper line here\fa table here\f|!seen in image\nlower|!bad|!second")

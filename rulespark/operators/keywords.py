@@ -185,7 +185,10 @@ class KeywordIndex:
     def listed(self, pairs: DataFrame) -> DataFrame:
         """The postings of the buckets in which the tokens of ``pairs`` are."""
         wanted = [r.b for r in pairs.select(self._bucket().alias("b")).distinct().collect()]  # ``buckets`` numbers at most
-        return self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(wanted)).select("token", self.key, MARK)
+        # only the folders of those buckets are listed and read; a bucket of a token is there, as its postings are
+        read = self.spark.read.option("basePath", f"{self.path}/postings")
+        found = read.parquet(*[f"{self.path}/postings/batch=*/bucket={b}" for b in wanted]) if wanted else read.parquet(f"{self.path}/postings").limit(0)
+        return found.select("token", self.key, MARK)
 
     def holders(self, terms: DataFrame, texts: DataFrame, wildcards: bool = False) -> DataFrame:
         """As the function of that name, from the kept postings of all batches."""

@@ -186,7 +186,7 @@ def fence_stripped(text: Column) -> Column:
 
 
 def _first_upper(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 
 
 def condition(text: Column, strict_sentence: bool = False) -> Column:

@@ -79,7 +79,7 @@ def local_path(uri: str | None) -> str | None:
 
 def path_of(uri: Column) -> Column:
     """``file://`` addresses as unquoted paths; other addresses are null, as no task can tell whether they exist."""
-    return F.when(uri.startswith("file://"), F.url_decode(F.regexp_replace(F.substring(uri, 8, 1_000_000), r"\+", "%2B")))
+    return F.when(uri.startswith("file://"), F.url_decode(F.regexp_replace(uri.substr(F.lit(8), F.length(uri)), r"\+", "%2B")))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:

@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions import text as X
-from rulespark.operators import admin, evolve, ingest, keywords, names, profile, publish, vector
+from rulespark.operators import admin, evolve, ingest, keywords, names, profile, publish, summaries, vector
 from rulespark.plans import questions, search, spec
 from rulespark.schema import ALIASES, KEYWORD_STOPS, RESERVED, SYNONYMS, TYPE_HINTS, dictionary
 from rulespark.sources import pages
 
+#: Shares of the rows whose quantiles are told.
+SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -224,6 +227,26 @@ def distinct_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.snapshot(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
+_SUMMARY_SQL = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS val FROM orders" for c in ("o_orderstatus", "o_orderpriority"))
+
+
+@query(f"""
+WITH long AS ({_SUMMARY_SQL}), counts AS (SELECT col, val, count(*) AS n FROM long GROUP BY 1, 2)
+SELECT col, sum(n)::BIGINT AS filled, string_agg(val, '|' ORDER BY val) AS first, count(*) AS differing, string_agg(val || '=' || n, '|' ORDER BY n DESC, val) AS frequent FROM counts GROUP BY 1
+""")
+def value_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a month as a batch: a summary each, merged. With so few values no figure has an error."""
+    o = table(spark, sf_dir, "orders")
+    parts = summaries.summarized(o, ["o_orderstatus", "o_orderpriority"], F.date_format("o_orderdate", "yyyy-MM"))
+    shown = F.array_join(F.transform("frequent", lambda x: F.concat(x["val"], F.lit("="), x["n"])), "|")
+    return summaries.merged(parts).select("col", "filled", F.array_join("first", "|").alias("first"), "differing", shown.alias("frequent"))
+
+
+@query(f"WITH long AS ({_SUMMARY_SQL}) SELECT val, count(*) AS n FROM long WHERE val IN ('1-URGENT', '5-LOW') GROUP BY 1")
+def value_counts_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.counted(table(spark, sf_dir, "orders"), "o_orderpriority", ["1-URGENT", "5-LOW", "unknown"])
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "orders", "documents")))
 def table_counts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table_counts({t: table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "documents")})
@@ -890,6 +913,23 @@ def chunk_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.chunk_comparison(pages_, whole.select(F.explode(X.word_chunks(F.col("text"), 30, 5)).alias("chunk")))
 
 
+def _turn_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the words of chunks by chunking, one a source and chunking."""
+    return summaries.number_sketches(profile.chunk_sizes(_turns(spark, sf_dir), 30, 5), ["source", "method"], "words")
+
+
+@query(_SIZES_SQL + "SELECT method, count(*) AS n, sum(words)::BIGINT AS total, min(words)::BIGINT AS least, max(words)::BIGINT AS most FROM sizes GROUP BY method")
+def chunk_size_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What merged sketches say without error."""
+    return summaries.number_merged(_turn_sizes(spark, sf_dir), ["method"]).drop("ranks")
+
+
+@query()
+def chunk_size_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles and the ends of the middle nine tenths of the words of a chunk, within the sketches' rank error."""
+    return summaries.quantiles(summaries.number_merged(_turn_sizes(spark, sf_dir), ["method"]), ["method"], SHARES)
+
+
 # --- publication -----------------------------------------------------------------------------
 
 _STATE_SQL = "CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'blocked_schema' ELSE 'published' END"

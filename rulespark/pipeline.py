@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark import schema
-from rulespark.operators import admin, evolve, ingest, profile, publish
+from rulespark.operators import admin, evolve, ingest, profile, publish, summaries
 from rulespark.plans import models, search, spec
 from rulespark.sources.sinks import Store
 
@@ -90,6 +90,7 @@ def apply_changes(store: Store, applied_by: str = "library") -> list[dict]:
         evolved, children, log = evolve.apply(rules, asked)
         if evolved.columns != rules.columns or store.read("policies") is None:
             store.rewrite("policies", evolved)
+            summarize(store)
         store.create({c: evolve.CHILD for c in children})
         done = [x for x in log if x["status"] != "skipped"]
         rows = [(ingest.new_id("mig"), x["request_id"], x["status"], x["error_text"], x["columns"], x["tables"], applied_by) for x in done]
@@ -115,6 +116,7 @@ def publish_batch(store: Store, batch_id: str | None = None) -> DataFrame:
         if have is not None and "extraction_id" in have.columns:
             rules = ingest.new_only(rules, have, "extraction_id")
         store.append("policies", rules)
+        summarize(store)
         extracted = store.read("policies").filter("extraction_id is not null")
         store.insert_absent("audit", publish.audit(extracted), "publish_id")
         store.rewrite("staging", publish.decided(staged, batch_id))
@@ -131,6 +133,7 @@ def publish_submissions(store: Store, submissions: DataFrame, published_by: str)
         have = store.read("policies")
         fresh = rules if have is None else ingest.new_only(rules, have, "policy_id")
         store.append("policies", fresh)
+        summarize(store)
         store.insert_absent("admin_audit", admin.audit(submissions, rules, published_by), "publish_id")
     return refused
 
@@ -168,12 +171,47 @@ def ask(store: Store, question: str, raw_spec: dict | None = None, batch_id: str
     }
 
 
+def _summaries(store: Store) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
+    """(summaries of the rule table's folders that have one, of those that have none yet, all folders)."""
+    folders = store.folders("policies")
+    have = store.read("_value_summaries")
+    kept = None if have is None else have.filter(F.col("part").isin(*folders)) if folders else have.limit(0)
+    known = set() if kept is None else {r.part for r in kept.select("part").distinct().collect()}
+    new = [f for f in folders if f not in known]
+    return kept, summaries.summarized(store.read_folders(new), list(models.CONTEXT_COLUMNS), "_folder") if new else None, folders
+
+
+def summarize(store: Store) -> int:
+    """Summarize the values of the rule table's folders that have no summary yet; the number of rows written.
+
+    A folder's rows never change, so neither does its summary. Once most summaries are of folders that
+    the table no longer has, they go.
+    """
+    kept, made, folders = _summaries(store)
+    if made is None:
+        return 0
+    stale = store.read("_value_summaries").select("part").distinct().count() - kept.select("part").distinct().count() if kept is not None else 0
+    return store.append("_value_summaries", made) if stale <= len(folders) else store.rewrite("_value_summaries", kept.unionByName(made))
+
+
+def value_summary(store: Store, top: int = 10) -> DataFrame | None:
+    """The merged summaries of the rule table (``summaries.merged``); only folders without one are read.
+
+    None without a rule table.
+    """
+    kept, made, _ = _summaries(store)
+    found = [s for s in (kept, made) if s is not None]
+    return summaries.merged(found[0].unionByName(found[1]) if len(found) > 1 else found[0], top=top) if found else None
+
+
 def snapshot_context(store: Store, seconds: float = 300.0) -> models.Cached:
-    """The planner's context of the rule table, read again after ``seconds``; empty if it cannot be read."""
+    """The planner's context of the rule table, put together again after ``seconds`` from the summaries of its folders; empty if they cannot be read."""
 
     def make() -> str:
         try:
-            return models.context(store.read("policies"))
+            whole = value_summary(store)
+            total = whole.agg(F.max("n_rows")).first()[0] if whole is not None else 0
+            return models.told(total, summaries.values(whole)) if total else models.context(store.read("policies"))
         except Exception:  # as in ``ask``; planning goes on without a context
             return ""
 

@@ -72,7 +72,12 @@ def context(policies: DataFrame) -> str:
     if not total:
         return "rows: 0"
     columns = [c for c in CONTEXT_COLUMNS if c in policies.columns]
-    rows = profile.snapshot(policies, columns).orderBy("col", "val").limit(300).collect()
+    return told(total, profile.snapshot(policies, columns))
+
+
+def told(total: int, shown: DataFrame) -> str:
+    """The context's lines from the number of rows and (col, val), the values to be named."""
+    rows = shown.orderBy("col", "val").limit(300).collect()
     return "\n".join([f"rows: {total}", *[f"{r.col}: {r.val}" for r in rows]])
 
 

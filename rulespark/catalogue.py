@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulespark.functions import payload
 from rulespark.functions import text as X
 from rulespark.operators import admin, evolve, ingest, keywords, names, profile, publish, summaries, vector
 from rulespark.plans import questions, search, spec
@@ -137,6 +138,40 @@ def resolved_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.project(found, wanted)
 
 
+@query("SELECT event_id, event_type, TRY_CAST(props->>'k' AS DOUBLE) AS k, CASE WHEN NOT json_valid(props) THEN 'not JSON' WHEN json_type(props) <> 'OBJECT' THEN 'not an object' END AS payload_error FROM events")
+def payload_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The property of every event as a number, its payload parsed as VARIANT."""
+    return payload.read(table(spark, sf_dir, "events"), "props", {"k": "numeric"}).select("event_id", "event_type", "k", "payload_error")
+
+
+# orders with a payload of each kind: typed, as text, with texts that are no values, not an object, cut
+_PAYLOADS = {
+    "1-URGENT": ("{\"approval_required\": true, \"amount_threshold\": ", "}"),
+    "2-HIGH": ("{\"approval_required\": \"No\", \"amount_threshold\": \"$1,234,", ".50\"}"),
+    "3-MEDIUM": ("{\"approval_required\": \"maybe\", \"amount_threshold\": \"1,", "\"}"),
+    "4-NOT SPECIFIED": ("[", "]"),
+}
+_PAYLOAD_CASES = " ".join(f"WHEN '{k}' THEN '{a}' || (100 + o_orderkey % 900) || '{b}'" for k, (a, b) in _PAYLOADS.items())
+_PAYLOAD_TEXT = f"CASE o_orderpriority {_PAYLOAD_CASES} WHEN '5-LOW' THEN '{{\"topic\": ' END"
+
+
+@query(f"""
+WITH t AS (SELECT o_orderkey, {_PAYLOAD_TEXT} AS body FROM orders),
+  j AS (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END AS o FROM t),
+  f AS (SELECT *, o->>'approval_required' AS a, o->>'amount_threshold' AS n FROM j),
+  v AS (SELECT *, CASE WHEN lower(a) IN ('true', 'yes') THEN true WHEN lower(a) IN ('false', 'no') THEN false END AS b,
+    CASE WHEN regexp_full_match(n, '[$]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)([.][0-9]+)?') THEN CAST(regexp_replace(n, '[$,]', '', 'g') AS DOUBLE) END AS x FROM f)
+SELECT o_orderkey, b::VARCHAR AS approval_required, x AS amount_threshold, CASE WHEN NOT ok THEN 'not JSON' WHEN o IS NULL THEN 'not an object' END AS payload_error,
+  concat_ws(',', CASE WHEN a IS NOT NULL AND b IS NULL THEN 'approval_required=' || a END, CASE WHEN n IS NOT NULL AND x IS NULL THEN 'amount_threshold=' || n END) AS field_errors FROM v
+""")
+def payload_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that are typed, told as text, wrong in a field, of another kind and cut, read by the type hints."""
+    asked = {n: TYPE_HINTS[n] for n in ("approval_required", "amount_threshold")}
+    got = payload.read(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PAYLOAD_TEXT).alias("body")), "body", asked)
+    wrong = F.array_join(F.transform("field_errors", lambda e: F.concat(e["field"], F.lit("="), e["value"])), ",")
+    return got.select("o_orderkey", F.col("approval_required").cast("string").alias("approval_required"), "amount_threshold", "payload_error", wrong.alias("field_errors"))
+
+
 @query("SELECT props->>'k' AS k, count(*) AS n FROM events GROUP BY 1")
 def json_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
@@ -952,6 +987,22 @@ def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.decided(_gated(spark, sf_dir)).select("extraction_id", "status", "publish_error")
 
 
+@query(f"""
+SELECT o_orderkey::VARCHAR AS extraction_id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN (o_orderpriority = '1-URGENT')::VARCHAR END AS approval_required,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey + 0.5 END AS amount_threshold, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS wrong
+FROM orders WHERE {_STATE_SQL} <> 'published' AND o_orderkey % 2 = 0
+""")
+def published_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published rules with booleans and numbers: the flag has a column, the amount comes from the payload."""
+    told = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN ' Yes' WHEN '2-HIGH' THEN 'f' ELSE 'perhaps' END")
+    amount = F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("$"), F.col("o_custkey").cast("string"), F.lit(".5"))).otherwise("much")
+    one = lambda v: F.struct(v.alias("value"))
+    mapped = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), F.create_map(F.lit("approval_required"), one(told), F.lit("amount_threshold"), one(amount)).alias("_mapped"))
+    staged = _gated(spark, sf_dir).join(mapped, F.col("extraction_id") == F.col("_id")).withColumn("mapped_fields", F.col("_mapped"))
+    rules_ = publish.typed(publish.published(staged, ["topic", "approval_required"]))
+    return rules_.select("extraction_id", F.col("approval_required").cast("string").alias("approval_required"), "amount_threshold", F.size("field_errors").alias("wrong"))
+
+
 @query(f"""
 SELECT 'pub_' || left(sha256(id), 32) AS publish_id, id AS extraction_id, 'pol_' || left(sha256(id), 32) AS policy_id, topic FROM (
   SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS topic FROM orders WHERE {_STATE_SQL} <> 'published' AND o_orderkey % 2 = 0)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulespark.functions import payload as P
+from rulespark.schema import TYPE_HINTS
+
 from .ingest import key_id, latest_per_key
 
 STRUCTURE = ("topic", "subtopic", "condition_text", "action_text", "recommendation_text", "summary")
@@ -49,11 +52,38 @@ def skip_reason(candidate: str = "candidate", confidence: str = "confidence", pa
     return out.when(~f("publishable"), F.coalesce(f("reason_if_not_publishable"), F.lit("chunk flagged non-publishable"))).when(score < 0.5, F.concat(F.lit("confidence below threshold ("), F.format_number(score, 2), F.lit(")"))).when(~shaped, "missing meaningful structured fields")
 
 
+def payload(staged: DataFrame, hints: dict[str, str] | None = None) -> Column:
+    """All mapped fields of a staged row as one VARIANT object, each by its type: its concept's hint, else the type it was mapped with.
+
+    Fields without a column are part of it. Null fields are left out; no mapped fields give an empty object.
+    """
+    named = {h: [n for n, x in (TYPE_HINTS if hints is None else hints).items() if x == h] for h in P.KINDS}
+    tagged = "value_type" in dict(staged.dtypes)["mapped_fields"]
+    kind = lambda k, v: F.when(k.isin(*named["bool"]), "bool").when(k.isin(*named["numeric"]), "numeric").otherwise(v["value_type"] if tagged else F.lit(None).cast("string"))
+    filled = F.map_filter("mapped_fields", lambda _, v: v["value"].isNotNull())
+    return F.to_variant_object(F.transform_values(F.coalesce(filled, F.create_map().cast(dict(staged.dtypes)["mapped_fields"])), lambda k, v: P.held(v["value"], kind(k, v))))
+
+
+def typed(rules: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
+    """Rules whose columns with the hint bool are booleans and those with the hint numeric doubles, with ``field_errors``.
+
+    The text columns of the table stay as they are in it; here a value that its type cannot hold is null
+    and an error (field, value, reason). A field without a column is read from the row's payload.
+    """
+    kinds = dict(rules.dtypes)
+    wanted = {n: h for n, h in (TYPE_HINTS if hints is None else hints).items() if h in P.KINDS}
+    spoken = lambda n: [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit(""))] if n in kinds else []
+    kept = lambda n: [P.text_of(F.col("payload"), n)] if kinds.get("payload") == "variant" else []
+    texts = {n: F.coalesce(*spoken(n), *kept(n), F.lit(None).cast("string")) for n in wanted if n in kinds or kinds.get("payload") == "variant"}
+    listed = [(n, t, P.typed(t, wanted[n]), wanted[n]) for n, t in texts.items()]
+    return rules.withColumns({n: v for n, _, v, _ in listed} | {"field_errors": P.faults(listed)})
+
+
 def published(staged: DataFrame, columns: list[str]) -> DataFrame:
-    """Rule rows of the rows that pass, one an extraction: known mapped columns, section, quote and status."""
+    """Rule rows of the rows that pass, one an extraction: known mapped columns, section, quote, status and the typed payload."""
     ok = latest_per_key(staged.filter(skip_reason(payload=has_payload(staged)).isNull() & F.col("status").isin(*OPEN)), ["extraction_id"], [F.desc("confidence"), "section_id"])
-    mapped = [c for c in columns if c not in ("policy_id", "section_id", "source_quote", "status")]
-    return ok.select(key_id("pol", F.col("extraction_id")).alias("policy_id"), "extraction_id", "section_id", *[F.col("mapped_fields")[c]["value"].alias(c) for c in mapped], F.coalesce("candidate.source_quote", F.lit("")).alias("source_quote"), F.lit("active").alias("status"))
+    mapped = [c for c in columns if c not in ("policy_id", "section_id", "source_quote", "status", "payload")]
+    return ok.select(key_id("pol", F.col("extraction_id")).alias("policy_id"), "extraction_id", "section_id", *[F.col("mapped_fields")[c]["value"].alias(c) for c in mapped], F.coalesce("candidate.source_quote", F.lit("")).alias("source_quote"), F.lit("active").alias("status"), payload(ok).alias("payload"))
 
 
 OPEN = ("pending", "blocked_schema")

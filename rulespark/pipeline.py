@@ -138,6 +138,11 @@ def publish_submissions(store: Store, submissions: DataFrame, published_by: str)
     return refused
 
 
+def typed_rules(store: Store) -> DataFrame:
+    """The rule table with booleans and numbers by the type hints, and ``field_errors`` for what they cannot hold."""
+    return publish.typed(store.read("policies"))
+
+
 def resolved(store: Store) -> DataFrame:
     """The rules with their extraction, section and document."""
     return search.resolved_policies(*[store.read(t) for t in ("policies", "audit", "staging", "sections", "documents")])

@@ -50,6 +50,8 @@ ALIASES = {
     "exceptions": "exception_text",
 }
 RESERVED = {"category_type", "approvers", "yearly_cap", "annual_limit", "exceptions"}
+#: Texts that mean yes and no.
+YES, NO = ("true", "t", "yes", "1"), ("false", "f", "no", "0")
 
 # Question vocabulary.
 SYNONYMS = {

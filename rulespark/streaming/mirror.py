@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rulespark.functions import payload
 from rulespark.operators.ingest import latest_per_key, new_only
 from rulespark.operators.publish import current_state
 from rulespark.sources.sinks import Store
@@ -30,6 +31,12 @@ def current(store: Store) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def current_fields(store: Store, hints: dict[str, str]) -> DataFrame | None:
+    """The latest state of each policy with the fields of its payload by their type hints (``payload.read``)."""
+    rows = current(store)
+    return None if rows is None else payload.read(rows, "payload_json", hints)
+
+
 def _fresh(store: Store, events: DataFrame) -> DataFrame:
     """The events whose id their day has not seen, with ``_day``; of the store only those days are read."""
     days = {f"_day={r._day}" for r in events.select("_day").distinct().collect()}  # the days of one batch

@@ -103,6 +103,32 @@ def test_trie_shares_prefixes(spark, vocabulary, monkeypatch):
     assert [r.n_tokens for r in mine] == [2, 3]
 
 
+def test_words_beyond_the_trie_and_texts_in_parts(spark, vocabulary, monkeypatch):
+    score = tokencounts.scores(vocabulary)
+    unknown = min(score.values()) - 10.0
+    trie = tokencounts.Trie(score)
+    long = ["x" * 5000, "the" * 3000 + "é字\U0001f600" * 500, "▁" * 1500, "inter" * 250 + "national", "a" * (tokencounts.DEEP - 1), "a" * tokencounts.DEEP]
+    split = [["▁" + w for w in long], ["▁" + long[0], "▁a", "▁" + long[0]], []]
+    assert trie.count(split) == [sum(B.best_count(w, score, unknown) for w in ws) for ws in split]
+    assert all(len(w) <= tokencounts.DEEP for w in trie.terminal) and len(trie.best) <= 6 * tokencounts.DEEP
+    # two million letters leave no more nodes than the depth
+    trie.clear()
+    assert trie.insert("▁" + "ab" * 1_000_000) > 0 and len(trie.best) <= tokencounts.DEEP + 1
+    monkeypatch.setattr(tokencounts, "PART", 7)
+    for t in ("a b  c", "abcdefgh ", " abcdefgh  ijklmnop q", "abcdefg abcdefg ", "x" * 30, " " * 20):
+        assert [w for p in tokencounts.parts(t) for w in tokencounts.words(p)] == tokencounts.words(t)
+
+
+def test_full_tries_start_anew_with_equal_counts(vocabulary, monkeypatch):
+    score = tokencounts.scores(vocabulary)
+    words = [f"▁word{i % 300}s{i % 7}" for i in range(2000)]
+    want = tokencounts.Trie(score).count([words])
+    monkeypatch.setattr(tokencounts, "NODES", 50)
+    monkeypatch.setattr(tokencounts, "CHARS", 100)
+    trie = tokencounts.Trie(score)
+    assert trie.count([words]) == want == trie.count([words]) and not trie.terminal and trie.chars == 0 and len(trie.best) < 100
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     w = item.split()

@@ -105,9 +105,13 @@ def complete_list(resolved: DataFrame, spec: SearchSpec, limit: int = LIST_LIMIT
     """
     scope = {k: v for k, v in spec.filters.items() if k in ("status", *SCOPE)}
     hit = contains_any(blob(LIST_TEXT), list_terms(spec))
-    # both key sets are distinct; the sort-merge or broadcast choice is left to AQE's measured sizes
-    keys = lambda c, name: resolved.filter(hit).select(F.col(c).alias(name)).filter(F.col(name).isNotNull()).distinct()
-    marked = resolved.join(keys("document_id", "_doc"), F.col("document_id") == F.col("_doc"), "left").join(keys("section_id", "_sec"), F.col("section_id") == F.col("_sec"), "left")
+    # one set of keys with what each is a key of (1 document, 2 section), so that both joins share its shuffle;
+    # the sort-merge or broadcast choice is left to AQE's measured sizes
+    text = lambda c: F.col(c).cast("string")
+    named = F.array(*[F.struct(F.lit(bit).alias("kind"), text(c).alias("key")) for bit, c in ((1, "document_id"), (2, "section_id"))])
+    hits = resolved.filter(hit).select(F.explode(named).alias("x")).select("x.*").filter("key is not null").groupBy("key").agg(F.bit_or("kind").alias("kinds"))
+    keys = lambda bit, name: hits.filter(F.col("kinds").bitwiseAND(bit) > 0).select(F.col("key").alias(name))
+    marked = resolved.join(keys(1, "_doc"), text("document_id") == F.col("_doc"), "left").join(keys(2, "_sec"), text("section_id") == F.col("_sec"), "left")
     wanted = marked.filter(conjunction(scope) & (hit | F.col("_doc").isNotNull() | F.col("_sec").isNotNull()))
     return project(wanted.orderBy(F.col("topic").asc_nulls_last(), F.col("subtopic").asc_nulls_last(), "policy_id").limit(limit), spec)
 

@@ -129,3 +129,12 @@ def test_contains_join_keeps_rows_ids_and_nulls(spark):
     want = [(d, i) for d, t in rows for i, n in items if t is not None and n is not None and n in t]
     order = lambda r: [(v is not None, v or 0) for v in r]
     assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+
+
+def test_keys_of_documents_and_sections_stay_apart(spark):
+    rows = [("p1", "d1", "s1", "Holidays", "active"), ("p2", "d1", None, None, "active"), ("p3", None, "s1", "x", "active"), ("p4", "s1", "d1", "x", "active"), ("p5", None, None, "x", "active"), ("p6", "d1", "s9", "Holidays", "old")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("subtopic", "condition_text", "action_text", "summary", "source_quote", "policy_category")]
+    df = spark.createDataFrame(rows, "policy_id string, document_id string, section_id string, topic string, status string").select("*", *none)
+    got = search.complete_list(df, spec.SearchSpec({"status": "active", "topic": "holidays"}, ("policy_id",), intent="complete_list"))
+    # a section's key is no document's, even if they are spelled alike
+    assert sorted(r.policy_id for r in got.collect()) == ["p1", "p2", "p3"]

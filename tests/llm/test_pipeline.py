@@ -104,5 +104,5 @@ def test_stages_equal_plain_versions(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)

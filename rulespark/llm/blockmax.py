@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .scratch import Scratch
+from .scratch import Scratch, set_for
 
 BLOCK = 64
 #: Bytes of text in a segment, about; one text is never cut.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
+#: Rows that go to Python at once while the index is built; a batch of long texts is no larger than it must be.
+BUILD_ROWS = 1024
 #: Ranges of the first wave; each wave takes four times the ranges of the last.
 WAVE = 16
 #: Characters of items that are searched in one pass over the index.
@@ -136,37 +138,19 @@ def segment_of(ids: pa.Array, lengths: np.ndarray, key: np.ndarray, key2: np.nda
     }
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, segment_bytes: int = SEGMENT_BYTES, block: int = BLOCK) -> Index:
-    """An index of every row, in the folder ``path`` if it is given.
+def _indexer(documents: int, terms: int, segment_bytes: int, block: int):
+    """Segments of the texts that one task reads, as rows of ``SEGMENT``; it holds the terms of one segment at a time."""
 
-    Texts are read twice, first for the statistics. A null text has no terms; a text without terms is
-    no document. Repeated rows, repeated ids and rows with a null id are documents each. Texts of any
-    length are indexed whole, one alone in a segment if it is long. Extra columns are ignored.
-    """
-    if not 0 < block < 256:
-        raise ValueError("block must be 1 to 255")
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "blockmax")
-    src = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def counted(batches):
-        n = total = 0
-        for part in T.slices(batches):
-            buf, offs = T.packed(part.column(1))
-            held = np.diff(T.word_bounds(buf, offs, T.ALNUM)[2])
-            n, total = n + int((held > 0).sum()), total + int(held.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["n", "total"])
-
-    sums = src.mapInArrow(counted, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    documents, terms = sums.n or 0, sums.total or 0
-
-    def indexed(batches):
+    def run(batches):
         ids, lengths, key, key2, doc = [], [], [], [], []
         size = 0
 
         def closed():
-            held = np.concatenate(lengths)
-            row = segment_of(pa.concat_arrays(ids), held, np.concatenate(key), np.concatenate(key2), np.concatenate(doc), penalty(held, documents, terms), block)
+            held, docs = np.concatenate(lengths), pa.concat_arrays(ids)
+            flat = [np.concatenate(x) for x in (key, key2, doc)]
+            for kept in (ids, lengths, key, key2, doc):
+                kept.clear()
+            row = segment_of(docs, held, *flat, penalty(held, documents, terms), block)
             names = [c.split()[0] for c in SEGMENT.split(", ")]
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(row[c])], pa.int32()), row[c]) if c == "docs" else pa.array([row[c]], pa.binary()) for c in names], names=names)
 
@@ -179,8 +163,6 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 continue
             if size and size + len(buf) > segment_bytes:
                 yield closed()
-                for kept in (ids, lengths, key, key2, doc):
-                    kept.clear()
                 size = 0
             base = sum(map(len, ids))
             doc.append(np.repeat(base + np.arange(len(some)), held[some]).astype(np.int32))
@@ -193,10 +175,38 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if size:
             yield closed()
 
-    table = src.mapInArrow(indexed, SEGMENT)
-    if path is None:
-        return Index(tmp.save(table), documents, terms)
-    table.write.parquet(f"{path}/segments")
+    return run
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, segment_bytes: int = SEGMENT_BYTES, block: int = BLOCK) -> Index:
+    """An index of every row, in the folder ``path`` if it is given.
+
+    Texts are read twice, first for the statistics. A null text has no terms; a text without terms is
+    no document. Repeated rows, repeated ids and rows with a null id are documents each. Texts of any
+    length are indexed whole, one alone in a segment if it is long. Extra columns are ignored.
+    """
+    if not 0 < block < 256:
+        raise ValueError("block must be 1 to 255")
+    spark = docs.sparkSession
+    tmp = Scratch(spark, "blockmax")
+    src = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def counted(batches):
+        n = total = 0
+        for part in T.slices(batches):
+            buf, offs = T.packed(part.column(1))
+            held = np.diff(T.word_bounds(buf, offs, T.ALNUM)[2])
+            n, total = n + int((held > 0).sum()), total + int(held.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["n", "total"])
+
+    sums = src.mapInArrow(counted, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    documents, terms = sums.n or 0, sums.total or 0
+
+    table = src.mapInArrow(_indexer(documents, terms, segment_bytes, block), SEGMENT)
+    with set_for(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BUILD_ROWS):
+        if path is None:
+            return Index(tmp.save(table), documents, terms)
+        table.write.parquet(f"{path}/segments")
     spark.createDataFrame([(documents, terms)], "documents long, terms long").coalesce(1).write.parquet(f"{path}/statistics")
     return opened(spark, path)
 

@@ -2,9 +2,11 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,3 +126,19 @@ def test_numbers_are_packed_to_their_bits():
     blockmax.pack(values, at, width, loose)
     data = np.append(np.packbits(loose, bitorder="little"), np.zeros(8, np.uint8))
     assert blockmax.unpack(data, at, width.astype(np.int64)).tolist() == values.tolist()
+
+
+def test_a_task_that_indexes_much_text_holds_little_of_it():
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(30_000)])
+    text = " ".join(words[rng.integers(0, 30_000, 200_000)])
+    each = [text[i : i + 3000] for i in range(0, len(text), 3000)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(len(each))), pa.array(each)], names=["did", "text"]) for _ in range(20))
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in blockmax._indexer(8000, 4_000_000, blockmax.SEGMENT_BYTES, blockmax.BLOCK)(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 1
+    assert peak < 160 << 20  # segments of 16 MB took over 300

@@ -2,11 +2,12 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute_force as B
-from rulespark.llm import components
+from rulespark.llm import components, neardup
 from rulespark.llm.components import connected_components
 from rulespark.llm.neardup import near_duplicates
 from rulespark.llm.scratch import Scratch
@@ -56,6 +57,24 @@ def test_long_lists_and_blocks_stay_exact(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == sorted(B.near(rows, 3, 85))
 
 
+def test_the_table_of_common_values_has_no_cap_that_ties_texts_together(spark):
+    """More values than a list of 262,144 holds, all equally common: the order must put them last."""
+    counts = spark.range(300_000).selectExpr("xxhash64(id) AS v", "IF(id % 3 = 0, 40L, 64L) AS count")
+    table = neardup._common(counts)
+    got = table[neardup.slot_of(np.array([r.v for r in counts.select("v").collect()], np.int64).view(np.uint64), table)]
+    assert got.min() >= 5 and len(table) <= neardup.SLOTS
+
+
+@pytest.mark.parametrize("slots,counted", [(2, 1), (64, 2)])
+def test_any_table_gives_the_same_links(spark, monkeypatch, slots, counted):
+    monkeypatch.setattr(neardup, "SLOTS", slots)
+    monkeypatch.setattr(neardup, "COUNTED", counted)
+    rows = corpus(7) + EDGE
+    got = near_duplicates(spark.createDataFrame([(d, t, "s") for d, t in rows], DOCS), shingle=3, per_cent=85, short_list=3)
+    key = lambda x: tuple(map(str, x))
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], key=key) == sorted(B.near(rows, 3, 85), key=key)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert near_duplicates(none).collect() == []

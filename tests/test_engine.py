@@ -524,3 +524,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert told["staging"] == {"published": 2, "skipped": 1} and len(told["sample"]) == 2 and len(told["failed"]) == 1
     assert "May Day" in run("ask", "What are all the holidays?") and run("ask", "holidays", "--json")["source"] == "rules"
     assert "Direct Answer" in capsys.readouterr().out
+
+
+def test_chunks_are_numbered_by_blocks_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(pages, "PAGE_BLOCK", 2)
+    rows = [("a", p, "w " * (p % 4)) for p in range(11)] + [("b", None, "x y"), ("b", 3, "z"), ("b", 3, "z"), (None, 1, "q r")]
+    got = pages.page_chunks(spark.createDataFrame(rows, "source string, page long, merged string"), size=1).collect()
+    for source in ("a", "b", None):
+        mine = sorted((r for r in got if r.source == source), key=lambda r: r.chunk_id)
+        assert [r.chunk_id for r in mine] == list(range(len(mine)))
+        assert [(r.page, r.text) for r in mine] == [(p, w) for s, p, t in rows if s == source for w in t.split()]
+
+
+def test_global_chunk_ids_reads_documents():
+    assert "FROM documents" in catalogue.ORACLES["global_chunk_ids"]

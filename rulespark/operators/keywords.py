@@ -22,6 +22,8 @@ from rulespark.schema import KEYWORD_STOPS
 TOKEN = r"([\p{L}\p{N}]+)"
 #: Runs are looked up by parts of so many characters, shorter runs by themselves.
 GRAM = 3
+#: Tables of terms are broadcast up to so many rows, else joined by shuffle.
+FEW = 400_000
 #: The row's text as a number: with the key it tells rows apart.
 MARK = "_text"
 
@@ -52,10 +54,20 @@ def marked(rows: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataF
     return rows.select(*key, text.alias("text")).withColumn(MARK, F.xxhash64("text"))
 
 
+def tokens_in(text: Column) -> Column:
+    """The distinct tokens of a text, and the blank one."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), runs(text)))
+
+
 def postings(texts: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(token, key, MARK), once for each row with a token; every row is also posted under the blank token."""
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), runs(F.col("text"))))
-    return texts.select(F.explode(tokens).alias("token"), *key, MARK).distinct()
+    """(token, key, MARK), once for each row with a token, as often as the row repeats; every row is also posted under the blank token."""
+    return texts.select(F.explode(tokens_in(F.col("text"))).alias("token"), *key, MARK)
+
+
+def kept(pairs: DataFrame) -> DataFrame:
+    """The table, made once; up to ``FEW`` rows it is broadcast, so that postings need not be dealt out to meet it."""
+    pairs = pairs.persist()
+    return F.broadcast(pairs) if pairs.count() <= FEW else pairs
 
 
 def tokens_of(fragments: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -81,8 +93,9 @@ def holders(terms: DataFrame, posts: DataFrame, texts: DataFrame, key: Sequence[
     by every row. A term without letters and digits has every row's text read.
     """
     asked = terms.select("term").filter("term is not null").distinct().withColumn("fragment", fragment(F.col("term")))
-    pairs = tokens_of(asked, posts) if pairs is None else pairs
-    listed = asked.join(pairs, "fragment").join(posts, "token").select("term", *key, MARK, (F.col("term") == F.col("fragment")).alias("sure")).distinct()
+    pairs = kept(tokens_of(asked, posts)) if pairs is None else pairs
+    wanted = kept(asked.join(pairs, "fragment").select("term", "token", (F.col("term") == F.col("fragment")).alias("sure")))
+    listed = posts.join(wanted, "token").select("term", *key, MARK, "sure").distinct()
     unsure = listed.filter(~F.col("sure"))
     names = {c: f"_{i}" for i, c in enumerate((*key, MARK))}
     there = texts.select("text", *[F.col(c).alias(n) for c, n in names.items()]).distinct()
@@ -120,11 +133,14 @@ def fallback(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[
     asked = words_asked(questions, id_col, text_col).distinct()
     texts = marked(rows, [key], columns)
     held = index.holders(asked, texts, wildcards=True) if index else holders(asked, postings(texts, [key]), texts, [key], wildcards=True)
-    hits = asked.join(held, "term").select("id", F.col(key), MARK).distinct()
+    # a question's first rows are among the first of its terms; a term's other rows meet no question
+    order = [F.asc_nulls_first(key), F.col(MARK)]
+    first = best_of(held.withColumnRenamed("term", "id"), order, limit).select(F.col("id").alias("term"), key, MARK)
+    hits = asked.join(first, "term").select("id", F.col(key), MARK).distinct()
     many = texts.groupBy(F.col(key).alias("_key"), F.col(MARK).alias("_mark")).agg(F.count("*").alias("n")).filter("n > 1")
     more = hits.join(many, hits[key].eqNullSafe(many["_key"]) & (hits[MARK] == many["_mark"]), "left")
     each = more.select("id", key, MARK, F.explode(F.sequence(F.lit(1), F.least(F.coalesce("n", F.lit(1)), F.lit(limit)).cast("int"))).alias("copy"))
-    return best_of(each, [F.asc_nulls_first(key), F.col(MARK), F.col("copy")], limit).select("id", "rank", key)
+    return best_of(each, [*order, F.col("copy")], limit).select("id", "rank", key)
 
 
 def overlap(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[str], id_col: str, text_col: str, limit: int = 10, index: KeywordIndex | None = None) -> DataFrame:
@@ -132,10 +148,11 @@ def overlap(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[s
 
     Rows of one key and text count once; those of one key with different texts each.
     """
-    asked = tokens_asked(questions, id_col, text_col)
+    asked = kept(tokens_asked(questions, id_col, text_col))
     texts = marked(rows, [key], columns)
     held = index.holders(asked, texts) if index else holders(asked, postings(texts, [key]), texts, [key])
-    scored = asked.join(held, "term").groupBy("id", key, MARK).agg(F.sum("n").alias("score"))
+    # the terms of a row meet in one task: there they are joined to the questions and summed, and only the best are dealt out
+    scored = held.repartition(key, MARK).join(asked, "term").groupBy("id", key, MARK).agg(F.sum("n").alias("score"))
     return best_of(scored, [F.desc("score"), F.asc_nulls_first(key), F.col(MARK)], limit).select("id", "rank", key, "score")
 
 
@@ -154,9 +171,14 @@ def contains_join(rows: DataFrame, id_col: str, text_col: str, items: DataFrame,
     posts = postings(texts, ["_id"])
     whole = needles.filter("inner <> ''").select("needle", F.col("inner").alias("token"))
     edged = needles.filter("inner = ''")
-    tokens = whole if edged.isEmpty() else whole.union(edged.join(tokens_of(edged, posts), "fragment").select("needle", "token"))
-    listed = posts.join(tokens, "token").select("needle", F.col("_id").alias("_of"), F.col(MARK).alias("_mark")).distinct()
-    held = texts.join(listed, F.col("_id").eqNullSafe(F.col("_of")) & (F.col(MARK) == F.col("_mark"))).filter(F.contains("text", "needle"))
+    tokens = kept(whole if edged.isEmpty() else whole.union(edged.join(tokens_of(edged, posts), "fragment").select("needle", "token")))
+    if tokens.count() <= FEW:
+        # the text stays beside its tokens, so neither is dealt out
+        each = texts.select("_id", "text", F.monotonically_increasing_id().alias("_row"), F.explode(tokens_in(F.col("text"))).alias("token"))
+        held = each.join(tokens, "token").filter(F.contains("text", "needle")).select("_row", "_id", "needle").distinct()
+    else:
+        listed = posts.join(tokens, "token").select("needle", F.col("_id").alias("_of"), F.col(MARK).alias("_mark")).distinct()
+        held = texts.join(listed, F.col("_id").eqNullSafe(F.col("_of")) & (F.col(MARK) == F.col("_mark"))).filter(F.contains("text", "needle"))
     return held.select("_id", "needle").join(asked, "needle").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col))
 
 
@@ -175,7 +197,7 @@ class KeywordIndex:
         return F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int")
 
     def add(self, batch: str, rows: DataFrame, columns: Sequence[str]) -> None:
-        posts = postings(marked(rows, [self.key], columns), [self.key]).withColumn("batch", F.lit(batch)).withColumn("bucket", self._bucket())
+        posts = postings(marked(rows, [self.key], columns), [self.key]).distinct().withColumn("batch", F.lit(batch)).withColumn("bucket", self._bucket())
         # the blank token lists every row: such hot tokens are dealt out by row as well
         dealt = posts.repartition("bucket", F.pmod(F.col(MARK), F.lit(8))).sortWithinPartitions("bucket", "token")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")

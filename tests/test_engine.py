@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from rulespark import pipeline, schema
+from rulespark import catalogue, pipeline, schema
 from rulespark.__main__ import main as command_line
 from rulespark.functions import text
 from rulespark.operators import admin, evolve, ingest, profile, publish, vector

@@ -138,3 +138,22 @@ def test_keys_of_documents_and_sections_stay_apart(spark):
     got = search.complete_list(df, spec.SearchSpec({"status": "active", "topic": "holidays"}, ("policy_id",), intent="complete_list"))
     # a section's key is no document's, even if they are spelled alike
     assert sorted(r.policy_id for r in got.collect()) == ["p1", "p2", "p3"]
+
+
+def test_only_the_first_rows_of_a_term_meet_the_questions(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id AS doc_id", "'travel and leave' AS text")
+    asked = spark.createDataFrame([(i, "travel leave policy") for i in range(3)], "question_id long, question string")
+    met, plain = [], keywords.best_of
+    monkeypatch.setattr(keywords, "best_of", lambda found, *a: met.append(found.count()) or plain(found, *a))
+    got = keywords.fallback(rows, asked, "doc_id", ["text"], "question_id", "question", limit=5)
+    assert sorted((r.id, r["rank"], r.doc_id) for r in got.collect()) == [(i, n + 1, n) for i in range(3) for n in range(5)]
+    assert met[-1] <= 3 * 5
+
+
+def test_terms_are_sent_to_the_texts(spark):
+    """Neither join deals the postings of all tokens out."""
+    rows = spark.createDataFrame([(i, f"some travel text {i}") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "travel text"), (2, "e travel t")], "item_id long, text string")
+    joined = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [token#" in joined(keywords.contains_join(rows, "doc_id", "text", items, "item_id", "text"))
+    assert "BroadcastHashJoin [term#" in joined(keywords.overlap(rows, items, "doc_id", ["text"], "item_id", "text"))

@@ -144,3 +144,13 @@ def test_chunk_columns(spark):
     rows = [("a bb  ccc\td",), ("",), (None,), ("longwordhere x",)]
     got = spark.createDataFrame(rows, "t string").select(X.char_chunks(F.col("t"), 5).alias("c"), X.paragraph_chunks(F.col("t")).alias("p")).collect()
     assert [r.c for r in got] == [["a bb", "ccc", "d"], [], [], ["longwordhere", "x"]] and [r.p for r in got] == [["a bb  ccc\td"], [], [], ["longwordhere x"]]
+
+
+def test_page_cover_sends_back_counts_only():
+    import pyarrow as pa
+
+    from rulespark.functions import lines
+
+    texts, merged = ["one line\ntwo lines\n--", "gone away\ngone away"], ["two lines", "kept"]
+    (got,) = lines.page_cover.func(iter([(pa.array(texts), pa.array(["two lines", ""]), pa.array(merged))]))
+    assert [tuple(r.values()) for r in got.to_pylist()] == [(2, 1, 1, 0), (2, 2, 0, 0)]

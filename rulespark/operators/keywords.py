@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ TOKEN = r"([\p{L}\p{N}]+)"
 GRAM = 3
 #: Tables of terms are broadcast up to so many rows, else joined by shuffle.
 FEW = 400_000
+#: Single words are broadcast up to so many.
+WORDS = 2_000_000
+#: A task holds so many postings at once, or those of one text.
+POSTS = 1 << 19
 #: The row's text as a number: with the key it tells rows apart.
 MARK = "_text"
 
@@ -64,10 +71,104 @@ def postings(texts: DataFrame, key: Sequence[str]) -> DataFrame:
     return texts.select(F.explode(tokens_in(F.col("text"))).alias("token"), *key, MARK)
 
 
-def kept(pairs: DataFrame) -> DataFrame:
-    """The table, made once; up to ``FEW`` rows it is broadcast, so that postings need not be dealt out to meet it."""
+def kept(pairs: DataFrame, most: int = FEW) -> DataFrame:
+    """The table, made once; up to ``most`` rows it is broadcast, so that postings need not be dealt out to meet it."""
     pairs = pairs.persist()
-    return F.broadcast(pairs) if pairs.count() <= FEW else pairs
+    return F.broadcast(pairs) if pairs.count() <= most else pairs
+
+
+def _in_order(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, mark, tokens) by key, null ones first, and mark; rows of one key and mark once."""
+    key = b.column("key")
+    nan = pc.fill_null(pc.is_nan(key), False) if pa.types.is_floating(key.type) else pa.nulls(len(key), pa.bool_())
+    by = pa.table([key.is_valid(), nan, key, b.column("mark")], names=["there", "nan", "key", "mark"])
+    b = b.take(pc.sort_indices(by, sort_keys=[(n, "ascending") for n in by.column_names]))
+    code, mark = (b.column(n).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for n in ("key", "mark"))
+    return b.filter(pa.array(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(mark) != 0)])))
+
+
+def _turned(b: pa.RecordBatch, part: int, limit: int | None) -> pa.RecordBatch:
+    """(part, token, docs) of a batch in order: for each token its rows (row, key, mark), the first ``limit`` of them."""
+    lists = b.column("tokens")
+    words = lists.flatten().dictionary_encode()
+    code, row = words.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy()
+    by = np.argsort(code, kind="stable")
+    code, row = code[by], row[by]
+    n = np.bincount(code, minlength=len(words.dictionary))
+    if limit:
+        row = row[np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) < limit]
+        n = np.minimum(n, limit)
+    at = pa.array(row)
+    docs = pa.StructArray.from_arrays([at.cast(pa.int32()), b.column("key").take(at), b.column("mark").take(at)], names=["row", "key", "mark"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int64()), words.dictionary, pa.ListArray.from_arrays(offsets, docs)], names=["part", "token", "docs"])
+
+
+def listed_tokens(texts: DataFrame, key: str, pattern: str, limit: int | None = None) -> DataFrame:
+    """(part, token, docs): the rows (row, key, mark) that hold each token, by parts of a task's texts, where they are read.
+
+    A part has ``POSTS`` postings at most, or one text; its rows are numbered by key and mark, those of one key
+    and text are one, and its tokens follow each other. With a limit, a token has the first rows of a part only.
+    """
+
+    def run(batches):
+        part = 0
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b.column("tokens")).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                most = (ends[lo - 1] if lo else 0) + POSTS
+                hi = max(lo + 1, int(np.searchsorted(ends, most, side="right")))
+                yield _turned(_in_order(b.slice(lo, hi - lo)), part, limit)
+                lo, part = hi, part + 1
+
+    kind = texts.schema[key].dataType.simpleString()
+    found = texts.select(F.col(key).alias("key"), F.col(MARK).alias("mark"), F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 1)).alias("tokens"))
+    return found.filter("size(tokens) > 0").mapInArrow(run, f"part long, token string, docs array<struct<row:int,key:{kind},mark:long>>")
+
+
+def with_parts(tokens: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Each row with every part of its token that has one of the lengths, as ``term``."""
+    sized = tokens.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter(F.length("token") >= F.col("_size"))
+    placed = sized.withColumn("_from", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("_size") + 1)))
+    return placed.withColumn("term", F.col("token").substr(F.col("_from"), F.col("_size"))).drop("token", "_size", "_from")
+
+
+def lengths_of(terms: DataFrame) -> list[int]:
+    return sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
+
+
+def first_holders(words: DataFrame, texts: DataFrame, key: str, limit: int) -> DataFrame:
+    """(term, key, MARK): the first ``limit`` rows, and more, of each of ``words`` (term, runs of letters and digits in lower case), by key and MARK.
+
+    A word's first rows are among the first of the tokens that contain it, and a token's among the first of
+    each part of the texts; no others are dealt out. Those of all tokens are cut into parts, which meet the words.
+    """
+    words = kept(words.select("term").distinct(), WORDS)
+    lengths = lengths_of(words)
+    if not lengths:
+        return texts.select(F.lit("").alias("term"), key, MARK).limit(0)
+    parts = listed_tokens(texts, key, rf"([\p{{L}}\p{{N}}]{{{lengths[0]},}})", limit)
+    each = parts.select(F.col("token").alias("id"), F.explode("docs").alias("d")).select("id", F.col("d.key").alias(key), F.col("d.mark").alias(MARK))
+    first = best_of(each, [F.asc_nulls_first(key), F.col(MARK)], limit, 1).select(F.col("id").alias("token"), key, MARK)
+    return with_parts(first, lengths).join(words, "term").select("term", key, MARK)
+
+
+def like_holders(terms: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(term, key, MARK) of every row whose text is LIKE a term of ``terms`` (term), where the texts are read.
+
+    A term's longest run of letters and digits is part of a token of every such text; a term without one has
+    every text read.
+    """
+    asked = terms.select("term").distinct().withColumn("fragment", fragment(F.col("term")))
+    like = F.like(F.col("text"), F.concat(F.lit("%"), "like", F.lit("%")))
+    named = kept(asked.filter("fragment <> ''").select(F.col("fragment").alias("term"), F.col("term").alias("like")))
+    blank = kept(asked.filter("fragment = ''").select(F.col("term").alias("like")))
+    found = texts.crossJoin(blank).filter(like)
+    if lengths := lengths_of(named):
+        tokens = texts.select("text", key, MARK, F.explode(F.array_distinct(runs(F.col("text")))).alias("token"))
+        found = with_parts(tokens, lengths).join(named, "term").filter(like).select(*found.columns).union(found)
+    return found.select(F.col("like").alias("term"), key, MARK)
 
 
 def tokens_of(fragments: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -118,7 +219,12 @@ def tokens_asked(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def best_of(found: DataFrame, by: list[Column], k: int, shares: int = 32) -> DataFrame:
-    """The first ``k`` rows of each id with their ``rank``: in shares first, so that no task sorts a hot id alone."""
+    """The first ``k`` rows of each id with their ``rank``: in shares first, so that no task sorts a hot id alone.
+
+    With one share equal rows, told apart by nothing in ``by``, are one, and each task's first rows are dealt out once.
+    """
+    if shares == 1:
+        return found.withColumn("rank", F.dense_rank().over(Window.partitionBy("id").orderBy(*by))).filter(F.col("rank") <= k).distinct()
     share = found.withColumn("_share", F.pmod(F.xxhash64(*[c for c in found.columns if c != "id"]), F.lit(shares)))
     some = share.withColumn("rank", F.row_number().over(Window.partitionBy("id", "_share").orderBy(*by))).filter(F.col("rank") <= k).drop("_share")
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*by))).filter(F.col("rank") <= k)
@@ -132,15 +238,24 @@ def fallback(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[
     """
     asked = words_asked(questions, id_col, text_col).distinct()
     texts = marked(rows, [key], columns)
-    held = index.holders(asked, texts, wildcards=True) if index else holders(asked, postings(texts, [key]), texts, [key], wildcards=True)
-    # a question's first rows are among the first of its terms; a term's other rows meet no question
     order = [F.asc_nulls_first(key), F.col(MARK)]
-    first = best_of(held.withColumnRenamed("term", "id"), order, limit).select(F.col("id").alias("term"), key, MARK)
-    hits = asked.join(first, "term").select("id", F.col(key), MARK).distinct()
+    if index:
+        held = index.holders(asked, texts, wildcards=True)
+    else:
+        # the underscore is a wildcard: words with one are looked up in the texts
+        plain = asked.filter(~F.contains("term", F.lit("_")))
+        held, rest = first_holders(plain, texts, key, limit), asked.filter(F.contains("term", F.lit("_")))
+        if not rest.isEmpty():
+            held = held.union(like_holders(rest, texts, key))
+    # a question's first rows are among the first of its terms; a term's other rows meet no question
+    first = best_of(held.withColumnRenamed("term", "id"), order, limit, 1 if index is None else 32)
     many = texts.groupBy(F.col(key).alias("_key"), F.col(MARK).alias("_mark")).agg(F.count("*").alias("n")).filter("n > 1")
-    more = hits.join(many, hits[key].eqNullSafe(many["_key"]) & (hits[MARK] == many["_mark"]), "left")
-    each = more.select("id", key, MARK, F.explode(F.sequence(F.lit(1), F.least(F.coalesce("n", F.lit(1)), F.lit(limit)).cast("int"))).alias("copy"))
-    return best_of(each, [*order, F.col("copy")], limit).select("id", "rank", key)
+    told = first.join(many, first[key].eqNullSafe(many["_key"]) & (first[MARK] == many["_mark"]), "left")
+    lists = told.groupBy(F.col("id").alias("term")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(MARK).alias("mark"), F.least(F.coalesce("n", F.lit(1)), F.lit(limit)).cast("int").alias("n"))).alias("docs"))
+    # a question meets its terms' lists once, and its rows are ranked in the list
+    hits = asked.join(lists, "term").groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"))
+    copies = F.slice(F.flatten(F.transform(F.slice("docs", 1, limit), lambda d: F.array_repeat(d["key"], d["n"]))), 1, limit)
+    return hits.select("id", F.posexplode(copies).alias("rank", key)).select("id", (F.col("rank") + 1).alias("rank"), key)
 
 
 def overlap(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[str], id_col: str, text_col: str, limit: int = 10, index: KeywordIndex | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tables of questions against one question at a time."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,36 @@ def test_terms_are_sent_to_the_texts(spark):
     joined = lambda df: df._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin [token#" in joined(keywords.contains_join(rows, "doc_id", "text", items, "item_id", "text"))
     assert "BroadcastHashJoin [term#" in joined(keywords.overlap(rows, items, "doc_id", ["text"], "item_id", "text"))
+
+
+def _mixed(n: int = 60) -> list[tuple]:
+    """Rows of few words, some of them twice, without a key, or with one key and two texts."""
+    some = ["travel", "traveller", "leave", "sleeves", "where_is", "where is", "whereXis", "über", "ab", "claims", "x1234y", "____"]
+    rows = [(i if i % 9 else None, " ".join(some[(i * j + j) % len(some)] for j in range(1, 2 + i % 5))) for i in range(n)]
+    return [*rows, *rows[::7], (3, "another travel text"), (4, None), (5, "")]
+
+
+def _like(term: str, text: str) -> bool:
+    return re.search(re.escape(term).replace("_", "."), text, re.DOTALL) is not None
+
+
+def test_first_rows_of_words_over_parts_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "POSTS", 7)
+    rows = _mixed()
+    asked = ["travel leave", "where_is", "____", "1234 sleeve", "zebra", "eave rave trav clai", ""]
+    got = keywords.fallback(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "q long, t string"), "doc_id", ["text"], "q", "t", limit=6)
+    found = {}
+    for r in got.orderBy("id", "rank").collect():
+        found.setdefault(r.id, []).append((r["rank"], r.doc_id))
+    for q, t in enumerate(asked):
+        held = sorted((-1 if d is None else d) for d, x in rows if any(_like(w, (x or "").lower()) for w in t.split()))
+        assert [(r, -1 if d is None else d) for r, d in found.get(q, [])] == list(enumerate(held[:6], 1)), t
+
+
+def test_only_the_first_rows_of_a_token_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id AS doc_id", "'travel and leave' AS text")
+    met, plain = [], keywords.best_of
+    monkeypatch.setattr(keywords, "best_of", lambda found, *a: met.append(found.count()) or plain(found, *a))
+    keywords.fallback(rows, spark.createDataFrame([(1, "travel leave policy")], "q long, t string"), "doc_id", ["text"], "q", "t", limit=5)
+    # two tokens in each of the tasks
+    assert met[0] <= rows.rdd.getNumPartitions() * 2 * 5

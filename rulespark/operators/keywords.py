@@ -29,8 +29,9 @@ GRAM = 3
 FEW = 400_000
 #: Single words are broadcast up to so many.
 WORDS = 2_000_000
-#: A task holds so many postings at once, or those of one text.
+#: A task holds so many postings at once, or those of one text, and so many cells of a matrix.
 POSTS = 1 << 19
+CELLS = 1 << 22
 #: The row's text as a number: with the key it tells rows apart.
 MARK = "_text"
 
@@ -171,6 +172,64 @@ def like_holders(terms: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return found.select(F.col("like").alias("term"), key, MARK)
 
 
+def best_in_parts(rows: DataFrame, asked: pa.Table, kind: str, key: str, key_kind: str, limit: int) -> DataFrame:
+    """(id, key, MARK, score): of each part of ``rows`` (part, nth, docs) the best rows of each id, ties by key and MARK.
+
+    ``asked`` (id, nth, n) says how much a row that holds the nth term counts for an id. The rows of a part
+    follow each other in one task; ids, and rows if need be, are taken in blocks, so that a matrix has
+    ``CELLS`` cells or little more.
+    """
+    encoded = asked["id"].combine_chunks().dictionary_encode("encode")
+    ids, item = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)
+    nth, n = asked["nth"].to_numpy(), asked["n"].to_numpy()
+    by = np.argsort(item, kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast((ids, item[by], nth[by], n[by]))  # FEW rows at most
+
+    def best(held):
+        ids, item, nth, n = shared.value
+        docs = pa.concat_arrays([b.column("docs").flatten() for b in held])
+        term = np.concatenate([np.repeat(b.column("nth").to_numpy(), pc.list_value_length(b.column("docs")).to_numpy()) for b in held])
+        place, at, row = np.unique(docs.field("row").to_numpy(), return_index=True, return_inverse=True)
+        out = []
+        for lo in range(0, len(ids), 256):
+            own = slice(*np.searchsorted(item, [lo, lo + 256]))
+            terms, column = np.unique(nth[own], return_inverse=True)
+            weights = np.zeros((min(256, len(ids) - lo), len(terms)))
+            weights[item[own] - lo, column] = n[own]
+            here = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+            step = max(1, CELLS // len(terms))
+            for start in range(0, len(place), step):
+                mine = (terms[here] == term) & (row >= start) & (row < start + step)
+                holds = np.zeros((len(terms), min(step, len(place) - start)))
+                holds[here[mine], row[mine] - start] = 1
+                scores = weights @ holds
+                # rows are numbered by key and mark, so a stable order leaves ties to the first
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+                which, rank = np.nonzero(np.take_along_axis(scores, top, 1) > 0)
+                out.append((which + lo, at[top[which, rank] + start], scores[which, top[which, rank]]))
+        which, at, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        found = docs.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(which)), found.field("key"), found.field("mark"), pa.array(score.astype("int64"))], names=["id", key, MARK, "score"])
+
+    def run(batches):
+        held, part = [], None
+        for b in batches:
+            parts = b.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and parts[lo] != part:
+                    yield best(held)
+                    held = []
+                part = parts[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield best(held)
+
+    return rows.select("part", "nth", "docs").mapInArrow(run, f"id {kind}, `{key}` {key_kind}, {MARK} long, score long")
+
+
 def tokens_of(fragments: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(fragment, token) for every token of the vocabulary that contains a fragment; a blank fragment has the blank token."""
     wanted = fragments.select("fragment").distinct()
@@ -265,10 +324,23 @@ def overlap(rows: DataFrame, questions: DataFrame, key: str, columns: Sequence[s
     """
     asked = kept(tokens_asked(questions, id_col, text_col))
     texts = marked(rows, [key], columns)
+    order = [F.desc("score"), F.asc_nulls_first(key), F.col(MARK)]
+    if index is None and (every := asked.limit(FEW + 1).toArrow()).num_rows <= FEW:
+        terms = every["term"].combine_chunks().dictionary_encode()
+        nth = terms.indices.cast(pa.int64())
+        words = rows.sparkSession.createDataFrame(pa.table({"term": terms.dictionary, "nth": np.arange(len(terms.dictionary))}), "term string, nth long")
+        # a term is letters, digits and underscores, so it stands in a run of those
+        lengths = lengths_of(words) or [1]
+        parts = listed_tokens(texts, key, rf"([\p{{L}}\p{{N}}_]{{{lengths[0]},}})")
+        # both are where the texts are read: the words are broadcast, and the order of the parts stays
+        met = with_parts(parts, lengths).join(F.broadcast(words), "term")
+        kinds = [d.schema[c].dataType.simpleString() for d, c in ((asked, "id"), (texts, key))]
+        best = best_in_parts(met, pa.table({"id": every["id"], "nth": nth, "n": every["n"]}), kinds[0], key, kinds[1], limit)
+        return best_of(best.distinct(), order, limit).select("id", "rank", key, "score")
     held = index.holders(asked, texts) if index else holders(asked, postings(texts, [key]), texts, [key])
     # the terms of a row meet in one task: there they are joined to the questions and summed, and only the best are dealt out
     scored = held.repartition(key, MARK).join(asked, "term").groupBy("id", key, MARK).agg(F.sum("n").alias("score"))
-    return best_of(scored, [F.desc("score"), F.asc_nulls_first(key), F.col(MARK)], limit).select("id", "rank", key, "score")
+    return best_of(scored, order, limit).select("id", "rank", key, "score")
 
 
 def contains_join(rows: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:

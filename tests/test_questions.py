@@ -191,3 +191,30 @@ def test_only_the_first_rows_of_a_token_are_dealt_out(spark, monkeypatch):
     keywords.fallback(rows, spark.createDataFrame([(1, "travel leave policy")], "q long, t string"), "doc_id", ["text"], "q", "t", limit=5)
     # two tokens in each of the tasks
     assert met[0] <= rows.rdd.getNumPartitions() * 2 * 5
+
+
+@pytest.mark.parametrize("key", ["long", "string", "double"])
+def test_overlap_over_parts_of_the_texts(spark, monkeypatch, key):
+    monkeypatch.setattr(keywords, "POSTS", 7)
+    monkeypatch.setattr(keywords, "CELLS", 16)
+    rows, words = _mixed(), ["travel", "leave", "where_is", "1234", "sleeve", "clai", "travel", "____"]
+    asked = [(i, " ".join(words[(i + 3 * j) % len(words)] for j in range(1 + i % 4))) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(key))
+    found = {}
+    for r in keywords.overlap(table, spark.createDataFrame(asked, "q long, t string"), "doc_id", ["text"], "q", "t", limit=4).orderBy("id", "rank").collect():
+        found.setdefault(r.id, []).append((r["rank"], r.doc_id, r.score))
+    order = lambda d: (d is not None, str(d) if key == "string" else d or 0)
+    for q, t in asked:
+        scored = [(d, sum(w in (x or "") for w in t.split())) for d, x in set(rows)]
+        best = sorted(((d, n) for d, n in scored if n), key=lambda r: (-r[1], order(r[0])))[:4]
+        assert [(r, None if d is None else int(d), n) for r, d, n in found.get(q, [])] == [(i, d, n) for i, (d, n) in enumerate(best, 1)], t
+
+
+def test_only_the_best_rows_of_a_part_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id AS doc_id", "'travel and leave' AS text")
+    items = spark.createDataFrame([(1, "travel text"), (2, "leave it")], "item_id long, text string")
+    met, plain = [], keywords.best_of
+    monkeypatch.setattr(keywords, "best_of", lambda found, *a: met.append(found.count()) or plain(found, *a))
+    got = keywords.overlap(rows, items, "doc_id", ["text"], "item_id", "text", limit=5)
+    assert met[0] <= rows.rdd.getNumPartitions() * 2 * 5
+    assert sorted((r.id, r["rank"], r.doc_id) for r in got.collect()) == [(i, n + 1, n) for i in (1, 2) for n in range(5)]
